@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..operators import features as H
 from ..operators import labels as L
 from ..operators import metrics as M
 from ..operators.models import majority_predict
@@ -321,3 +323,56 @@ def majority_fine(spark, sf):
     fine = L.label_scheme(I.labelled_sentences(spark, sf), "fine").select("sentence_id", "labels")
     train, test = split(fine, 0.2, 200, "sentence_id")
     return majority_predict(train, test)
+
+
+# --------------------------------------------------------------------------- H. text features
+_TOK = Q.sql_str(T.TOKEN_RE)
+_PUNCT = Q.sql_str("\\p{P}+")
+_EMOJI = Q.sql_str(T.EMOJI_RE)
+
+
+@register("tokenize", f"SELECT doc_id AS sentence_id, regexp_extract_all(text, {_TOK}) AS tokens FROM documents")
+def tokenize(spark, sf):
+    """H0 on every document."""
+    d = I.documents_sentences(spark, sf)
+    return d.select("sentence_id", T.tokenize("text").alias("tokens"))
+
+
+@register("text_features", f"""
+WITH t AS (SELECT doc_id, text, regexp_extract_all(text, {_TOK}) AS tok FROM documents)
+SELECT doc_id AS sentence_id,
+  CAST(len(list_filter(tok, lambda x: regexp_full_match(x, {_PUNCT}))) AS INTEGER) AS punct_count,
+  CAST(list_contains(tok, '!') AS INTEGER) AS contains_exclamation,
+  CAST(list_contains(tok, '.') AS INTEGER) AS contains_punct_mark,
+  CAST(list_contains(tok, '?') AS INTEGER) AS contains_question_mark,
+  CAST(contains(text, '#') AS INTEGER) AS contains_hashtag,
+  CAST(contains(text, '@') AS INTEGER) AS contains_mention,
+  CAST(len(list_filter(tok, lambda x: upper(x) = x AND lower(x) <> x)) AS INTEGER) AS capital_char_count,
+  CAST(len(tok) AS INTEGER) AS token_count,
+  CAST(length(text) AS INTEGER) AS char_length,
+  CAST(len(list_filter(tok, lambda x: regexp_full_match(x, {_EMOJI}))) AS INTEGER) AS emoji_count,
+  CAST(len(list_filter(tok, lambda x: regexp_full_match(x, {_EMOJI}))) > 0 AS INTEGER) AS contains_emoji
+FROM t""")
+def text_features(spark, sf):
+    """The 11 features of every document, tokenised once."""
+    d = I.documents_sentences(spark, sf).select("sentence_id", "text")
+    return H.text_features(d).drop("text")
+
+
+@register("normalize_text", f"""
+SELECT doc_id AS sentence_id,
+  array_to_string(list_filter(regexp_extract_all(lower(text), {_TOK}),
+                              lambda x: NOT regexp_full_match(x, {_PUNCT})), ' ') AS norm_text
+FROM documents""")
+def normalize_text(spark, sf):
+    """Lowercase, drop punctuation tokens, join by one space; identity lemmas."""
+    d = I.documents_sentences(spark, sf).select("sentence_id", "text")
+    return H.normalize_text(d).select("sentence_id", "norm_text")
+
+
+@register("argmax_scores", """
+SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS argmax FROM embeddings""")
+def argmax_scores(spark, sf):
+    """First maximum of each score vector (F2)."""
+    e = I.table(spark, sf, "embeddings")
+    return e.select("vec_id", T.argmax("embedding").alias("argmax"))

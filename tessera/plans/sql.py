@@ -117,3 +117,8 @@ SELECT {byc}'weighted avg',
        round(CASE WHEN s > 0 THEN wp / s ELSE 0 END, 6), round(CASE WHEN s > 0 THEN wr / s ELSE 0 END, 6),
        round(CASE WHEN s > 0 THEN wf / s ELSE 0 END, 6), CAST(s AS BIGINT),
        CAST((SELECT k FROM nl) + 3 AS INTEGER) FROM agg"""
+
+
+def sql_str(pattern: str) -> str:
+    """A DuckDB string literal holding ``pattern`` (backslashes are literal there)."""
+    return "'" + pattern.replace("'", "''") + "'"
