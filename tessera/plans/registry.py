@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import features as H
 from ..operators import labels as L
+from ..operators import tfidf as TF
 from ..operators import metrics as M
 from ..operators.models import majority_predict
 from ..operators.split import assign_split, assign_split_exact, split
@@ -376,3 +377,58 @@ def argmax_scores(spark, sf):
     """First maximum of each score vector (F2)."""
     e = I.table(spark, sf, "embeddings")
     return e.select("vec_id", T.argmax("embedding").alias("argmax"))
+
+
+# --------------------------------------------------------------------------- I. TF-IDF
+_WORDS = Q.sql_str(T.WORD_SPLIT_RE)
+_NORM = (f"array_to_string(list_filter(regexp_extract_all(lower(text), {_TOK}), "
+         f"lambda x: NOT regexp_full_match(x, {_PUNCT})), ' ')")
+_TF_CTES = f"""
+d AS (SELECT doc_id, {_NORM} AS t, {Q.is_test_sql('doc_id')} AS is_test FROM documents),
+w AS (SELECT doc_id, is_test, ' ' || unnest(list_filter(regexp_split_to_array(t, {_WORDS}), lambda x: x <> '')) || ' ' AS pw
+      FROM d),
+wc AS (SELECT doc_id, is_test, pw, count(*) AS c FROM w GROUP BY ALL),
+uw AS (SELECT DISTINCT pw FROM wc),
+g AS (SELECT pw, substr(pw, i, 1) AS term FROM (SELECT pw, unnest(generate_series(1, length(pw))) AS i FROM uw)
+      UNION ALL
+      SELECT pw, substr(pw, i, 2) AS term FROM (SELECT pw, unnest(generate_series(1, length(pw) - 1)) AS i FROM uw)),
+tf AS (SELECT wc.doc_id, wc.is_test, g.term, sum(wc.c) AS tf FROM wc JOIN g ON wc.pw = g.pw GROUP BY ALL),
+nd AS (SELECT count(*) AS n FROM d WHERE NOT is_test),
+idf AS (SELECT term, count(*) AS df, ln((1 + (SELECT n FROM nd)) / (1 + count(*))) + 1 AS idf
+        FROM tf WHERE NOT is_test GROUP BY term)"""
+
+
+def _docs_norm_split(spark, sf):
+    d = assign_split(I.documents_sentences(spark, sf), 0.2, 200)
+    return H.normalize_text(d).select("sentence_id", "norm_text", "is_test")
+
+
+@register("term_counts", "WITH " + _TF_CTES + "\nSELECT doc_id AS sentence_id, term, CAST(tf AS BIGINT) AS tf FROM tf")
+def term_counts(spark, sf):
+    """Char 1-2 gram counts per normalized document."""
+    d = H.normalize_text(I.documents_sentences(spark, sf)).select("sentence_id", "norm_text")
+    return TF.term_counts(d)
+
+
+@register("idf", "WITH " + _TF_CTES + "\nSELECT term, CAST(df AS BIGINT) AS df, round(idf, 6) AS idf FROM idf")
+def idf(spark, sf):
+    """Smooth IDF fitted on the train split."""
+    _, idf_df = TF.fit_transform_tfidf(_docs_norm_split(spark, sf))
+    return idf_df.select("term", F.col("df").cast("bigint").alias("df"), r6("idf").alias("idf"))
+
+
+@register("tfidf", "WITH " + _TF_CTES + """,
+x AS (SELECT tf.doc_id, tf.term, tf.tf * idf.idf AS w FROM tf JOIN idf ON tf.term = idf.term)
+SELECT doc_id AS sentence_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM x""")
+def tfidf(spark, sf):
+    """L2-normalised TF-IDF of train and test documents with the train IDF (I4)."""
+    w, _ = TF.fit_transform_tfidf(_docs_norm_split(spark, sf))
+    return w.select("sentence_id", "term", r6("weight").alias("weight"))
+
+
+@register("gram_vocab", "WITH " + _TF_CTES + """
+SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS BIGINT) AS term_index FROM idf""")
+def gram_vocab(spark, sf):
+    """Train vocabulary sorted by term, dense index."""
+    _, idf_df = TF.fit_transform_tfidf(_docs_norm_split(spark, sf))
+    return TF.gram_vocab(idf_df)
