@@ -7,9 +7,18 @@ model selection with ``LogisticRegression``; J7-J9 score and persist models.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+from concurrent.futures import ThreadPoolExecutor
+from itertools import combinations
+
+from pyspark import StorageLevel
+from pyspark.ml.classification import LinearSVC, LinearSVCModel, LogisticRegression
+from pyspark.ml.tuning import ParamGridBuilder
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import argmax
+
 
 def majority_label(train: DataFrame, label_col: str = "labels") -> str:
     """Most frequent train label; ties go to the smallest label.
@@ -29,3 +38,154 @@ def majority_predict(train: DataFrame, test: DataFrame, label: str | None = None
     """Every test row gets the majority train label, or ``label`` when given."""
     chosen = label if label is not None else majority_label(train, label_col)
     return test.withColumn(out_col, F.lit(chosen))
+
+
+# --------------------------------------------------------------------------- J2-J5: one-vs-one linear SVM
+
+
+class OneVsOneModel:
+    """Pairwise linear SVMs and their vote.
+
+    Scoring is one projection: every pair model adds its 0/1 decision as a
+    column (JVM-side), the winners form an array and the per-class vote
+    counts and their first maximum are array expressions.  No shuffle, no
+    Python per row.
+    """
+
+    def __init__(self, classes: list[int], pairs: list[tuple[int, int]], models: list[LinearSVCModel],
+                 features_col: str = "features"):
+        self.classes, self.pairs, self.models, self.features_col = classes, pairs, models, features_col
+
+    def transform(self, df: DataFrame, out_col: str = "prediction_id") -> DataFrame:
+        cols = df.columns
+        tmp = []
+        for k, ((i, j), m) in enumerate(zip(self.pairs, self.models)):
+            p, r = f"_ovo_p{k}", f"_ovo_r{k}"
+            m = m.copy()
+            m.setFeaturesCol(self.features_col).setPredictionCol(p).setRawPredictionCol(r)
+            df = m.transform(df)
+            tmp.append(F.when(F.col(p) > 0.5, F.lit(j)).otherwise(F.lit(i)))
+        winners = F.array(*tmp)
+        return df.select(*cols, ovo_vote(winners, len(self.classes)).alias(out_col))
+
+    def save(self, path: str) -> None:
+        for (i, j), m in zip(self.pairs, self.models):
+            m.write().overwrite().save(f"{path}/pair_{i}_{j}")
+        meta = {"classes": self.classes, "pairs": self.pairs, "features_col": self.features_col}
+        s = SparkSession.getActiveSession()
+        s.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(
+            f"{path}/metadata")
+
+    @staticmethod
+    def load(path: str) -> "OneVsOneModel":
+        s = SparkSession.getActiveSession()
+        meta = json.loads(s.read.text(f"{path}/metadata").first()[0])
+        pairs = [tuple(p) for p in meta["pairs"]]
+        models = [LinearSVCModel.load(f"{path}/pair_{i}_{j}") for i, j in pairs]
+        return OneVsOneModel(meta["classes"], pairs, models, meta["features_col"])
+
+
+def ovo_vote(winners, num_classes: int) -> F.Column:
+    """Class with the most pairwise wins; ties go to the lowest class id."""
+    w = F.col(winners) if isinstance(winners, str) else winners
+    votes = F.transform(F.sequence(F.lit(0), F.lit(num_classes - 1)),
+                        lambda c: F.size(F.filter(w, lambda x: x == c)))
+    return argmax(votes)
+
+
+def fit_svm(train: DataFrame, features_col: str = "features", label_col: str = "label_id", C: float = 1.0,
+            max_iter: int = 100, tol: float = 1e-6, parallelism: int = 4) -> OneVsOneModel:
+    """One binary ``LinearSVC`` per class pair.
+
+    ``regParam = 1 / (C * n_pair)`` with no standardization gives the primal
+    objective 1/2 |w|^2 + C * sum(hinge) with a free intercept.  The training
+    vectors are kept (memory, then disk) for the iterations; pair fits are
+    independent jobs submitted ``parallelism`` at a time.
+    """
+    data = train.select(features_col, F.col(label_col).cast("int").alias("_y")).persist(
+        StorageLevel.MEMORY_AND_DISK)
+    counts = {r["_y"]: r["n"] for r in data.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    classes = sorted(counts)
+    pairs = list(combinations(classes, 2))
+
+    def fit_pair(pair):
+        i, j = pair
+        sub = data.where(F.col("_y").isin(i, j)).select(
+            features_col, (F.col("_y") == j).cast("double").alias("_bin"))
+        svc = LinearSVC(featuresCol=features_col, labelCol="_bin", regParam=1.0 / (C * (counts[i] + counts[j])),
+                        standardization=False, fitIntercept=True, maxIter=max_iter, tol=tol)
+        return svc.fit(sub)
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
+        models = list(ex.map(fit_pair, pairs))
+    data.unpersist()
+    if len(classes) == 1:
+        raise ValueError("need at least two classes")
+    return OneVsOneModel(classes, pairs, models, features_col)
+
+
+# --------------------------------------------------------------------------- J6: grid selection
+
+
+def lr_grid(reg_params=(0.0, 0.01, 0.1), max_iters=(10, 50)) -> tuple[LogisticRegression, list]:
+    """A multinomial logistic regression and a grid over (regParam, maxIter)."""
+    lr = LogisticRegression(featuresCol="features", labelCol="label_id", predictionCol="prediction_id",
+                            family="multinomial")
+    grid = (ParamGridBuilder().addGrid(lr.regParam, list(reg_params)).addGrid(lr.maxIter, list(max_iters))
+            .build())
+    return lr, grid
+
+
+def train_select(train: DataFrame, valid: DataFrame, vocab: DataFrame, estimator=None, grid=None,
+                 parallelism: int = 4):
+    """Fit one model per parameter map, report each on ``valid``, keep the best by macro F1.
+
+    Returns ``(models, scores, best)``: ``scores`` is one row per run
+    (``run_id, macro_f1, weighted_f1, accuracy``) and ``best`` the winning
+    row (ties to the lowest run id).
+    """
+    from . import labels as L
+    from . import metrics as M
+    if estimator is None:
+        estimator, grid = lr_grid()
+    data = train.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def fit_one(pm):
+        return estimator.copy(pm).fit(data)
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
+        models = list(ex.map(fit_one, grid))
+    preds = None
+    for k, m in enumerate(models):
+        p = m.transform(valid).select(F.lit(k).alias("run_id"), "sentence_id", "labels", "prediction_id")
+        preds = p if preds is None else preds.unionByName(p)
+    preds = L.decode_labels(preds, vocab, "prediction_id", "prediction")
+    scores = M.score(preds, vocab, by=("run_id",))
+    best = M.best_run(scores, "macro_f1", ("run_id",))
+    return models, scores, best
+
+
+# --------------------------------------------------------------------------- J7-J9: scoring, persistence
+def score_batch(model, df: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
+    """Score many rows with a fitted model; decode the class id to a label when a vocabulary is given."""
+    from . import labels as L
+    out = model.transform(df)
+    if vocab is not None:
+        out = L.decode_labels(out, vocab, "prediction_id", "prediction")
+    return out
+
+
+def save_model(model, path: str) -> None:
+    """Persist a fitted pipeline or one-vs-one model to (shared) storage."""
+    if isinstance(model, OneVsOneModel):
+        model.save(path)
+    else:
+        model.write().overwrite().save(path)
+
+
+def load_model(path: str, kind: str = "pipeline"):
+    """Reload a model saved by ``save_model``."""
+    if kind == "ovo":
+        return OneVsOneModel.load(path)
+    from pyspark.ml import PipelineModel
+    return PipelineModel.load(path)

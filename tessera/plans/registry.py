@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import features as H
 from ..operators import labels as L
+from ..operators import encode as K
+from ..operators import models as J
 from ..operators import tfidf as TF
+from ..operators import vectors as V
 from ..operators import metrics as M
 from ..operators.models import majority_predict
 from ..operators.split import assign_split, assign_split_exact, split
@@ -432,3 +435,169 @@ def gram_vocab(spark, sf):
     """Train vocabulary sorted by term, dense index."""
     _, idf_df = TF.fit_transform_tfidf(_docs_norm_split(spark, sf))
     return TF.gram_vocab(idf_df)
+
+
+# --------------------------------------------------------------------------- I5, I6, J. models
+def _docs_train_test(spark, sf):
+    d = assign_split(I.documents_sentences(spark, sf), 0.2, 200)
+    train = d.where(~F.col("is_test")).drop("is_test")
+    test = d.where(F.col("is_test")).drop("is_test")
+    return train, test
+
+
+def _svm_inputs(spark, sf, with_features: bool):
+    train, test = _docs_train_test(spark, sf)
+    vocab = L.label_vocab(train)
+    pm = V.tfidf_pipeline("text", "tfidf").fit(train)
+    trv, tev = pm.transform(train), pm.transform(test)
+    col = "tfidf"
+    if with_features:
+        trv = V.assembler("tfidf").transform(H.text_features(trv))
+        tev = V.assembler("tfidf").transform(H.text_features(tev))
+        col = "features"
+    return L.encode_labels(trv, vocab), tev, vocab, col
+
+
+@register("tfidf_vectors")
+def tfidf_vectors(spark, sf):
+    """Train-fitted TF-IDF as sparse ML vectors for every document."""
+    train, test = _docs_train_test(spark, sf)
+    pm = V.tfidf_pipeline("text", "tfidf").fit(train)
+    return pm.transform(train.unionByName(test)).select("sentence_id", "tfidf")
+
+
+@register("assemble_features")
+def assemble_features(spark, sf):
+    """TF-IDF vectors joined to the 11 text features on the id and concatenated."""
+    train, test = _docs_train_test(spark, sf)
+    docs = train.unionByName(test)
+    pm = V.tfidf_pipeline("text", "tfidf").fit(train)
+    vec = pm.transform(docs).select("sentence_id", "tfidf")
+    feats = H.text_features(docs.select("sentence_id", "text"))
+    return V.assemble(vec, feats).select("sentence_id", "features")
+
+
+@register("svm_predictions")
+def svm_predictions(spark, sf):
+    """One-vs-one linear SVM (C = 1) on TF-IDF, test predictions by vote."""
+    trv, tev, vocab, col = _svm_inputs(spark, sf, with_features=False)
+    model = J.fit_svm(trv, features_col=col)
+    pred = L.decode_labels(model.transform(tev), vocab, "prediction_id", "prediction")
+    return pred.select("sentence_id", "labels", "prediction")
+
+
+@register("svm_ablation")
+def svm_ablation(spark, sf):
+    """Reports of the SVM without and with the 11 features, one pass over both."""
+    out = []
+    for run, feats in ((0, False), (1, True)):
+        trv, tev, vocab, col = _svm_inputs(spark, sf, with_features=feats)
+        model = J.fit_svm(trv, features_col=col)
+        p = L.decode_labels(model.transform(tev), vocab, "prediction_id", "prediction")
+        out.append(p.select(F.lit(run).alias("run_id"), "sentence_id", "labels", "prediction"))
+    preds = out[0].unionByName(out[1])
+    return _report_cols(M.classification_report(preds, vocab, by=("run_id",)), by=("run_id",))
+
+
+@register("train_select")
+def train_select(spark, sf):
+    """Grid of logistic regressions on TF-IDF, scored on the test split, best by macro F1."""
+    trv, tev, vocab, col = _svm_inputs(spark, sf, with_features=False)
+    est, grid = J.lr_grid()
+    est.setFeaturesCol(col)
+    _, scores, best = J.train_select(trv, tev, vocab, est, grid)
+    b = best.select("run_id", F.lit(True).alias("best"))
+    return (scores.join(b, "run_id", "left")
+            .select("run_id", r6("macro_f1").alias("macro_f1"), r6("weighted_f1").alias("weighted_f1"),
+                    r6("accuracy").alias("accuracy"), F.coalesce("best", F.lit(False)).alias("best")))
+
+
+@register("score_saved_model")
+def score_saved_model(spark, sf):
+    """Fit TF-IDF + logistic regression, save to the shared folder, reload, score the test split."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    train, test = _docs_train_test(spark, sf)
+    vocab = L.label_vocab(train)
+    stages = V.tfidf_pipeline("text", "tfidf").getStages() + [
+        LogisticRegression(featuresCol="tfidf", labelCol="label_id", predictionCol="prediction_id",
+                           family="multinomial", maxIter=50, regParam=0.01)]
+    model = Pipeline(stages=stages).fit(L.encode_labels(train, vocab))
+    path = scratch_path(spark, "model")
+    J.save_model(model, path)
+    loaded = J.load_model(path)
+    return J.score_batch(loaded, test, vocab).select("sentence_id", "labels", "prediction")
+
+
+_PAIRS = [(i, j) for i in range(10) for j in range(i + 1, 10)]
+
+
+@register("ovo_vote", "SELECT vec_id, CAST(list_position(v, list_max(v)) - 1 AS INTEGER) AS prediction_id FROM ("
+          "SELECT vec_id, list_transform(range(10), lambda c: len(list_filter(w, lambda x: x = c))) AS v FROM ("
+          "SELECT vec_id, [" + ", ".join(
+              f"CASE WHEN embedding[{j + 1}] > embedding[{i + 1}] + 0.01 THEN {j} ELSE {i} END"
+              for i, j in _PAIRS) + "] AS w FROM embeddings))")
+def ovo_vote(spark, sf):
+    """Vote over given pairwise winners: pair (i, j) goes to j when score j beats score i by 0.01."""
+    e = I.table(spark, sf, "embeddings")
+    emb = F.col("embedding")
+    winners = F.array(*[F.when(emb[j] > emb[i] + 0.01, F.lit(j)).otherwise(F.lit(i)) for i, j in _PAIRS])
+    return e.select("vec_id", J.ovo_vote(winners, 10).alias("prediction_id"))
+
+
+# --------------------------------------------------------------------------- K. encoding, batches
+_ENC_LEN = 128
+_ENC_CTES = f"""
+d AS (SELECT doc_id, regexp_extract_all(text, {_TOK}) AS tok, {Q.is_test_sql('doc_id')} AS is_test FROM documents),
+v AS (SELECT token, CAST(row_number() OVER (ORDER BY token) + 1 AS INTEGER) AS token_id
+      FROM (SELECT DISTINCT unnest(tok) AS token FROM d WHERE NOT is_test)),
+x AS (SELECT doc_id, unnest(tok) AS token, generate_subscripts(tok, 1) - 1 AS pos FROM d),
+e AS (SELECT x.doc_id, list(COALESCE(v.token_id, 1) ORDER BY x.pos) AS ids
+      FROM x LEFT JOIN v ON x.token = v.token WHERE x.pos < {_ENC_LEN} GROUP BY x.doc_id),
+f AS (SELECT d.doc_id, COALESCE(e.ids, []::INTEGER[]) AS ids FROM d LEFT JOIN e ON d.doc_id = e.doc_id)"""
+
+
+def _encode_inputs(spark, sf):
+    d = assign_split(I.documents_sentences(spark, sf), 0.2, 200)
+    vocab = K.fit_token_vocab(d.where(~F.col("is_test")))
+    return d, vocab
+
+
+@register("encode_tokens", "WITH " + _ENC_CTES + f"""
+SELECT doc_id AS sentence_id,
+       list_concat(ids, list_transform(range(greatest({_ENC_LEN} - len(ids), 0)), lambda i: 0)) AS input_ids,
+       list_concat(list_transform(ids, lambda i: 1),
+                   list_transform(range(greatest({_ENC_LEN} - len(ids), 0)), lambda i: 0)) AS attention_mask
+FROM f""")
+def encode_tokens(spark, sf):
+    """Word ids from the train vocabulary, truncated and padded to 128, with mask (K1)."""
+    d, vocab = _encode_inputs(spark, sf)
+    return K.encode_tokens(d, vocab, _ENC_LEN).select("sentence_id", "input_ids", "attention_mask")
+
+
+@register("encode_tokens_batch", "WITH " + _ENC_CTES + f""",
+b AS (SELECT doc_id, ids, max(len(ids)) OVER (PARTITION BY doc_id // 16) AS t FROM f)
+SELECT doc_id AS sentence_id,
+       list_concat(ids, list_transform(range(greatest(t - len(ids), 0)), lambda i: 0)) AS input_ids,
+       list_concat(list_transform(ids, lambda i: 1),
+                   list_transform(range(greatest(t - len(ids), 0)), lambda i: 0)) AS attention_mask
+FROM b""")
+def encode_tokens_batch(spark, sf):
+    """As encode_tokens, padded to the longest row of each batch of 16 ids (K2)."""
+    d, vocab = _encode_inputs(spark, sf)
+    d = d.withColumn("batch", F.floor(F.col("sentence_id") / 16))
+    return (K.encode_tokens(d, vocab, _ENC_LEN, pad_to="batch", batch_col="batch")
+            .select("sentence_id", "input_ids", "attention_mask"))
+
+
+def _py_lengths(pdf):
+    import pandas as pd
+    return pd.DataFrame({"sentence_id": pdf["sentence_id"],
+                         "n_chars": pdf["text"].str.len().astype("int64")})
+
+
+@register("map_batches", "SELECT doc_id AS sentence_id, CAST(length(text) AS BIGINT) AS n_chars FROM documents")
+def map_batches(spark, sf):
+    """A pandas function over Arrow batches, dropping the label column first (K3)."""
+    d = I.documents_sentences(spark, sf)
+    return K.map_batches(d, _py_lengths, "sentence_id long, n_chars long", drop=("labels",))
