@@ -75,11 +75,21 @@ def label_vocab(train: DataFrame, label_col: str = "labels", max_labels: int = M
     if len(labels) > max_labels:
         raise ValueError(f"more than {max_labels} distinct labels in {label_col!r}")
     names = sorted(r["label"] for r in labels)
-    return spark.createDataFrame([(n, i) for i, n in enumerate(names)], "label string, label_id int")
+    return vocab_from_list(spark, names)
+
+
+def vocab_from_list(spark, names: list[str]) -> DataFrame:
+    """A vocabulary DataFrame for the given labels, ids in list order."""
+    df = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "label string, label_id int")
+    df._tessera_labels = list(names)  # memo: the labels are known without a job
+    return df
 
 
 def vocab_list(vocab: DataFrame) -> list[str]:
     """Labels of a materialised vocabulary in id order (a few rows)."""
+    memo = getattr(vocab, "_tessera_labels", None)
+    if memo is not None:
+        return list(memo)
     return [r["label"] for r in vocab.orderBy("label_id").collect()]
 
 

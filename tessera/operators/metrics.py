@@ -7,10 +7,9 @@ as raw rows: each map task pre-aggregates before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import join_small
 from .labels import vocab_list
 
 TRUE, PRED = "labels", "prediction"
@@ -42,31 +41,39 @@ def _labels_of(vocab) -> list[str]:
     return list(vocab) if isinstance(vocab, (list, tuple)) else vocab_list(vocab)
 
 
+def _label_ids(labels: list[str]) -> F.Column:
+    """Literal label -> id map (labels are a checked, small vocabulary)."""
+    return F.create_map(*[x for i, lab in enumerate(labels) for x in (F.lit(lab), F.lit(i))])
+
+
 def confusion(pred: DataFrame, vocab, true_col: str = TRUE, pred_col: str = PRED,
               by: tuple[str, ...] = ()) -> DataFrame:
     """Long confusion counts ``(true_label, pred_label, n)`` over vocab x vocab.
 
     Cells with no rows are 0; pairs with a label outside the vocabulary are
-    dropped.  The pair counts are a partial + final aggregate (at most K^2
-    rows per map task); the zero grid is generated from the checked-size
-    vocabulary, not from a join.
+    dropped.  One pass over ``pred``: every row emits its (true, pred) cell
+    and a per-group marker; a partial + final count leaves at most K^2 + 1
+    rows per group, and each marker expands into the K^2 zero cells that a
+    second (tiny) sum folds in.  No join, no second scan.
     """
     labels = _labels_of(vocab)
     if len(labels) > MAX_GRID_LABELS:
         raise ValueError(f"confusion grid limited to {MAX_GRID_LABELS} labels")
     by = tuple(by)
-    counts = (pred.where(F.col(true_col).isin(labels) & F.col(pred_col).isin(labels))
-              .groupBy(*by, F.col(true_col).alias("true_label"), F.col(pred_col).alias("pred_label"))
-              .agg(F.count(F.lit(1)).alias("n")))
-    label_arr = F.array(*[F.lit(x) for x in labels])
-    if by:
-        keys = pred.select(*by).distinct()
-    else:
-        keys = pred.sparkSession.range(1).select()
-    grid = (keys.select(*by, F.explode(label_arr).alias("true_label"))
-            .select(*by, "true_label", F.explode(label_arr).alias("pred_label")))
-    return (join_small(grid, counts, [*by, "true_label", "pred_label"], "left", max_rows=MAX_GRID_LABELS ** 2)
-            .select(*by, "true_label", "pred_label", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
+    ok = F.col(true_col).isin(labels) & F.col(pred_col).isin(labels)
+    cell = F.struct(F.col(true_col).alias("t"), F.col(pred_col).alias("p"), F.lit(False).alias("m"))
+    marker = F.struct(F.lit(None).cast("string").alias("t"), F.lit(None).cast("string").alias("p"),
+                      F.lit(True).alias("m"))
+    entries = F.when(ok, F.array(cell, marker)).otherwise(F.array(marker))
+    counts = (pred.select(*by, F.explode(entries).alias("e"))
+              .groupBy(*by, "e.t", "e.p", "e.m").agg(F.count(F.lit(1)).alias("n")))
+    zero_cells = F.array(*[F.struct(F.lit(a).alias("t"), F.lit(b).alias("p"), F.lit(0).cast("bigint").alias("n"))
+                           for a in labels for b in labels])
+    expanded = F.when(F.col("m"), zero_cells).otherwise(
+        F.array(F.struct(F.col("t"), F.col("p"), F.col("n").cast("bigint").alias("n"))))
+    return (counts.select(*by, F.explode(expanded).alias("c"))
+            .groupBy(*by, F.col("c.t").alias("true_label"), F.col("c.p").alias("pred_label"))
+            .agg(F.sum("c.n").cast("bigint").alias("n")))
 
 
 def confusion_matrix(pred: DataFrame, vocab, true_col: str = TRUE, pred_col: str = PRED) -> DataFrame:
@@ -77,23 +84,61 @@ def confusion_matrix(pred: DataFrame, vocab, true_col: str = TRUE, pred_col: str
             .na.fill(0).orderBy("true_label"))
 
 
+_COUNTS = ("support", "predicted", "tp", "n_rows", "n_hits")
+
+
 def class_counts(pred: DataFrame, true_col: str = TRUE, pred_col: str = PRED,
                  by: tuple[str, ...] = ()) -> DataFrame:
-    """Per (by..., label): support, predicted and true-positive counts.
+    """Per (by..., label): support, predicted and true-positive counts, plus totals.
 
-    Each row contributes its true label and its predicted label; one
-    aggregate with conditional counts gives all three numbers.
+    Each row contributes its true label, its predicted label and one total
+    entry (label NULL, carrying the row and hit counts); one partial + final
+    aggregate gives every number a report needs, in one pass over ``pred``.
     """
     hit = F.coalesce(F.col(true_col) == F.col(pred_col), F.lit(False))
-    sides = F.array(
-        F.struct(F.col(true_col).alias("label"), F.lit(True).alias("is_true"), hit.alias("hit")),
-        F.struct(F.col(pred_col).alias("label"), F.lit(False).alias("is_true"), F.lit(False).alias("hit")))
+    entry = lambda lab, kind, h: F.struct(lab.alias("label"), F.lit(kind).alias("kind"), h.alias("hit"))
+    sides = F.array(entry(F.col(true_col), "t", hit),
+                    entry(F.col(pred_col), "p", F.lit(False)),
+                    entry(F.lit(None).cast("string"), "n", hit))
     return (pred.select(*by, F.explode(sides).alias("s"))
-            .where(F.col("s.label").isNotNull())
+            .where(F.col("s.label").isNotNull() | (F.col("s.kind") == "n"))
             .groupBy(*by, F.col("s.label").alias("label"))
-            .agg(F.count_if(F.col("s.is_true")).alias("support"),
-                 F.count_if(~F.col("s.is_true")).alias("predicted"),
-                 F.count_if(F.col("s.hit")).alias("tp")))
+            .agg(F.count_if(F.col("s.kind") == "t").alias("support"),
+                 F.count_if(F.col("s.kind") == "p").alias("predicted"),
+                 F.count_if((F.col("s.kind") == "t") & F.col("s.hit")).alias("tp"),
+                 F.count_if(F.col("s.kind") == "n").alias("n_rows"),
+                 F.count_if((F.col("s.kind") == "n") & F.col("s.hit")).alias("n_hits")))
+
+
+def _filled_counts(cc: DataFrame, labels: list[str], by: tuple[str, ...]) -> DataFrame:
+    """Vocabulary labels with zeros where absent, plus the group's totals row (label NULL).
+
+    The totals row of each group expands into K zero rows besides itself, so
+    a second, tiny sum fills the gaps without a join or a second scan.
+    """
+    def row(label, *vals):
+        return F.struct(label.alias("label"), *[v.cast("bigint").alias(c) for v, c in zip(vals, _COUNTS)])
+    zero = F.lit(0)
+    totals_and_zeros = F.array(row(F.lit(None).cast("string"), zero, zero, zero, F.col("n_rows"), F.col("n_hits")),
+                               *[row(F.lit(x), zero, zero, zero, zero, zero) for x in labels])
+    own = F.array(row(F.col("label"), F.col("support"), F.col("predicted"), F.col("tp"), zero, zero))
+    expanded = F.when(F.col("label").isNull(), totals_and_zeros).otherwise(own)
+    return (cc.where(F.col("label").isNull() | F.col("label").isin(labels))
+            .select(*by, F.explode(expanded).alias("r"))
+            .groupBy(*by, F.col("r.label").alias("label"))
+            .agg(*[F.sum(f"r.{c}").alias(c) for c in _COUNTS]))
+
+
+def _with_metrics(filled: DataFrame, labels: list[str], by: tuple[str, ...]) -> DataFrame:
+    tp, sup, prd = F.col("tp"), F.col("support"), F.col("predicted")
+    is_label = F.col("label").isNotNull()
+    safe = lambda num, den: F.when(den > 0, num / den).otherwise(F.lit(0.0))
+    return filled.select(
+        *by, "label", _label_ids(labels)[F.col("label")].alias("label_id"),
+        F.when(is_label, safe(tp.cast("double"), prd)).alias("precision"),
+        F.when(is_label, safe(tp.cast("double"), sup)).alias("recall"),
+        F.when(is_label, safe(2.0 * tp, prd + sup)).alias("f1_score"),
+        sup.cast("bigint").alias("support"), "n_rows", "n_hits")
 
 
 def per_class(pred: DataFrame, vocab, true_col: str = TRUE, pred_col: str = PRED,
@@ -101,22 +146,9 @@ def per_class(pred: DataFrame, vocab, true_col: str = TRUE, pred_col: str = PRED
     """Per-class precision, recall, F1 and support over the vocabulary; 0/0 -> 0."""
     by = tuple(by)
     labels = _labels_of(vocab)
-    counts = class_counts(pred, true_col, pred_col, by).where(F.col("label").isin(labels))
-    label_arr = F.array(*[F.struct(F.lit(x).alias("label"), F.lit(i).alias("label_id"))
-                          for i, x in enumerate(labels)])
-    keys = pred.select(*by).distinct() if by else pred.sparkSession.range(1).select()
-    grid = keys.select(*by, F.explode(label_arr).alias("v")).select(*by, "v.label", "v.label_id")
-    full = join_small(grid, counts, [*by, "label"], "left", max_rows=MAX_GRID_LABELS * 1000)
-    tp = F.coalesce("tp", F.lit(0))
-    sup = F.coalesce("support", F.lit(0))
-    prd = F.coalesce("predicted", F.lit(0))
-    safe = lambda num, den: F.when(den > 0, num / den).otherwise(F.lit(0.0))
-    return full.select(
-        *by, "label", "label_id",
-        safe(tp.cast("double"), prd).alias("precision"),
-        safe(tp.cast("double"), sup).alias("recall"),
-        safe(2.0 * tp, prd + sup).alias("f1_score"),
-        sup.cast("bigint").alias("support"))
+    m = _with_metrics(_filled_counts(class_counts(pred, true_col, pred_col, by), labels, by), labels, by)
+    return m.where(F.col("label").isNotNull()).select(*by, "label", "label_id", "precision", "recall",
+                                                      "f1_score", "support")
 
 
 def classification_report(pred: DataFrame, vocab, true_col: str = TRUE, pred_col: str = PRED,
@@ -125,36 +157,41 @@ def classification_report(pred: DataFrame, vocab, true_col: str = TRUE, pred_col
 
     Columns: ``by..., label, precision, recall, f1_score, support, row_order``.
     The accuracy row carries the accuracy in all three metric columns and the
-    row count as support.
+    row count as support.  The plan is linear: one aggregate over ``pred``,
+    a zero-fill over at most K + 1 rows per group, window sums per group for
+    the averages, and the group's totals row expanded into the three summary
+    rows.
     """
     by = tuple(by)
-    pc = per_class(pred, vocab, true_col, pred_col, by)
-    rows = pc.select(*by, "label", "precision", "recall", "f1_score", "support",
-                     F.col("label_id").alias("row_order"))
-    n_labels = len(_labels_of(vocab))
-    acc = (pred.groupBy(*by)
-           .agg(F.avg(F.coalesce(F.col(true_col) == F.col(pred_col), F.lit(False)).cast("double")).alias("a"),
-                F.count(F.lit(1)).alias("n"))
-           .select(*by, F.lit("accuracy").alias("label"), F.col("a").alias("precision"),
-                   F.col("a").alias("recall"), F.col("a").alias("f1_score"),
-                   F.col("n").cast("bigint").alias("support"),
-                   F.lit(n_labels + REPORT_ORDER["accuracy"]).alias("row_order")))
-    agg = pc.groupBy(*by).agg(
-        F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1_score").alias("mf"),
-        F.sum("support").alias("s"),
-        F.sum(F.col("precision") * F.col("support")).alias("wp"),
-        F.sum(F.col("recall") * F.col("support")).alias("wr"),
-        F.sum(F.col("f1_score") * F.col("support")).alias("wf"))
+    labels = _labels_of(vocab)
+    k = len(labels)
+    m = _with_metrics(_filled_counts(class_counts(pred, true_col, pred_col, by), labels, by), labels, by)
+    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    s = F.sum("support").over(w)
+    m = m.select(
+        "*",
+        F.avg("precision").over(w).alias("mp"), F.avg("recall").over(w).alias("mr"),
+        F.avg("f1_score").over(w).alias("mf"), s.alias("s"),
+        F.sum(F.col("precision") * F.col("support")).over(w).alias("wp"),
+        F.sum(F.col("recall") * F.col("support")).over(w).alias("wr"),
+        F.sum(F.col("f1_score") * F.col("support")).over(w).alias("wf"))
     wavg = lambda c: F.when(F.col("s") > 0, F.col(c) / F.col("s")).otherwise(F.lit(0.0))
-    macro = agg.select(*by, F.lit("macro avg").alias("label"), F.col("mp").alias("precision"),
-                       F.col("mr").alias("recall"), F.col("mf").alias("f1_score"),
-                       F.col("s").cast("bigint").alias("support"),
-                       F.lit(n_labels + REPORT_ORDER["macro avg"]).alias("row_order"))
-    weighted = agg.select(*by, F.lit("weighted avg").alias("label"), wavg("wp").alias("precision"),
-                          wavg("wr").alias("recall"), wavg("wf").alias("f1_score"),
-                          F.col("s").cast("bigint").alias("support"),
-                          F.lit(n_labels + REPORT_ORDER["weighted avg"]).alias("row_order"))
-    return rows.unionByName(acc).unionByName(macro).unionByName(weighted)
+    acc = F.when(F.col("n_rows") > 0, F.col("n_hits") / F.col("n_rows")).otherwise(F.lit(0.0))
+
+    def out(label, p, r, f, sup, order):
+        return F.struct(label.alias("label"), p.alias("precision"), r.alias("recall"), f.alias("f1_score"),
+                        sup.cast("bigint").alias("support"), F.lit(order).cast("int").alias("row_order")
+                        if isinstance(order, int) else order.cast("int").alias("row_order"))
+
+    summary = F.array(
+        out(F.lit("accuracy"), acc, acc, acc, F.col("n_rows"), k + REPORT_ORDER["accuracy"]),
+        out(F.lit("macro avg"), F.col("mp"), F.col("mr"), F.col("mf"), F.col("s"), k + REPORT_ORDER["macro avg"]),
+        out(F.lit("weighted avg"), wavg("wp"), wavg("wr"), wavg("wf"), F.col("s"),
+            k + REPORT_ORDER["weighted avg"]))
+    own = F.array(out(F.col("label"), F.col("precision"), F.col("recall"), F.col("f1_score"), F.col("support"),
+                      F.col("label_id")))
+    rows = F.when(F.col("label").isNull(), summary).otherwise(own)
+    return m.select(*by, F.explode(rows).alias("o")).select(*by, "o.*")
 
 
 def score(pred: DataFrame, vocab, true_col: str = TRUE, pred_col: str = PRED,

@@ -23,14 +23,9 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import words
+from ..functions.text import WS, words
 from .joins import DEFAULT_BROADCAST_ROWS, join_small
-
-
-def cluster_by_id(df: DataFrame, id_col: str = "sentence_id") -> DataFrame:
-    """Hash-partition on the id with the session's shuffle partition count."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, id_col)
+from .partitioning import cluster_by_id
 
 
 def _grams_of_padded(pw: Column, n: int) -> Column:
@@ -41,11 +36,29 @@ def _grams_of_padded(pw: Column, n: int) -> Column:
 
 
 def char_wb_grams(text: Column, min_n: int = 1, max_n: int = 2) -> Column:
-    """ARRAY<STRING> of all char n-grams of a text, word-bounded."""
-    def per_word(w):
-        pw = F.concat(F.lit(" "), w, F.lit(" "))
-        return F.concat(*[_grams_of_padded(pw, n) for n in range(min_n, max_n + 1)])
-    return F.flatten(F.transform(words(text), per_word))
+    """ARRAY<STRING> of all char n-grams of a text, word-bounded.
+
+    For n <= 2 the whole text is scanned twice instead of every word: words
+    are padded by rewriting the text as ' w1  w2 ... wk ' (one space each
+    side, two between words).  Its characters are exactly the unigrams of
+    the padded words, and its character pairs are their bigrams plus one
+    '  ' pair between neighbouring words, which no padded word contains and
+    which is removed.  Larger n falls back to one pass per word.
+    """
+    if max_n > 2:
+        def per_word(w):
+            pw = F.concat(F.lit(" "), w, F.lit(" "))
+            return F.concat(*[_grams_of_padded(pw, n) for n in range(min_n, max_n + 1)])
+        return F.flatten(F.transform(words(text), per_word))
+    trimmed = F.regexp_replace(text, f"^[{WS}]+|[{WS}]+$", "")
+    padded = F.concat(F.lit(" "), F.regexp_replace(trimmed, f"[{WS}]+", "  "), F.lit(" "))
+    parts = []
+    if min_n <= 1:
+        parts.append(_grams_of_padded(padded, 1))
+    if max_n >= 2:
+        parts.append(F.filter(_grams_of_padded(padded, 2), lambda g: g != F.lit("  ")))
+    grams = parts[0] if len(parts) == 1 else F.concat(*parts)
+    return F.when(F.length(trimmed) > 0, grams).otherwise(F.array().cast("array<string>"))
 
 
 def char_ngrams(df: DataFrame, min_n: int = 1, max_n: int = 2, text_col: str = "norm_text",

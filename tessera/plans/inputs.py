@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.partitioning import spread_if_few
 from ..sources.annotations import flatten_sentences, parse_annotations, to_annotation_json
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -34,9 +35,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as a sentence table: ``sentence_id = doc_id``, ``labels = lang``."""
+    """documents as a sentence table: ``sentence_id = doc_id``, ``labels = lang``.
+
+    Clustered by id when the scan gives fewer tasks than cores (text work is
+    CPU-bound); the id clustering is then reused by per-id aggregates.
+    """
     d = table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("sentence_id"), "text", F.col("lang").alias("labels"))
+    s = d.select(F.col("doc_id").alias("sentence_id"), "text", F.col("lang").alias("labels"))
+    return spread_if_few(s)
 
 
 def _pair_case(mapping: dict) -> F.Column:
