@@ -93,18 +93,36 @@ def ovo_vote(winners, num_classes: int) -> F.Column:
     return argmax(votes)
 
 
+# Iterative fits run one job per iteration; below this many rows per task the
+# per-task overhead dominates, so small training sets are coalesced.
+ROWS_PER_TASK = 50_000
+
+
+def sized_for_iterations(df: DataFrame, n_rows: int, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Coalesce (no shuffle) to about ``n_rows / rows_per_task`` partitions; never split."""
+    want = max(1, -(-n_rows // rows_per_task))
+    return df.coalesce(want) if want < df.rdd.getNumPartitions() else df
+
+
 def fit_svm(train: DataFrame, features_col: str = "features", label_col: str = "label_id", C: float = 1.0,
-            max_iter: int = 100, tol: float = 1e-6, parallelism: int = 4) -> OneVsOneModel:
+            max_iter: int = 50, tol: float = 1e-6, parallelism: int | None = None) -> OneVsOneModel:
     """One binary ``LinearSVC`` per class pair.
 
     ``regParam = 1 / (C * n_pair)`` with no standardization gives the primal
     objective 1/2 |w|^2 + C * sum(hinge) with a free intercept.  The training
     vectors are kept (memory, then disk) for the iterations; pair fits are
-    independent jobs submitted ``parallelism`` at a time.
+    independent jobs submitted ``parallelism`` at a time (default: all pairs,
+    at most 16), since each iteration is a short job dominated by
+    scheduling, not by data.
     """
     data = train.select(features_col, F.col(label_col).cast("int").alias("_y")).persist(
         StorageLevel.MEMORY_AND_DISK)
     counts = {r["_y"]: r["n"] for r in data.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sized = sized_for_iterations(data, sum(counts.values()))
+    if sized is not data:
+        sized = sized.persist(StorageLevel.MEMORY_AND_DISK)
+        data.unpersist()
+        data = sized
     classes = sorted(counts)
     pairs = list(combinations(classes, 2))
 
@@ -116,7 +134,8 @@ def fit_svm(train: DataFrame, features_col: str = "features", label_col: str = "
                         standardization=False, fitIntercept=True, maxIter=max_iter, tol=tol)
         return svc.fit(sub)
 
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
+    workers = parallelism or min(16, max(1, len(pairs)))
+    with ThreadPoolExecutor(max_workers=workers) as ex:
         models = list(ex.map(fit_pair, pairs))
     data.unpersist()
     if len(classes) == 1:
@@ -137,7 +156,7 @@ def lr_grid(reg_params=(0.0, 0.01, 0.1), max_iters=(10, 50)) -> tuple[LogisticRe
 
 
 def train_select(train: DataFrame, valid: DataFrame, vocab: DataFrame, estimator=None, grid=None,
-                 parallelism: int = 4):
+                 parallelism: int | None = None):
     """Fit one model per parameter map, report each on ``valid``, keep the best by macro F1.
 
     Returns ``(models, scores, best)``: ``scores`` is one row per run
@@ -149,11 +168,16 @@ def train_select(train: DataFrame, valid: DataFrame, vocab: DataFrame, estimator
     if estimator is None:
         estimator, grid = lr_grid()
     data = train.persist(StorageLevel.MEMORY_AND_DISK)
+    sized = sized_for_iterations(data, data.count())
+    if sized is not data:
+        sized = sized.persist(StorageLevel.MEMORY_AND_DISK)
+        data.unpersist()
+        data = sized
 
     def fit_one(pm):
         return estimator.copy(pm).fit(data)
 
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
+    with ThreadPoolExecutor(max_workers=parallelism or min(16, max(1, len(grid)))) as ex:
         models = list(ex.map(fit_one, grid))
     preds = None
     for k, m in enumerate(models):

@@ -601,3 +601,11 @@ def map_batches(spark, sf):
     """A pandas function over Arrow batches, dropping the label column first (K3)."""
     d = I.documents_sentences(spark, sf)
     return K.map_batches(d, _py_lengths, "sentence_id long, n_chars long", drop=("labels",))
+
+
+# --------------------------------------------------------------------------- L. streaming check
+@register("stream_text_features", ORACLE["text_features"])
+def stream_text_features(spark, sf):
+    """The documents file read as a stream; features written by a checkpointed file sink (H12 on a stream)."""
+    from ..streaming.features import stream_text_features as run
+    return run(spark, sf)
