@@ -48,7 +48,9 @@ def char_wb_grams(text: Column, min_n: int = 1, max_n: int = 2) -> Column:
     if max_n > 2:
         def per_word(w):
             pw = F.concat(F.lit(" "), w, F.lit(" "))
-            return F.concat(*[_grams_of_padded(pw, n) for n in range(min_n, max_n + 1)])
+            # A padded word shorter than min_n counts once, as a whole.
+            short = F.when(F.length(pw) < min_n, F.array(pw)).otherwise(F.array().cast("array<string>"))
+            return F.concat(short, *[_grams_of_padded(pw, n) for n in range(min_n, max_n + 1)])
         return F.flatten(F.transform(words(text), per_word))
     trimmed = F.regexp_replace(text, f"^[{WS}]+|[{WS}]+$", "")
     padded = F.concat(F.lit(" "), F.regexp_replace(trimmed, f"[{WS}]+", "  "), F.lit(" "))

@@ -53,16 +53,25 @@ def read_annotations(spark: SparkSession, path: str, layout: str = "object") ->
     return parse_annotations(raw.where(F.length(F.trim("value")) > 0))
 
 
+def _dedup(m: F.Column) -> F.Column:
+    """Repeated keys of one JSON object: first position, last value (linear, per row).
+
+    The JSON reader keeps every duplicate; rebuilding the map from its
+    entries under the LAST_WIN policy collapses them.
+    """
+    return F.map_from_entries(F.map_entries(m))
+
+
 def flatten_sentences(docs: DataFrame, doc_col: str = "doc") -> DataFrame:
     """group -> tweet -> sentence, one row per sentence, in key order (A2).
 
     ``posexplode_outer`` keeps a tweet without ``sentences`` as a row with a
     NULL ``sent_id``, so that ``validate_sentences`` can report it.
     """
-    g = docs.select(F.posexplode_outer(F.col(doc_col)).alias("gpos", "group_id", "tweets"))
-    t = g.select("group_id", F.posexplode_outer("tweets").alias("tpos", "tweet_id", "tweet"))
+    g = docs.select(F.posexplode_outer(_dedup(F.col(doc_col))).alias("gpos", "group_id", "tweets"))
+    t = g.select("group_id", F.posexplode_outer(_dedup(F.col("tweets"))).alias("tpos", "tweet_id", "tweet"))
     s = t.select("group_id", "tweet_id",
-                 F.posexplode_outer("tweet.sentences").alias("pos", "sent_id", "s"))
+                 F.posexplode_outer(_dedup(F.col("tweet.sentences"))).alias("pos", "sent_id", "s"))
     return s.where(F.col("group_id").isNotNull()).select(
         F.concat_ws("/", "group_id", "tweet_id", "sent_id").alias("sentence_id"),
         "group_id", "tweet_id", "sent_id", F.col("pos").cast("int").alias("pos"),

@@ -63,7 +63,8 @@ def write_errors(errors_df: DataFrame, path: str, order_col: str = "sentence_id"
     """Write ``Text, True Label, Prediction`` with a leading unnamed index."""
     indexed = with_row_index(errors_df, order_col)
     out = indexed.select(F.col("row_id").alias(""), "Text", "True Label", "Prediction")
-    out.write.mode(mode).options(sep=",", header=True, **_QUOTING).csv(path)
+    # emptyValue '' writes the unnamed index header cell bare: ",Text,...".
+    out.write.mode(mode).options(sep=",", header=True, emptyValue="", **_QUOTING).csv(path)
 
 
 def read_errors(spark: SparkSession, path: str) -> DataFrame:
