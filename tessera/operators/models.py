@@ -179,6 +179,9 @@ def train_select(train: DataFrame, valid: DataFrame, vocab: DataFrame, estimator
 
     with ThreadPoolExecutor(max_workers=parallelism or min(16, max(1, len(grid)))) as ex:
         models = list(ex.map(fit_one, grid))
+    data.unpersist()
+    # Every model scores the same validation rows: derive them once.
+    valid = valid.persist(StorageLevel.MEMORY_AND_DISK)
     preds = None
     for k, m in enumerate(models):
         p = m.transform(valid).select(F.lit(k).alias("run_id"), "sentence_id", "labels", "prediction_id")

@@ -448,7 +448,7 @@ def _docs_train_test(spark, sf):
 def _svm_inputs(spark, sf, with_features: bool):
     train, test = _docs_train_test(spark, sf)
     vocab = L.label_vocab(train)
-    pm = V.tfidf_pipeline("text", "tfidf").fit(train)
+    pm = V.fit_tfidf_model(train, "text", "tfidf")
     trv, tev = pm.transform(train), pm.transform(test)
     col = "tfidf"
     if with_features:
@@ -462,7 +462,7 @@ def _svm_inputs(spark, sf, with_features: bool):
 def tfidf_vectors(spark, sf):
     """Train-fitted TF-IDF as sparse ML vectors for every document."""
     train, test = _docs_train_test(spark, sf)
-    pm = V.tfidf_pipeline("text", "tfidf").fit(train)
+    pm = V.fit_tfidf_model(train, "text", "tfidf")
     return pm.transform(train.unionByName(test)).select("sentence_id", "tfidf")
 
 
@@ -471,7 +471,7 @@ def assemble_features(spark, sf):
     """TF-IDF vectors joined to the 11 text features on the id and concatenated."""
     train, test = _docs_train_test(spark, sf)
     docs = train.unionByName(test)
-    pm = V.tfidf_pipeline("text", "tfidf").fit(train)
+    pm = V.fit_tfidf_model(train, "text", "tfidf")
     vec = pm.transform(docs).select("sentence_id", "tfidf")
     feats = H.text_features(docs.select("sentence_id", "text"))
     return V.assemble(vec, feats).select("sentence_id", "features")
