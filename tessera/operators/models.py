@@ -104,6 +104,21 @@ def sized_for_iterations(df: DataFrame, n_rows: int, rows_per_task: int = ROWS_P
     return df.coalesce(want) if want < df.rdd.getNumPartitions() else df
 
 
+def _resize_cached(data: DataFrame, n_rows: int) -> DataFrame:
+    """Swap a cached, materialised frame for a coalesced cached copy when that pays.
+
+    The copy is materialised from the first cache before that is dropped;
+    otherwise the copy would recompute the whole lineage in few tasks.
+    """
+    sized = sized_for_iterations(data, n_rows)
+    if sized is data:
+        return data
+    sized = sized.persist(StorageLevel.MEMORY_AND_DISK)
+    sized.count()
+    data.unpersist()
+    return sized
+
+
 def fit_svm(train: DataFrame, features_col: str = "features", label_col: str = "label_id", C: float = 1.0,
             max_iter: int = 50, tol: float = 1e-6, parallelism: int | None = None) -> OneVsOneModel:
     """One binary ``LinearSVC`` per class pair.
@@ -118,11 +133,7 @@ def fit_svm(train: DataFrame, features_col: str = "features", label_col: str = "
     data = train.select(features_col, F.col(label_col).cast("int").alias("_y")).persist(
         StorageLevel.MEMORY_AND_DISK)
     counts = {r["_y"]: r["n"] for r in data.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    sized = sized_for_iterations(data, sum(counts.values()))
-    if sized is not data:
-        sized = sized.persist(StorageLevel.MEMORY_AND_DISK)
-        data.unpersist()
-        data = sized
+    data = _resize_cached(data, sum(counts.values()))
     classes = sorted(counts)
     pairs = list(combinations(classes, 2))
 
@@ -167,12 +178,10 @@ def train_select(train: DataFrame, valid: DataFrame, vocab: DataFrame, estimator
     from . import metrics as M
     if estimator is None:
         estimator, grid = lr_grid()
-    data = train.persist(StorageLevel.MEMORY_AND_DISK)
-    sized = sized_for_iterations(data, data.count())
-    if sized is not data:
-        sized = sized.persist(StorageLevel.MEMORY_AND_DISK)
-        data.unpersist()
-        data = sized
+    # Keep only what the fits read (not the text or its n-gram arrays).
+    data = train.select(estimator.getFeaturesCol(), estimator.getLabelCol()).persist(
+        StorageLevel.MEMORY_AND_DISK)
+    data = _resize_cached(data, data.count())
 
     def fit_one(pm):
         return estimator.copy(pm).fit(data)

@@ -446,16 +446,22 @@ def _docs_train_test(spark, sf):
 
 
 def _svm_inputs(spark, sf, with_features: bool):
+    return _with_features(*_svm_base(spark, sf)) if with_features else _svm_base(spark, sf)
+
+
+def _svm_base(spark, sf):
+    """Train vectors with label ids, test vectors, vocabulary, vector column."""
     train, test = _docs_train_test(spark, sf)
     vocab = L.label_vocab(train)
     pm = V.fit_tfidf_model(train, "text", "tfidf")
     trv, tev = pm.transform(train), pm.transform(test)
-    col = "tfidf"
-    if with_features:
-        trv = V.assembler("tfidf").transform(H.text_features(trv))
-        tev = V.assembler("tfidf").transform(H.text_features(tev))
-        col = "features"
-    return L.encode_labels(trv, vocab), tev, vocab, col
+    return L.encode_labels(trv, vocab), tev, vocab, "tfidf"
+
+
+def _with_features(trv, tev, vocab, col):
+    """Append the 11 unscaled text features to the TF-IDF vector."""
+    asm = V.assembler(col)
+    return asm.transform(H.text_features(trv)), asm.transform(H.text_features(tev)), vocab, "features"
 
 
 @register("tfidf_vectors")
@@ -489,9 +495,9 @@ def svm_predictions(spark, sf):
 @register("svm_ablation")
 def svm_ablation(spark, sf):
     """Reports of the SVM without and with the 11 features, one pass over both."""
+    base = _svm_base(spark, sf)
     out = []
-    for run, feats in ((0, False), (1, True)):
-        trv, tev, vocab, col = _svm_inputs(spark, sf, with_features=feats)
+    for run, (trv, tev, vocab, col) in enumerate((base, _with_features(*base))):
         model = J.fit_svm(trv, features_col=col)
         p = L.decode_labels(model.transform(tev), vocab, "prediction_id", "prediction")
         out.append(p.select(F.lit(run).alias("run_id"), "sentence_id", "labels", "prediction"))

@@ -53,10 +53,13 @@ def test_ml_vectors_equal_long_table(spark):
     long = {}
     for r in w.collect():
         long.setdefault(r.sentence_id, []).append(r.weight)
-    pm = V.tfidf_pipeline("text", "tfidf").fit(train)
-    vec = pm.transform(docs).select("sentence_id", vector_to_array("tfidf").alias("a")).collect()
-    for r in vec:
-        nz = sorted(x for x in r.a if x != 0)
-        assert nz == pytest.approx(sorted(long.get(r.sentence_id, [])), abs=1e-9)
-        if nz:
-            assert math.isclose(sum(x * x for x in nz), 1.0, rel_tol=1e-9)
+    for pm in (V.tfidf_pipeline("text", "tfidf").fit(train), V.fit_tfidf_model(train, "text", "tfidf")):
+        vec = pm.transform(docs).select("sentence_id", vector_to_array("tfidf").alias("a")).collect()
+        for r in vec:
+            nz = sorted(x for x in r.a if x != 0)
+            assert nz == pytest.approx(sorted(long.get(r.sentence_id, [])), abs=1e-9)
+            if nz:
+                assert math.isclose(sum(x * x for x in nz), 1.0, rel_tol=1e-9)
+    # vector index = position in the sorted n-gram vocabulary
+    vocab = V.fit_tfidf_model(train, "text", "tfidf").stages[2].vocabulary
+    assert list(vocab) == sorted(vocab)
