@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.delimited import with_row_index
 from .joins import join_small
 
 # ---------------------------------------------------------------------------
@@ -21,7 +22,7 @@ COMMISSIVE = "COMMISSIVE"
 
 SCHEMES = ("coarse", "coarse_merged", "fine")
 
-# Upper bound on the number of classes we materialise as a vocabulary.
+# Largest vocabulary materialised on the driver; larger ones stay distributed.
 MAX_LABELS = 100_000
 
 
@@ -66,14 +67,18 @@ def fold_rare_labels(df: DataFrame, min_count: int = 10, label_col: str = "label
 def label_vocab(train: DataFrame, label_col: str = "labels", max_labels: int = MAX_LABELS) -> DataFrame:
     """Sorted distinct train labels with dense ids from 0.
 
-    The distinct set is computed by the cluster; only the (checked, small)
-    vocabulary is materialised, so every later join can broadcast it.
+    The distinct set is computed by the cluster.  Up to ``max_labels``
+    labels the vocabulary is materialised on the driver, so later joins can
+    broadcast it and metrics can inline it.  Beyond that it stays
+    distributed: a range-sorted, checkpointed table with a dense index, and
+    later joins are shuffle joins.
     """
     spark = train.sparkSession
-    labels = (train.select(F.col(label_col).alias("label")).where(F.col("label").isNotNull())
-              .distinct().limit(max_labels + 1).collect())
+    distinct = train.select(F.col(label_col).alias("label")).where(F.col("label").isNotNull()).distinct()
+    labels = distinct.limit(max_labels + 1).collect()
     if len(labels) > max_labels:
-        raise ValueError(f"more than {max_labels} distinct labels in {label_col!r}")
+        return with_row_index(distinct, "label", "label_id").select(
+            "label", F.col("label_id").cast("int").alias("label_id"))
     names = sorted(r["label"] for r in labels)
     return vocab_from_list(spark, names)
 
@@ -93,12 +98,6 @@ def vocab_list(vocab: DataFrame) -> list[str]:
     return [r["label"] for r in vocab.orderBy("label_id").collect()]
 
 
-def label_vocab_lazy(train: DataFrame, label_col: str = "labels") -> DataFrame:
-    """Lazy variant of D1: the same ids from a window over the distinct labels."""
-    distinct = train.select(F.col(label_col).alias("label")).where(F.col("label").isNotNull()).distinct()
-    return distinct.withColumn("label_id", (F.row_number().over(Window.orderBy("label")) - 1).cast("int"))
-
-
 def encode_labels(df: DataFrame, vocab: DataFrame, label_col: str = "labels",
                   out_col: str = "label_id", strict: bool = True) -> DataFrame:
     """Label -> id through the vocabulary (C2).  Unseen labels raise when ``strict``."""

@@ -10,12 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .labels import vocab_list
+from ..sources.delimited import with_row_index
+from .joins import join_small
+from .labels import vocab_from_list, vocab_list
 
 TRUE, PRED = "labels", "prediction"
 REPORT_ORDER = {"accuracy": 1, "macro avg": 2, "weighted avg": 3}
-# Upper bound for a dense K x K confusion grid.
-MAX_GRID_LABELS = 2_000
+# Vocabularies up to this size are inlined into plans as literals.
+INLINE_LABELS = 64
 
 
 def attach_predictions(sentences: DataFrame, predictions: DataFrame, id_col: str = "sentence_id",
@@ -37,8 +39,24 @@ def error_table(pred: DataFrame, text_col: str = "text", true_col: str = TRUE,
         F.col(pred_col).alias("Prediction"))
 
 
-def _labels_of(vocab) -> list[str]:
-    return list(vocab) if isinstance(vocab, (list, tuple)) else vocab_list(vocab)
+def _resolve(vocab, spark) -> tuple[list[str] | None, DataFrame | None, int]:
+    """``(labels, vocab_df, k)``: the label list when it is small enough to inline.
+
+    Up to ``INLINE_LABELS`` labels the vocabulary is written into the plan as
+    literals (zero-filling needs no join).  Larger vocabularies stay a
+    DataFrame ``(label, label_id)``; their grids are generated across tasks
+    and equi-joined, so no label count is too large.
+    """
+    if isinstance(vocab, (list, tuple)):
+        labels = list(vocab)
+        if len(labels) <= INLINE_LABELS:
+            return labels, None, len(labels)
+        return None, vocab_from_list(spark, labels), len(labels)
+    memo = getattr(vocab, "_tessera_labels", None)
+    k = len(memo) if memo is not None else vocab.count()
+    if k <= INLINE_LABELS:
+        return vocab_list(vocab), None, k
+    return None, vocab.select("label", F.col("label_id").cast("int").alias("label_id")), k
 
 
 def _label_ids(labels: list[str]) -> F.Column:
@@ -46,20 +64,55 @@ def _label_ids(labels: list[str]) -> F.Column:
     return F.create_map(*[x for i, lab in enumerate(labels) for x in (F.lit(lab), F.lit(i))])
 
 
+def _group_index(keys: DataFrame, by: tuple[str, ...]) -> tuple[DataFrame | None, int]:
+    """Distinct ``by`` groups with a dense index ``_g`` (no one-task window), and their count."""
+    if not by:
+        return None, 1
+    g = keys.select(F.struct(*by).alias("_gk")).distinct()
+    gi = with_row_index(g, "_gk", "_g").select("_g", "_gk.*")
+    return gi, gi.count()
+
+
+def _grid(spark, v: DataFrame, k: int, groups: DataFrame | None, n_groups: int,
+          pairs: bool) -> DataFrame:
+    """Every ``(by..., label)`` -- or ``(by..., true_label, pred_label)`` -- of the dense grid.
+
+    Rows come from a distributed range of ``groups x k`` ids (then, for
+    pairs, a sequence of ``k`` per row), mapped to labels by equi-joins on
+    the ids: the grid is spread over tasks and no cross join is planned.
+    """
+    base = spark.range(n_groups * k)
+    base = base.select(F.floor(F.col("id") / F.lit(k)).cast("long").alias("_g"),
+                       (F.col("id") % F.lit(k)).cast("int").alias("_a"))
+    if pairs:
+        base = base.select("_g", "_a", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_b"))
+        base = join_small(base, v.select(F.col("label_id").alias("_b"), F.col("label").alias("pred_label")),
+                          "_b", "inner")
+        name = "true_label"
+    else:
+        name = "label"
+    base = join_small(base, v.select(F.col("label_id").alias("_a"), F.col("label").alias(name)), "_a", "inner")
+    if groups is not None:
+        base = join_small(base, groups, "_g", "inner")
+    return base.withColumnRenamed("_a", "_label_id")
+
+
 def confusion(pred: DataFrame, vocab, true_col: str = TRUE, pred_col: str = PRED,
               by: tuple[str, ...] = ()) -> DataFrame:
     """Long confusion counts ``(true_label, pred_label, n)`` over vocab x vocab.
 
     Cells with no rows are 0; pairs with a label outside the vocabulary are
-    dropped.  One pass over ``pred``: every row emits its (true, pred) cell
-    and a per-group marker; a partial + final count leaves at most K^2 + 1
-    rows per group, and each marker expands into the K^2 zero cells that a
-    second (tiny) sum folds in.  No join, no second scan.
+    dropped.  Small vocabularies: one pass over ``pred``, every row emits
+    its (true, pred) cell and a per-group marker; a partial + final count
+    leaves at most K^2 + 1 rows per group, and each marker expands into the
+    K^2 zero cells that a second (tiny) sum folds in -- no join, no second
+    scan.  Large vocabularies: the same partial + final count, left-joined
+    from the generated K^2 grid of each group.
     """
-    labels = _labels_of(vocab)
-    if len(labels) > MAX_GRID_LABELS:
-        raise ValueError(f"confusion grid limited to {MAX_GRID_LABELS} labels")
     by = tuple(by)
+    labels, v, k = _resolve(vocab, pred.sparkSession)
+    if labels is None:
+        return _confusion_joined(pred, v, k, true_col, pred_col, by)
     ok = F.col(true_col).isin(labels) & F.col(pred_col).isin(labels)
     cell = F.struct(F.col(true_col).alias("t"), F.col(pred_col).alias("p"), F.lit(False).alias("m"))
     marker = F.struct(F.lit(None).cast("string").alias("t"), F.lit(None).cast("string").alias("p"),
@@ -76,10 +129,23 @@ def confusion(pred: DataFrame, vocab, true_col: str = TRUE, pred_col: str = PRED
             .agg(F.sum("c.n").cast("bigint").alias("n")))
 
 
+def _confusion_joined(pred: DataFrame, v: DataFrame, k: int, true_col: str, pred_col: str,
+                      by: tuple[str, ...]) -> DataFrame:
+    """D4 for a large vocabulary: counted cells left-joined from the generated grid."""
+    counts = (pred.groupBy(*by, F.col(true_col).alias("true_label"), F.col(pred_col).alias("pred_label"))
+              .agg(F.count(F.lit(1)).alias("_n")))
+    groups, n_groups = _group_index(pred, by)
+    grid = _grid(pred.sparkSession, v, k, groups, n_groups, pairs=True)
+    return (grid.join(counts, [*by, "true_label", "pred_label"], "left")
+            .select(*by, "true_label", "pred_label", F.coalesce("_n", F.lit(0)).cast("bigint").alias("n")))
+
+
 def confusion_matrix(pred: DataFrame, vocab, true_col: str = TRUE, pred_col: str = PRED) -> DataFrame:
     """Wide confusion matrix: one row per true label, one column per predicted label."""
-    labels = _labels_of(vocab)
-    long = confusion(pred, labels, true_col, pred_col)
+    labels, v, _ = _resolve(vocab, pred.sparkSession)
+    if labels is None:
+        labels = vocab_list(v)  # the column names of the result
+    long = confusion(pred, vocab if v is not None else labels, true_col, pred_col)
     return (long.groupBy("true_label").pivot("pred_label", labels).agg(F.sum("n"))
             .na.fill(0).orderBy("true_label"))
 
@@ -126,27 +192,48 @@ def _filled_counts(cc: DataFrame, labels: list[str], by: tuple[str, ...]) -> Dat
     return (cc.where(F.col("label").isNull() | F.col("label").isin(labels))
             .select(*by, F.explode(expanded).alias("r"))
             .groupBy(*by, F.col("r.label").alias("label"))
-            .agg(*[F.sum(f"r.{c}").alias(c) for c in _COUNTS]))
-
-
-def _with_metrics(filled: DataFrame, labels: list[str], by: tuple[str, ...]) -> DataFrame:
+            .agg(*[F.sum(f"r.{c}").alias(c) for c in _COUNTS])
+            .withColumn("label_id", _label_ids(labels)[F.col("label")]))
+
+
+def _filled_counts_joined(cc: DataFrame, v: DataFrame, k: int, by: tuple[str, ...]) -> DataFrame:
+    """The same for a large vocabulary: label counts left-joined from each group's generated label list."""
+    zero = F.lit(0).cast("bigint")
+    totals = cc.where(F.col("label").isNull()).select(
+        *by, "label", zero.alias("support"), zero.alias("predicted"), zero.alias("tp"),
+        F.col("n_rows").cast("bigint").alias("n_rows"), F.col("n_hits").cast("bigint").alias("n_hits"),
+        F.lit(None).cast("int").alias("label_id"))
+    groups, n_groups = _group_index(totals, by)
+    grid = _grid(cc.sparkSession, v, k, groups, n_groups, pairs=False)
+    lab = cc.where(F.col("label").isNotNull()).select(*by, "label", "support", "predicted", "tp")
+    filled = grid.join(lab, [*by, "label"], "left").select(
+        *by, "label", *[F.coalesce(c, zero).cast("bigint").alias(c) for c in ("support", "predicted", "tp")],
+        zero.alias("n_rows"), zero.alias("n_hits"), F.col("_label_id").alias("label_id"))
+    return filled.unionByName(totals)
+
+
+def _metric_rows(pred: DataFrame, vocab, true_col: str, pred_col: str, by: tuple[str, ...]):
+    """Per-label metrics plus each group's totals row (label NULL), K, and whether labels are inlined."""
+    labels, v, k = _resolve(vocab, pred.sparkSession)
+    cc = class_counts(pred, true_col, pred_col, by)
+    filled = _filled_counts(cc, labels, by) if labels is not None else _filled_counts_joined(cc, v, k, by)
     tp, sup, prd = F.col("tp"), F.col("support"), F.col("predicted")
     is_label = F.col("label").isNotNull()
     safe = lambda num, den: F.when(den > 0, num / den).otherwise(F.lit(0.0))
-    return filled.select(
-        *by, "label", _label_ids(labels)[F.col("label")].alias("label_id"),
+    m = filled.select(
+        *by, "label", F.col("label_id").cast("int").alias("label_id"),
         F.when(is_label, safe(tp.cast("double"), prd)).alias("precision"),
         F.when(is_label, safe(tp.cast("double"), sup)).alias("recall"),
         F.when(is_label, safe(2.0 * tp, prd + sup)).alias("f1_score"),
         sup.cast("bigint").alias("support"), "n_rows", "n_hits")
+    return m, k, labels is not None
 
 
 def per_class(pred: DataFrame, vocab, true_col: str = TRUE, pred_col: str = PRED,
               by: tuple[str, ...] = ()) -> DataFrame:
     """Per-class precision, recall, F1 and support over the vocabulary; 0/0 -> 0."""
     by = tuple(by)
-    labels = _labels_of(vocab)
-    m = _with_metrics(_filled_counts(class_counts(pred, true_col, pred_col, by), labels, by), labels, by)
+    m, _, _ = _metric_rows(pred, vocab, true_col, pred_col, by)
     return m.where(F.col("label").isNotNull()).select(*by, "label", "label_id", "precision", "recall",
                                                       "f1_score", "support")
 
@@ -158,40 +245,46 @@ def classification_report(pred: DataFrame, vocab, true_col: str = TRUE, pred_col
     Columns: ``by..., label, precision, recall, f1_score, support, row_order``.
     The accuracy row carries the accuracy in all three metric columns and the
     row count as support.  The plan is linear: one aggregate over ``pred``,
-    a zero-fill over at most K + 1 rows per group, window sums per group for
-    the averages, and the group's totals row expanded into the three summary
-    rows.
+    a zero-fill to K + 1 rows per group, then the three summary rows.  With
+    an inlined vocabulary the averages are window sums over the K + 1 rows
+    of each group and each totals row expands into the summary rows, so
+    ``pred`` is read once.  With a large vocabulary the per-label table is
+    checkpointed to the shared folder and the summary rows come from a
+    partial + final aggregate per group over it.
     """
     by = tuple(by)
-    labels = _labels_of(vocab)
-    k = len(labels)
-    m = _with_metrics(_filled_counts(class_counts(pred, true_col, pred_col, by), labels, by), labels, by)
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    s = F.sum("support").over(w)
-    m = m.select(
-        "*",
-        F.avg("precision").over(w).alias("mp"), F.avg("recall").over(w).alias("mr"),
-        F.avg("f1_score").over(w).alias("mf"), s.alias("s"),
-        F.sum(F.col("precision") * F.col("support")).over(w).alias("wp"),
-        F.sum(F.col("recall") * F.col("support")).over(w).alias("wr"),
-        F.sum(F.col("f1_score") * F.col("support")).over(w).alias("wf"))
-    wavg = lambda c: F.when(F.col("s") > 0, F.col(c) / F.col("s")).otherwise(F.lit(0.0))
-    acc = F.when(F.col("n_rows") > 0, F.col("n_hits") / F.col("n_rows")).otherwise(F.lit(0.0))
+    m, k, inline = _metric_rows(pred, vocab, true_col, pred_col, by)
 
     def out(label, p, r, f, sup, order):
         return F.struct(label.alias("label"), p.alias("precision"), r.alias("recall"), f.alias("f1_score"),
                         sup.cast("bigint").alias("support"), F.lit(order).cast("int").alias("row_order")
                         if isinstance(order, int) else order.cast("int").alias("row_order"))
 
+    wavg = lambda c: F.when(F.col("s") > 0, F.col(c) / F.col("s")).otherwise(F.lit(0.0))
+    acc = F.when(F.col("n_rows") > 0, F.col("n_hits") / F.col("n_rows")).otherwise(F.lit(0.0))
     summary = F.array(
         out(F.lit("accuracy"), acc, acc, acc, F.col("n_rows"), k + REPORT_ORDER["accuracy"]),
-        out(F.lit("macro avg"), F.col("mp"), F.col("mr"), F.col("mf"), F.col("s"), k + REPORT_ORDER["macro avg"]),
+        out(F.lit("macro avg"), F.coalesce("mp", F.lit(0.0)), F.coalesce("mr", F.lit(0.0)),
+            F.coalesce("mf", F.lit(0.0)), F.col("s"), k + REPORT_ORDER["macro avg"]),
         out(F.lit("weighted avg"), wavg("wp"), wavg("wr"), wavg("wf"), F.col("s"),
             k + REPORT_ORDER["weighted avg"]))
-    own = F.array(out(F.col("label"), F.col("precision"), F.col("recall"), F.col("f1_score"), F.col("support"),
-                      F.col("label_id")))
-    rows = F.when(F.col("label").isNull(), summary).otherwise(own)
-    return m.select(*by, F.explode(rows).alias("o")).select(*by, "o.*")
+    own = out(F.col("label"), F.col("precision"), F.col("recall"), F.col("f1_score"), F.col("support"),
+              F.col("label_id"))
+    sums = dict(mp=F.avg("precision"), mr=F.avg("recall"), mf=F.avg("f1_score"), s=F.sum("support"),
+                wp=F.sum(F.col("precision") * F.col("support")), wr=F.sum(F.col("recall") * F.col("support")),
+                wf=F.sum(F.col("f1_score") * F.col("support")))
+    if inline:
+        # At most K + 1 (<= INLINE_LABELS + 1) rows per window partition.
+        w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+        m = m.select("*", *[e.over(w).alias(n) for n, e in sums.items()])
+        rows = F.when(F.col("label").isNull(), summary).otherwise(F.array(own))
+        return m.select(*by, F.explode(rows).alias("o")).select(*by, "o.*")
+    m = m.checkpoint(eager=True)
+    agg = m.groupBy(*by).agg(*[e.alias(n) for n, e in sums.items()],
+                             F.sum("n_rows").alias("n_rows"), F.sum("n_hits").alias("n_hits"))
+    rows = (m.where(F.col("label").isNotNull()).select(*by, own.alias("o"))
+            .unionByName(agg.select(*by, F.explode(summary).alias("o"))))
+    return rows.select(*by, "o.*")
 
 
 def score(pred: DataFrame, vocab, true_col: str = TRUE, pred_col: str = PRED,

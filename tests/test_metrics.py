@@ -70,3 +70,35 @@ def test_majority_argmax_vote(spark):
 def test_best_run_tie_takes_smallest(spark):
     m = spark.createDataFrame([(0, 0.5), (1, 0.7), (2, 0.7)], "run_id int, macro_f1 double")
     assert M.best_run(m).first().run_id == 1
+
+
+def _rows(df, cols):
+    return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(*cols).collect())
+
+
+def test_large_vocabulary_paths_agree(spark, monkeypatch):
+    """Vocabularies above the inline bound take the joined-grid path; results are equal."""
+    labs = [f"L{i:03d}" for i in range(70)]
+    pairs = [(labs[(i * 7) % 70], labs[(i * 11) % 70] if i % 3 else labs[(i * 7) % 70]) for i in range(400)]
+    pairs += [("L000", "OUTSIDE"), (None, "L001")]
+    p = pred_df(spark, pairs).withColumn("run_id", F.col("sentence_id").cast("int") % 2)
+    vocab = L.vocab_from_list(spark, labs)
+    rep_cols = ["run_id", "label", "precision", "recall", "f1_score", "support", "row_order"]
+    conf_cols = ["run_id", "true_label", "pred_label", "n"]
+    assert len(labs) > M.INLINE_LABELS
+    joined = (_rows(M.classification_report(p, vocab, by=("run_id",)), rep_cols),
+              _rows(M.confusion(p, vocab, by=("run_id",)), conf_cols),
+              _rows(M.classification_report(p, labs), rep_cols[1:]))
+    monkeypatch.setattr(M, "INLINE_LABELS", 1_000)
+    inline = (_rows(M.classification_report(p, vocab, by=("run_id",)), rep_cols),
+              _rows(M.confusion(p, vocab, by=("run_id",)), conf_cols),
+              _rows(M.classification_report(p, labs), rep_cols[1:]))
+    assert joined == inline
+    assert len(joined[1]) == 2 * 70 * 70
+
+
+def test_distributed_label_vocab(spark):
+    train = spark.createDataFrame([(x,) for x in "dbcaebd"], "labels string")
+    small = [tuple(r) for r in L.label_vocab(train).orderBy("label_id").collect()]
+    big = [tuple(r) for r in L.label_vocab(train, max_labels=2).orderBy("label_id").collect()]
+    assert small == big == [("a", 0), ("b", 1), ("c", 2), ("d", 3), ("e", 4)]
