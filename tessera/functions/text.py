@@ -119,6 +119,18 @@ def drop_punct_tokens(tokens) -> Column:
     return F.filter(_c(tokens), lambda t: ~t.rlike(PUNCT_TOKEN_RE))
 
 
+def join_without_punct(tokens) -> Column:
+    """Tokens that are not all punctuation, joined by one space (H14 without lemmas).
+
+    One regex pass instead of a per-token test: tokens never contain a
+    space, so in ' t1 t2 ... tn' the pattern ' <punct>+' followed by a space
+    or the end matches exactly the all-punctuation tokens, each with the
+    space before it.  The leading space is dropped afterwards.
+    """
+    spaced = F.concat(F.lit(" "), F.array_join(_c(tokens), " "))
+    return F.substr(F.regexp_replace(spaced, F.lit(" \\p{P}+(?= |\\z)"), F.lit("")), F.lit(2))
+
+
 def words(text) -> Column:
     """Whitespace-separated words (no empty strings)."""
     return F.filter(F.split(_c(text), WORD_SPLIT_RE), lambda w: F.length(w) > 0)

@@ -61,9 +61,9 @@ def normalize_text(df: DataFrame, lemmas: DataFrame | None = None, text_col: str
     sentence in position order: one shuffle on the sentence id, whose groups
     are single sentences.
     """
-    toks = T.drop_punct_tokens(T.tokenize(T.lowercase(F.col(text_col))))
     if lemmas is None:
-        return df.withColumn(out_col, F.array_join(toks, " "))
+        return df.withColumn(out_col, T.join_without_punct(T.tokenize(T.lowercase(F.col(text_col)))))
+    toks = T.drop_punct_tokens(T.tokenize(T.lowercase(F.col(text_col))))
     ex = df.select(id_col, F.posexplode(toks).alias("_pos", "_form"))
     lem = lemmas.select(F.col("form").alias("_form"), F.col("lemma").alias("_lemma")).dropDuplicates(["_form"])
     mapped = join_small(ex, lem, "_form", "left")

@@ -37,3 +37,14 @@ def test_normalize_with_lemmas(spark):
     assert normalize_text(df).first().norm_text == "die häuser die"
     lem = spark.createDataFrame([("häuser", "haus")], "form string, lemma string")
     assert normalize_text(df, lem).first().norm_text == "die haus die"
+
+
+def test_join_without_punct_equals_token_filter(spark):
+    from pyspark.sql import functions as F
+    from tessera.functions import text as T
+    texts = [". , a", "a .", ".", "", "a ... b !!", "@- x _ y", "¿qué? «sí»", "a . b", "x.y, z", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    toks = T.tokenize("text")
+    got = df.select(T.join_without_punct(toks).alias("a"),
+                    F.array_join(T.drop_punct_tokens(toks), " ").alias("b")).collect()
+    assert all(r.a == r.b for r in got), got
