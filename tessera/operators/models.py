@@ -130,8 +130,11 @@ def fit_svm(train: DataFrame, features_col: str = "features", label_col: str = "
     at most 16), since each iteration is a short job dominated by
     scheduling, not by data.
     """
-    data = train.select(features_col, F.col(label_col).cast("int").alias("_y")).persist(
-        StorageLevel.MEMORY_AND_DISK)
+    # Sorted by class inside each partition (no shuffle): the cached column
+    # batches then hold few classes each, so a pair's filter skips the
+    # batches of the other classes through their min/max statistics.
+    data = (train.select(features_col, F.col(label_col).cast("int").alias("_y"))
+            .sortWithinPartitions("_y").persist(StorageLevel.MEMORY_AND_DISK))
     counts = {r["_y"]: r["n"] for r in data.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     data = _resize_cached(data, sum(counts.values()))
     classes = sorted(counts)

@@ -552,7 +552,8 @@ def ovo_vote(spark, sf):
 
 
 # --------------------------------------------------------------------------- K. encoding, batches
-_ENC_LEN = 128
+# Sequence length of the encoder the reference fine-tunes (its tokenizer truncates there).
+_ENC_LEN = 512
 _ENC_CTES = f"""
 d AS (SELECT doc_id, regexp_extract_all(text, {_TOK}) AS tok, {Q.is_test_sql('doc_id')} AS is_test FROM documents),
 v AS (SELECT token, CAST(row_number() OVER (ORDER BY token) + 1 AS INTEGER) AS token_id
@@ -576,7 +577,7 @@ SELECT doc_id AS sentence_id,
                    list_transform(range(greatest({_ENC_LEN} - len(ids), 0)), lambda i: 0)) AS attention_mask
 FROM f""")
 def encode_tokens(spark, sf):
-    """Word ids from the train vocabulary, truncated and padded to 128, with mask (K1)."""
+    """Word ids from the train vocabulary, truncated and padded to 512, with mask (K1)."""
     d, vocab = _encode_inputs(spark, sf)
     return K.encode_tokens(d, vocab, _ENC_LEN).select("sentence_id", "input_ids", "attention_mask")
 
