@@ -19,6 +19,7 @@ from ..operators import models as J
 from ..operators import tfidf as TF
 from ..operators import vectors as V
 from ..operators import metrics as M
+from ..operators.joins import join_small
 from ..operators.models import majority_predict
 from ..operators.split import assign_split, assign_split_exact, split
 from ..session import scratch_path
@@ -464,23 +465,68 @@ def _with_features(trv, tev, vocab, col):
     return asm.transform(H.text_features(trv)), asm.transform(H.text_features(tev)), vocab, "features"
 
 
-@register("tfidf_vectors")
+_TFIDF_ROWS = """,
+x AS (SELECT tf.doc_id, tf.term, tf.tf * idf.idf AS w FROM tf JOIN idf ON tf.term = idf.term)"""
+
+
+@register("tfidf_vectors", "WITH " + _TF_CTES + _TFIDF_ROWS + """
+SELECT doc_id AS sentence_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM x""")
 def tfidf_vectors(spark, sf):
-    """Train-fitted TF-IDF as sparse ML vectors for every document."""
+    """Train-fitted TF-IDF as sparse ML vectors for every document.
+
+    The vectors are checked entry by entry: each nonzero entry becomes
+    ``(sentence_id, term, weight)`` through the model's vocabulary.
+    """
     train, test = _docs_train_test(spark, sf)
     pm = V.fit_tfidf_model(train, "text", "tfidf")
-    return pm.transform(train.unionByName(test)).select("sentence_id", "tfidf")
-
-
-@register("assemble_features")
+    vec = pm.transform(train.unionByName(test)).select("sentence_id", "tfidf")
+    e = V.vector_entries(vec, "tfidf", ("sentence_id",))
+    e = join_small(e, V.index_names(spark, pm), "index", "inner")
+    return e.select("sentence_id", F.col("name").alias("term"), r6("value").alias("weight"))
+
+
+_FEATURE_SQL = ",\n".join(
+    f"  CAST({expr} AS INTEGER) AS {name}" for name, expr in [
+        ("punct_count", f"len(list_filter(tok, lambda x: regexp_full_match(x, {_PUNCT})))"),
+        ("contains_exclamation", "list_contains(tok, '!')"),
+        ("contains_punct_mark", "list_contains(tok, '.')"),
+        ("contains_question_mark", "list_contains(tok, '?')"),
+        ("contains_hashtag", "contains(text, '#')"),
+        ("contains_mention", "contains(text, '@')"),
+        ("capital_char_count", "len(list_filter(tok, lambda x: upper(x) = x AND lower(x) <> x))"),
+        ("token_count", "len(tok)"),
+        ("char_length", "length(text)"),
+        ("emoji_count", f"len(list_filter(tok, lambda x: regexp_full_match(x, {_EMOJI})))"),
+        ("contains_emoji", f"len(list_filter(tok, lambda x: regexp_full_match(x, {_EMOJI}))) > 0")])
+
+
+@register("assemble_features", "WITH " + _TF_CTES + _TFIDF_ROWS + f""",
+tw AS (SELECT doc_id AS sentence_id, term AS feature,
+              round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS value FROM x),
+t AS (SELECT doc_id, text, regexp_extract_all(text, {_TOK}) AS tok FROM documents),
+f AS (SELECT doc_id AS sentence_id,
+{_FEATURE_SQL}
+      FROM t),
+u AS (UNPIVOT f ON {", ".join(H.FEATURE_COLUMNS)} INTO NAME feature VALUE v)
+SELECT sentence_id, feature, value FROM tw
+UNION ALL
+SELECT sentence_id, feature, CAST(v AS DOUBLE) AS value FROM u WHERE v <> 0""")
 def assemble_features(spark, sf):
-    """TF-IDF vectors joined to the 11 text features on the id and concatenated."""
+    """TF-IDF vectors joined to the 11 text features on the id and concatenated.
+
+    Checked entry by entry: each nonzero entry of the assembled vector
+    becomes ``(sentence_id, feature, value)``, the feature being the n-gram
+    or the text feature at that index.
+    """
     train, test = _docs_train_test(spark, sf)
     docs = train.unionByName(test)
     pm = V.fit_tfidf_model(train, "text", "tfidf")
     vec = pm.transform(docs).select("sentence_id", "tfidf")
     feats = H.text_features(docs.select("sentence_id", "text"))
-    return V.assemble(vec, feats).select("sentence_id", "features")
+    asm = V.assemble(vec, feats).select("sentence_id", "features")
+    e = V.vector_entries(asm, "features", ("sentence_id",))
+    e = join_small(e, V.index_names(spark, pm, H.FEATURE_COLUMNS), "index", "inner")
+    return e.select("sentence_id", F.col("name").alias("feature"), r6("value").alias("value"))
 
 
 @register("svm_predictions")
