@@ -28,34 +28,44 @@ def assign_split(df: DataFrame, test_size: float = 0.2, seed: int = 200,
     return df.withColumn(out_col, (h / F.lit(TWO_POW_32)) < F.lit(float(test_size)))
 
 
+def _locate(counts, key: str, k: int) -> tuple[int, int]:
+    """The key holding the k-th row (1-based) in key order, and how many of its rows precede it."""
+    before = 0
+    for r in sorted(counts, key=lambda r: r[key]):
+        if before + r["n"] >= k:
+            return r[key], k - before
+        before += r["n"]
+    raise ValueError("k exceeds the row count")
+
+
 def assign_split_exact(df: DataFrame, test_size: float = 0.2, seed: int = 200,
                        id_col: str = "sentence_id", out_col: str = "is_test") -> DataFrame:
     """Add ``is_test`` with exactly ceil(test_size * n) test rows.
 
-    Rows are ordered by (hash, id); the first k rows are test.  No global sort:
-    counts per 16-bit hash bucket (at most 65,536 rows) locate the bucket that
-    holds the k-th row, and a row number is computed only inside that bucket.
-    md5 spreads rows evenly over the buckets, so that window is ~n/65,536 rows.
+    Rows are ordered by (hash, id); the first k rows are test.  No global
+    sort: counts per 16-bit hash bucket (at most 65,536 rows on the driver)
+    locate the bucket that holds the k-th row; counts per full 32-bit hash
+    inside that bucket (again at most 65,536 rows) locate the hash that holds
+    it.  A row number is computed only among the rows with that one hash
+    (~n / 2^32 rows when ids are unique); every other row is decided by a
+    projection.
     """
     h = split_hash(F.col(id_col), seed)
     tagged = df.withColumn("_h", h).withColumn("_b", F.shiftright(F.col("_h"), 16))
     counts = tagged.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).collect()
     n = sum(r["n"] for r in counts)
     k = math.ceil(test_size * n)
-    before, boundary, need = 0, -1, 0
-    for r in sorted(counts, key=lambda r: r["_b"]):
-        if before + r["n"] >= k:
-            boundary, need = r["_b"], k - before
-            break
-        before += r["n"]
     if k == 0:
         return tagged.withColumn(out_col, F.lit(False)).drop("_h", "_b")
-    in_boundary = F.col("_b") == F.lit(boundary)
-    w = Window.partitionBy("_b").orderBy("_h", id_col)
-    # Only the boundary bucket is windowed; every other row is decided by a
-    # projection, so the union of the two halves shuffles ~n/65,536 rows.
-    rest = tagged.where(~in_boundary).withColumn(out_col, F.col("_b") < F.lit(boundary))
-    edge = (tagged.where(in_boundary)
+    bucket, need = _locate(counts, "_b", k)
+    in_bucket = F.col("_b") == F.lit(bucket)
+    inner = tagged.where(in_bucket).groupBy("_h").agg(F.count(F.lit(1)).alias("n")).collect()
+    edge_hash, need = _locate(inner, "_h", need)
+    at_edge = F.col("_h") == F.lit(edge_hash)
+    decided = (F.col("_b") < F.lit(bucket)) | (in_bucket & (F.col("_h") < F.lit(edge_hash)))
+    rest = tagged.where(~at_edge).withColumn(out_col, decided)
+    w = Window.partitionBy("_h").orderBy(id_col)
+    edge = (tagged.where(at_edge)
             .withColumn("_rn", F.row_number().over(w))
             .withColumn(out_col, F.col("_rn") <= F.lit(need)).drop("_rn"))
     return rest.unionByName(edge).drop("_h", "_b")

@@ -28,3 +28,16 @@ def test_exact_split(spark):
     again = assign_split_exact(d.repartition(5), 0.2, 200)
     assert {r.sentence_id for r in t.where("is_test").collect()} == \
         {r.sentence_id for r in again.where("is_test").collect()}
+
+
+def test_exact_split_matches_global_rank(spark):
+    """The two-level boundary search gives the first ceil(t * n) rows in (hash, id) order."""
+    import math
+    from pyspark.sql import functions as F
+    from tessera.operators.split import assign_split_exact, split_hash
+    df = spark.range(3000).select(F.col("id").alias("sentence_id"))
+    ranked = [r.sentence_id for r in
+              df.withColumn("_h", split_hash(F.col("sentence_id"), 7)).orderBy("_h", "sentence_id").collect()]
+    for t in (0.0, 0.001, 0.2, 0.5, 1.0):
+        got = {r.sentence_id for r in assign_split_exact(df, t, 7).where("is_test").collect()}
+        assert got == set(ranked[:math.ceil(t * 3000)]), t
