@@ -119,6 +119,25 @@ def drop_punct_tokens(tokens) -> Column:
     return F.filter(_c(tokens), lambda t: ~t.rlike(PUNCT_TOKEN_RE))
 
 
+def spaced_tokens(tokens) -> Column:
+    """' t1 t2 ... tn': every token preceded by one space (tokens never contain one)."""
+    return F.concat(F.lit(" "), F.array_join(_c(tokens), " "))
+
+
+def count_whole_tokens(spaced, token_re: str) -> Column:
+    """Number of tokens of a ``spaced_tokens`` string that match ``token_re`` whole.
+
+    One regex pass over the string instead of a test per token: a match
+    must start after a space and end before a space or the end.
+    """
+    return F.size(F.regexp_extract_all(_c(spaced), F.lit(f"(?<= )(?:{token_re})(?= |\\z)"), F.lit(0)))
+
+
+# Whole-token forms of H1, H7 and H10 for ``count_whole_tokens``.
+PUNCT_TOKEN = "\\p{P}+"
+UPPER_TOKEN = "[^ \\p{IsLowercase}\\p{Lt}]*\\p{IsUppercase}[^ \\p{IsLowercase}\\p{Lt}]*"
+
+
 def join_without_punct(tokens) -> Column:
     """Tokens that are not all punctuation, joined by one space (H14 without lemmas).
 

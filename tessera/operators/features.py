@@ -26,20 +26,22 @@ def text_features(df: DataFrame, text_col: str = "text") -> DataFrame:
     features; Catalyst does not inline an expensive expression that is used
     more than once, so the text is tokenised once per row.
     """
-    tok = "_tokens"
+    tok, sp = "_tokens", "_spaced"
     base = df.withColumn(tok, T.tokenize(F.col(text_col)))
+    base = base.withColumn(sp, T.spaced_tokens(tok))
+    emoji = T.count_whole_tokens(sp, T.EMOJI_RE)
     feats = {
-        "punct_count": T.punct_count(tok),
+        "punct_count": T.count_whole_tokens(sp, T.PUNCT_TOKEN),
         "contains_exclamation": T.contains_exclamation(tok),
         "contains_punct_mark": T.contains_punct_mark(tok),
         "contains_question_mark": T.contains_question_mark(tok),
         "contains_hashtag": T.contains_hashtag(text_col),
         "contains_mention": T.contains_mention(text_col),
-        "capital_char_count": T.capital_token_count(tok),
+        "capital_char_count": T.count_whole_tokens(sp, T.UPPER_TOKEN),
         "token_count": T.token_count(tok),
         "char_length": T.char_length(text_col),
-        "emoji_count": T.emoji_count(tok),
-        "contains_emoji": T.contains_emoji(tok),
+        "emoji_count": emoji,
+        "contains_emoji": (emoji > 0).cast("int"),
     }
     cols = [c for c in df.columns]
     out = base.select(*cols, *[F.coalesce(feats[n], F.lit(0)).cast("int").alias(n) for n in FEATURE_COLUMNS])

@@ -48,3 +48,18 @@ def test_join_without_punct_equals_token_filter(spark):
     got = df.select(T.join_without_punct(toks).alias("a"),
                     F.array_join(T.drop_punct_tokens(toks), " ").alias("b")).collect()
     assert all(r.a == r.b for r in got), got
+
+
+def test_whole_token_counts_equal_per_token_tests(spark):
+    from pyspark.sql import functions as F
+    from tessera.functions import text as T
+    texts = ["SPD AFD2020 I ẞ Ⅷ ÄÖ 123 Ab STRAßE ǅ", "👨‍👩‍👧 🇩🇪🇫🇷 1️⃣ #️⃣ 👍🏽 x→y ☀️!!",
+             "... ?! «» @- _ ¿Qué?", "", "A.B. z.B. U.S.A", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("tok", T.tokenize("text"))
+    sp = T.spaced_tokens("tok")
+    got = df.select(
+        T.count_whole_tokens(sp, T.PUNCT_TOKEN).alias("p1"), T.punct_count("tok").alias("p2"),
+        T.count_whole_tokens(sp, T.UPPER_TOKEN).alias("u1"), T.capital_token_count("tok").alias("u2"),
+        T.count_whole_tokens(sp, T.EMOJI_RE).alias("e1"), T.emoji_count("tok").alias("e2")).collect()
+    assert all((r.p1, r.u1, r.e1) == (r.p2, r.u2, r.e2) for r in got), got
+    assert got[0].u1 == 6 and got[1].e1 >= 5
