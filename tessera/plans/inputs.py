@@ -12,6 +12,8 @@ Fixed stand-in rules (the oracle SQL in ``registry`` uses the same):
 * conversations: group = conv_id, tweet = turn, sentences = lines of text;
   stype = coarse = fine = role.
 * events: labels = event_type; prediction = a fixed CASE on event_id.
+* lemma table: the distinct normalised tokens of the train documents, each
+  mapped to itself with one suffix of ``LEMMA_SUFFIX_RE`` stripped.
 """
 
 from __future__ import annotations
@@ -30,6 +32,10 @@ QUALITY_COARSE = {(1, 0): "ASSERTIVE", (1, 1): "EXPRESSIVE", (0, 1): "OTHER", (0
 QUALITY_FINE = {(1, 0): "ASSERT", (1, 1): "THANK", (0, 1): "COMPLAIN", (0, 0): "PROMISE"}
 
 
+# Fixed stand-in lemma rule: strip one of these word endings.
+LEMMA_SUFFIX_RE = "(?:en|e|n|s)$"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -105,3 +111,15 @@ def event_predictions_runs(spark: SparkSession, sf_dir: str, runs: int = 3) -> D
     r = e.select("event_id", "event_type", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run_id"))
     return r.select("run_id", F.col("event_id").alias("sentence_id"), F.col("event_type").alias("labels"),
                     event_prediction_expr(F.col("run_id")).alias("prediction"))
+
+
+def lemma_table(train: DataFrame, text_col: str = "text") -> DataFrame:
+    """``(form, lemma)`` for every distinct normalised train token (stand-in rule above).
+
+    A distinct over the exploded tokens: partial + final aggregate, so a
+    frequent word costs one row per map task.
+    """
+    from ..functions import text as T
+    toks = T.drop_punct_tokens(T.tokenize(T.lowercase(F.col(text_col))))
+    forms = train.select(F.explode(toks).alias("form")).distinct()
+    return forms.select("form", F.regexp_replace("form", LEMMA_SUFFIX_RE, "").alias("lemma"))

@@ -375,6 +375,24 @@ def normalize_text(spark, sf):
     return H.normalize_text(d).select("sentence_id", "norm_text")
 
 
+@register("normalize_lemmas", f"""
+WITH d AS (SELECT doc_id, text, {Q.is_test_sql('doc_id')} AS is_test FROM documents),
+tk AS (SELECT doc_id, is_test,
+              list_filter(regexp_extract_all(lower(text), {_TOK}), lambda x: NOT regexp_full_match(x, {_PUNCT})) AS t
+       FROM d),
+lem AS (SELECT form, regexp_replace(form, {Q.sql_str(I.LEMMA_SUFFIX_RE)}, '') AS lemma
+        FROM (SELECT DISTINCT unnest(t) AS form FROM tk WHERE NOT is_test)),
+x AS (SELECT doc_id, unnest(t) AS form, generate_subscripts(t, 1) AS pos FROM tk),
+m AS (SELECT x.doc_id, string_agg(COALESCE(lem.lemma, x.form), ' ' ORDER BY x.pos) AS s
+      FROM x LEFT JOIN lem ON x.form = lem.form GROUP BY x.doc_id)
+SELECT d.doc_id AS sentence_id, COALESCE(m.s, '') AS norm_text FROM d LEFT JOIN m ON d.doc_id = m.doc_id""")
+def normalize_lemmas(spark, sf):
+    """H14 with a lemma table: every document's tokens mapped through a table derived from train."""
+    d = assign_split(I.documents_sentences(spark, sf), 0.2, 200)
+    lem = I.lemma_table(d.where(~F.col("is_test")))
+    return H.normalize_text(d.select("sentence_id", "text"), lemmas=lem).select("sentence_id", "norm_text")
+
+
 @register("argmax_scores", """
 SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS argmax FROM embeddings""")
 def argmax_scores(spark, sf):
