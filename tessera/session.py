@@ -51,9 +51,11 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting points at shared storage and is only read.  A
-    private temporary folder is set only when the session has none (local
-    runs and tests).
+    On a cluster this setting points at shared storage and is only read; a
+    cluster session without it is an error (a folder on one machine would
+    not survive the loss of that machine, and executors could not read it).
+    A private temporary folder is set only for a local master with none
+    configured (local runs and tests).
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -62,6 +64,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder for this cluster session")
         configured = tempfile.mkdtemp(prefix="tessera-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
