@@ -1,4 +1,4 @@
-"""Every registered query with an oracle, against DuckDB at sf0.001; the rest must run."""
+"""Every registered query with an oracle, against DuckDB at sf0.001."""
 import pytest
 
 import __spark_entry__ as E
@@ -20,9 +20,9 @@ def test_oracle(spark, con, name):
     assert not problems, problems
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.oracle_sql()) - SLOW))
-def test_rows_only(spark, name):
-    assert E.queries()[name](spark, SF001).count() > 0
+def test_only_model_fits_lack_an_oracle():
+    """Every registered query has an exact oracle except the iterative model fits (tested in test_models)."""
+    assert set(E.queries()) - set(E.oracle_sql()) == SLOW
 
 
 def test_entry(spark):
