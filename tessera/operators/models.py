@@ -119,6 +119,21 @@ def _resize_cached(data: DataFrame, n_rows: int) -> DataFrame:
     return sized
 
 
+def fit_iterative(estimator, df: DataFrame):
+    """Fit an iterative estimator on a cached copy of ``df`` sized for per-iteration jobs.
+
+    The rows are kept (memory, then disk; lost blocks are recomputed from
+    lineage) and small inputs are coalesced to about ``ROWS_PER_TASK`` rows
+    per task, so each iteration's job is not dominated by task overhead.
+    """
+    data = df.persist(StorageLevel.MEMORY_AND_DISK)
+    data = _resize_cached(data, data.count())
+    try:
+        return estimator.fit(data)
+    finally:
+        data.unpersist()
+
+
 def fit_svm(train: DataFrame, features_col: str = "features", label_col: str = "label_id", C: float = 1.0,
             max_iter: int = 50, tol: float = 1e-6, parallelism: int | None = None) -> OneVsOneModel:
     """One binary ``LinearSVC`` per class pair.

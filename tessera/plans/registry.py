@@ -585,14 +585,17 @@ def train_select(spark, sf):
 @register("score_saved_model")
 def score_saved_model(spark, sf):
     """Fit TF-IDF + logistic regression, save to the shared folder, reload, score the test split."""
-    from pyspark.ml import Pipeline
+    from pyspark.ml import PipelineModel
     from pyspark.ml.classification import LogisticRegression
     train, test = _docs_train_test(spark, sf)
     vocab = L.label_vocab(train)
-    stages = V.tfidf_pipeline("text", "tfidf").getStages() + [
-        LogisticRegression(featuresCol="tfidf", labelCol="label_id", predictionCol="prediction_id",
-                           family="multinomial", maxIter=50, regParam=0.01)]
-    model = Pipeline(stages=stages).fit(L.encode_labels(train, vocab))
+    # TF-IDF stages from one document-frequency aggregate, then the classifier
+    # on the vectors; the fitted stages form one persistable pipeline model.
+    pm = V.fit_tfidf_model(train, "text", "tfidf")
+    lr = LogisticRegression(featuresCol="tfidf", labelCol="label_id", predictionCol="prediction_id",
+                            family="multinomial", maxIter=50, regParam=0.01)
+    lrm = J.fit_iterative(lr, L.encode_labels(pm.transform(train), vocab).select("tfidf", "label_id"))
+    model = PipelineModel(stages=[*pm.stages, lrm])
     path = scratch_path(spark, "model")
     J.save_model(model, path)
     loaded = J.load_model(path)
