@@ -16,12 +16,15 @@ def is_bounded(df: DataFrame, max_rows: int) -> bool:
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "left",
-               max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+               max_rows: int = DEFAULT_BROADCAST_ROWS, known_rows: int | None = None) -> DataFrame:
     """Join ``big`` to ``small``, broadcasting ``small`` only if its size is checked.
 
-    Beyond the bound the plain join is kept: a shuffle join on the key, where
-    AQE's skew-join splitting handles hot keys.
+    ``known_rows`` is the exact row count when the caller built ``small``
+    from a list it holds (a materialised vocabulary); otherwise a bounded
+    count job measures it.  Beyond the bound the plain join is kept: a
+    shuffle join on the key, where AQE's skew-join splitting handles hot keys.
     """
-    if is_bounded(small, max_rows):
+    bounded = known_rows <= max_rows if known_rows is not None else is_bounded(small, max_rows)
+    if bounded:
         small = F.broadcast(small)
     return big.join(small, on, how)

@@ -90,6 +90,12 @@ def vocab_from_list(spark, names: list[str]) -> DataFrame:
     return df
 
 
+def _known_size(vocab: DataFrame) -> int | None:
+    """Row count of a vocabulary built from a driver-side list, else None."""
+    memo = getattr(vocab, "_tessera_labels", None)
+    return None if memo is None else len(memo)
+
+
 def vocab_list(vocab: DataFrame) -> list[str]:
     """Labels of a materialised vocabulary in id order (a few rows)."""
     memo = getattr(vocab, "_tessera_labels", None)
@@ -102,7 +108,8 @@ def encode_labels(df: DataFrame, vocab: DataFrame, label_col: str = "labels",
                   out_col: str = "label_id", strict: bool = True) -> DataFrame:
     """Label -> id through the vocabulary (C2).  Unseen labels raise when ``strict``."""
     v = vocab.select(F.col("label").alias("_enc_label"), F.col("label_id").alias(out_col))
-    joined = join_small(df, v, df[label_col] == v["_enc_label"], "left").drop("_enc_label")
+    joined = join_small(df, v, df[label_col] == v["_enc_label"], "left",
+                        known_rows=_known_size(vocab)).drop("_enc_label")
     if strict:
         joined = joined.withColumn(
             out_col,
@@ -116,7 +123,7 @@ def decode_labels(df: DataFrame, vocab: DataFrame, id_col: str = "prediction_id"
                   out_col: str = "prediction") -> DataFrame:
     """Id -> label through the vocabulary."""
     v = vocab.select(F.col("label").alias(out_col), F.col("label_id").alias("_dec_id"))
-    return join_small(df, v, df[id_col] == v["_dec_id"], "left").drop("_dec_id")
+    return join_small(df, v, df[id_col] == v["_dec_id"], "left", known_rows=_known_size(vocab)).drop("_dec_id")
 
 
 def unseen_labels(train: DataFrame, test: DataFrame, label_col: str = "labels") -> DataFrame:

@@ -559,10 +559,15 @@ def svm_predictions(spark, sf):
 @register("svm_ablation")
 def svm_ablation(spark, sf):
     """Reports of the SVM without and with the 11 features, one pass over both."""
+    from concurrent.futures import ThreadPoolExecutor
     base = _svm_base(spark, sf)
+    runs = (base, _with_features(*base))
+    vocab = base[2]
+    # The two fits are independent jobs: submit them together.
+    with ThreadPoolExecutor(max_workers=len(runs)) as ex:
+        models = list(ex.map(lambda r: J.fit_svm(r[0], features_col=r[3]), runs))
     out = []
-    for run, (trv, tev, vocab, col) in enumerate((base, _with_features(*base))):
-        model = J.fit_svm(trv, features_col=col)
+    for run, ((_, tev, _, _), model) in enumerate(zip(runs, models)):
         p = L.decode_labels(model.transform(tev), vocab, "prediction_id", "prediction")
         out.append(p.select(F.lit(run).alias("run_id"), "sentence_id", "labels", "prediction"))
     preds = out[0].unionByName(out[1])
