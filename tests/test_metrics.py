@@ -102,3 +102,20 @@ def test_distributed_label_vocab(spark):
     small = [tuple(r) for r in L.label_vocab(train).orderBy("label_id").collect()]
     big = [tuple(r) for r in L.label_vocab(train, max_labels=2).orderBy("label_id").collect()]
     assert small == big == [("a", 0), ("b", 1), ("c", 2), ("d", 3), ("e", 4)]
+
+
+def test_large_vocabulary_wide_matrix_and_scores(spark, monkeypatch):
+    labs = [f"L{i:03d}" for i in range(70)]
+    pairs = [(labs[i % 70], labs[(i * 3) % 70]) for i in range(300)]
+    p = pred_df(spark, pairs).withColumn("run_id", F.col("sentence_id").cast("int") % 3)
+    vocab = L.vocab_from_list(spark, labs)
+
+    def both():
+        wide = sorted(tuple(r) for r in M.confusion_matrix(p, vocab).collect())
+        sc = sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r)
+                    for r in M.score(p, vocab, by=("run_id",)).collect())
+        return wide, sc
+    joined = both()
+    monkeypatch.setattr(M, "INLINE_LABELS", 1_000)
+    assert joined == both()
+    assert len(joined[0]) == 70 and len(joined[0][0]) == 71
