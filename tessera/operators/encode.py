@@ -43,8 +43,9 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, max_len: int = 512, text_col:
     ``max_len``).  Truncation is the operator's semantics, so tokens past
     ``max_len`` are dropped before the vocabulary join.
     """
-    ex = (df.select(id_col, F.posexplode(_tokens(text_col, lowercase)).alias("_pos", "token"))
-          .where(F.col("_pos") < max_len))
+    # Truncate the token array before exploding: tokens past max_len never
+    # become rows.
+    ex = df.select(id_col, F.posexplode(F.slice(_tokens(text_col, lowercase), 1, max_len)).alias("_pos", "token"))
     mapped = join_small(ex, vocab.select("token", "token_id"), "token", "left")
     ids = (mapped.groupBy(id_col)
            .agg(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("i"))))
