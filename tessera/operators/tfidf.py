@@ -121,7 +121,10 @@ def fit_transform_tfidf(docs: DataFrame, is_test_col: str = "is_test", min_n: in
           .groupBy(id_col, is_test_col, "term").agg(F.count(F.lit(1)).alias("tf"))
           .persist(StorageLevel.MEMORY_AND_DISK))
     n_docs = docs.where(~F.col(is_test_col)).count()
-    idf = fit_idf(tf.where(~F.col(is_test_col)), n_docs, id_col)
+    # Written once to the shared checkpoint folder: the size check before the
+    # broadcast and the join itself then read the small table instead of
+    # aggregating the term counts twice.
+    idf = fit_idf(tf.where(~F.col(is_test_col)), n_docs, id_col).checkpoint(eager=True)
     return tfidf(tf, idf, id_col), idf
 
 
