@@ -47,17 +47,28 @@ def label_scheme(sentences: DataFrame, version: str, keep: tuple[str, ...] = ("s
     return sentences.select(*cols, "text", lab.alias("labels"))
 
 
+# Largest rare-label set applied as a literal IN list (no join).
+INLINE_RARE = 1_000
+
+
 def fold_rare_labels(df: DataFrame, min_count: int = 10, label_col: str = "labels",
                      into: str = EXCLUDED_NAME) -> DataFrame:
     """Replace labels seen fewer than ``min_count`` times in ``df`` by ``into``.
 
     Counting is a partial + final hash aggregate, so a hot label costs no more
-    than one row per map task.  Only the rare labels are joined back, and that
-    side is broadcast only after its size is checked.
+    than one row per map task.  The rare labels (a subset of the vocabulary)
+    are collected under a bound and applied as an IN list, so ``df`` is
+    aggregated once and not joined; a larger rare set is joined back, that
+    side broadcast only after its size is checked.
     """
     rare = (df.groupBy(label_col).count()
             .where(F.col("count") < min_count)
             .select(F.col(label_col).alias("_rare_label"), F.lit(True).alias("_is_rare")))
+    found = rare.limit(INLINE_RARE + 1).collect()
+    if len(found) <= INLINE_RARE:
+        names = [r["_rare_label"] for r in found if r["_rare_label"] is not None]
+        is_rare = F.col(label_col).isin(names) if names else F.lit(False)
+        return df.withColumn(label_col, F.when(is_rare, F.lit(into)).otherwise(F.col(label_col)))
     joined = join_small(df, rare, df[label_col] == rare["_rare_label"], "left")
     return (joined
             .withColumn(label_col, F.when(F.col("_is_rare"), F.lit(into)).otherwise(F.col(label_col)))

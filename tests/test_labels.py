@@ -52,3 +52,14 @@ def test_counts_and_unseen(spark):
     assert [tuple(r) for r in L.label_counts(train, test).collect()] == [("A", 2, 1), ("B", 1, 0)]
     assert [tuple(r) for r in L.unseen_labels(train, test).collect()] == [("C", 2)]
     assert L.num_classes(test).first()[0] == 2
+
+
+def test_fold_rare_labels_inline_and_joined_agree(spark, monkeypatch):
+    from tessera.operators import labels as L
+    df = spark.createDataFrame([(str(i), "A" if i < 12 else ("B" if i < 15 else "C")) for i in range(16)],
+                               "sentence_id string, labels string")
+    inline = sorted(tuple(r) for r in L.fold_rare_labels(df, 10).collect())
+    monkeypatch.setattr(L, "INLINE_RARE", 0)
+    joined = sorted(tuple(r) for r in L.fold_rare_labels(df, 10).collect())
+    assert inline == joined
+    assert {r[1] for r in inline} == {"A", "EXCLUDED"}
