@@ -2,6 +2,7 @@
 import pytest
 
 import __spark_entry__ as E
+from tessera.plans.registry import ORACLE, QUERIES
 
 from .conftest import SF001
 from .oracle import compare, duck
@@ -14,15 +15,15 @@ def con():
     return duck(SF001)
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_oracle(spark, con, name):
-    problems, _ = compare(E.queries()[name](spark, SF001), con, E.oracle_sql()[name])
+    problems, _ = compare(E.queries()[name](spark, SF001), con, ORACLE[name])
     assert not problems, problems
 
 
 def test_only_model_fits_lack_an_oracle():
     """Every registered query has an exact oracle except the iterative model fits (tested in test_models)."""
-    assert set(E.queries()) - set(E.oracle_sql()) == SLOW
+    assert set(QUERIES) - set(ORACLE) == SLOW
 
 
 def test_entry(spark):
