@@ -1,4 +1,4 @@
-"""The corpus pipeline: documents -> near-unique documents.
+"""The corpus pipeline: raw documents -> a weighted mixture of clean, unique, uncontaminated documents.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is
 written as Parquet and read again as the next stage's ``docs``.
@@ -8,7 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, neardup, store
+from tessera.llm import decontaminate, exact_dedup, mixing, neardup, store, toxicity
+from tessera.llm.queries import source_mixture
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the severity model rejects go; it is fitted on a bounded sample of the labelled documents."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.drop_toxic(docs, model)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,9 +28,22 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return neardup.drop_near_duplicates(docs)
 
 
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, within its edit budget, go."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents drawn by the mixture, one row per epoch, with the tokens to take from each."""
+    return mixing.mix_documents(docs, source_mixture())
+
+
 STAGES = [
+    ("toxicity", toxicity_stage),
     ("exact_dedup", exact_dedup_stage),
     ("near_dedup", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
 ]
 
 #: The toxicity model and the near-duplicate links have no SQL form; tests/llm holds brute-force versions.

@@ -19,8 +19,8 @@ import pyarrow as pa
 CHUNK = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C55)
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+NOT_SPACE = np.ones(256, dtype=bool)
+NOT_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 _powers = np.ones(1, dtype=np.uint64)
 
 
@@ -64,15 +64,16 @@ def documents(col: pa.Array) -> Iterator[bytes]:
         yield bytes(data[a:b])
 
 
-def word_spans(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(raw: np.ndarray, bounds: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of concatenated texts, and how many words lie before each text.
 
     ``bounds`` are the n + 1 text offsets in ``raw``; a word never crosses one.
+    ``letters`` says of each byte value whether words hold it.
     """
     if not len(raw):
         none = np.zeros(0, dtype=np.int64)
         return none, none, np.zeros(len(bounds), dtype=np.int64)
-    word = ~_SPACE[raw]
+    word = letters[raw]
     start = word.copy()
     start[1:] &= ~word[:-1]
     inner = bounds[bounds < len(raw)]
@@ -107,12 +108,12 @@ def span_hashes(raw: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
 class WordRun:
     """The words of a run of documents: hashes, spans and the first word of each document."""
 
-    def __init__(self, data: memoryview, offsets: np.ndarray, i: int, j: int):
+    def __init__(self, data: memoryview, offsets: np.ndarray, i: int, j: int, letters: np.ndarray = NOT_SPACE):
         a, b = int(offsets[i]), int(offsets[j])
         self.first_doc, self.docs = i, j - i
         self.raw = np.frombuffer(bytes(data[a:b]).lower(), dtype=np.uint8)
         self.bounds = np.asarray(offsets[i:j + 1]) - a
-        self.start, self.end, self.before = word_spans(self.raw, self.bounds)
+        self.start, self.end, self.before = word_spans(self.raw, self.bounds, letters)
         self._hash: np.ndarray | None = None
 
     @property
