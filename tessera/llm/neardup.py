@@ -7,11 +7,12 @@ representative stands for the class, so copies cost nothing more.
 * ``bands * rows`` MinHash samples; bands of ``rows`` samples name buckets.
   The number of bands follows from the threshold so that a pair at the
   threshold shares no bucket with probability below ``MISS``.
-* The samples are folded into an odd sketch: each sample flips one bit of a
-  512-bit parity map.  A differing sample flips at most one bit on either
-  side, so the population count of the XOR is at most twice the number of
-  differing samples; pairs whose count is too high for the threshold (again
-  with probability ``MISS``) are not verified.
+* A second MinHash sample, the ``SAMPLE`` smallest hashes of the set, is folded
+  into an odd sketch: every sampled hash flips one bit of a parity map.  The
+  population count of two sketches' XOR is at most the size of the samples'
+  symmetric difference, which the threshold and the set sizes bound: exactly
+  for sets within the sample, with probability above 1 - ``MISS`` beyond.
+  Pairs above the bound are not verified.
 * Buckets first emit stars (every member with the smallest and the largest
   member).  Confirmed links are merged; only in buckets that still hold more
   than one component do the members outside the bucket's main component meet
@@ -38,14 +39,11 @@ from tessera.llm.blocks import WordRun, documents, mix64, word_runs
 from tessera.llm.components import components
 
 MISS = 1e-9
-SKETCH_LONGS = 8
+SAMPLE = 512
+SKETCH_LONGS = 16
 MOST_BITS = 1 << 30
 
 
-def _tail(n: int, p: float, least: int) -> float:
-    return sum(math.comb(n, k) * p ** k * (1 - p) ** (n - k) for k in range(least, n + 1))
-
-
 @dataclass(frozen=True)
 class Settings:
     """``width`` words a shingle; similarity of at least ``percent`` / 100; samples in a band."""
@@ -59,11 +57,6 @@ class Settings:
         t = self.percent / 100
         return math.ceil(math.log(MISS) / math.log(1 - min(t ** self.rows, 1 - 1e-9)))
 
-    @property
-    def most_bits_apart(self) -> int:
-        n, p = self.bands * self.rows, 1 - self.percent / 100
-        return 2 * next(d for d in range(n + 1) if _tail(n, p, d + 1) < MISS)
-
 
 def shingle_hashes(run: WordRun, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all word shingles of a run and the n + 1 bounds of each document's part.
@@ -108,16 +101,11 @@ def minhashes(hashes: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def odd_sketches(samples: np.ndarray) -> np.ndarray:
-    """Parity bitmaps (one row of SKETCH_LONGS 64-bit words a set) of MinHash samples."""
-    n, sets = samples.shape
-    bit = mix64(samples + np.arange(n, dtype=np.uint64)[:, None] * np.uint64(0xA24BAED4963EE407)) % np.uint64(
-        64 * SKETCH_LONGS)
-    out = np.zeros((sets, SKETCH_LONGS), dtype=np.uint64)
-    column = np.arange(sets)
-    for i in range(n):
-        out[column, (bit[i] >> np.uint64(6)).astype(np.int64)] ^= np.uint64(1) << (bit[i] & np.uint64(63))
-    return out
+def odd_sketch(distinct: np.ndarray) -> np.ndarray:
+    """The parity map (SKETCH_LONGS 64-bit words) of the smallest hashes of a set; ``distinct`` is sorted."""
+    bit = (distinct[:SAMPLE] & np.uint64(64 * SKETCH_LONGS - 1)).astype(np.int64)
+    odd = (np.bincount(bit, minlength=64 * SKETCH_LONGS) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.uint64)
 
 
 def _lists(values: np.ndarray, width: int) -> pa.Array:
@@ -135,10 +123,11 @@ def _signatures(settings: Settings):
             for run in word_runs(texts):
                 hashes, bounds = shingle_hashes(run, settings.width)
                 size, ids = np.zeros(run.docs, dtype=np.int64), [None] * run.docs
+                sketch = np.zeros((run.docs, SKETCH_LONGS), dtype=np.uint64)
                 for d in range(run.docs):
                     if bounds[d + 1] > bounds[d]:
                         distinct = np.unique(hashes[bounds[d]:bounds[d + 1]])
-                        size[d], ids[d] = len(distinct), set_id(distinct)
+                        size[d], ids[d], sketch[d] = len(distinct), set_id(distinct), odd_sketch(distinct)
                 full = np.flatnonzero(size)
                 samples = minhashes(hashes, bounds[full], n) if len(full) else np.zeros((n, 0), np.uint64)
                 band = np.zeros((settings.bands, len(full)), dtype=np.uint64)
@@ -146,8 +135,7 @@ def _signatures(settings: Settings):
                     band[i // settings.rows] = mix64(band[i // settings.rows] * np.uint64(31) + samples[i])
                 band = mix64(band + np.arange(settings.bands, dtype=np.uint64)[:, None])
                 bands = np.zeros((run.docs, settings.bands), dtype=np.uint64)
-                sketch = np.zeros((run.docs, SKETCH_LONGS), dtype=np.uint64)
-                bands[full], sketch[full] = band.T, odd_sketches(samples)
+                bands[full] = band.T
                 i, j = run.first_doc, run.first_doc + run.docs
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, run.docs), batch.column(2).slice(i, run.docs),
@@ -187,9 +175,23 @@ def _bits_apart(a: str, b: str) -> Column:
 
 
 def _may_link(settings: Settings) -> Column:
-    """What the sizes and the sketches of two sets allow."""
+    """What the sizes and the sketches of two sets allow.
+
+    Sets of n_a <= n_b that are linked differ in at most ``apart`` elements;
+    leaving out elements beyond the sample adds at most as many.  If both sets
+    exceed the sample, the two samples differ by twice the number of sampled
+    elements that the other set lacks, a hypergeometric count whose mean the
+    sizes bound; Bernstein's inequality gives the margin.
+    """
+    t = settings.percent / 100
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    return (small * 100 >= large * settings.percent) & (_bits_apart("sketch_a", "sketch_b") <= settings.most_bits_apart)
+    apart = F.floor((small + large) * ((1 - t) / (1 + t)) + 1e-6)
+    over = F.greatest(small - SAMPLE, F.lit(0)) + F.greatest(large - SAMPLE, F.lit(0))
+    share = F.greatest(1 - (small + large) * (t / (1 + t)) / large, F.lit(0.0))
+    log_miss = -math.log(MISS)
+    margin = log_miss / 3 + F.sqrt(log_miss ** 2 / 9 + 2 * log_miss * SAMPLE * share * (1 - share))
+    most = F.when(small > SAMPLE, F.least(2 * (SAMPLE * share + margin), apart + over)).otherwise(apart + over)
+    return (small * 100 >= large * settings.percent) & (_bits_apart("sketch_a", "sketch_b") <= most)
 
 
 def _side(classes: DataFrame, name: str) -> DataFrame:
