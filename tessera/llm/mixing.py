@@ -82,15 +82,14 @@ def plan(leaves: DataFrame, mix: Mixture) -> DataFrame:
     """One row per leaf: domain, lang, source, supply, budget, epochs (whole ones), rest (tokens of one more)."""
     supply = store.written(leaves.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("supply")).where("supply > 0"), "supply")
     node = supply.withColumn("capacity", F.col("supply") * mix.max_epochs)
-    total = supply.agg(F.coalesce(F.sum("supply"), F.lit(0)).alias("t")).select(
-        F.expr(f"cast(cast(t as {BIG}) * {int(mix.budget_percent)} div 100 as bigint)").alias("parent_budget"))
+    total = supply.agg(F.coalesce(F.sum("supply"), F.lit(0))).first()[0] * int(mix.budget_percent) // 100
     up = None
     for depth in range(1, len(LEVELS) + 1):
         parent, child = list(LEVELS[:depth - 1]), LEVELS[depth - 1]
         level = node.groupBy(*parent, child).agg(F.sum("capacity").alias("capacity")).withColumn(
             "weight", F.coalesce(mix.weights[child], F.lit(1)).cast("long"))
-        # The root's budget is one row; below, each node's budget meets its children.
-        level = level.join(F.broadcast(total)) if up is None else level.join(
+        # Below the root, each node's budget meets its children.
+        level = level.withColumn("parent_budget", F.lit(total).cast("long")) if up is None else level.join(
             up.select(*parent, F.col("budget").alias("parent_budget")), parent)
         up = share(level, parent, child)
     out = up.join(supply, list(LEVELS))
