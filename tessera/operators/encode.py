@@ -2,8 +2,8 @@
 
 Token ids come from a word vocabulary fitted on train (pad 0, unknown 1,
 known words 2.. in sorted order).  Encoding is a join of exploded tokens to
-the vocabulary (broadcast only after a size check; otherwise a shuffle join
-where AQE splits hot words), then one regroup per sentence.
+the vocabulary (the runtime broadcasts it by its measured bytes; otherwise it
+is a shuffle join where AQE splits hot words), then one regroup per sentence.
 """
 
 from __future__ import annotations
@@ -11,12 +11,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.delimited import with_row_index
-from .joins import join_small
+from .partitioning import cluster_by_id
 
 PAD_ID, UNK_ID, FIRST_ID = 0, 1, 2
 
@@ -38,47 +38,48 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, max_len: int = 512, text_col:
                   batch_col: str | None = None) -> DataFrame:
     """Token ids truncated to ``max_len`` and padded, with an attention mask (K1, K2).
 
-    ``pad_to='max_length'`` pads every row to ``max_len``; ``pad_to='batch'``
-    pads to the longest row of its ``batch_col`` group (never beyond
-    ``max_len``).  Truncation is the operator's semantics, so tokens past
-    ``max_len`` are dropped before the vocabulary join.
+    The result has every column of ``df`` but the text (B7).  ``pad_to=
+    'max_length'`` pads every row to ``max_len``; ``pad_to='batch'`` pads to
+    the longest row of its ``batch_col`` group (never beyond ``max_len``).
+    Truncation is the operator's semantics, so tokens past ``max_len`` are
+    dropped before the vocabulary join; a text without tokens keeps its row.
+
+    The text is hash-partitioned on the id once; while the vocabulary is
+    small enough to be broadcast, regrouping needs no other exchange.
     """
-    # Truncate the token array before exploding: tokens past max_len never
-    # become rows.
-    ex = df.select(id_col, F.posexplode(F.slice(_tokens(text_col, lowercase), 1, max_len)).alias("_pos", "token"))
-    mapped = join_small(ex, vocab.select("token", "token_id"), "token", "left")
-    ids = (mapped.groupBy(id_col)
-           .agg(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("i"))))
-                .alias("_s"))
-           .select(id_col, F.col("_s.i").alias("_ids")))
-    base = df.join(ids, id_col, "left").withColumn(
-        "_ids", F.coalesce(F.col("_ids"), F.array().cast("array<int>")))
+    keep = [c for c in df.columns if c != text_col]
+    tokens = F.slice(_tokens(text_col, lowercase), 1, max_len)
+    ex = cluster_by_id(df, id_col).select(*keep, F.posexplode_outer(tokens).alias("_pos", "token"))
+    mapped = ex.join(vocab.select("token", "token_id"), "token", "left")
+    piece = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("i")))
+    rows = (mapped.groupBy(*keep).agg(F.array_sort(F.collect_list(piece)).alias("_s"))
+            .select(*keep, F.col("_s.i").alias("_ids")))
     n = F.size("_ids")
     if pad_to == "max_length":
         target = F.lit(max_len)
     elif pad_to == "batch":
         if batch_col is None:
             raise ValueError("pad_to='batch' needs batch_col")
-        lens = base.groupBy(batch_col).agg(F.max(F.size("_ids")).alias("_target"))
-        base = base.join(lens, batch_col, "left")
+        rows = rows.withColumn("_target", F.max(F.size("_ids")).over(Window.partitionBy(batch_col)))
         target = F.col("_target")
     else:
         raise ValueError(f"unknown pad_to {pad_to!r}")
     pad = F.greatest(target - n, F.lit(0))
-    out = base.withColumn("input_ids", F.concat(F.col("_ids"), F.array_repeat(F.lit(PAD_ID), pad))) \
-              .withColumn("attention_mask", F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), pad)))
-    return out.drop("_ids", "_target")
+    return rows.select(*keep, F.concat(F.col("_ids"), F.array_repeat(F.lit(PAD_ID), pad)).alias("input_ids"),
+                       F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), pad)).alias("attention_mask"))
 
 
-def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema,
-                drop: tuple[str, ...] = ()) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable, schema, drop: tuple[str, ...] = (),
+                setup: Callable[[], object] | None = None) -> DataFrame:
     """Apply a pandas function to Arrow batches of each partition (K3).
 
-    ``fn`` runs once per batch inside the executors; expensive set-up (a
-    model, a tokenizer) belongs in a closure built once per task.
+    ``fn(batch)`` runs once per batch inside the executors.  With ``setup``,
+    that factory runs once per task (to load a foreign model or tokenizer)
+    and ``fn(batch, state)`` gets what it returned (J7).
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state = () if setup is None else (setup(),)
         for pdf in batches:
-            yield fn(pdf)
+            yield fn(pdf, *state)
     src = df.drop(*drop) if drop else df
     return src.mapInPandas(run, schema)

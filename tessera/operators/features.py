@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .joins import join_small
+from .partitioning import cluster_by_id
 
-# Fixed column order of the feature block.
+# Names and order of the feature block.
 FEATURE_COLUMNS = ["punct_count", "contains_exclamation", "contains_punct_mark", "contains_question_mark",
                    "contains_hashtag", "contains_mention", "capital_char_count", "token_count",
                    "char_length", "emoji_count", "contains_emoji"]
@@ -58,17 +58,18 @@ def normalize_text(df: DataFrame, lemmas: DataFrame | None = None, text_col: str
     """Lowercase, tokenise, drop punctuation tokens, map to lemmas, join by one space.
 
     Without a lemma table this is one projection.  With a table
-    ``(form, lemma)`` the tokens are exploded with their position, joined to
-    the table (broadcast only after a size check) and put back together per
-    sentence in position order: one shuffle on the sentence id, whose groups
-    are single sentences.
+    ``(form, lemma)`` the sentences are hash-partitioned on the id once; both
+    the tokens (exploded, joined to the table, put back together in position
+    order) and the sentences they return to read that one exchange.  The
+    runtime broadcasts the table by its measured bytes.
     """
     if lemmas is None:
         return df.withColumn(out_col, T.join_without_punct(T.tokenize(T.lowercase(F.col(text_col)))))
     toks = T.drop_punct_tokens(T.tokenize(T.lowercase(F.col(text_col))))
+    df = cluster_by_id(df, id_col)
     ex = df.select(id_col, F.posexplode(toks).alias("_pos", "_form"))
     lem = lemmas.select(F.col("form").alias("_form"), F.col("lemma").alias("_lemma")).dropDuplicates(["_form"])
-    mapped = join_small(ex, lem, "_form", "left")
+    mapped = ex.join(lem, "_form", "left")
     back = (mapped.groupBy(id_col)
             .agg(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("_lemma", "_form").alias("w"))))
                  .alias("_ws")))

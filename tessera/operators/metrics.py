@@ -1,8 +1,11 @@
 """Evaluation: errors, confusion counts, per-class report, scores.
 
-All metrics are computed from one partial + final aggregate whose output has
-at most (#labels) or (#labels)^2 rows, so a hot class never reaches one task
-as raw rows: each map task pre-aggregates before the shuffle.
+Every metric starts from one partial + final count per (group, true label,
+predicted label); from there on only that table is read, at most (#labels)^2
+rows a group, so a hot class never reaches a task as raw rows.  Zeros are
+added as rows of the grid (groups x vocabulary) before a second, small sum:
+group keys and labels meet in aggregates, never in joins, so NULL groups stay
+and empty input still gives the whole grid.
 """
 
 from __future__ import annotations
@@ -10,20 +13,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.delimited import with_row_index
-from .joins import join_small
 from .labels import vocab_from_list, vocab_list
 
 TRUE, PRED = "labels", "prediction"
 REPORT_ORDER = {"accuracy": 1, "macro avg": 2, "weighted avg": 3}
-# Vocabularies up to this size are inlined into plans as literals.
-INLINE_LABELS = 64
 
 
 def attach_predictions(sentences: DataFrame, predictions: DataFrame, id_col: str = "sentence_id",
                        pred_col: str = PRED) -> DataFrame:
-    """Pair each sentence with its prediction by id (C4); replaces a positional zip."""
-    return sentences.join(predictions.select(id_col, pred_col), id_col, "inner")
+    """Pair each sentence with its prediction by id (C4); replaces a positional zip.
+
+    A sentence without a prediction stays, with a NULL prediction (an error).
+    """
+    return sentences.join(predictions.select(id_col, pred_col), id_col, "left")
 
 
 def errors(pred: DataFrame, true_col: str = TRUE, pred_col: str = PRED) -> DataFrame:
@@ -39,113 +41,62 @@ def error_table(pred: DataFrame, text_col: str = "text", true_col: str = TRUE,
         F.col(pred_col).alias("Prediction"))
 
 
-def _resolve(vocab, spark) -> tuple[list[str] | None, DataFrame | None, int]:
-    """``(labels, vocab_df, k)``: the label list when it is small enough to inline.
-
-    Up to ``INLINE_LABELS`` labels the vocabulary is written into the plan as
-    literals (zero-filling needs no join).  Larger vocabularies stay a
-    DataFrame ``(label, label_id)``; their grids are generated across tasks
-    and equi-joined, so no label count is too large.
-    """
+def _vocabulary(vocab, spark) -> tuple[DataFrame, int]:
+    """The vocabulary ``(label, label_id)`` and its size."""
     if isinstance(vocab, (list, tuple)):
-        labels = list(vocab)
-        if len(labels) <= INLINE_LABELS:
-            return labels, None, len(labels)
-        return None, vocab_from_list(spark, labels), len(labels)
+        return vocab_from_list(spark, list(vocab)), len(vocab)
     memo = getattr(vocab, "_tessera_labels", None)
-    k = len(memo) if memo is not None else vocab.count()
-    if k <= INLINE_LABELS:
-        return vocab_list(vocab), None, k
-    return None, vocab.select("label", F.col("label_id").cast("int").alias("label_id")), k
+    return vocab.select("label", F.col("label_id").cast("int").alias("label_id")), (
+        len(memo) if memo is not None else vocab.count())
 
 
-def _label_ids(labels: list[str]) -> F.Column:
-    """Literal label -> id map (labels are a checked, small vocabulary)."""
-    return F.create_map(*[x for i, lab in enumerate(labels) for x in (F.lit(lab), F.lit(i))])
+def _cells(pred: DataFrame, true_col: str, pred_col: str, by: tuple[str, ...], weights: str | None) -> DataFrame:
+    """Rows counted per (by..., t, p); the only read of ``pred``.  With ``weights`` a row stands for that many."""
+    return (pred.groupBy(*by, F.col(true_col).alias("t"), F.col(pred_col).alias("p"))
+            .agg((F.sum(weights) if weights else F.count(F.lit(1))).cast("bigint").alias("n")))
 
 
-def _group_index(keys: DataFrame, by: tuple[str, ...]) -> tuple[DataFrame | None, int]:
-    """Distinct ``by`` groups with a dense index ``_g`` (no one-task window), and their count."""
-    if not by:
-        return None, 1
-    g = keys.select(F.struct(*by).alias("_gk")).distinct()
-    gi = with_row_index(g, "_gk", "_g").select("_g", "_gk.*")
-    return gi, gi.count()
+def _groups(cells: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """The distinct groups; without group columns the one group exists even if there are no rows."""
+    return cells.select(*by).distinct() if by else cells.sparkSession.range(1).select()
 
 
-def _grid(spark, v: DataFrame, k: int, groups: DataFrame | None, n_groups: int,
-          pairs: bool) -> DataFrame:
-    """Every ``(by..., label)`` -- or ``(by..., true_label, pred_label)`` -- of the dense grid.
-
-    Rows come from a distributed range of ``groups x k`` ids (then, for
-    pairs, a sequence of ``k`` per row), mapped to labels by equi-joins on
-    the ids: the grid is spread over tasks and no cross join is planned.
-    """
-    base = spark.range(n_groups * k)
-    base = base.select(F.floor(F.col("id") / F.lit(k)).cast("long").alias("_g"),
-                       (F.col("id") % F.lit(k)).cast("int").alias("_a"))
-    if pairs:
-        base = base.select("_g", "_a", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_b"))
-        base = join_small(base, v.select(F.col("label_id").alias("_b"), F.col("label").alias("pred_label")),
-                          "_b", "inner")
-        name = "true_label"
-    else:
-        name = "label"
-    base = join_small(base, v.select(F.col("label_id").alias("_a"), F.col("label").alias(name)), "_a", "inner")
-    if groups is not None:
-        base = join_small(base, groups, "_g", "inner")
-    return base.withColumnRenamed("_a", "_label_id")
+def _each_label(rows: DataFrame, v: DataFrame, k: int, name: str) -> DataFrame:
+    """Every row once per vocabulary label, as ``name`` and ``name_id``: ids are generated, then looked up."""
+    ids = rows.withColumn(f"{name}_id", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))) if k else rows.select(
+        "*", F.lit(0).alias(f"{name}_id")).where(F.lit(False))
+    return ids.join(v.select(F.col("label_id").alias(f"{name}_id"), F.col("label").alias(name)), f"{name}_id")
 
 
 def confusion(pred: DataFrame, vocab, true_col: str = TRUE, pred_col: str = PRED,
-              by: tuple[str, ...] = ()) -> DataFrame:
+              by: tuple[str, ...] = (), dense: bool = True, weights: str | None = None) -> DataFrame:
     """Long confusion counts ``(true_label, pred_label, n)`` over vocab x vocab.
 
-    Cells with no rows are 0; pairs with a label outside the vocabulary are
-    dropped.  Small vocabularies: one pass over ``pred``, every row emits
-    its (true, pred) cell and a per-group marker; a partial + final count
-    leaves at most K^2 + 1 rows per group, and each marker expands into the
-    K^2 zero cells that a second (tiny) sum folds in -- no join, no second
-    scan.  Large vocabularies: the same partial + final count, left-joined
-    from the generated K^2 grid of each group.
+    Pairs with a label outside the vocabulary are dropped.  ``dense``: cells
+    without rows are 0, also on empty input (the definition of the report;
+    K^2 rows a group); otherwise only the observed cells are returned, which
+    is the form for vocabularies of many thousand labels.
     """
     by = tuple(by)
-    labels, v, k = _resolve(vocab, pred.sparkSession)
-    if labels is None:
-        return _confusion_joined(pred, v, k, true_col, pred_col, by)
-    ok = F.col(true_col).isin(labels) & F.col(pred_col).isin(labels)
-    cell = F.struct(F.col(true_col).alias("t"), F.col(pred_col).alias("p"), F.lit(False).alias("m"))
-    marker = F.struct(F.lit(None).cast("string").alias("t"), F.lit(None).cast("string").alias("p"),
-                      F.lit(True).alias("m"))
-    entries = F.when(ok, F.array(cell, marker)).otherwise(F.array(marker))
-    counts = (pred.select(*by, F.explode(entries).alias("e"))
-              .groupBy(*by, "e.t", "e.p", "e.m").agg(F.count(F.lit(1)).alias("n")))
-    zero_cells = F.array(*[F.struct(F.lit(a).alias("t"), F.lit(b).alias("p"), F.lit(0).cast("bigint").alias("n"))
-                           for a in labels for b in labels])
-    expanded = F.when(F.col("m"), zero_cells).otherwise(
-        F.array(F.struct(F.col("t"), F.col("p"), F.col("n").cast("bigint").alias("n"))))
-    return (counts.select(*by, F.explode(expanded).alias("c"))
-            .groupBy(*by, F.col("c.t").alias("true_label"), F.col("c.p").alias("pred_label"))
-            .agg(F.sum("c.n").cast("bigint").alias("n")))
-
-
-def _confusion_joined(pred: DataFrame, v: DataFrame, k: int, true_col: str, pred_col: str,
-                      by: tuple[str, ...]) -> DataFrame:
-    """D4 for a large vocabulary: counted cells left-joined from the generated grid."""
-    counts = (pred.groupBy(*by, F.col(true_col).alias("true_label"), F.col(pred_col).alias("pred_label"))
-              .agg(F.count(F.lit(1)).alias("_n")))
-    groups, n_groups = _group_index(pred, by)
-    grid = _grid(pred.sparkSession, v, k, groups, n_groups, pairs=True)
-    return (grid.join(counts, [*by, "true_label", "pred_label"], "left")
-            .select(*by, "true_label", "pred_label", F.coalesce("_n", F.lit(0)).cast("bigint").alias("n")))
+    v, k = _vocabulary(vocab, pred.sparkSession)
+    cells = _cells(pred, true_col, pred_col, by, weights).select(
+        *by, F.col("t").alias("true_label"), F.col("p").alias("pred_label"), "n")
+    if not dense:
+        return (cells.join(v.select(F.col("label").alias("true_label")), "true_label", "left_semi")
+                .join(v.select(F.col("label").alias("pred_label")), "pred_label", "left_semi")
+                .select(*by, "true_label", "pred_label", "n"))
+    grid = _each_label(_each_label(_groups(cells, by), v, k, "true_label"), v, k, "pred_label")
+    cell = [*by, "true_label", "pred_label"]
+    return (cells.withColumn("known", F.lit(False))
+            .unionByName(grid.select(*cell, F.lit(0).cast("bigint").alias("n"), F.lit(True).alias("known")))
+            .groupBy(*cell).agg(F.sum("n").alias("n"), F.max("known").alias("known"))
+            .where("known").select(*cell, "n"))
 
 
 def confusion_matrix(pred: DataFrame, vocab, true_col: str = TRUE, pred_col: str = PRED) -> DataFrame:
     """Wide confusion matrix: one row per true label, one column per predicted label."""
-    labels, v, _ = _resolve(vocab, pred.sparkSession)
-    if labels is None:
-        labels = vocab_list(v)  # the column names of the result
-    long = confusion(pred, vocab if v is not None else labels, true_col, pred_col)
+    labels = list(vocab) if isinstance(vocab, (list, tuple)) else vocab_list(vocab)  # the result's column names
+    long = confusion(pred, vocab, true_col, pred_col)
     return (long.groupBy("true_label").pivot("pred_label", labels).agg(F.sum("n"))
             .na.fill(0).orderBy("true_label"))
 
@@ -153,107 +104,74 @@ def confusion_matrix(pred: DataFrame, vocab, true_col: str = TRUE, pred_col: str
 _COUNTS = ("support", "predicted", "tp", "n_rows", "n_hits")
 
 
-def class_counts(pred: DataFrame, true_col: str = TRUE, pred_col: str = PRED,
-                 by: tuple[str, ...] = ()) -> DataFrame:
-    """Per (by..., label): support, predicted and true-positive counts, plus totals.
+def class_counts(pred: DataFrame, vocab, true_col: str = TRUE, pred_col: str = PRED,
+                 by: tuple[str, ...] = (), weights: str | None = None) -> tuple[DataFrame, int]:
+    """Per (by..., label): support, predicted and true-positive counts; and the vocabulary size.
 
-    Each row contributes its true label, its predicted label and one total
-    entry (label NULL, carrying the row and hit counts); one partial + final
-    aggregate gives every number a report needs, in one pass over ``pred``.
-    """
-    hit = F.coalesce(F.col(true_col) == F.col(pred_col), F.lit(False))
-    entry = lambda lab, kind, h: F.struct(lab.alias("label"), F.lit(kind).alias("kind"), h.alias("hit"))
-    sides = F.array(entry(F.col(true_col), "t", hit),
-                    entry(F.col(pred_col), "p", F.lit(False)),
-                    entry(F.lit(None).cast("string"), "n", hit))
-    return (pred.select(*by, F.explode(sides).alias("s"))
-            .where(F.col("s.label").isNotNull() | (F.col("s.kind") == "n"))
-            .groupBy(*by, F.col("s.label").alias("label"))
-            .agg(F.count_if(F.col("s.kind") == "t").alias("support"),
-                 F.count_if(F.col("s.kind") == "p").alias("predicted"),
-                 F.count_if((F.col("s.kind") == "t") & F.col("s.hit")).alias("tp"),
-                 F.count_if(F.col("s.kind") == "n").alias("n_rows"),
-                 F.count_if((F.col("s.kind") == "n") & F.col("s.hit")).alias("n_hits")))
-
-
-def _filled_counts(cc: DataFrame, labels: list[str], by: tuple[str, ...]) -> DataFrame:
-    """Vocabulary labels with zeros where absent, plus the group's totals row (label NULL).
-
-    The totals row of each group expands into K zero rows besides itself, so
-    a second, tiny sum fills the gaps without a join or a second scan.
+    Each group also has a totals row (label NULL) with its row and hit
+    counts, which include rows whose labels are NULL or unknown.  Labels of
+    the vocabulary without rows have zeros; other labels have no row.
     """
-    def row(label, *vals):
-        return F.struct(label.alias("label"), *[v.cast("bigint").alias(c) for v, c in zip(vals, _COUNTS)])
-    zero = F.lit(0)
-    totals_and_zeros = F.array(row(F.lit(None).cast("string"), zero, zero, zero, F.col("n_rows"), F.col("n_hits")),
-                               *[row(F.lit(x), zero, zero, zero, zero, zero) for x in labels])
-    own = F.array(row(F.col("label"), F.col("support"), F.col("predicted"), F.col("tp"), zero, zero))
-    expanded = F.when(F.col("label").isNull(), totals_and_zeros).otherwise(own)
-    return (cc.where(F.col("label").isNull() | F.col("label").isin(labels))
-            .select(*by, F.explode(expanded).alias("r"))
-            .groupBy(*by, F.col("r.label").alias("label"))
-            .agg(*[F.sum(f"r.{c}").alias(c) for c in _COUNTS])
-            .withColumn("label_id", _label_ids(labels)[F.col("label")]))
-
-
-def _filled_counts_joined(cc: DataFrame, v: DataFrame, k: int, by: tuple[str, ...]) -> DataFrame:
-    """The same for a large vocabulary: label counts left-joined from each group's generated label list."""
-    zero = F.lit(0).cast("bigint")
-    totals = cc.where(F.col("label").isNull()).select(
-        *by, "label", zero.alias("support"), zero.alias("predicted"), zero.alias("tp"),
-        F.col("n_rows").cast("bigint").alias("n_rows"), F.col("n_hits").cast("bigint").alias("n_hits"),
-        F.lit(None).cast("int").alias("label_id"))
-    groups, n_groups = _group_index(totals, by)
-    grid = _grid(cc.sparkSession, v, k, groups, n_groups, pairs=False)
-    lab = cc.where(F.col("label").isNotNull()).select(*by, "label", "support", "predicted", "tp")
-    filled = grid.join(lab, [*by, "label"], "left").select(
-        *by, "label", *[F.coalesce(c, zero).cast("bigint").alias(c) for c in ("support", "predicted", "tp")],
-        zero.alias("n_rows"), zero.alias("n_hits"), F.col("_label_id").alias("label_id"))
-    return filled.unionByName(totals)
-
-
-def _metric_rows(pred: DataFrame, vocab, true_col: str, pred_col: str, by: tuple[str, ...]):
-    """Per-label metrics plus each group's totals row (label NULL), K, and whether labels are inlined."""
-    labels, v, k = _resolve(vocab, pred.sparkSession)
-    cc = class_counts(pred, true_col, pred_col, by)
-    filled = _filled_counts(cc, labels, by) if labels is not None else _filled_counts_joined(cc, v, k, by)
+    v, k = _vocabulary(vocab, pred.sparkSession)
+    cells = _cells(pred, true_col, pred_col, by, weights)
+    zero, none = F.lit(0).cast("bigint"), F.lit(None)
+    hit = F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(zero)
+
+    def entry(label, support=zero, predicted=zero, tp=zero, n_rows=zero, n_hits=zero):
+        return F.struct(label.cast("string").alias("label"), *[
+            c.alias(name) for name, c in zip(_COUNTS, (support, predicted, tp, n_rows, n_hits))])
+
+    sides = F.array(F.when(F.col("t").isNotNull(), entry(F.col("t"), support=F.col("n"), tp=hit)),
+                    F.when(F.col("p").isNotNull(), entry(F.col("p"), predicted=F.col("n"))),
+                    entry(none, n_rows=F.col("n"), n_hits=hit))
+    seen = (cells.select(*by, F.explode(sides).alias("e")).where(F.col("e").isNotNull())
+            .select(*by, "e.*", none.cast("int").alias("label_id"), F.lit(False).alias("known")))
+    groups = _groups(cells, by)
+    zeros = [zero.alias(c) for c in _COUNTS]
+    grid = _each_label(groups, v, k, "label").select(*by, "label", *zeros, "label_id", F.lit(True).alias("known"))
+    totals = groups.select(*by, none.cast("string").alias("label"), *zeros, none.cast("int").alias("label_id"),
+                           F.lit(True).alias("known"))
+    out = (seen.unionByName(grid).unionByName(totals).groupBy(*by, "label")
+           .agg(*[F.sum(c).alias(c) for c in _COUNTS], F.max("label_id").alias("label_id"), F.max("known").alias("known"))
+           .where("known").drop("known"))
+    return out, k
+
+
+def _metric_rows(pred: DataFrame, vocab, true_col: str, pred_col: str, by: tuple[str, ...], weights: str | None):
+    """Per-label metrics plus each group's totals row (label NULL), and K."""
+    counts, k = class_counts(pred, vocab, true_col, pred_col, by, weights)
     tp, sup, prd = F.col("tp"), F.col("support"), F.col("predicted")
     is_label = F.col("label").isNotNull()
     safe = lambda num, den: F.when(den > 0, num / den).otherwise(F.lit(0.0))
-    m = filled.select(
-        *by, "label", F.col("label_id").cast("int").alias("label_id"),
+    m = counts.select(
+        *by, "label", "label_id",
         F.when(is_label, safe(tp.cast("double"), prd)).alias("precision"),
         F.when(is_label, safe(tp.cast("double"), sup)).alias("recall"),
         F.when(is_label, safe(2.0 * tp, prd + sup)).alias("f1_score"),
-        sup.cast("bigint").alias("support"), "n_rows", "n_hits")
-    return m, k, labels is not None
+        "support", "n_rows", "n_hits")
+    return m, k
 
 
 def per_class(pred: DataFrame, vocab, true_col: str = TRUE, pred_col: str = PRED,
-              by: tuple[str, ...] = ()) -> DataFrame:
+              by: tuple[str, ...] = (), weights: str | None = None) -> DataFrame:
     """Per-class precision, recall, F1 and support over the vocabulary; 0/0 -> 0."""
     by = tuple(by)
-    m, _, _ = _metric_rows(pred, vocab, true_col, pred_col, by)
+    m, _ = _metric_rows(pred, vocab, true_col, pred_col, by, weights)
     return m.where(F.col("label").isNotNull()).select(*by, "label", "label_id", "precision", "recall",
                                                       "f1_score", "support")
 
 
 def classification_report(pred: DataFrame, vocab, true_col: str = TRUE, pred_col: str = PRED,
-                          by: tuple[str, ...] = ()) -> DataFrame:
+                          by: tuple[str, ...] = (), weights: str | None = None) -> DataFrame:
     """Label rows, then accuracy, macro avg and weighted avg.
 
     Columns: ``by..., label, precision, recall, f1_score, support, row_order``.
     The accuracy row carries the accuracy in all three metric columns and the
-    row count as support.  The plan is linear: one aggregate over ``pred``,
-    a zero-fill to K + 1 rows per group, then the three summary rows.  With
-    an inlined vocabulary the averages are window sums over the K + 1 rows
-    of each group and each totals row expands into the summary rows, so
-    ``pred`` is read once.  With a large vocabulary the per-label table is
-    checkpointed to the shared folder and the summary rows come from a
-    partial + final aggregate per group over it.
+    row count as support.  The averages are window sums over the K + 1 rows
+    of each group, and each totals row turns into the three summary rows.
     """
     by = tuple(by)
-    m, k, inline = _metric_rows(pred, vocab, true_col, pred_col, by)
+    m, k = _metric_rows(pred, vocab, true_col, pred_col, by, weights)
 
     def out(label, p, r, f, sup, order):
         return F.struct(label.alias("label"), p.alias("precision"), r.alias("recall"), f.alias("f1_score"),
@@ -273,25 +191,17 @@ def classification_report(pred: DataFrame, vocab, true_col: str = TRUE, pred_col
     sums = dict(mp=F.avg("precision"), mr=F.avg("recall"), mf=F.avg("f1_score"), s=F.sum("support"),
                 wp=F.sum(F.col("precision") * F.col("support")), wr=F.sum(F.col("recall") * F.col("support")),
                 wf=F.sum(F.col("f1_score") * F.col("support")))
-    if inline:
-        # At most K + 1 (<= INLINE_LABELS + 1) rows per window partition.
-        w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-        m = m.select("*", *[e.over(w).alias(n) for n, e in sums.items()])
-        rows = F.when(F.col("label").isNull(), summary).otherwise(F.array(own))
-        return m.select(*by, F.explode(rows).alias("o")).select(*by, "o.*")
-    m = m.checkpoint(eager=True)
-    agg = m.groupBy(*by).agg(*[e.alias(n) for n, e in sums.items()],
-                             F.sum("n_rows").alias("n_rows"), F.sum("n_hits").alias("n_hits"))
-    rows = (m.where(F.col("label").isNotNull()).select(*by, own.alias("o"))
-            .unionByName(agg.select(*by, F.explode(summary).alias("o"))))
-    return rows.select(*by, "o.*")
+    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    m = m.select("*", *[e.over(w).alias(n) for n, e in sums.items()])
+    rows = F.when(F.col("label").isNull(), summary).otherwise(F.array(own))
+    return m.select(*by, F.explode(rows).alias("o")).select(*by, "o.*")
 
 
 def score(pred: DataFrame, vocab, true_col: str = TRUE, pred_col: str = PRED,
-          by: tuple[str, ...] = ()) -> DataFrame:
+          by: tuple[str, ...] = (), weights: str | None = None) -> DataFrame:
     """Scalar ``macro_f1`` and ``weighted_f1`` (plus accuracy) per ``by`` group."""
     by = tuple(by)
-    rep = classification_report(pred, vocab, true_col, pred_col, by)
+    rep = classification_report(pred, vocab, true_col, pred_col, by, weights)
     return rep.groupBy(*by).agg(
         F.max(F.when(F.col("label") == "macro avg", F.col("f1_score"))).alias("macro_f1"),
         F.max(F.when(F.col("label") == "weighted avg", F.col("f1_score"))).alias("weighted_f1"),
@@ -302,10 +212,11 @@ def best_run(metrics: DataFrame, metric: str = "macro_f1", run_cols: tuple[str,
              by: tuple[str, ...] = ()) -> DataFrame:
     """The run with the largest ``metric``; ties go to the smallest run key.
 
-    ``max_by`` over a struct ordered (metric, -key...) is one aggregate; no sort.
+    One aggregate, no sort; run keys may be of any orderable type.  A NULL or
+    NaN metric is worse than any number.
     """
-    tiebreak = [(-F.col(c)).alias(f"_neg_{c}") for c in run_cols]
-    best = F.max_by(F.struct(*[F.col(c) for c in run_cols]),
-                    F.struct(F.col(metric), *tiebreak)).alias("_best")
-    out = metrics.groupBy(*by).agg(best, F.max(metric).alias(metric))
-    return out.select(*by, *[F.col(f"_best.{c}").alias(c) for c in run_cols], metric)
+    bad = F.col(metric).isNull() | F.isnan(metric)
+    rank = F.struct(bad.alias("bad"), F.when(~bad, -F.col(metric)).alias("down"), *run_cols)
+    best = F.min_by(F.struct(*run_cols, metric), rank).alias("_best")
+    out = metrics.groupBy(*by).agg(best)
+    return out.select(*by, *[F.col(f"_best.{c}").alias(c) for c in run_cols], F.col(f"_best.{metric}").alias(metric))

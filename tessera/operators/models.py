@@ -12,7 +12,7 @@ from concurrent.futures import ThreadPoolExecutor
 from itertools import combinations
 
 from pyspark import StorageLevel
-from pyspark.ml.classification import LinearSVC, LinearSVCModel, LogisticRegression
+from pyspark.ml.classification import LinearSVC, LinearSVCModel, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,13 +20,15 @@ from pyspark.sql import functions as F
 from ..functions.text import argmax
 
 
-def majority_label(train: DataFrame, label_col: str = "labels") -> str:
+def majority_label(train: DataFrame, label_col: str = "labels", weights: str | None = None) -> str:
     """Most frequent train label; ties go to the smallest label.
 
     A partial + final count per label, then the top row of at most K rows.
+    With ``weights`` a row stands for that many rows.
     """
+    n = F.sum(weights) if weights else F.count(F.lit(1))
     top = (train.where(F.col(label_col).isNotNull())
-           .groupBy(label_col).agg(F.count(F.lit(1)).alias("n"))
+           .groupBy(label_col).agg(n.alias("n"))
            .orderBy(F.desc("n"), F.asc(label_col)).limit(1).collect())
     if not top:
         raise ValueError("empty training set")
@@ -49,12 +51,20 @@ class OneVsOneModel:
     Scoring is one projection: every pair model adds its 0/1 decision as a
     column (JVM-side), the winners form an array and the per-class vote
     counts and their first maximum are array expressions.  No shuffle, no
-    Python per row.
+    Python per row.  ``fits`` tells of every pair how many iterations its fit
+    took and whether it stopped at the limit (an unconverged fit); it is
+    saved with the model.
     """
 
     def __init__(self, classes: list[int], pairs: list[tuple[int, int]], models: list[LinearSVCModel],
-                 features_col: str = "features"):
+                 features_col: str = "features", fits: list[dict] | None = None):
         self.classes, self.pairs, self.models, self.features_col = classes, pairs, models, features_col
+        self.fits = fits or []
+
+    @property
+    def unconverged(self) -> list[tuple[int, int]]:
+        """Pairs whose fit stopped at the iteration limit; raise ``max_iter`` if there are any."""
+        return [tuple(f["pair"]) for f in self.fits if f["at_limit"]]
 
     def transform(self, df: DataFrame, out_col: str = "prediction_id") -> DataFrame:
         cols = df.columns
@@ -66,12 +76,12 @@ class OneVsOneModel:
             df = m.transform(df)
             tmp.append(F.when(F.col(p) > 0.5, F.lit(j)).otherwise(F.lit(i)))
         winners = F.array(*tmp)
-        return df.select(*cols, ovo_vote(winners, len(self.classes)).alias(out_col))
+        return df.select(*cols, ovo_vote(winners, self.classes).alias(out_col))
 
     def save(self, path: str) -> None:
         for (i, j), m in zip(self.pairs, self.models):
             m.write().overwrite().save(f"{path}/pair_{i}_{j}")
-        meta = {"classes": self.classes, "pairs": self.pairs, "features_col": self.features_col}
+        meta = {"classes": self.classes, "pairs": self.pairs, "features_col": self.features_col, "fits": self.fits}
         s = SparkSession.getActiveSession()
         s.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(
             f"{path}/metadata")
@@ -82,15 +92,15 @@ class OneVsOneModel:
         meta = json.loads(s.read.text(f"{path}/metadata").first()[0])
         pairs = [tuple(p) for p in meta["pairs"]]
         models = [LinearSVCModel.load(f"{path}/pair_{i}_{j}") for i, j in pairs]
-        return OneVsOneModel(meta["classes"], pairs, models, meta["features_col"])
+        return OneVsOneModel(meta["classes"], pairs, models, meta["features_col"], meta.get("fits"))
 
 
-def ovo_vote(winners, num_classes: int) -> F.Column:
-    """Class with the most pairwise wins; ties go to the lowest class id."""
+def ovo_vote(winners, classes: list[int]) -> F.Column:
+    """The class of ``classes`` (any ids, ascending) with the most pairwise wins; ties go to the lowest id."""
     w = F.col(winners) if isinstance(winners, str) else winners
-    votes = F.transform(F.sequence(F.lit(0), F.lit(num_classes - 1)),
-                        lambda c: F.size(F.filter(w, lambda x: x == c)))
-    return argmax(votes)
+    ids = F.array(*[F.lit(c) for c in classes])
+    votes = F.transform(ids, lambda c: F.size(w) - F.size(F.array_remove(w, c)))
+    return F.element_at(ids, argmax(votes) + 1)
 
 
 # Iterative fits run one job per iteration; below this many rows per task the
@@ -143,14 +153,19 @@ def fit_svm(train: DataFrame, features_col: str = "features", label_col: str = "
     vectors are kept (memory, then disk) for the iterations; pair fits are
     independent jobs submitted ``parallelism`` at a time (default: all pairs,
     at most 16), since each iteration is a short job dominated by
-    scheduling, not by data.
+    scheduling, not by data.  Rows without a label are not used; the classes
+    may be any ids.  ``fits`` of the result reports every pair's iterations
+    and whether it reached ``max_iter``.
     """
     # Sorted by class inside each partition (no shuffle): the cached column
     # batches then hold few classes each, so a pair's filter skips the
     # batches of the other classes through their min/max statistics.
-    data = (train.select(features_col, F.col(label_col).cast("int").alias("_y"))
+    data = (train.where(F.col(label_col).isNotNull()).select(features_col, F.col(label_col).cast("int").alias("_y"))
             .sortWithinPartitions("_y").persist(StorageLevel.MEMORY_AND_DISK))
     counts = {r["_y"]: r["n"] for r in data.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(counts) < 2:
+        data.unpersist()
+        raise ValueError("need at least two classes")
     data = _resize_cached(data, sum(counts.values()))
     classes = sorted(counts)
     pairs = list(combinations(classes, 2))
@@ -161,15 +176,32 @@ def fit_svm(train: DataFrame, features_col: str = "features", label_col: str = "
             features_col, (F.col("_y") == j).cast("double").alias("_bin"))
         svc = LinearSVC(featuresCol=features_col, labelCol="_bin", regParam=1.0 / (C * (counts[i] + counts[j])),
                         standardization=False, fitIntercept=True, maxIter=max_iter, tol=tol)
-        return svc.fit(sub)
+        model = svc.fit(sub)
+        took = model.summary().totalIterations
+        return model, {"pair": [i, j], "iterations": took, "at_limit": took >= max_iter}
 
     workers = parallelism or min(16, max(1, len(pairs)))
-    with ThreadPoolExecutor(max_workers=workers) as ex:
-        models = list(ex.map(fit_pair, pairs))
-    data.unpersist()
-    if len(classes) == 1:
-        raise ValueError("need at least two classes")
-    return OneVsOneModel(classes, pairs, models, features_col)
+    try:
+        with ThreadPoolExecutor(max_workers=workers) as ex:
+            done = list(ex.map(fit_pair, pairs))
+    finally:
+        data.unpersist()
+    return OneVsOneModel(classes, pairs, [m for m, _ in done], features_col, [f for _, f in done])
+
+
+def fit_one_vs_rest(train: DataFrame, features_col: str = "features", label_col: str = "label_id", C: float = 1.0,
+                    max_iter: int = 100, tol: float = 1e-6, parallelism: int = 8):
+    """One linear SVM per class against the rest, for schemes of many classes (K fits instead of K(K-1)/2).
+
+    A Spark ML ``OneVsRestModel``: the class whose decision value is largest is predicted.
+    """
+    from pyspark.ml.classification import OneVsRest
+    rows = train.where(F.col(label_col).isNotNull()).select(features_col, F.col(label_col).cast("double").alias(label_col))
+    n = rows.count()
+    svc = LinearSVC(featuresCol=features_col, regParam=1.0 / (C * max(n, 1)), standardization=False, fitIntercept=True,
+                    maxIter=max_iter, tol=tol)
+    return fit_iterative(OneVsRest(classifier=svc, featuresCol=features_col, labelCol=label_col,
+                                   predictionCol="prediction_id", parallelism=parallelism), rows)
 
 
 # --------------------------------------------------------------------------- J6: grid selection
@@ -188,9 +220,11 @@ def train_select(train: DataFrame, valid: DataFrame, vocab: DataFrame, estimator
                  parallelism: int | None = None):
     """Fit one model per parameter map, report each on ``valid``, keep the best by macro F1.
 
-    Returns ``(models, scores, best)``: ``scores`` is one row per run
-    (``run_id, macro_f1, weighted_f1, accuracy``) and ``best`` the winning
-    row (ties to the lowest run id).
+    Returns ``(best_model, scores, best_run)``: ``scores`` is one row per run
+    (``run_id, macro_f1, weighted_f1, accuracy``; computed once and held by
+    the driver, one row per parameter map), ``best_run`` the id of the winner
+    (ties to the lowest) and ``best_model`` its model, ready to be saved.  All models
+    score a row in one projection: the row then has one prediction per run.
     """
     from . import labels as L
     from . import metrics as M
@@ -204,19 +238,25 @@ def train_select(train: DataFrame, valid: DataFrame, vocab: DataFrame, estimator
     def fit_one(pm):
         return estimator.copy(pm).fit(data)
 
-    with ThreadPoolExecutor(max_workers=parallelism or min(16, max(1, len(grid)))) as ex:
-        models = list(ex.map(fit_one, grid))
-    data.unpersist()
-    # Every model scores the same validation rows: derive them once.
-    valid = valid.persist(StorageLevel.MEMORY_AND_DISK)
-    preds = None
+    try:
+        with ThreadPoolExecutor(max_workers=parallelism or min(16, max(1, len(grid)))) as ex:
+            models = list(ex.map(fit_one, grid))
+    finally:
+        data.unpersist()
+    rows = valid.select("labels", estimator.getFeaturesCol())
     for k, m in enumerate(models):
-        p = m.transform(valid).select(F.lit(k).alias("run_id"), "sentence_id", "labels", "prediction_id")
-        preds = p if preds is None else preds.unionByName(p)
+        m = m.copy()
+        m.setPredictionCol(f"_p{k}").setRawPredictionCol(f"_r{k}").setProbabilityCol(f"_q{k}")
+        rows = m.transform(rows).drop(f"_r{k}", f"_q{k}")
+    runs = F.array(*[F.struct(F.lit(k).alias("run_id"), F.col(f"_p{k}").alias("prediction_id"))
+                     for k in range(len(models))])
+    preds = rows.select("labels", F.explode(runs).alias("r")).select("labels", "r.*")
     preds = L.decode_labels(preds, vocab, "prediction_id", "prediction")
-    scores = M.score(preds, vocab, by=("run_id",))
-    best = M.best_run(scores, "macro_f1", ("run_id",))
-    return models, scores, best
+    found = M.score(preds, vocab, by=("run_id",)).collect()
+    scores = train.sparkSession.createDataFrame(
+        [tuple(r) for r in found], "run_id int, macro_f1 double, weighted_f1 double, accuracy double")
+    best = min(found, key=lambda r: (-r["macro_f1"], r["run_id"]))["run_id"]
+    return models[best], scores, best
 
 
 # --------------------------------------------------------------------------- J7-J9: scoring, persistence
@@ -238,8 +278,10 @@ def save_model(model, path: str) -> None:
 
 
 def load_model(path: str, kind: str = "pipeline"):
-    """Reload a model saved by ``save_model``."""
+    """Reload a model saved by ``save_model`` (J9): a pipeline, a ``classifier`` alone or a one-vs-one model (``ovo``)."""
     if kind == "ovo":
         return OneVsOneModel.load(path)
+    if kind == "classifier":
+        return LogisticRegressionModel.load(path)
     from pyspark.ml import PipelineModel
     return PipelineModel.load(path)

@@ -6,23 +6,20 @@ from pyspark.sql import DataFrame
 
 
 def cluster_by_id(df: DataFrame, id_col: str = "sentence_id") -> DataFrame:
-    """Hash-partition on the id with the session's shuffle partition count.
+    """Hash-partition on the id; the runtime sizes the partitions from what it measures.
 
     Later aggregations and windows keyed by the id (or by the id plus more
     columns) reuse this partitioning without another exchange; Spark also
     collapses a repeated request for the same partitioning into one.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, id_col)
+    return df.repartition(id_col)
 
 
 def spread_if_few(df: DataFrame, id_col: str = "sentence_id") -> DataFrame:
-    """Cluster by id when the scan yields fewer tasks than there are cores.
+    """For CPU-heavy text work: spread a scan that yields fewer tasks than there are cores over the cores.
 
-    A file with a single row group is read by one task; CPU-heavy text work
-    on it would use one core.  Large inputs already have many splits and are
-    left as they are (no shuffle).
+    A file with a single row group is read by one task.  Inputs with at least
+    as many splits as cores are left as they are, so parallelism only rises.
     """
-    if df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism:
-        return cluster_by_id(df, id_col)
-    return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, id_col) if df.rdd.getNumPartitions() < cores else df

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TWO_POW_32 = 4294967296.0
@@ -40,35 +40,38 @@ def _locate(counts, key: str, k: int) -> tuple[int, int]:
 
 def assign_split_exact(df: DataFrame, test_size: float = 0.2, seed: int = 200,
                        id_col: str = "sentence_id", out_col: str = "is_test") -> DataFrame:
-    """Add ``is_test`` with exactly ceil(test_size * n) test rows.
-
-    Rows are ordered by (hash, id); the first k rows are test.  No global
-    sort: counts per 16-bit hash bucket (at most 65,536 rows on the driver)
-    locate the bucket that holds the k-th row; counts per full 32-bit hash
-    inside that bucket (again at most 65,536 rows) locate the hash that holds
-    it.  A row number is computed only among the rows with that one hash
-    (~n / 2^32 rows when ids are unique); every other row is decided by a
-    projection.
+    """Add ``is_test`` with ceil(test_size * n) test rows.
+
+    Rows are ordered by (hash, id); test is every row up to the pair that
+    holds the k-th row, so rows of one id stay together: repeated ids at the
+    boundary are all test, and the count is exact when ids are unique.  A
+    NULL id hashes as the empty text.  Counts per 16-bit hash bucket, then
+    per 32-bit hash in one bucket (each at most 65,536 rows on the driver),
+    then per id with that one hash (~n / 2^32 ids) find the pair; the rows
+    themselves are decided by one comparison each, in one scan, and are never
+    sorted or shuffled.
     """
-    h = split_hash(F.col(id_col), seed)
-    tagged = df.withColumn("_h", h).withColumn("_b", F.shiftright(F.col("_h"), 16))
-    counts = tagged.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).collect()
+    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    tagged = df.withColumn("_h", split_hash(key, seed))
+    bucket_of = F.shiftright(F.col("_h"), 16)
+    counts = tagged.groupBy(bucket_of.alias("_b")).agg(F.count(F.lit(1)).alias("n")).collect()
     n = sum(r["n"] for r in counts)
     k = math.ceil(test_size * n)
     if k == 0:
-        return tagged.withColumn(out_col, F.lit(False)).drop("_h", "_b")
+        return df.withColumn(out_col, F.lit(False))
     bucket, need = _locate(counts, "_b", k)
-    in_bucket = F.col("_b") == F.lit(bucket)
-    inner = tagged.where(in_bucket).groupBy("_h").agg(F.count(F.lit(1)).alias("n")).collect()
-    edge_hash, need = _locate(inner, "_h", need)
-    at_edge = F.col("_h") == F.lit(edge_hash)
-    decided = (F.col("_b") < F.lit(bucket)) | (in_bucket & (F.col("_h") < F.lit(edge_hash)))
-    rest = tagged.where(~at_edge).withColumn(out_col, decided)
-    w = Window.partitionBy("_h").orderBy(id_col)
-    edge = (tagged.where(at_edge)
-            .withColumn("_rn", F.row_number().over(w))
-            .withColumn(out_col, F.col("_rn") <= F.lit(need)).drop("_rn"))
-    return rest.unionByName(edge).drop("_h", "_b")
+    inner = tagged.where(bucket_of == bucket).groupBy("_h").agg(F.count(F.lit(1)).alias("n")).collect()
+    edge, need = _locate(inner, "_h", need)
+    # NULL ids sort first, as in ORDER BY.
+    at_edge = [r for r in tagged.where(F.col("_h") == edge).groupBy(F.col(id_col).alias("id"))
+               .agg(F.count(F.lit(1)).alias("n")).orderBy("id").collect()]
+    for r in at_edge:
+        last = r["id"]
+        need -= r["n"]
+        if need <= 0:
+            break
+    up_to_last = F.col(id_col).isNull() if last is None else (F.col(id_col).isNull() | (F.col(id_col) <= F.lit(last)))
+    return tagged.withColumn(out_col, (F.col("_h") < edge) | ((F.col("_h") == edge) & up_to_last)).drop("_h")
 
 
 def split(df: DataFrame, test_size: float = 0.2, seed: int = 200, id_col: str = "sentence_id",

@@ -7,19 +7,18 @@ Semantics (character n-grams inside word boundaries, smooth IDF, L2 rows):
 * weight = count * idf, each document's weights scaled to unit L2 norm;
   terms unseen in train are dropped.
 
-Plan: documents are hash-partitioned on ``sentence_id`` once (a shuffle of
-the text, the smallest form of the data).  The (id, term) counts, the
-per-document norm and the join to the feature block all need clustering by
-id and reuse that partitioning, so the n-grams (several times larger than
-the text) are never shuffled.  Document frequencies are a partial + final
-aggregate (the space term, present in every document, costs one row per map
-task).  The IDF table is broadcast only after its size is checked; beyond the
-bound it is a shuffle join where AQE splits the hot terms.
+Plan: the IDF needs no shuffle of text: every train document explodes its
+distinct n-grams into a partial + final count (the space term, present in
+every document, costs one row per map task).  The weights hash-partition the
+documents on ``sentence_id`` (the text, the smallest form of the data); the
+(id, term) counts, the per-document norm and the join to the feature block
+reuse that partitioning, so the n-grams are never shuffled.  Nothing is
+cached.  The IDF table is broadcast only after its size is checked; beyond
+the bound it is a shuffle join where AQE splits the hot terms.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,12 +82,21 @@ def term_counts(df: DataFrame, min_n: int = 1, max_n: int = 2, text_col: str = "
     return grams.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def fit_idf(train_tf: DataFrame, n_docs: int, id_col: str = "sentence_id") -> DataFrame:
-    """``(term, df, idf)`` with the smooth formula, from train term counts."""
-    return (train_tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-            .select("term", "df",
-                    (F.log((F.lit(1.0) + F.lit(float(n_docs))) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))
-                    .alias("idf")))
+def fit_idf(train: DataFrame, min_n: int = 1, max_n: int = 2, text_col: str = "norm_text") -> DataFrame:
+    """``(term, df, idf)`` with the smooth formula, from the train documents.
+
+    One pass: each document adds its distinct n-grams and one NULL marker,
+    whose count is the number of documents.  The counts (one row per term)
+    are written once to the shared checkpoint folder.
+    """
+    grams = F.array_distinct(char_wb_grams(F.col(text_col), min_n, max_n))
+    marked = F.concat(F.coalesce(grams, F.array().cast("array<string>")), F.array(F.lit(None).cast("string")))
+    counts = (train.select(F.explode(marked).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+              .checkpoint(eager=True))
+    docs = counts.where(F.col("term").isNull()).first()
+    n_docs = float(docs["df"]) if docs else 0.0
+    idf = F.log((1.0 + F.lit(n_docs)) / (1.0 + F.col("df"))) + 1.0
+    return counts.where(F.col("term").isNotNull()).select("term", "df", idf.alias("idf"))
 
 
 def tfidf(tf: DataFrame, idf: DataFrame, id_col: str = "sentence_id",
@@ -111,20 +119,12 @@ def fit_transform_tfidf(docs: DataFrame, is_test_col: str = "is_test", min_n: in
     """Fit the IDF on the train rows of ``docs`` and weight every row.
 
     ``docs`` holds ``id, text, is_test``.  Returns ``(weights, idf)`` where
-    ``weights`` is ``(id, is_test, term, weight)``.  Train and test term
-    counts come from one clustered pass.
+    ``weights`` is ``(id, is_test, term, weight)``.
     """
+    idf = fit_idf(docs.where(~F.col(is_test_col)), min_n, max_n, text_col)
     src = cluster_by_id(docs.select(id_col, text_col, is_test_col), id_col)
-    # Read twice (document frequencies, then weights): keep it, spilling to
-    # disk; lost blocks are recomputed from lineage.
     tf = (src.select(id_col, is_test_col, F.explode(char_wb_grams(F.col(text_col), min_n, max_n)).alias("term"))
-          .groupBy(id_col, is_test_col, "term").agg(F.count(F.lit(1)).alias("tf"))
-          .persist(StorageLevel.MEMORY_AND_DISK))
-    n_docs = docs.where(~F.col(is_test_col)).count()
-    # Written once to the shared checkpoint folder: the size check before the
-    # broadcast and the join itself then read the small table instead of
-    # aggregating the term counts twice.
-    idf = fit_idf(tf.where(~F.col(is_test_col)), n_docs, id_col).checkpoint(eager=True)
+          .groupBy(id_col, is_test_col, "term").agg(F.count(F.lit(1)).alias("tf")))
     return tfidf(tf, idf, id_col), idf
 
 

@@ -21,7 +21,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.partitioning import spread_if_few
 from ..sources.annotations import flatten_sentences, parse_annotations, to_annotation_json
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -41,14 +40,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as a sentence table: ``sentence_id = doc_id``, ``labels = lang``.
-
-    Clustered by id when the scan gives fewer tasks than cores (text work is
-    CPU-bound); the id clustering is then reused by per-id aggregates.
-    """
+    """documents as a sentence table: ``sentence_id = doc_id``, ``labels = lang``."""
     d = table(spark, sf_dir, "documents")
-    s = d.select(F.col("doc_id").alias("sentence_id"), "text", F.col("lang").alias("labels"))
-    return spread_if_few(s)
+    return d.select(F.col("doc_id").alias("sentence_id"), "text", F.col("lang").alias("labels"))
 
 
 def _pair_case(mapping: dict) -> F.Column:
@@ -83,6 +77,38 @@ def conversation_annotation_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_annotation_json(conversation_turns(spark, sf_dir), "conv_id", "turn", "sentences")
 
 
+# Fixed stand-in label values: role -> coarse and fine class.
+ROLE_COARSE = {"system": "COMMISSIVE", "user": "ASSERTIVE", "assistant": "OTHER"}
+ROLE_FINE = {"system": "PROMISE", "user": "THANK", "assistant": "SUGGEST"}
+
+
+def marked_annotation_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``conversation_annotation_json`` with label classes, and with the first line's text or type blanked in some turns."""
+    c = table(spark, sf_dir, "conversations")
+    lines = F.split(F.col("text"), "\n")
+    first = lambda i, rest: (i == 0) & (F.col("turn") % 5 == rest)
+    pick = lambda m: F.when(F.col("role") == "system", m["system"]).when(
+        F.col("role") == "user", m["user"]).otherwise(m["assistant"])
+    none = F.lit(None).cast("string")
+    structs = F.transform(lines, lambda x, i: F.struct(
+        F.when(first(i, 2), none).otherwise(x).alias("text"), F.when(first(i, 3), none).otherwise(F.col("role")).alias("stype"),
+        pick(ROLE_COARSE).alias("coarse"), pick(ROLE_FINE).alias("fine")))
+    ids = F.transform(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: i.cast("string"))
+    turns = c.select("conv_id", "turn", F.map_from_arrays(ids, structs).alias("sentences"))
+    return to_annotation_json(turns, "conv_id", "turn", "sentences")
+
+
+def conversation_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, value): one nested annotation object per sixteen conversations."""
+    turns = conversation_turns(spark, sf_dir)
+    convs = turns.groupBy("conv_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(
+        F.col("turn").cast("string").alias("turn"), F.struct("sentences").alias("tweet"))),
+        lambda a, b: F.when(a["turn"] < b["turn"], -1).when(a["turn"] > b["turn"], 1).otherwise(0))).alias("tweets"))
+    objects = convs.groupBy(F.floor(F.col("conv_id") / 16).alias("file")).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("conv_id").cast("string"), F.col("tweets")))).alias("o"))
+    return objects.select("file", F.to_json("o").alias("value"))
+
+
 def conversation_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Round trip: conversations -> nested JSON text -> parsed -> flattened (A1, A2)."""
     return flatten_sentences(parse_annotations(conversation_annotation_json(spark, sf_dir)))

@@ -20,7 +20,8 @@ from ..operators import tfidf as TF
 from ..operators import vectors as V
 from ..operators import metrics as M
 from ..operators.joins import join_small
-from ..operators.models import majority_predict
+from ..operators.partitioning import spread_if_few
+from ..operators.models import majority_label, majority_predict
 from ..operators.split import assign_split, assign_split_exact, split
 from ..session import scratch_path
 from ..sources import annotations as A
@@ -50,6 +51,11 @@ def _report_cols(rep: DataFrame, by=()) -> DataFrame:
                       r6("f1_score").alias("f1_score"), "support", F.col("row_order").cast("int"))
 
 
+def text_docs(spark, sf):
+    """The documents for CPU-heavy text work: a scan of few splits is spread over the cores."""
+    return spread_if_few(I.documents_sentences(spark, sf))
+
+
 def docs_split(spark, sf):
     return split(I.documents_sentences(spark, sf), 0.2, 200, "sentence_id")
 
@@ -61,11 +67,16 @@ maj AS (SELECT labels FROM train WHERE labels IS NOT NULL GROUP BY labels
         ORDER BY count(*) DESC, labels LIMIT 1),
 pred AS (SELECT t.sentence_id, t.labels, m.labels AS prediction FROM test t, maj m)"""))
 def majority_report(spark, sf):
-    """documents -> label = lang -> hash split -> majority baseline -> report."""
-    train, test = docs_split(spark, sf)
-    vocab = L.label_vocab(train)
-    pred = majority_predict(train, test)
-    return _report_cols(M.classification_report(pred, vocab))
+    """documents -> label = lang -> hash split -> majority baseline -> report.
+
+    One count by (split, label) holds all that the vocabulary, the majority
+    and the report need; the documents are read once.
+    """
+    docs = assign_split(I.documents_sentences(spark, sf), 0.2, 200)
+    counts = docs.groupBy("is_test", "labels").agg(F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+    train, test = counts.where(~F.col("is_test")), counts.where("is_test")
+    pred = majority_predict(train, test, majority_label(train, weights="n"))
+    return _report_cols(M.classification_report(pred, L.label_vocab(train), weights="n"))
 
 
 # --------------------------------------------------------------------------- A. sources
@@ -94,6 +105,61 @@ def validate_conversations(spark, sf):
     return s.select("sentence_id", A.problem_column().alias("problem"))
 
 
+_LINES = """
+WITH t AS (SELECT conv_id, turn, role, string_split(text, chr(10)) AS l FROM conversations),
+x AS (SELECT conv_id, turn, role, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS i FROM t),
+s AS (SELECT conv_id || '/' || turn || '/' || i AS sentence_id, conv_id, turn, i,
+  CASE WHEN i = 0 AND turn % 5 = 2 THEN NULL ELSE line END AS text,
+  CASE WHEN i = 0 AND turn % 5 = 3 THEN NULL ELSE role END AS stype,
+  CASE role WHEN 'system' THEN 'COMMISSIVE' WHEN 'user' THEN 'ASSERTIVE' ELSE 'OTHER' END AS coarse,
+  CASE role WHEN 'system' THEN 'PROMISE' WHEN 'user' THEN 'THANK' ELSE 'SUGGEST' END AS fine FROM x),
+p AS (SELECT *, CASE WHEN text IS NULL THEN 'missing text' WHEN stype IS NULL THEN 'missing stype'
+  WHEN text = '' THEN 'empty text' END AS problem FROM s)"""
+
+
+@register("annotation_bad_rows", _LINES + " SELECT sentence_id, problem FROM p WHERE problem IS NOT NULL")
+def annotation_bad_rows(spark, sf):
+    """Annotation ndjson files with blanked fields -> read -> flatten -> the rejected rows with their reasons (A1-A3)."""
+    path = scratch_path(spark, "annotations")
+    I.marked_annotation_json(spark, sf).write.text(path)
+    _, bad = A.validate_sentences(A.flatten_sentences(A.read_annotations(spark, path, "ndjson")), "split")
+    return bad.select("sentence_id", "problem")
+
+
+@register("annotation_chain", _LINES + f""",
+g AS (SELECT sentence_id, text, coarse, fine, CASE WHEN {Q.is_test_sql('sentence_id')} THEN 'test' ELSE 'train' END AS part
+  FROM p WHERE problem IS NULL)
+SELECT 'coarse' AS scheme, part, text, coarse AS labels FROM g
+UNION ALL SELECT 'coarse_merged', part, text, {Q.MERGED_RULE} FROM g
+UNION ALL SELECT 'fine', part, text, {Q.FINE_RULE} FROM g""")
+def annotation_chain(spark, sf):
+    """Annotation files -> flatten -> validate -> each scheme -> split -> TSV -> read back."""
+    path = scratch_path(spark, "annotations")
+    I.marked_annotation_json(spark, sf).write.text(path)
+    good, _ = A.validate_sentences(A.flatten_sentences(A.read_annotations(spark, path, "ndjson")), "split")
+    out = None
+    for scheme in L.SCHEMES:
+        parts = dict(zip(("train", "test"), split(L.label_scheme(good, scheme), 0.2, 200, "sentence_id")))
+        for part, rows in parts.items():
+            D.write_tsv(rows, f"{path}-{scheme}/{part}")
+            back = D.read_tsv(spark, f"{path}-{scheme}/{part}").select(
+                F.lit(scheme).alias("scheme"), F.lit(part).alias("part"), "text", "labels")
+            out = back if out is None else out.unionByName(back)
+    return out
+
+
+@register("annotation_object_files", """
+WITH t AS (SELECT conv_id, turn, role, string_split(text, chr(10)) AS l FROM conversations),
+x AS (SELECT conv_id, turn, role, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS i FROM t)
+SELECT conv_id || '/' || turn || '/' || i AS sentence_id, CAST(i AS INTEGER) AS pos, line AS text, role AS stype FROM x""")
+def annotation_object_files(spark, sf):
+    """Files of one nested object each (sixteen conversations a file), read whole and flattened (A1, A2)."""
+    path = scratch_path(spark, "annotation-objects")
+    I.conversation_objects(spark, sf).write.partitionBy("file").text(path)
+    s = A.flatten_sentences(A.read_annotations(spark, f"{path}/file=*", "object"))
+    return s.select("sentence_id", "pos", "text", "stype")
+
+
 @register("tsv_roundtrip", f"""
 SELECT text, lang AS labels, CASE WHEN {Q.is_test_sql('doc_id')} THEN 'test' ELSE 'train' END AS part
 FROM documents""")
@@ -204,13 +270,45 @@ def unseen_prediction_labels(spark, sf):
 
 
 # --------------------------------------------------------------------------- D. evaluation on events
-@register("errors_table", "WITH " + Q.EVENTS_PRED + """
-SELECT sentence_id, CAST(sentence_id AS VARCHAR) AS "Text", labels AS "True Label", prediction AS "Prediction"
-FROM pred WHERE labels IS DISTINCT FROM prediction""")
+_MAJORITY_ERRORS = "WITH " + Q.DOCS_SPLIT + """,
+maj AS (SELECT labels FROM train WHERE labels IS NOT NULL GROUP BY labels ORDER BY count(*) DESC, labels LIMIT 1),
+pred AS (SELECT t.sentence_id, t.text, t.labels, m.labels AS prediction FROM test t, maj m),
+err AS (SELECT * FROM pred WHERE labels IS DISTINCT FROM prediction)"""
+
+
+def _majority_errors(spark, sf):
+    """Majority predictions, as a table of their own, attached to the test sentences; the errors among them."""
+    train, test = docs_split(spark, sf)
+    predictions = majority_predict(train, test.select("sentence_id"), majority_label(train))
+    return train, M.error_table(M.attach_predictions(test, predictions))
+
+
+@register("errors_table", _MAJORITY_ERRORS + """
+SELECT sentence_id, text AS "Text", labels AS "True Label", prediction AS "Prediction" FROM err""")
 def errors_table(spark, sf):
-    """Misclassified rows with the export names."""
-    pred = I.event_predictions(spark, sf).withColumn("text", F.col("sentence_id").cast("string"))
-    return M.error_table(pred)
+    """Misclassified documents with their text, under the export names."""
+    return _majority_errors(spark, sf)[1]
+
+
+@register("majority_errors_csv", _MAJORITY_ERRORS + """
+SELECT CAST(row_number() OVER (ORDER BY sentence_id) - 1 AS BIGINT) AS row_id, text AS "Text", labels AS "True Label",
+       prediction AS "Prediction" FROM err""")
+def majority_errors_csv(spark, sf):
+    """Model output -> attached by id -> errors with their text -> error CSV -> read back."""
+    path = scratch_path(spark, "majority-errors")
+    D.write_errors(_majority_errors(spark, sf)[1], path)
+    return D.read_errors(spark, path)
+
+
+@register("majority_error_confusion", _MAJORITY_ERRORS + "," + Q.VOCAB_FROM_TRAIN + """
+SELECT a.label AS true_label, b.label AS pred_label,
+       (SELECT count(*) FROM err e WHERE e.labels = a.label AND e.prediction = b.label) AS n FROM vocab a, vocab b""")
+def majority_error_confusion(spark, sf):
+    """Confusion counts of a saved error CSV, as the saved error analysis does."""
+    train, found = _majority_errors(spark, sf)
+    path = scratch_path(spark, "majority-errors")
+    D.write_errors(found, path)
+    return M.confusion(D.read_errors(spark, path), L.label_vocab(train), "True Label", "Prediction")
 
 
 _CONF_SQL = "WITH " + Q.EVENTS_PRED + "," + Q.VOCAB_FROM_TRAIN + """,
@@ -232,6 +330,14 @@ def error_confusion(spark, sf):
     return M.confusion(M.errors(pred), L.label_vocab(pred))
 
 
+@register("error_confusion_no_errors", "WITH " + Q.EVENTS_PRED + "," + Q.VOCAB_FROM_TRAIN + """
+SELECT a.label AS true_label, b.label AS pred_label, CAST(0 AS BIGINT) AS n FROM vocab a, vocab b""")
+def error_confusion_no_errors(spark, sf):
+    """Every prediction is right: the confusion counts of the errors are K^2 zeros."""
+    pred = I.event_predictions(spark, sf).withColumn("prediction", F.col("labels"))
+    return M.confusion(M.errors(pred), L.label_vocab(pred))
+
+
 @register("confusion_wide", "WITH " + Q.EVENTS_PRED + "," + Q.VOCAB_FROM_TRAIN + """
 SELECT v.label AS true_label,
 """ + ",\n".join(
@@ -275,6 +381,17 @@ def report_by_run(spark, sf):
     return _report_cols(M.classification_report(pred, vocab, by=("run_id",)), by=("run_id",))
 
 
+_NULL_RUN = Q.EVENTS_PRED_RUNS.replace("r.run_id, event_id", "nullif(r.run_id, 2) AS run_id, event_id")
+
+
+@register("report_null_run", Q.report_sql(_NULL_RUN + "," + Q.VOCAB_FROM_TRAIN, by=("run_id",)))
+def report_null_run(spark, sf):
+    """One report per run, one of the runs without an id."""
+    pred = I.event_predictions_runs(spark, sf).withColumn("run_id", F.expr("nullif(run_id, 2)"))
+    vocab = L.label_vocab(I.event_predictions(spark, sf))
+    return _report_cols(M.classification_report(pred, vocab, by=("run_id",)), by=("run_id",))
+
+
 _SCORE_SQL = "WITH r AS (" + Q.report_sql(Q.EVENTS_PRED_RUNS + "," + Q.VOCAB_FROM_TRAIN, by=("run_id",)) + """),
 s AS (SELECT run_id,
         max(f1_score) FILTER (WHERE label = 'macro avg') AS macro_f1,
@@ -339,7 +456,7 @@ _EMOJI = Q.sql_str(T.EMOJI_RE)
 @register("tokenize", f"SELECT doc_id AS sentence_id, regexp_extract_all(text, {_TOK}) AS tokens FROM documents")
 def tokenize(spark, sf):
     """H0 on every document."""
-    d = I.documents_sentences(spark, sf)
+    d = text_docs(spark, sf)
     return d.select("sentence_id", T.tokenize("text").alias("tokens"))
 
 
@@ -360,10 +477,25 @@ SELECT doc_id AS sentence_id,
 FROM t""")
 def text_features(spark, sf):
     """The 11 features of every document, tokenised once."""
-    d = I.documents_sentences(spark, sf).select("sentence_id", "text")
+    d = text_docs(spark, sf).select("sentence_id", "text")
     return H.text_features(d).drop("text")
 
 
+_MARKED = {0: " ?", 1: " \U0001f600 ok", 2: " #tag @you", 3: " \u2764\ufe0f ! ", 4: ""}
+_MARKED_SQL = "text || CASE doc_id % 5 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in _MARKED.items()) + " END"
+
+
+@register("text_features_marked", ORACLE["text_features"].replace(
+    "SELECT doc_id, text, regexp_extract_all(text,", f"SELECT doc_id, {_MARKED_SQL} AS text, regexp_extract_all({_MARKED_SQL},"))
+def text_features_marked(spark, sf):
+    """The 11 features of documents that get a question mark, an emoji or a tag by their id: every flag has hits."""
+    d = text_docs(spark, sf).select("sentence_id", "text")
+    fifth = F.col("sentence_id") % 5
+    mark = F.when(fifth == 0, _MARKED[0]).when(fifth == 1, _MARKED[1]).when(fifth == 2, _MARKED[2]).when(
+        fifth == 3, _MARKED[3]).otherwise(_MARKED[4])
+    return H.text_features(d.withColumn("text", F.concat("text", mark))).drop("text")
+
+
 @register("normalize_text", f"""
 SELECT doc_id AS sentence_id,
   array_to_string(list_filter(regexp_extract_all(lower(text), {_TOK}),
@@ -371,7 +503,7 @@ SELECT doc_id AS sentence_id,
 FROM documents""")
 def normalize_text(spark, sf):
     """Lowercase, drop punctuation tokens, join by one space; identity lemmas."""
-    d = I.documents_sentences(spark, sf).select("sentence_id", "text")
+    d = text_docs(spark, sf).select("sentence_id", "text")
     return H.normalize_text(d).select("sentence_id", "norm_text")
 
 
@@ -388,7 +520,7 @@ m AS (SELECT x.doc_id, string_agg(COALESCE(lem.lemma, x.form), ' ' ORDER BY x.po
 SELECT d.doc_id AS sentence_id, COALESCE(m.s, '') AS norm_text FROM d LEFT JOIN m ON d.doc_id = m.doc_id""")
 def normalize_lemmas(spark, sf):
     """H14 with a lemma table: every document's tokens mapped through a table derived from train."""
-    d = assign_split(I.documents_sentences(spark, sf), 0.2, 200)
+    d = assign_split(text_docs(spark, sf), 0.2, 200)
     lem = I.lemma_table(d.where(~F.col("is_test")))
     return H.normalize_text(d.select("sentence_id", "text"), lemmas=lem).select("sentence_id", "norm_text")
 
@@ -421,21 +553,21 @@ idf AS (SELECT term, count(*) AS df, ln((1 + (SELECT n FROM nd)) / (1 + count(*)
 
 
 def _docs_norm_split(spark, sf):
-    d = assign_split(I.documents_sentences(spark, sf), 0.2, 200)
+    d = assign_split(text_docs(spark, sf), 0.2, 200)
     return H.normalize_text(d).select("sentence_id", "norm_text", "is_test")
 
 
 @register("term_counts", "WITH " + _TF_CTES + "\nSELECT doc_id AS sentence_id, term, CAST(tf AS BIGINT) AS tf FROM tf")
 def term_counts(spark, sf):
     """Char 1-2 gram counts per normalized document."""
-    d = H.normalize_text(I.documents_sentences(spark, sf)).select("sentence_id", "norm_text")
+    d = H.normalize_text(text_docs(spark, sf)).select("sentence_id", "norm_text")
     return TF.term_counts(d)
 
 
 @register("idf", "WITH " + _TF_CTES + "\nSELECT term, CAST(df AS BIGINT) AS df, round(idf, 6) AS idf FROM idf")
 def idf(spark, sf):
     """Smooth IDF fitted on the train split."""
-    _, idf_df = TF.fit_transform_tfidf(_docs_norm_split(spark, sf))
+    idf_df = TF.fit_idf(_docs_norm_split(spark, sf).where(~F.col("is_test")))
     return idf_df.select("term", F.col("df").cast("bigint").alias("df"), r6("idf").alias("idf"))
 
 
@@ -452,13 +584,12 @@ def tfidf(spark, sf):
 SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS BIGINT) AS term_index FROM idf""")
 def gram_vocab(spark, sf):
     """Train vocabulary sorted by term, dense index."""
-    _, idf_df = TF.fit_transform_tfidf(_docs_norm_split(spark, sf))
-    return TF.gram_vocab(idf_df)
+    return TF.gram_vocab(TF.fit_idf(_docs_norm_split(spark, sf).where(~F.col("is_test"))))
 
 
 # --------------------------------------------------------------------------- I5, I6, J. models
 def _docs_train_test(spark, sf):
-    d = assign_split(I.documents_sentences(spark, sf), 0.2, 200)
+    d = assign_split(text_docs(spark, sf), 0.2, 200)
     train = d.where(~F.col("is_test")).drop("is_test")
     test = d.where(F.col("is_test")).drop("is_test")
     return train, test
@@ -574,6 +705,38 @@ def svm_ablation(spark, sf):
     return _report_cols(M.classification_report(preds, vocab, by=("run_id",)), by=("run_id",))
 
 
+@register("svm_ablation_support", "WITH " + Q.DOCS_SPLIT + "," + Q.VOCAB_FROM_TRAIN + """,
+r AS (SELECT unnest([0, 1]) AS run_id)
+SELECT run_id, label, (SELECT count(*) FROM test t WHERE t.labels = v.label) AS support FROM r, vocab v
+UNION ALL SELECT run_id, 'accuracy', (SELECT count(*) FROM test) FROM r
+UNION ALL SELECT run_id, unnest(['macro avg', 'weighted avg']),
+  (SELECT count(*) FROM test t JOIN vocab v ON t.labels = v.label) FROM r""")
+def svm_ablation_support(spark, sf):
+    """The rows and support counts of the ablation's reports: no test row is lost or doubled in either run."""
+    return svm_ablation(spark, sf).select("run_id", "label", "support")
+
+
+_MARKERS = {0: "qx ", 1: "wz ", 2: "kj "}
+
+
+@register("svm_separable", f"""
+SELECT doc_id AS sentence_id, 'class' || (doc_id % 3) AS labels, 'class' || (doc_id % 3) AS prediction
+FROM documents WHERE {Q.is_test_sql('doc_id')}""")
+def svm_separable(spark, sf):
+    """One-vs-one SVM on texts whose class is written all over them: every prediction must be the label."""
+    docs = text_docs(spark, sf)
+    third = F.col("sentence_id") % 3
+    marker = F.when(third == 0, _MARKERS[0]).when(third == 1, _MARKERS[1]).otherwise(_MARKERS[2])
+    docs = assign_split(docs.select("sentence_id", F.concat(F.repeat(marker, F.lit(40)), F.substring("text", 1, 20)).alias("text"),
+                                    F.concat(F.lit("class"), third.cast("string")).alias("labels")), 0.2, 200)
+    train, test = docs.where(~F.col("is_test")), docs.where("is_test")
+    vocab = L.label_vocab(train)
+    pm = V.fit_tfidf_model(train, "text", "tfidf")
+    model = J.fit_svm(L.encode_labels(pm.transform(train), vocab), features_col="tfidf", max_iter=20)
+    pred = L.decode_labels(model.transform(pm.transform(test)), vocab, "prediction_id", "prediction")
+    return pred.select("sentence_id", "labels", "prediction")
+
+
 @register("train_select")
 def train_select(spark, sf):
     """Grid of logistic regressions on TF-IDF, scored on the test split, best by macro F1."""
@@ -581,10 +744,8 @@ def train_select(spark, sf):
     est, grid = J.lr_grid()
     est.setFeaturesCol(col)
     _, scores, best = J.train_select(trv, tev, vocab, est, grid)
-    b = best.select("run_id", F.lit(True).alias("best"))
-    return (scores.join(b, "run_id", "left")
-            .select("run_id", r6("macro_f1").alias("macro_f1"), r6("weighted_f1").alias("weighted_f1"),
-                    r6("accuracy").alias("accuracy"), F.coalesce("best", F.lit(False)).alias("best")))
+    return scores.select("run_id", r6("macro_f1").alias("macro_f1"), r6("weighted_f1").alias("weighted_f1"),
+                         r6("accuracy").alias("accuracy"), (F.col("run_id") == best).alias("best"))
 
 
 @register("score_saved_model")
@@ -607,20 +768,59 @@ def score_saved_model(spark, sf):
     return J.score_batch(loaded, test, vocab).select("sentence_id", "labels", "prediction")
 
 
-_PAIRS = [(i, j) for i in range(10) for j in range(i + 1, 10)]
+@register("score_saved_model_agreement", "WITH " + Q.DOCS_SPLIT + """
+SELECT sentence_id, labels, true AS agrees FROM test""")
+def score_saved_model_agreement(spark, sf):
+    """The best model of a grid, saved and reloaded, predicts what it predicted in memory."""
+    trv, tev, vocab, col = _svm_inputs(spark, sf, with_features=False)
+    est, grid = J.lr_grid(reg_params=(0.01, 0.1), max_iters=(10,))
+    est.setFeaturesCol(col)
+    best, _, _ = J.train_select(trv, tev, vocab, est, grid)
+    path = scratch_path(spark, "best-model")
+    J.save_model(best, path)
+    loaded = J.load_model(path, "classifier")
+    again = loaded.copy()
+    again.setPredictionCol("again").setRawPredictionCol("raw_again").setProbabilityCol("probability_again")
+    both = again.transform(best.transform(tev))
+    return both.select("sentence_id", "labels", (F.col("prediction_id") == F.col("again")).alias("agrees"))
+
+
+_PAIRS = [(i, j) for i in range(64) for j in range(i + 1, 64)]
+
 
+def _vote_sql(classes: str) -> str:
+    """Votes over ``w`` (pairwise winners) of the classes, the first maximum."""
+    return (f"SELECT vec_id, ({classes})[list_position(v, list_max(v))] AS prediction_id FROM ("
+            f"SELECT vec_id, list_transform({classes}, lambda c: len(list_filter(w, lambda x: x = c))) AS v FROM w)")
 
-@register("ovo_vote", "SELECT vec_id, CAST(list_position(v, list_max(v)) - 1 AS INTEGER) AS prediction_id FROM ("
-          "SELECT vec_id, list_transform(range(10), lambda c: len(list_filter(w, lambda x: x = c))) AS v FROM ("
-          "SELECT vec_id, [" + ", ".join(
-              f"CASE WHEN embedding[{j + 1}] > embedding[{i + 1}] + 0.01 THEN {j} ELSE {i} END"
-              for i, j in _PAIRS) + "] AS w FROM embeddings))")
+
+@register("ovo_vote", "WITH w AS (SELECT vec_id, [" + ", ".join(
+    f"CASE WHEN embedding[{j + 1}]::DOUBLE > embedding[{i + 1}]::DOUBLE + 0.01::DOUBLE THEN {j} ELSE {i} END" for i, j in _PAIRS)
+    + "] AS w FROM embeddings) " + _vote_sql("list_transform(range(64), lambda c: c::INTEGER)"))
 def ovo_vote(spark, sf):
-    """Vote over given pairwise winners: pair (i, j) goes to j when score j beats score i by 0.01."""
+    """Vote of 64 classes over given pairwise winners: pair (i, j) goes to j when score j beats score i by 0.01."""
     e = I.table(spark, sf, "embeddings")
     emb = F.col("embedding")
-    winners = F.array(*[F.when(emb[j] > emb[i] + 0.01, F.lit(j)).otherwise(F.lit(i)) for i, j in _PAIRS])
-    return e.select("vec_id", J.ovo_vote(winners, 10).alias("prediction_id"))
+    # Winner arrays by first class of the pair: sequence and transform instead of 2,016 columns.
+    winners = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(62)), lambda i: F.transform(
+        F.sequence(i + 1, F.lit(63)), lambda j: F.when(
+            F.element_at(emb, j + 1) > F.element_at(emb, i + 1) + 0.01, j).otherwise(i))))
+    return e.select("vec_id", J.ovo_vote(winners, list(range(64))).alias("prediction_id"))
+
+
+# Class ids with gaps: classes that the training rows do not have keep their ids free.
+_GAPPED = [0, 2, 3, 7]
+_GAP_PAIRS = [(i, j) for n, i in enumerate(_GAPPED) for j in _GAPPED[n + 1:]]
+
+
+@register("vote_from_margins", "WITH w AS (SELECT vec_id, [" + ", ".join(
+    f"CASE WHEN embedding[{j + 1}] - embedding[{i + 1}] > 0 THEN {j} ELSE {i} END" for i, j in _GAP_PAIRS)
+    + "] AS w FROM embeddings) " + _vote_sql("[" + ", ".join(f"{c}::INTEGER" for c in _GAPPED) + "]"))
+def vote_from_margins(spark, sf):
+    """One-vs-one votes from signed pair margins, for class ids with gaps."""
+    emb = F.col("embedding")
+    winners = F.array(*[F.when(emb[j] - emb[i] > 0, F.lit(j)).otherwise(F.lit(i)) for i, j in _GAP_PAIRS])
+    return I.table(spark, sf, "embeddings").select("vec_id", J.ovo_vote(winners, _GAPPED).alias("prediction_id"))
 
 
 # --------------------------------------------------------------------------- K. encoding, batches
@@ -637,7 +837,7 @@ f AS (SELECT d.doc_id, COALESCE(e.ids, []::INTEGER[]) AS ids FROM d LEFT JOIN e
 
 
 def _encode_inputs(spark, sf):
-    d = assign_split(I.documents_sentences(spark, sf), 0.2, 200)
+    d = assign_split(text_docs(spark, sf), 0.2, 200)
     vocab = K.fit_token_vocab(d.where(~F.col("is_test")))
     return d, vocab
 
@@ -678,7 +878,7 @@ def _py_lengths(pdf):
 @register("map_batches", "SELECT doc_id AS sentence_id, CAST(length(text) AS BIGINT) AS n_chars FROM documents")
 def map_batches(spark, sf):
     """A pandas function over Arrow batches, dropping the label column first (K3)."""
-    d = I.documents_sentences(spark, sf)
+    d = text_docs(spark, sf)
     return K.map_batches(d, _py_lengths, "sentence_id long, n_chars long", drop=("labels",))
 
 

@@ -88,7 +88,7 @@ cnt AS (
 pc AS (
   SELECT {'g.' + ', g.'.join(by) + ', ' if by else ''}g.label, g.label_id,
          COALESCE(c.tp, 0) AS tp, COALESCE(c.sup, 0) AS sup, COALESCE(c.prd, 0) AS prd
-  FROM grid g LEFT JOIN cnt c ON g.label = c.label {''.join(f' AND g.{b} = c.{b}' for b in by)}),
+  FROM grid g LEFT JOIN cnt c ON g.label = c.label {''.join(f' AND g.{b} IS NOT DISTINCT FROM c.{b}' for b in by)}),
 m AS (
   SELECT {byc}label, label_id,
          CASE WHEN prd > 0 THEN tp::DOUBLE / prd ELSE 0.0 END AS precision,

@@ -30,15 +30,8 @@ SENTENCE_COLUMNS = ["sentence_id", "group_id", "tweet_id", "sent_id", "pos",
 REQUIRED = ["text", "stype", "coarse", "fine"]
 
 
-def _dedup_last_wins(spark: SparkSession) -> None:
-    # JSON objects with a repeated key keep the last value (as a JSON loader
-    # building a dict does); Spark's default policy would raise instead.
-    spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
-
-
 def parse_annotations(df: DataFrame, value_col: str = "value") -> DataFrame:
     """Parse a string column of annotation JSON into column ``doc`` (A1)."""
-    _dedup_last_wins(df.sparkSession)
     return df.select(F.from_json(F.col(value_col), ANNOTATION_TYPE).alias("doc"))
 
 
@@ -53,13 +46,23 @@ def read_annotations(spark: SparkSession, path: str, layout: str = "object") ->
     return parse_annotations(raw.where(F.length(F.trim("value")) > 0))
 
 
-def _dedup(m: F.Column) -> F.Column:
-    """Repeated keys of one JSON object: first position, last value (linear, per row).
+def _entries(m: F.Column) -> F.Column:
+    """The (key, value) entries of one JSON object; a repeated key has its first position and its last value.
 
-    The JSON reader keeps every duplicate; rebuilding the map from its
-    entries under the LAST_WIN policy collapses them.
+    The JSON reader keeps every entry.  Objects without repeated keys (told by
+    one linear pass) are left as they are.
     """
-    return F.map_from_entries(F.map_entries(m))
+    e = F.map_entries(m)
+    keys = F.transform(e, lambda x: x["key"])
+    last = F.reverse(e)
+    once = F.transform(F.array_distinct(keys), lambda k: F.struct(
+        k.alias("key"), F.element_at(last, F.array_position(F.reverse(keys), k).cast("int"))["value"].alias("value")))
+    return F.when(F.size(F.array_distinct(keys)) < F.size(keys), once).otherwise(e)
+
+
+def _part(name: str) -> F.Column:
+    """A key as one part of an id: the separator and the escape character are escaped."""
+    return F.replace(F.replace(F.col(name), F.lit("%"), F.lit("%25")), F.lit("/"), F.lit("%2F"))
 
 
 def flatten_sentences(docs: DataFrame, doc_col: str = "doc") -> DataFrame:
@@ -67,13 +70,17 @@ def flatten_sentences(docs: DataFrame, doc_col: str = "doc") -> DataFrame:
 
     ``posexplode_outer`` keeps a tweet without ``sentences`` as a row with a
     NULL ``sent_id``, so that ``validate_sentences`` can report it.
+    ``sentence_id`` joins the three keys by ``/``, which is escaped inside
+    keys, so different keys never share an id.  The same (group, tweet,
+    sentence) on two ndjson lines is two rows with one id.
     """
-    g = docs.select(F.posexplode_outer(_dedup(F.col(doc_col))).alias("gpos", "group_id", "tweets"))
-    t = g.select("group_id", F.posexplode_outer(_dedup(F.col("tweets"))).alias("tpos", "tweet_id", "tweet"))
-    s = t.select("group_id", "tweet_id",
-                 F.posexplode_outer(_dedup(F.col("tweet.sentences"))).alias("pos", "sent_id", "s"))
+    g = docs.select(F.posexplode_outer(_entries(F.col(doc_col))).alias("gpos", "g"))
+    t = g.select(F.col("g.key").alias("group_id"), F.posexplode_outer(_entries(F.col("g.value"))).alias("tpos", "t"))
+    s = t.select("group_id", F.col("t.key").alias("tweet_id"),
+                 F.posexplode_outer(_entries(F.col("t.value.sentences"))).alias("pos", "e"))
+    s = s.select("group_id", "tweet_id", "pos", F.col("e.key").alias("sent_id"), F.col("e.value").alias("s"))
     return s.where(F.col("group_id").isNotNull()).select(
-        F.concat_ws("/", "group_id", "tweet_id", "sent_id").alias("sentence_id"),
+        F.concat_ws("/", _part("group_id"), _part("tweet_id"), _part("sent_id")).alias("sentence_id"),
         "group_id", "tweet_id", "sent_id", F.col("pos").cast("int").alias("pos"),
         "s.text", "s.stype", "s.coarse", "s.fine")
 

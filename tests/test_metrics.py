@@ -64,37 +64,82 @@ def test_majority_argmax_vote(spark):
     e = spark.createDataFrame([([0.1, 0.7, 0.7],)], "s array<double>")
     assert e.select(argmax("s")).first()[0] == 1
     v = spark.createDataFrame([([0, 2, 2, 0, 1],)], "w array<int>")
-    assert v.select(ovo_vote("w", 3)).first()[0] == 0
+    assert v.select(ovo_vote("w", [0, 1, 2])).first()[0] == 0
 
 
-def test_best_run_tie_takes_smallest(spark):
-    m = spark.createDataFrame([(0, 0.5), (1, 0.7), (2, 0.7)], "run_id int, macro_f1 double")
-    assert M.best_run(m).first().run_id == 1
-
-
-def _rows(df, cols):
-    return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(*cols).collect())
+def test_vote_with_gaps_and_ties(spark):
+    v = spark.createDataFrame([([2, 3, 3],), ([0, 3, 2],), ([7, 7, 2],)], "w array<int>")
+    assert [r[0] for r in v.select(ovo_vote("w", [0, 2, 3, 7])).collect()] == [3, 0, 7]
 
 
-def test_large_vocabulary_paths_agree(spark, monkeypatch):
-    """Vocabularies above the inline bound take the joined-grid path; results are equal."""
-    labs = [f"L{i:03d}" for i in range(70)]
-    pairs = [(labs[(i * 7) % 70], labs[(i * 11) % 70] if i % 3 else labs[(i * 7) % 70]) for i in range(400)]
-    pairs += [("L000", "OUTSIDE"), (None, "L001")]
-    p = pred_df(spark, pairs).withColumn("run_id", F.col("sentence_id").cast("int") % 2)
+def test_best_run(spark):
+    m = spark.createDataFrame([(0, 0.5), (1, 0.7), (2, 0.7), (3, float("nan")), (4, None)], "run_id int, macro_f1 double")
+    assert M.best_run(m).first().run_id == 1
+    named = spark.createDataFrame([("b", 0.7), ("a", 0.7), ("c", None)], "run_id string, macro_f1 double")
+    assert tuple(M.best_run(named).first()) == ("a", 0.7)
+    assert M.best_run(named.where("macro_f1 is null")).first().run_id == "c"
+
+
+def test_attach_predictions_keeps_sentences_without_one(spark):
+    sentences = spark.createDataFrame([("1", "x", "A"), ("2", "y", "B")], "sentence_id string, text string, labels string")
+    preds = spark.createDataFrame([("1", "A")], "sentence_id string, prediction string")
+    out = M.attach_predictions(sentences, preds)
+    assert out.count() == 2 and [r.Text for r in M.error_table(out).collect()] == ["y"]
+
+
+def plain_report(rows, labels):
+    """(label -> precision, recall, f1, support) and (rows, hits), counted one by one."""
+    out = {}
+    for x in labels:
+        tp = sum(t == p == x for t, p in rows)
+        sup, prd = sum(t == x for t, _ in rows), sum(p == x for _, p in rows)
+        out[x] = (tp / prd if prd else 0.0, tp / sup if sup else 0.0, 2 * tp / (sup + prd) if sup + prd else 0.0, sup)
+    return out, len(rows), sum(t is not None and t == p for t, p in rows)
+
+
+@pytest.mark.parametrize("k", [2, 70])
+def test_reports_by_group_against_plain_counts(spark, k):
+    """Few and many labels; a NULL group, NULL and unknown labels."""
+    labs = [f"L{i:03d}" for i in range(k)]
+    pairs = [(labs[(i * 7) % k], labs[(i * 11) % k] if i % 3 else labs[(i * 7) % k]) for i in range(400)]
+    pairs += [(labs[0], "OUTSIDE"), (None, labs[1]), (labs[1], None), ("OUTSIDE", "OUTSIDE")]
+    groups = [None if i % 3 == 2 else i % 3 for i in range(len(pairs))]
+    p = spark.createDataFrame([(g, t, q) for g, (t, q) in zip(groups, pairs)], "run_id int, labels string, prediction string")
     vocab = L.vocab_from_list(spark, labs)
-    rep_cols = ["run_id", "label", "precision", "recall", "f1_score", "support", "row_order"]
-    conf_cols = ["run_id", "true_label", "pred_label", "n"]
-    assert len(labs) > M.INLINE_LABELS
-    joined = (_rows(M.classification_report(p, vocab, by=("run_id",)), rep_cols),
-              _rows(M.confusion(p, vocab, by=("run_id",)), conf_cols),
-              _rows(M.classification_report(p, labs), rep_cols[1:]))
-    monkeypatch.setattr(M, "INLINE_LABELS", 1_000)
-    inline = (_rows(M.classification_report(p, vocab, by=("run_id",)), rep_cols),
-              _rows(M.confusion(p, vocab, by=("run_id",)), conf_cols),
-              _rows(M.classification_report(p, labs), rep_cols[1:]))
-    assert joined == inline
-    assert len(joined[1]) == 2 * 70 * 70
+    rep = {(r.run_id, r.label): r for r in M.classification_report(p, vocab, by=("run_id",)).collect()}
+    conf = {(r.run_id, r.true_label, r.pred_label): r.n for r in M.confusion(p, vocab, by=("run_id",)).collect()}
+    assert len(rep) == 3 * (k + 3) and len(conf) == 3 * k * k
+    for g in (0, 1, None):
+        rows = [x for x, h in zip(pairs, groups) if h == g]
+        want, n, hits = plain_report(rows, labs)
+        for x in labs:
+            r = rep[g, x]
+            assert (r.precision, r.recall, r.f1_score, r.support) == pytest.approx(want[x])
+        assert rep[g, "accuracy"].support == n and rep[g, "accuracy"].f1_score == pytest.approx(hits / n)
+        assert rep[g, "macro avg"].f1_score == pytest.approx(sum(w[2] for w in want.values()) / k)
+        assert all(conf[g, a, b] == rows.count((a, b)) for a in labs for b in labs)
+    seen = M.confusion(p, vocab, by=("run_id",), dense=False)
+    assert {(r.run_id, r.true_label, r.pred_label): r.n for r in seen.collect()} == {c: n for c, n in conf.items() if n}
+
+
+@pytest.mark.parametrize("k", [2, 70])
+def test_empty_input_gives_the_whole_grid(spark, k):
+    labs = [f"L{i:03d}" for i in range(k)]
+    none = pred_df(spark, [("A", "A")]).where("false")
+    assert [r.n for r in M.confusion(none, labs).collect()] == [0] * (k * k)
+    wide = M.confusion_matrix(none, labs).collect()
+    assert len(wide) == k and all(r[x] == 0 for r in wide for x in labs)
+    rep = M.classification_report(none, labs).collect()
+    assert len(rep) == k + 3 and all(r.support == 0 and r.f1_score == 0 for r in rep)
+    assert M.confusion(M.errors(pred_df(spark, [("L000", "L000")])), labs).agg(F.sum("n")).first()[0] == 0
+
+
+def test_weighted_rows_count_as_many(spark):
+    pairs = [("A", "B")] * 3 + [("B", "B")] * 5 + [(None, "A")] * 2
+    p = pred_df(spark, pairs)
+    w = p.groupBy("labels", "prediction").count()
+    assert sorted(map(tuple, M.classification_report(p, ["A", "B"]).collect())) == sorted(
+        map(tuple, M.classification_report(w, ["A", "B"], weights="count").collect()))
 
 
 def test_distributed_label_vocab(spark):
@@ -102,20 +147,3 @@ def test_distributed_label_vocab(spark):
     small = [tuple(r) for r in L.label_vocab(train).orderBy("label_id").collect()]
     big = [tuple(r) for r in L.label_vocab(train, max_labels=2).orderBy("label_id").collect()]
     assert small == big == [("a", 0), ("b", 1), ("c", 2), ("d", 3), ("e", 4)]
-
-
-def test_large_vocabulary_wide_matrix_and_scores(spark, monkeypatch):
-    labs = [f"L{i:03d}" for i in range(70)]
-    pairs = [(labs[i % 70], labs[(i * 3) % 70]) for i in range(300)]
-    p = pred_df(spark, pairs).withColumn("run_id", F.col("sentence_id").cast("int") % 3)
-    vocab = L.vocab_from_list(spark, labs)
-
-    def both():
-        wide = sorted(tuple(r) for r in M.confusion_matrix(p, vocab).collect())
-        sc = sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r)
-                    for r in M.score(p, vocab, by=("run_id",)).collect())
-        return wide, sc
-    joined = both()
-    monkeypatch.setattr(M, "INLINE_LABELS", 1_000)
-    assert joined == both()
-    assert len(joined[0]) == 70 and len(joined[0][0]) == 71

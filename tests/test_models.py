@@ -1,6 +1,6 @@
 import os
-import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import encode as K
@@ -12,7 +12,7 @@ from tessera.plans import registry as R
 from .conftest import SF001
 
 
-def test_svm_beats_majority_and_reloads(spark):
+def test_svm_beats_majority_and_reloads(spark, tmp_path):
     trv, tev, vocab, col = R._svm_inputs(spark, SF001, with_features=False)
     model = J.fit_svm(trv, features_col=col)
     pred = L.decode_labels(model.transform(tev), vocab, "prediction_id", "prediction")
@@ -21,9 +21,13 @@ def test_svm_beats_majority_and_reloads(spark):
     floor = J.majority_predict(train, test).select(
         F.avg((F.col("labels") == F.col("prediction")).cast("double"))).first()[0]
     assert acc > floor
-    path = os.path.join(tempfile.mkdtemp(prefix="tessera-test-"), "ovo")
+    assert len(model.fits) == len(model.pairs) and all(f["iterations"] > 0 for f in model.fits)
+    assert model.unconverged == [tuple(f["pair"]) for f in model.fits if f["iterations"] >= 50]
+    path = os.path.join(tmp_path, "ovo")
     J.save_model(model, path)
-    again = J.load_model(path, "ovo").transform(tev)
+    loaded = J.load_model(path, "ovo")
+    assert loaded.fits == model.fits
+    again = loaded.transform(tev)
     a = {r.sentence_id: r.prediction_id for r in model.transform(tev).collect()}
     b = {r.sentence_id: r.prediction_id for r in again.collect()}
     assert a == b
@@ -33,25 +37,57 @@ def test_train_select_is_deterministic(spark):
     trv, tev, vocab, col = R._svm_inputs(spark, SF001, with_features=False)
     est, grid = J.lr_grid(reg_params=(0.0, 0.1), max_iters=(5,))
     est.setFeaturesCol(col)
-    _, scores, best = J.train_select(trv, tev, vocab, est, grid)
+    model, scores, best = J.train_select(trv, tev, vocab, est, grid)
     _, scores2, best2 = J.train_select(trv, tev, vocab, est, grid)
-    assert sorted(map(tuple, scores.collect())) == sorted(map(tuple, scores2.collect()))
-    assert best.first().run_id == best2.first().run_id
+    assert sorted(map(tuple, scores.collect())) == sorted(map(tuple, scores2.collect())) and best == best2
+    assert best == M.best_run(scores).first().run_id
+    # the winner predicts what its scores say
+    pred = L.decode_labels(model.transform(tev), vocab, "prediction_id", "prediction")
+    assert M.score(pred, vocab).first().macro_f1 == pytest.approx(scores.where(F.col("run_id") == best).first().macro_f1)
+
+
+def blobs(spark, classes):
+    from pyspark.ml.linalg import Vectors
+    rows = [(c, Vectors.dense([10.0 * (c == d) + (i % 3) for d in classes])) for c in classes for i in range(10)]
+    return spark.createDataFrame(rows, ["label_id", "features"])
+
 
+def test_svm_with_class_ids_that_have_gaps(spark):
+    df = blobs(spark, [0, 2, 3])
+    model = J.fit_svm(df.union(df.limit(1).withColumn("label_id", F.lit(None).cast("long"))), max_iter=20)
+    assert model.transform(df).where("prediction_id <> label_id").count() == 0
+    rest = J.fit_one_vs_rest(blobs(spark, [0, 1, 2]), max_iter=20)
+    assert rest.transform(blobs(spark, [0, 1, 2])).where("prediction_id <> label_id").count() == 0
+    with pytest.raises(ValueError):
+        J.fit_svm(df.where("label_id = 2"))
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
 
-def test_single_sentence_scoring(spark):
-    """A one-row frame through the same batch scorer."""
-    from pyspark.ml import Pipeline
+
+def test_single_sentence_scoring_and_pipeline_reload(spark, tmp_path):
+    """A one-row frame through the same batch scorer, with a saved and reloaded pipeline."""
+    from pyspark.ml import PipelineModel
     from pyspark.ml.classification import LogisticRegression
     from tessera.operators import vectors as V
-    train, _ = R._docs_train_test(spark, SF001)
+    train, test = R._docs_train_test(spark, SF001)
     vocab = L.label_vocab(train)
-    stages = V.tfidf_pipeline("text", "tfidf").getStages() + [
-        LogisticRegression(featuresCol="tfidf", labelCol="label_id", predictionCol="prediction_id", maxIter=20)]
-    model = Pipeline(stages=stages).fit(L.encode_labels(train, vocab))
-    one = spark.createDataFrame([("x", "Das ist sehr falsch und die Leute sind nicht hier.")],
-                                "sentence_id string, text string")
+    pm = V.fit_tfidf_model(train, "text", "tfidf")
+    lr = LogisticRegression(featuresCol="tfidf", labelCol="label_id", predictionCol="prediction_id", maxIter=20)
+    model = PipelineModel(stages=[*pm.stages, lr.fit(L.encode_labels(pm.transform(train), vocab))])
+    one = spark.createDataFrame([("x", "Das ist ganz falsch, und niemand ist hier.")], "sentence_id string, text string")
     assert J.score_batch(model, one, vocab).first().prediction in L.vocab_list(vocab)
+    J.save_model(model, str(tmp_path / "m"))
+    again = J.load_model(str(tmp_path / "m"))
+    cols = ["sentence_id", "prediction"]
+    assert sorted(map(tuple, J.score_batch(again, test, vocab).select(*cols).collect())) == sorted(
+        map(tuple, J.score_batch(model, test, vocab).select(*cols).collect()))
+
+
+def test_ablation_reports(spark):
+    rows = {(r.run_id, r.label): r.support for r in R.svm_ablation(spark, SF001).collect()}
+    train, test = R._docs_train_test(spark, SF001)
+    want = {r.labels: r["count"] for r in test.groupBy("labels").count().collect()}
+    assert {x for _, x in rows} == {*L.vocab_list(L.label_vocab(train)), "accuracy", "macro avg", "weighted avg"}
+    assert all(rows[run, x] == n for run in (0, 1) for x, n in want.items())
 
 
 def test_encode_tokens(spark):
@@ -74,3 +110,21 @@ def test_map_batches(spark):
         return pdf.assign(n=pdf["text"].str.len())[["sentence_id", "n"]]
     got = {r.sentence_id: r.n for r in K.map_batches(df, fn, "sentence_id string, n long", drop=("labels",)).collect()}
     assert got == {"1": 3, "2": 4}
+
+
+def test_map_batches_sets_up_once_per_task(spark):
+    df = spark.range(40, numPartitions=2).selectExpr("cast(id as string) as sentence_id", "'t' as text")
+
+    def setup():
+        import uuid
+        return uuid.uuid4().hex
+
+    def fn(pdf, state):
+        return pdf.assign(s=state)[["sentence_id", "s"]]
+    with_small_batches = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = K.map_batches(df, fn, "sentence_id string, s string", setup=setup).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", with_small_batches)
+    assert len(got) == 40 and len({r.s for r in got}) == 2

@@ -69,3 +69,28 @@ def test_error_csv_round_trip(spark, folder):
     back = D.read_errors(spark, os.path.join(folder, "errors")).orderBy("row_id").collect()
     assert [r.row_id for r in back] == list(range(len(HARD)))
     assert [r.Text for r in back] == HARD
+
+
+def test_sentence_ids_never_collide(spark):
+    obj = json.dumps({"g/t": {"x": {"sentences": {"1": {"text": "a"}}}}, "g": {"t/x": {"sentences": {"1": {"text": "b"}}}},
+                      "g%2Ft": {"x": {"sentences": {"1": {"text": "c"}}}}})
+    rows = A.flatten_sentences(A.parse_annotations(spark.createDataFrame([(obj,)], "value string"))).collect()
+    assert len({r.sentence_id for r in rows}) == 3
+
+
+def test_parsing_leaves_the_session_alone(spark):
+    before = spark.conf.get("spark.sql.mapKeyDedupPolicy")
+    twice = '{"g": {"t": {"sentences": {"1": {"text": "a"}, "2": {"text": "b"}, "1": {"text": "c"}}}}}'
+    rows = A.flatten_sentences(A.parse_annotations(spark.createDataFrame([(twice,)], "value string"))).collect()
+    assert [(r.sent_id, r.text, r.pos) for r in rows] == [("1", "c", 0), ("2", "b", 1)]
+    assert spark.conf.get("spark.sql.mapKeyDedupPolicy") == before
+
+
+def test_stream_of_a_folder_dataset(spark, tmp_path):
+    from tessera.streaming.features import stream_text_features
+    docs = spark.createDataFrame([(i, f"Hello {i}!") for i in range(6)], "doc_id long, text string")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    out = stream_text_features(spark, str(tmp_path))
+    assert out.count() == 6 and out.where("contains_exclamation = 1").count() == 6
+    docs.where("false").write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert stream_text_features(spark, str(tmp_path / "none")).count() == 0

@@ -41,3 +41,17 @@ def test_exact_split_matches_global_rank(spark):
     for t in (0.0, 0.001, 0.2, 0.5, 1.0):
         got = {r.sentence_id for r in assign_split_exact(df, t, 7).where("is_test").collect()}
         assert got == set(ranked[:math.ceil(t * 3000)]), t
+
+
+def test_exact_split_keeps_repeated_ids_together(spark):
+    """Rows of one id are all test or all train; the test part is the smallest such set of at least k rows."""
+    df = spark.createDataFrame([(f"s{i % 7}",) for i in range(70)] + [(None,)] * 3, "sentence_id string")
+    out = assign_split_exact(df, 0.3, 200)
+    sides = {r.sentence_id: r for r in out.groupBy("sentence_id").agg(
+        F.min("is_test").alias("a"), F.max("is_test").alias("b"), F.count("*").alias("n")).collect()}
+    assert all(r.a == r.b for r in sides.values())
+    n = sum(r.n for r in sides.values() if r.a)
+    assert 22 <= n < 22 + 10
+    assert assign_split_exact(df.where("false"), 0.3).count() == 0
+    plan = out._jdf.queryExecution().toString()
+    assert "Window" not in plan and "Union" not in plan

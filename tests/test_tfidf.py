@@ -53,7 +53,7 @@ def test_ml_vectors_equal_long_table(spark):
     long = {}
     for r in w.collect():
         long.setdefault(r.sentence_id, []).append(r.weight)
-    for pm in (V.tfidf_pipeline("text", "tfidf").fit(train), V.fit_tfidf_model(train, "text", "tfidf")):
+    for pm in (V.fit_tfidf_model(train, "text", "tfidf"),):
         vec = pm.transform(docs).select("sentence_id", vector_to_array("tfidf").alias("a")).collect()
         for r in vec:
             nz = sorted(x for x in r.a if x != 0)
@@ -63,3 +63,18 @@ def test_ml_vectors_equal_long_table(spark):
     # vector index = position in the sorted n-gram vocabulary
     vocab = V.fit_tfidf_model(train, "text", "tfidf").stages[2].vocabulary
     assert list(vocab) == sorted(vocab)
+
+
+def test_too_many_terms_raise_and_nothing_stays_cached(spark):
+    train, test = R._docs_train_test(spark, SF001)
+    with pytest.raises(ValueError):
+        V.fit_tfidf_model(train, vocab_size=3)
+    R.tfidf(spark, SF001).count()
+    R.idf(spark, SF001).count()
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
+def test_idf_reads_text_without_a_shuffle(spark):
+    docs = spark.range(0, 64, numPartitions=8).selectExpr("id as sentence_id", "'ab cd' as norm_text")
+    plan = TF.fit_idf(docs)._jdf.queryExecution().toString()
+    assert "hashpartitioning(sentence_id" not in plan
