@@ -56,7 +56,7 @@ def _as_int(b: Column) -> Column:
 
 def punct_count(tokens) -> Column:
     """H1: tokens made only of punctuation."""
-    return F.size(F.filter(_c(tokens), lambda t: t.rlike(PUNCT_TOKEN_RE)))
+    return count_whole_tokens(spaced_tokens(tokens), PUNCT_TOKEN)
 
 
 def contains_exclamation(tokens) -> Column:
@@ -86,7 +86,7 @@ def contains_mention(text) -> Column:
 
 def capital_token_count(tokens) -> Column:
     """H7: tokens that are upper case (counts tokens, not characters)."""
-    return F.size(F.filter(_c(tokens), lambda t: t.rlike(UPPER_RE) & ~t.rlike(NOT_UPPER_RE)))
+    return count_whole_tokens(spaced_tokens(tokens), UPPER_TOKEN)
 
 
 def token_count(tokens) -> Column:
@@ -101,7 +101,7 @@ def char_length(text) -> Column:
 
 def emoji_count(tokens) -> Column:
     """Emoji tokens (a flag, keycap or joined sequence is one token)."""
-    return F.size(F.filter(_c(tokens), lambda t: t.rlike(EMOJI_TOKEN_RE)))
+    return count_whole_tokens(spaced_tokens(tokens), EMOJI_RE)
 
 
 def contains_emoji(tokens) -> Column:

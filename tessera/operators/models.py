@@ -75,8 +75,9 @@ class OneVsOneModel:
             m.setFeaturesCol(self.features_col).setPredictionCol(p).setRawPredictionCol(r)
             df = m.transform(df)
             tmp.append(F.when(F.col(p) > 0.5, F.lit(j)).otherwise(F.lit(i)))
-        winners = F.array(*tmp)
-        return df.select(*cols, ovo_vote(winners, self.classes).alias(out_col))
+        # A projection of its own: the vote reads the winners once per class.
+        df = df.select(*cols, F.array(*tmp).alias("_ovo_won"))
+        return df.select(*cols, ovo_vote("_ovo_won", self.classes).alias(out_col))
 
     def save(self, path: str) -> None:
         for (i, j), m in zip(self.pairs, self.models):

@@ -805,7 +805,8 @@ def ovo_vote(spark, sf):
     winners = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(62)), lambda i: F.transform(
         F.sequence(i + 1, F.lit(63)), lambda j: F.when(
             F.element_at(emb, j + 1) > F.element_at(emb, i + 1) + 0.01, j).otherwise(i))))
-    return e.select("vec_id", J.ovo_vote(winners, list(range(64))).alias("prediction_id"))
+    won = e.select("vec_id", winners.alias("won"))
+    return won.select("vec_id", J.ovo_vote("won", list(range(64))).alias("prediction_id"))
 
 
 # Class ids with gaps: classes that the training rows do not have keep their ids free.
