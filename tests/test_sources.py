@@ -94,3 +94,13 @@ def test_stream_of_a_folder_dataset(spark, tmp_path):
     assert out.count() == 6 and out.where("contains_exclamation = 1").count() == 6
     docs.where("false").write.parquet(str(tmp_path / "none" / "documents.parquet"))
     assert stream_text_features(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_scratch_tables_can_be_cleared(spark):
+    from tessera.session import clear_scratch, scratch_path
+    clear_scratch(spark)
+    path = scratch_path(spark, "t")
+    spark.range(3).write.parquet(path)
+    assert clear_scratch(spark) == 1 and clear_scratch(spark) == 0
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()
