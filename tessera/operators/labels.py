@@ -12,6 +12,8 @@ from .joins import join_small
 # Fixed values of the annotation scheme (must equal the source corpus rules).
 # Coarse classes merged into one class in the 'coarse_merged' scheme:
 MERGED_COARSE = ["COMMISSIVE", "OTHER"]
+# All coarse classes, in id order:
+COARSE_CLASSES = ["ASSERTIVE", "COMMISSIVE", "DIRECTIVE", "EXPRESSIVE", "OTHER", "UNSURE"]
 MERGED_NAME = "COMOTH"
 # Fine labels folded into one class in the 'fine' scheme (rare in the corpus):
 EXCLUDED_FINE = ["DISAGREE", "APOLOGIZE", "THANK", "GREET"]
@@ -47,6 +49,18 @@ def label_scheme(sentences: DataFrame, version: str, keep: tuple[str, ...] = ("s
     return sentences.select(*cols, "text", lab.alias("labels"))
 
 
+def scheme_vocab(spark, version: str, train: DataFrame | None = None) -> DataFrame:
+    """The vocabulary of a scheme with its ids: fixed for the coarse schemes (a class may be absent from train),
+    taken from ``train`` for the fine one."""
+    if version == "coarse":
+        return vocab_from_list(spark, COARSE_CLASSES)
+    if version == "coarse_merged":
+        return vocab_from_list(spark, sorted({MERGED_NAME if c in MERGED_COARSE else c for c in COARSE_CLASSES}))
+    if version == "fine" and train is not None:
+        return label_vocab(train)
+    raise ValueError(f"no vocabulary for scheme {version!r}; the fine scheme needs its train rows")
+
+
 # Largest rare-label set applied as a literal IN list (no join).
 INLINE_RARE = 1_000
 

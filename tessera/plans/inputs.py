@@ -83,7 +83,7 @@ ROLE_FINE = {"system": "PROMISE", "user": "THANK", "assistant": "SUGGEST"}
 
 
 def marked_annotation_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``conversation_annotation_json`` with label classes, and with the first line's text or type blanked in some turns."""
+    """As ``conversation_annotation_json`` with label classes, the first line's text or type blanked in some turns."""
     c = table(spark, sf_dir, "conversations")
     lines = F.split(F.col("text"), "\n")
     first = lambda i, rest: (i == 0) & (F.col("turn") % 5 == rest)
@@ -91,7 +91,8 @@ def marked_annotation_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("role") == "user", m["user"]).otherwise(m["assistant"])
     none = F.lit(None).cast("string")
     structs = F.transform(lines, lambda x, i: F.struct(
-        F.when(first(i, 2), none).otherwise(x).alias("text"), F.when(first(i, 3), none).otherwise(F.col("role")).alias("stype"),
+        F.when(first(i, 2), none).otherwise(x).alias("text"),
+        F.when(first(i, 3), none).otherwise(F.col("role")).alias("stype"),
         pick(ROLE_COARSE).alias("coarse"), pick(ROLE_FINE).alias("fine")))
     ids = F.transform(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: i.cast("string"))
     turns = c.select("conv_id", "turn", F.map_from_arrays(ids, structs).alias("sentences"))

@@ -119,7 +119,7 @@ p AS (SELECT *, CASE WHEN text IS NULL THEN 'missing text' WHEN stype IS NULL TH
 
 @register("annotation_bad_rows", _LINES + " SELECT sentence_id, problem FROM p WHERE problem IS NOT NULL")
 def annotation_bad_rows(spark, sf):
-    """Annotation ndjson files with blanked fields -> read -> flatten -> the rejected rows with their reasons (A1-A3)."""
+    """Annotation ndjson files with blanked fields -> read -> flatten -> rejected rows with their reasons (A1-A3)."""
     path = scratch_path(spark, "annotations")
     I.marked_annotation_json(spark, sf).write.text(path)
     _, bad = A.validate_sentences(A.flatten_sentences(A.read_annotations(spark, path, "ndjson")), "split")
@@ -373,6 +373,36 @@ def classification_report(spark, sf):
     return _report_cols(M.classification_report(pred, L.label_vocab(pred)))
 
 
+def _fixed_vocab_sql(rule: str, classes: list[str]) -> str:
+    values = ", ".join(f"('{c}', {i})" for i, c in enumerate(classes))
+    return Q.report_sql(Q.LABELLED + f""",
+f AS (SELECT sentence_id, {rule} AS labels, {Q.is_test_sql('sentence_id')} AS is_test FROM lab),
+maj AS (SELECT labels FROM f WHERE NOT is_test AND labels IS NOT NULL GROUP BY labels
+        ORDER BY count(*) DESC, labels LIMIT 1),
+pred AS (SELECT f.sentence_id, f.labels, m.labels AS prediction FROM f, maj m WHERE f.is_test),
+vocab AS (SELECT * FROM (VALUES {values}) v(label, label_id))""")
+
+
+def _fixed_vocab_report(spark, sf, version: str) -> DataFrame:
+    """Majority baseline of a coarse scheme, reported over the scheme's fixed vocabulary (absent classes are zeros)."""
+    rows = L.label_scheme(I.labelled_sentences(spark, sf), version).select("sentence_id", "labels")
+    train, test = split(rows, 0.2, 200, "sentence_id")
+    return _report_cols(M.classification_report(majority_predict(train, test), L.scheme_vocab(spark, version)))
+
+
+@register("report_coarse_classes", _fixed_vocab_sql("coarse", L.COARSE_CLASSES))
+def report_coarse_classes(spark, sf):
+    """The report over the six coarse classes."""
+    return _fixed_vocab_report(spark, sf, "coarse")
+
+
+@register("report_merged_classes", _fixed_vocab_sql(
+    Q.MERGED_RULE, ["ASSERTIVE", "COMOTH", "DIRECTIVE", "EXPRESSIVE", "UNSURE"]))
+def report_merged_classes(spark, sf):
+    """The report over the five merged classes."""
+    return _fixed_vocab_report(spark, sf, "coarse_merged")
+
+
 @register("report_by_run", Q.report_sql(Q.EVENTS_PRED_RUNS + "," + Q.VOCAB_FROM_TRAIN, by=("run_id",)))
 def report_by_run(spark, sf):
     """One report per run, in one pass."""
@@ -486,9 +516,10 @@ _MARKED_SQL = "text || CASE doc_id % 5 " + " ".join(f"WHEN {k} THEN '{v}'" for k
 
 
 @register("text_features_marked", ORACLE["text_features"].replace(
-    "SELECT doc_id, text, regexp_extract_all(text,", f"SELECT doc_id, {_MARKED_SQL} AS text, regexp_extract_all({_MARKED_SQL},"))
+    "SELECT doc_id, text, regexp_extract_all(text,",
+    f"SELECT doc_id, {_MARKED_SQL} AS text, regexp_extract_all({_MARKED_SQL},"))
 def text_features_marked(spark, sf):
-    """The 11 features of documents that get a question mark, an emoji or a tag by their id: every flag has hits."""
+    """The 11 features of documents that get a question mark, an emoji or a tag: every flag has hits."""
     d = text_docs(spark, sf).select("sentence_id", "text")
     fifth = F.col("sentence_id") % 5
     mark = F.when(fifth == 0, _MARKED[0]).when(fifth == 1, _MARKED[1]).when(fifth == 2, _MARKED[2]).when(
@@ -732,8 +763,9 @@ def svm_separable(spark, sf):
     docs = text_docs(spark, sf)
     third = F.col("sentence_id") % 3
     marker = F.when(third == 0, _MARKERS[0]).when(third == 1, _MARKERS[1]).otherwise(_MARKERS[2])
-    docs = assign_split(docs.select("sentence_id", F.concat(F.repeat(marker, F.lit(40)), F.substring("text", 1, 20)).alias("text"),
-                                    F.concat(F.lit("class"), third.cast("string")).alias("labels")), 0.2, 200)
+    docs = assign_split(docs.select(
+        "sentence_id", F.concat(F.repeat(marker, F.lit(40)), F.substring("text", 1, 20)).alias("text"),
+        F.concat(F.lit("class"), third.cast("string")).alias("labels")), 0.2, 200)
     train, test = docs.where(~F.col("is_test")), docs.where("is_test")
     vocab = L.label_vocab(train)
     pm = V.fit_tfidf_model(train, "text", "tfidf")

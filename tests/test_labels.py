@@ -63,3 +63,14 @@ def test_fold_rare_labels_inline_and_joined_agree(spark, monkeypatch):
     joined = sorted(tuple(r) for r in L.fold_rare_labels(df, 10).collect())
     assert inline == joined
     assert {r[1] for r in inline} == {"A", "EXCLUDED"}
+
+
+def test_fixed_scheme_vocabularies(spark):
+    coarse = {r.label: r.label_id for r in L.scheme_vocab(spark, "coarse").collect()}
+    assert coarse == {"ASSERTIVE": 0, "COMMISSIVE": 1, "DIRECTIVE": 2, "EXPRESSIVE": 3, "OTHER": 4, "UNSURE": 5}
+    merged = {r.label: r.label_id for r in L.scheme_vocab(spark, "coarse_merged").collect()}
+    assert merged == {"ASSERTIVE": 0, "COMOTH": 1, "DIRECTIVE": 2, "EXPRESSIVE": 3, "UNSURE": 4}
+    train = spark.createDataFrame([("B",), ("A",)], "labels string")
+    assert L.vocab_list(L.scheme_vocab(spark, "fine", train)) == ["A", "B"]
+    with pytest.raises(ValueError):
+        L.scheme_vocab(spark, "fine")
