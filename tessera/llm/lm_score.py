@@ -30,7 +30,7 @@ WORD, GRAM = 0, 1
 @dataclass(frozen=True)
 class Settings:
     depth: int = 4  # bytes of context
-    block_bytes: int = 32 << 20
+    block_bytes: int = 16 << 20
     smoothing: float = 0.1
 
 
