@@ -61,8 +61,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col("id").alias("doc_id"), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
     maybe = marked.where("maybe")
-    groups = maybe.groupBy("sha").agg(F.count(F.lit(1)).alias("group_size"),
-                                      F.max(F.struct("id", "rid")).alias("top"))
+    # Written: the join below then has an exchange of its own on each side, whose hot partitions the runtime splits.
+    groups = store.written(maybe.groupBy("sha").agg(F.count(F.lit(1)).alias("group_size"),
+                                                    F.max(F.struct("id", "rid")).alias("top")), "sha-groups")
     together = maybe.join(groups, "sha").select(
         F.col("id").alias("doc_id"), F.col("top.id").alias("keep_id"), "group_size",
         (F.col("rid") == F.col("top.rid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
