@@ -4,8 +4,10 @@ Features of a text are its distinct words and the words' first 4, 5 and 6
 bytes, hashed to ``SLOTS`` slots; words are runs of letters and digits (all
 bytes above 127 count as letters), A-Z lower-cased.  One weight vector is
 shared by all thresholds: P(grade <= k) = sigmoid(theta_k - w . x) with
-theta_1 < theta_2.  Grade 0 is a clean text; the toxic labels split into
-grade 1 and 2 by the share of their words that speak for toxicity.
+theta_1 < theta_2.  Grade 0 is a clean text; toxic labels are grade 2 if the
+text has more distinct words that speak for toxicity than the median toxic
+text, else 1.  (The grade follows the features that the one weight vector
+sums up; grades by the density of such words blur the thresholds.)
 
 The model is fitted on at most ``max_rows`` labelled rows (those with the
 smallest hash of their id); scoring covers every row and whole texts.
@@ -39,7 +41,7 @@ class Settings:
     least_rows: int = 3  # toxic rows that a slot must occur in
     ridge: float = 1e-4
     steps: int = 400
-    reject_at: float = 0.4  # P(grade >= 1) from which a text counts as toxic
+    reject_at: float = 0.5  # P(grade >= 1) from which a text counts as toxic
 
 
 @dataclass
@@ -48,10 +50,9 @@ class Model:
     cuts: np.ndarray  # theta_1 < theta_2
 
 
-def features(run: WordRun) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For every word and prefix: document in the run, slot, whether it is a whole word; words of each document."""
-    words = np.diff(run.before)
-    doc = np.repeat(np.arange(run.docs), words)
+def features(run: WordRun) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every word and prefix: document in the run, slot, whether it is a whole word."""
+    doc = np.repeat(np.arange(run.docs), np.diff(run.before))
     size = run.end - run.start
     docs, slots, whole = [doc], [run.hash], [np.ones(len(doc), dtype=bool)]
     for k in PREFIXES:
@@ -60,7 +61,7 @@ def features(run: WordRun) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
         slots.append(mix64(span_hashes(run.raw, run.start[long], run.start[long] + k) + np.uint64(k)))
         whole.append(np.zeros(len(long), dtype=bool))
     slot = (np.concatenate(slots) & np.uint64(SLOTS - 1)).astype(np.int64)
-    return np.concatenate(docs), slot, np.concatenate(whole), words
+    return np.concatenate(docs), slot, np.concatenate(whole)
 
 
 def _runs(col: pa.Array):
@@ -75,7 +76,7 @@ def _slot_counts(batches):
     for b in batches:
         toxic = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         for run in _runs(b.column(1)):
-            doc, slot, _, _ = features(run)
+            doc, slot, _ = features(run)
             pair = np.unique(doc * SLOTS + slot)
             doc, slot = pair // SLOTS + run.first_doc, pair % SLOTS
             total[0] += np.bincount(slot, minlength=SLOTS)
@@ -86,23 +87,23 @@ def _slot_counts(batches):
 
 
 def _sparse_rows(chosen: np.ndarray):
-    """toxic, the chosen slots that occur, and the share of the words that are chosen whole words."""
+    """toxic, the chosen slots that occur, and how many of them are whole words."""
     keep = np.zeros(SLOTS, dtype=bool)
     keep[chosen] = True
 
     def emit(batches):
         for b in batches:
             for run in _runs(b.column(1)):
-                doc, slot, whole, words = features(run)
+                doc, slot, whole = features(run)
                 hit = keep[slot]
-                doc, slot, whole = doc[hit], slot[hit], whole[hit]
-                share = np.bincount(doc[whole], minlength=run.docs) / np.maximum(words, 1)
-                pair = np.unique(doc * SLOTS + slot)
+                pair = doc * SLOTS + slot
+                words = np.bincount(np.unique(pair[hit & whole]) // SLOTS, minlength=run.docs)
+                pair = np.unique(pair[hit])
                 ends = np.searchsorted(pair, np.arange(run.docs + 1) * SLOTS).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(run.first_doc, run.docs), pa.array(share),
+                    [b.column(0).slice(run.first_doc, run.docs), pa.array(words),
                      pa.ListArray.from_arrays(pa.array(ends), pa.array((pair % SLOTS).astype(np.int32)))],
-                    ["toxic", "share", "slots"])
+                    ["toxic", "words", "slots"])
     return emit
 
 
@@ -169,10 +170,9 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
     chosen = np.sort(np.array([r.slot for r in telling.select("slot").collect()], dtype=np.int64))
     if not len(chosen):
         return Model(weights, cuts)
-    got = rows.mapInArrow(_sparse_rows(chosen), "toxic int, share double, slots array<int>").toArrow().combine_chunks()
-    toxic, share = got["toxic"].to_numpy(), got["share"].to_numpy()
-    typical = np.median(share[toxic > 0])
-    grade = np.where(toxic > 0, 1 + (share > typical), 0)
+    got = rows.mapInArrow(_sparse_rows(chosen), "toxic int, words long, slots array<int>").toArrow().combine_chunks()
+    toxic, words = got["toxic"].to_numpy(), got["words"].to_numpy()
+    grade = np.where(toxic > 0, 1 + (words > np.median(words[toxic > 0])), 0)
     slots = got["slots"].combine_chunks()
     row = np.repeat(np.arange(len(toxic)), np.diff(slots.offsets.to_numpy()))
     column = np.searchsorted(chosen, slots.values.to_numpy())
@@ -187,7 +187,7 @@ def _score(model, settings: Settings):
         for b in batches:
             eta = np.zeros(len(b))
             for run in _runs(b.column(1)):
-                doc, slot, _, _ = features(run)
+                doc, slot, _ = features(run)
                 hit = weights[slot] != 0
                 pair = np.unique(doc[hit] * SLOTS + slot[hit])
                 eta[run.first_doc:run.first_doc + run.docs] = np.bincount(
