@@ -10,14 +10,14 @@ from tessera.llm import store
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("v", "u"))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
+    least = store.written(both.groupBy("u").agg(F.min("v").alias("m")), "least")
     return (both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
             .where("u <> v").distinct())
 
 
 def _small(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = store.written(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     return (down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
 
@@ -31,13 +31,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     Self edges and repeated edges are ignored; no edges give no rows.  Each
     round is written to the shared folder, and the rounds end when neither
-    step changes the edges.  A hub with many neighbours is pre-aggregated by
-    the minimum and its edges are an equi-join that the runtime can split.
+    step changes the edges.  The minima are pre-aggregated and written too, so
+    that a hub's edges meet its minimum in a join whose hot partition the
+    runtime can split.
     """
     edges = store.written(edges.select("u", "v").where("u <> v").distinct(), "edges")
     before = _state(edges)
     while before[0]:
-        edges = store.written(_small(_large(edges)), "edges")
+        edges = store.written(_small(store.written(_large(edges), "edges")), "edges")
         after = _state(edges)
         if after == before:
             break

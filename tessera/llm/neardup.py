@@ -240,8 +240,10 @@ def near_groups(docs: DataFrame, settings: Settings = Settings(), id_col: str =
     n_members = classes.count() * settings.bands
     shared = store.bloom(members.select("key"), store.filter_bits(n_members, MOST_BITS), least=2)
     members = store.written(store.marked(members, "key", shared, "maybe").where("maybe").select("key", "cid"), "members")
-    buckets = (members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("cid").alias("lo"), F.max("cid").alias("hi"))
-               .where("m > 1"))
+    # Aggregates that are joined back are written first: both sides of the join then have exchanges of their own,
+    # and the runtime splits the partition of a hot bucket.
+    buckets = store.written(members.groupBy("key").agg(
+        F.count(F.lit(1)).alias("m"), F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("m > 1"), "buckets")
 
     # Stars, filtered by size and sketch.
     small = classes.select("cid", "n", "sketch")
@@ -266,8 +268,8 @@ def near_groups(docs: DataFrame, settings: Settings = Settings(), id_col: str =
     placed = (members.join(found.withColumnRenamed("node", "cid"), "cid", "left")
               .select("key", "cid", F.coalesce("root", "cid").alias("root")))
     parts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
-    split = (parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"),
-                                      F.max_by("root", F.struct("m", "root")).alias("main")).where("parts > 1"))
+    split = store.written(parts.groupBy("key").agg(
+        F.count(F.lit(1)).alias("parts"), F.max_by("root", F.struct("m", "root")).alias("main")).where("parts > 1"), "split")
     open_rows = store.written(placed.join(split, "key").join(small, "cid"), "open")
     a = open_rows.where("root <> main").select("key", F.col("cid").alias("a"), F.col("root").alias("root_a"),
                                                F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
