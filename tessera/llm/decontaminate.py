@@ -144,7 +144,7 @@ def _find(block, rate: float, last: bool):
         for b in batches:
             hits = b.column(2).to_pylist()
             for i, text in enumerate(documents(b.column(1))):
-                hits[i] = hits[i] + [{"item_id": k, "distance": d} for k, d in m.find(text.decode())]
+                hits[i] = hits[i] + [{"item_id": k, "distance": d} for k, d in m.find(text.decode(errors="replace"))]
             text = pa.nulls(len(b), pa.string()) if last else b.column(1)  # no block reads it any more
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), text, pa.array(hits, b.schema.field(2).type)], ["id", "text", "hits"])
@@ -193,7 +193,7 @@ def _keep(block, rate: float, at: int):
     def emit(batches):
         m = _matcher(block, rate)
         for b in batches:
-            yield b.filter(pa.array([not m.find(x.decode()) for x in documents(b.column(at))], pa.bool_()))
+            yield b.filter(pa.array([not m.find(x.decode(errors="replace")) for x in documents(b.column(at))], pa.bool_()))
     return emit
 
 

@@ -99,7 +99,8 @@ def find(raw: bytes) -> list[Span]:
     if not _DIGIT.search(raw):
         return out
     for m in _IP.finditer(raw):
-        if all(len(p.lstrip(b"0")) <= 3 and int(p) <= 255 for p in m[0].split(b".")):
+        parts = [p.lstrip(b"0") or b"0" for p in m[0].split(b".")]
+        if all(len(p) <= 3 and int(p) <= 255 for p in parts):
             out.append((*m.span(), "ip"))
     for m in _CARD.finditer(raw):
         if m.end() - m.start() >= 12:

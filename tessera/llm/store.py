@@ -123,17 +123,17 @@ def passes(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (hit[:len(keys)] & hit[len(keys):]).astype(bool)
 
 
-def _mark(at: int, bitmap: Broadcast) -> Callable:
+def _mark(at: int, bitmap: Broadcast, name: str) -> Callable:
     def mark(batches):
         for b in batches:
             keys = b.column(at).to_numpy(zero_copy_only=False)
-            yield b.append_column("maybe", pa.array(passes(bitmap.value, keys), pa.bool_()))
+            yield b.append_column(name, pa.array(passes(bitmap.value, keys), pa.bool_()))
     return mark
 
 
 def marked(df: DataFrame, key: str, bitmap: Broadcast, name: str) -> DataFrame:
     """``df`` with a boolean column: may the filter hold the row's bigint ``key``?"""
-    return df.mapInArrow(_mark(df.columns.index(key), bitmap),
+    return df.mapInArrow(_mark(df.columns.index(key), bitmap, name),
                          T.StructType([*df.schema.fields, T.StructField(name, T.BooleanType())]))
 
 

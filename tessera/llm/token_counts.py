@@ -168,7 +168,7 @@ def _trees(sent, at: int):
         for b in batches:
             n, chars, tokens = [], [], []
             for raw in documents(b.column(at)):
-                tree = Tree.build(raw.decode(), tokenizer)
+                tree = Tree.build(raw.decode(errors="replace"), tokenizer)
                 c, t = tree.leaf_arrays()
                 n.append(tree.n_tokens)
                 chars.append(c.tobytes())
@@ -209,7 +209,7 @@ def _edited(sent):
             n, size, count, again = [], [], [], []
             rows = zip(documents(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist())
             for raw, edits, chars, tokens in rows:
-                text = raw.decode()
+                text = raw.decode(errors="replace")
                 tree = Tree(np.frombuffer(chars, np.int32), np.frombuffer(tokens, np.int32))
                 todo, work = _in_order(edits, len(text)), 0
                 for a, e, new in reversed(todo):  # from the back: places in front keep their meaning

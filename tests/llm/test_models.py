@@ -1,12 +1,11 @@
 """Mixing, decontamination, token counts, toxicity and context-tree scores."""
 import math
 import random
-import re
 from collections import Counter
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -96,11 +95,15 @@ def test_planted_passages(spark):
         edits = [0, k, 3 * k + 12][i % 3]
         for p in rng.sample(range(len(passage)), edits):
             passage[p] = rng.choice("#$%&")
-        rows.append((i, "Some words before. " + "".join(passage).upper() + "\n\n and after " * 50, item if edits <= k else None))
+        written = "".join(passage)
+        if decontaminate.normal(written.upper()) == written:  # not so with every letter
+            written = written.upper()
+        rows.append((i, "Some words before. " + written + "\n\n and after " * 50, item if edits <= k else None))
     docs = spark.createDataFrame(rows, "doc_id long, text string, item long")
     items = spark.createDataFrame([*bench, (None, None), (9999, "  ")], "item_id long, text string")
     for block in (4_000_000, 2000):  # one block, and several
-        got = {r.doc_id: r for r in decontaminate.contaminated(docs, items, decontaminate.Settings(block_chars=block)).collect()}
+        out = decontaminate.contaminated(docs, items, decontaminate.Settings(block_chars=block))
+        got = {r.doc_id: r for r in out.collect()}
         for i, _, item in rows:
             assert (item in got[i].item_ids) == (item is not None) and got[i].contaminated == (item is not None)
     kept = decontaminate.drop_contaminated(docs, items)
@@ -108,7 +111,8 @@ def test_planted_passages(spark):
 
 
 def test_decontamination_hard_rows(spark, hard, none):
-    items = spark.createDataFrame([(1, "beta gamma delta alpha beta gamma"), (2, "beta gamma delta alpha beta gamma")], "item_id long, text string")
+    twice = "beta gamma delta alpha beta gamma"
+    items = spark.createDataFrame([(1, twice), (2, twice)], "item_id long, text string")
     got = decontaminate.contaminated(hard, items)
     assert got.count() == len(HARD)
     assert {r.doc_id: list(r.item_ids) for r in got.where("contaminated").collect()} == {6: [1, 2], 10: [1, 2]}
@@ -130,7 +134,7 @@ mess = st.lists(st.sampled_from(["a", "b", "'", "l", "s", " ", "  ", "\n", "é",
                 max_size=150).map("".join)
 
 
-@settings(max_examples=300, deadline=None, suppress_health_check=list(__import__("hypothesis").HealthCheck))
+@settings(max_examples=300, deadline=None, suppress_health_check=list(HealthCheck))
 @given(mess, st.lists(st.tuples(st.integers(0, 400), st.integers(0, 60), mess.map(lambda t: t[:30])), max_size=4))
 def test_edits_count_like_a_full_encoding(tokenizer, text, edits):
     tree = token_counts.Tree.build(text, tokenizer)
@@ -198,7 +202,7 @@ def test_ordinal_fit_orders_grades():
 
 
 def test_held_out_accuracy(spark):
-    """Fitted on half of the labels at sf0.01 and read on the other half: few false alarms, most toxic texts found."""
+    """Fitted on half of the labels at sf0.1 and read on the other half: few false alarms, most toxic texts found."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     half = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
@@ -282,4 +286,3 @@ def test_held_out_texts_cost_more(spark):
     got = lm_score.scores(spark.read.parquet(f"{SF01}/documents.parquet"))
     a, b = (r[1] for r in got.groupBy("held_out").agg(F.avg("bits_per_byte")).orderBy("held_out").collect())
     assert 1 < a < b < 4
-    assert re.match("doc_id", got.columns[0])

@@ -62,7 +62,7 @@ def test_context_moves_the_score():
 
 
 def test_long_runs_take_linear_time():
-    for raw in (b"a" * 400_000, b"1" * 400_000, b"1." * 200_000, b"+1" + b" " * 400_000, b"a@" * 100_000, b"A" * 300_000 + b"@",
+    for raw in (b"a" * 400_000, b"1" * 400_000, b"1." * 200_000, b"0" * 9000 + b".1.2.3", b"+1" + b" " * 400_000, b"a@" * 100_000, b"A" * 300_000 + b"@",
                 b"DE12" + b"A" * 300_000, b"+" * 200_000):
         pii.find(raw)
     for raw in (b"secret" + b" " * 300_000, b"abcdef" * 60_000, b"AKIA" * 80_000, b"token" * 60_000):
