@@ -26,9 +26,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import store
+from tessera.operators.joins import join_small
 
 LEVELS = ("domain", "lang", "source")
 BIG = "decimal(38,0)"
+MOST_LEAVES = 200_000  # rows of a plan that is broadcast (tens of megabytes)
 
 
 @dataclass(frozen=True)
@@ -103,8 +105,9 @@ def _place(mix: Mixture) -> Column:
 
 
 def _planned(rows: DataFrame, plans: DataFrame, mix: Mixture) -> DataFrame:
-    return rows.join(plans, list(LEVELS)).where("n_tokens > 0").withColumn("place", _place(mix)).withColumn(
-        "bucket", F.substring("place", 1, 3))
+    # The plan has one row per leaf; under the checked bound it is broadcast and a hot leaf stays where it is.
+    planned = join_small(rows, plans, list(LEVELS), "inner", max_rows=MOST_LEAVES)
+    return planned.where("n_tokens > 0").withColumn("place", _place(mix)).withColumn("bucket", F.substring("place", 1, 3))
 
 
 def cut_points(leaves: DataFrame, plans: DataFrame, mix: Mixture) -> DataFrame:
