@@ -48,6 +48,20 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+def share_package(spark: SparkSession) -> None:
+    """Python workers import this package from the folder that the driver did.
+
+    Without it, workers of a session that was started in another folder only
+    find the package if it is installed or on their PYTHONPATH.  On a cluster
+    the package is shipped with the job as usual; an extra path does no harm.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
