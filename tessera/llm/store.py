@@ -12,17 +12,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.session import ensure_checkpoint_dir, scratch_path
+from tessera.session import ensure_checkpoint_dir, scratch_path, share_package
 
 BATCH_BYTES = 16 << 20
 SEGMENT = 1 << 16  # slots in one segment of a bitmap: a place fits 16 bits, a segment's bitmap 8 KB
 
 
 def prepare(spark: SparkSession) -> None:
-    """Shared folder, and Arrow batches bounded in bytes (texts differ in length by orders of magnitude).
+    """Importable package, shared folder, and Arrow batches bounded in bytes (texts differ in length by orders of magnitude).
 
     A tighter bound that the session already has stays.
     """
+    share_package(spark)
     ensure_checkpoint_dir(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     try:
