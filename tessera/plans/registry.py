@@ -763,13 +763,15 @@ def svm_separable(spark, sf):
     docs = text_docs(spark, sf)
     third = F.col("sentence_id") % 3
     marker = F.when(third == 0, _MARKERS[0]).when(third == 1, _MARKERS[1]).otherwise(_MARKERS[2])
+    # The whole text, then one marker for every four of its characters.
+    text = F.coalesce("text", F.lit(""))
     docs = assign_split(docs.select(
-        "sentence_id", F.concat(F.repeat(marker, F.lit(40)), F.substring("text", 1, 20)).alias("text"),
+        "sentence_id", F.concat(text, F.lit(" "), F.repeat(marker, F.floor(F.length(text) / 4).cast("int") + 1)).alias("text"),
         F.concat(F.lit("class"), third.cast("string")).alias("labels")), 0.2, 200)
     train, test = docs.where(~F.col("is_test")), docs.where("is_test")
     vocab = L.label_vocab(train)
     pm = V.fit_tfidf_model(train, "text", "tfidf")
-    model = J.fit_svm(L.encode_labels(pm.transform(train), vocab), features_col="tfidf", max_iter=20)
+    model = J.fit_svm(L.encode_labels(pm.transform(train), vocab), features_col="tfidf")
     pred = L.decode_labels(model.transform(pm.transform(test)), vocab, "prediction_id", "prediction")
     return pred.select("sentence_id", "labels", "prediction")
 

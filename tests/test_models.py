@@ -128,3 +128,16 @@ def test_map_batches_sets_up_once_per_task(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", with_small_batches)
     assert len(got) == 40 and len({r.s for r in got}) == 2
+
+
+def test_svm_separable_fits_whole_texts(spark, monkeypatch):
+    """The separable check fits and reads every text to its end, with the operator's own iteration limit."""
+    seen, given = [], []
+    fit_tfidf, fit_svm = R.V.fit_tfidf_model, R.J.fit_svm
+    monkeypatch.setattr(R.V, "fit_tfidf_model", lambda d, *a, **k: seen.append(d) or fit_tfidf(d, *a, **k))
+    monkeypatch.setattr(R.J, "fit_svm", lambda d, **k: given.append(k) or fit_svm(d, **k))
+    R.svm_separable(spark, SF001)
+    marked = seen[0].select("sentence_id", F.col("text").alias("marked"))
+    rows = marked.join(R.text_docs(spark, SF001), "sentence_id").select("text", "marked").collect()
+    assert rows and all(r.marked.startswith(r.text) and len(r.marked) > 1.5 * len(r.text) for r in rows)
+    assert max(len(r.text) for r in rows) > 1000 and "max_iter" not in given[0]
