@@ -2,7 +2,7 @@
 
 All patterns are ASCII and are matched on the bytes of the whole text, without
 retries: a proposed span that fails its check is dropped and the search goes
-on behind it.  Quantifiers are possessive or the span is grown by hand, so a
+on behind it, or for an IBAN at its next group.  Quantifiers are possessive or the span is grown by hand, so a
 long run of characters is read once, not once for each start.
 """
 
@@ -27,16 +27,23 @@ _LOCAL = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456
 _IP = re.compile(rb"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(rb"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(rb"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(rb"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9])++")
+_IBAN = re.compile(rb"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
 _DIGIT = re.compile(rb"[0-9]")
 _NOT_DIGIT = re.compile(rb"[^0-9]+")
 
-# The total length of an IBAN by country.
+# The total length of an IBAN by country, all of the registry.
 IBAN_LENGTHS = {
-    "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18,
-    "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IT": 27, "LT": 20, "LU": 20, "LV": 21, "MT": 31,
-    "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SI": 19, "SK": 24,
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29,
+    "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29,
+    "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28,
+    "HN": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20,
+    "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19,
+    "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29,
+    "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24,
+    "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+    "YE": 30,
 }
+_WHOLE = {n: re.compile(rb"[A-Z0-9](?: ?[A-Z0-9]){%d}(?![A-Za-z0-9])" % (n - 1)) for n in set(IBAN_LENGTHS.values())}
 
 # Scores in percent: what the pattern alone, or the pattern and its checksum, are worth.
 START_SCORE = {"email": 80, "ip": 50, "card": 70, "phone": 50, "iban": 85}
@@ -79,17 +86,14 @@ def _emails(raw: bytes) -> list[Span]:
 
 
 def _ibans(raw: bytes) -> list[Span]:
-    out = []
-    for m in _IBAN.finditer(raw):
-        size = IBAN_LENGTHS.get(m[0][:2].decode())
-        if not size:
-            continue
-        end, n = m.start(), 0
-        while end < m.end() and n < size:
-            n += raw[end] != 0x20
-            end += 1
-        if n == size and not raw[end:end + 1].isalnum() and mod97(m[0][:end - m.start()].replace(b" ", b"").decode()):
-            out.append((m.start(), end, "iban"))
+    """Every start of a group is tried, so neither a leading code nor a preceding IBAN hides one."""
+    out, done = [], 0
+    for start in _IBAN.finditer(raw):
+        size = IBAN_LENGTHS.get(start[0][:2].decode())
+        m = size and start.start() >= done and _WHOLE[size].match(raw, start.start())
+        if m and mod97(m[0].replace(b" ", b"").decode()):
+            out.append((*m.span(), "iban"))
+            done = m.end()
     return out
 
 

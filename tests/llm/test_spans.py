@@ -102,3 +102,14 @@ def test_secrets_query_matches_brute_force(spark):
         assert sorted(base) == sorted(":".join(map(str, s)) for s in want)
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(s[0] == k for s in want) for k in secret_scan.BASE]
         assert re.fullmatch(r"[0-9a-f]{64}", r.base_sha256)
+
+
+@pytest.mark.parametrize("text, want", [
+    ("DE89 3704 0044 0532 0130 00 GB29 NWBK 6016 1331 9268 19", [(0, 27), (28, 55)]),
+    ("AB12 DE89 3704 0044 0532 0130 00", [(5, 32)]), ("DE12 DE89 3704 0044 0532 0130 00", [(5, 32)]),
+    ("DE89370400440532013000 GB29NWBK60161331926819 X1", [(0, 22), (23, 45)]),
+    ("TR330006100519786457841326", [(0, 26)]), ("AE070331234567890123456", [(0, 23)]),
+    ("SA0380000000608010167519", [(0, 24)]), ("IS140159260076545510730339", [(0, 26)]),
+    ("LI21088100002324013AA", [(0, 21)]), ("TR340006100519786457841326", [])])
+def test_ibans_side_by_side_behind_codes_and_of_all_countries(text, want):
+    assert [s[:2] for s in pii.find(text.encode()) if s[2] == "iban"] == want
