@@ -3,8 +3,8 @@
 Patterns find candidate secrets in whole texts.  The hash of every candidate's
 value is then counted over the corpus, by distinct owners and repositories: a
 value that many owners have is a copied example, one that a single owner has
-and that looks random is a live-looking credential.  Values never leave the
-scan, only their hashes do.
+and that looks random is a live-looking credential, one with owners in between
+is shared.  Values never leave the scan, only their hashes do.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from tessera.llm.blocks import documents
 from tessera.llm.spans import Span, digest, in_code_points
 
 BASE = ("assign", "access", "hex")
-KINDS = (*BASE, "live", "example")
+KINDS = (*BASE, "live", "example", "shared")
 
 _ASSIGN = re.compile(rb"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I)
 _WORDS = (b"passw", b"secret", b"token", b"api")
@@ -97,11 +97,13 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 def scan(docs: DataFrame, owner: Column, repository: Column, settings: Settings = Settings(), id_col: str = "doc_id",
          text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_assign, n_access, n_hex, n_live, n_example, base_sha256, spans.
+    """One row per input row: doc_id, n_assign, n_access, n_hex, n_live, n_example, n_shared, base_sha256,
+    spans, ownership.
 
-    ``spans`` joins the base spans and, at the place of the value, a ``live``
-    or ``example`` span for the values that the ownership counts tell apart;
-    ``base_sha256`` digests the base spans.  Null and empty texts have none; a
+    ``spans`` joins the base spans and, at the place of the value, a ``live``,
+    ``example`` or ``shared`` span by the ownership counts (a single owner's
+    value that does not look random has none); ``base_sha256`` digests the
+    base spans; ``ownership`` joins start:end:owners:repositories of all values.  Null and empty texts have none; a
     null owner or repository is one owner or repository of its own.  Repeated
     rows count as further places of the same owner.
     """
@@ -119,17 +121,22 @@ def scan(docs: DataFrame, owner: Column, repository: Column, settings: Settings
     counted = store.written(ownership(each.select(F.col("c.value").alias("value"), "owner", "repository")), "owners")
     live = (F.col("owners") == 1) & F.col("c.random")
     verdict = F.when(F.col("owners") >= settings.copied_owners, F.lit(KINDS.index("example"))).when(
-        live, F.lit(KINDS.index("live")))
+        live, F.lit(KINDS.index("live"))).when(F.col("owners") > 1, F.lit(KINDS.index("shared")))
     added = (each.select("rid", "c", F.col("c.value").alias("value")).join(counted, "value")
-             .select("rid", verdict.alias("rank"), F.col("c.from").alias("start"), F.col("c.to").alias("end"))
-             .where("rank is not null").groupBy("rid").agg(F.collect_set(F.struct("start", "rank", "end")).alias("added")))
+             .select("rid", verdict.alias("rank"), F.col("c.from").alias("start"), F.col("c.to").alias("end"),
+                     "owners", "repositories")
+             .groupBy("rid").agg(
+                 F.collect_set(F.when(F.col("rank").isNotNull(), F.struct("start", "rank", "end"))).alias("added"),
+                 F.collect_set(F.struct("start", "end", "owners", "repositories")).alias("ownership")))
     none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint>>")
     out = rows.join(added, "rid", "left").withColumn("added", F.coalesce("added", none))
     base = F.transform("found", lambda c: F.struct(c["start"].alias("start"), c["rank"].alias("rank"), c["end"].alias("end")))
     names = F.array(*(F.lit(k) for k in KINDS))
     label = lambda s: F.concat_ws(":", names[s["rank"]], s["start"].cast("string"), s["end"].cast("string"))
+    counts = lambda s: F.concat_ws(":", s["start"], s["end"], s["owners"], s["repositories"])
     count = lambda column, kind: F.size(F.filter(
         column, lambda s: s["rank"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
     return out.select(F.col("id").alias("doc_id"), *(count("found", k) for k in BASE),
-                      *(count("added", k) for k in ("live", "example")), F.col("base").alias("base_sha256"),
-                      F.array_join(F.transform(F.array_sort(F.concat(base, "added")), label), ",").alias("spans"))
+                      *(count("added", k) for k in ("live", "example", "shared")), F.col("base").alias("base_sha256"),
+                      F.array_join(F.transform(F.array_sort(F.concat(base, "added")), label), ",").alias("spans"),
+                      F.coalesce(F.array_join(F.transform(F.array_sort("ownership"), counts), ","), F.lit("")).alias("ownership"))

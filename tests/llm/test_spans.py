@@ -113,3 +113,15 @@ def test_secrets_query_matches_brute_force(spark):
     ("LI21088100002324013AA", [(0, 21)]), ("TR340006100519786457841326", [])])
 def test_ibans_side_by_side_behind_codes_and_of_all_countries(text, want):
     assert [s[:2] for s in pii.find(text.encode()) if s[2] == "iban"] == want
+
+
+def test_two_owners_share_a_value(spark):
+    """No gap between one owner and a copied example; every value's counts are returned."""
+    value, other = "u3Jt7Ge1Qa5Wz9Nf", "v4Ku8Hf2Rb6Xa0Mg"
+    rows = [(1, f"secret={value}", "owner1", "r"), (2, f"é secret={value}", "owner2", "r"),
+            (3, f"secret={other}, token=aaaaaaaaaaaaaaaa", "owner1", "r"), (4, "none", "owner1", "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, owner string, repo string")
+    got = {r.doc_id: r for r in secret_scan.scan(docs, F.col("owner"), F.col("repo")).collect()}
+    assert [got[i].n_shared for i in (1, 2, 3, 4)] == [1, 1, 0, 0] and got[3].n_live == 1
+    assert got[2].spans == "assign:2:25,shared:9:25" and got[2].n_live == got[2].n_example == 0
+    assert got[2].ownership == "9:25:2:2" and got[3].ownership == "7:23:1:1,31:47:1:1" and got[4].ownership == ""
