@@ -2,7 +2,7 @@
 
 Patterns find candidate secrets in whole texts.  The hash of every candidate's
 value is then counted over the corpus, by distinct owners and repositories: a
-value that many owners have is a copied example, one that a single owner has
+value that many owners or many repositories have is a copied example, one that a single owner has
 and that looks random is a live-looking credential, one with owners in between
 is shared.  Values never leave the scan, only their hashes do.
 """
@@ -35,6 +35,7 @@ _HEX = re.compile(rb"[0-9a-f]{24,}")
 @dataclass(frozen=True)
 class Settings:
     copied_owners: int = 3  # owners from which a value counts as a copied example
+    copied_repositories: int = 4  # the same by repositories, of however few owners
     live_bits: float = 2.8  # entropy per character that a live-looking value has at least
     live_length: int = 12
 
@@ -120,7 +121,8 @@ def scan(docs: DataFrame, owner: Column, repository: Column, settings: Settings
     each = rows.where(F.size("found") > 0).select("rid", "owner", "repository", F.explode("found").alias("c"))
     counted = store.written(ownership(each.select(F.col("c.value").alias("value"), "owner", "repository")), "owners")
     live = (F.col("owners") == 1) & F.col("c.random")
-    verdict = F.when(F.col("owners") >= settings.copied_owners, F.lit(KINDS.index("example"))).when(
+    copied = (F.col("owners") >= settings.copied_owners) | (F.col("repositories") >= settings.copied_repositories)
+    verdict = F.when(copied, F.lit(KINDS.index("example"))).when(
         live, F.lit(KINDS.index("live"))).when(F.col("owners") > 1, F.lit(KINDS.index("shared")))
     added = (each.select("rid", "c", F.col("c.value").alias("value")).join(counted, "value")
              .select("rid", verdict.alias("rank"), F.col("c.from").alias("start"), F.col("c.to").alias("end"),

@@ -125,3 +125,12 @@ def test_two_owners_share_a_value(spark):
     assert [got[i].n_shared for i in (1, 2, 3, 4)] == [1, 1, 0, 0] and got[3].n_live == 1
     assert got[2].spans == "assign:2:25,shared:9:25" and got[2].n_live == got[2].n_example == 0
     assert got[2].ownership == "9:25:2:2" and got[3].ownership == "7:23:1:1,31:47:1:1" and got[4].ownership == ""
+
+
+def test_many_repositories_of_one_owner_make_an_example(spark):
+    value = "w5Lv9Jg3Sc7Yb1Nh"
+    docs = spark.createDataFrame([(i, f"token={value}", "owner", f"r{i}") for i in range(4)],
+                                 "doc_id long, text string, owner string, repo string")
+    scan = lambda d: secret_scan.scan(d, F.col("owner"), F.col("repo")).collect()
+    assert all((r.n_example, r.n_live, r.ownership) == (1, 0, "6:22:1:4") for r in scan(docs))
+    assert all((r.n_example, r.n_live, r.ownership) == (0, 1, "6:22:1:3") for r in scan(docs.where("doc_id < 3")))
