@@ -218,6 +218,11 @@ def near_groups(docs: DataFrame, settings: Settings = Settings(), id_col: str =
     null (kept) if the group has none.  Repeated rows have equal results.
     ``row_key`` hashes id and text, for ``drop_near_duplicates``.
     """
+    return _groups(docs, settings, id_col, text_col).drop("stays")
+
+
+def _groups(docs: DataFrame, settings: Settings, id_col: str, text_col: str) -> DataFrame:
+    """``near_groups`` with ``stays``: the row has the smallest (id, row_key) of its group, or no words."""
     spark = docs.sparkSession
     store.prepare(spark)
     kind = docs.schema[id_col].dataType
@@ -231,7 +236,8 @@ def near_groups(docs: DataFrame, settings: Settings = Settings(), id_col: str =
                          .withColumn("rid", F.monotonically_increasing_id()), "signatures")
     classes = store.written(
         rows.where("n > 0").groupBy("sid").agg(
-            F.min("rid").alias("cid"), F.min("id").alias("least"), F.any_value("n").alias("n"),
+            F.min("rid").alias("cid"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_key")).alias("least"),
+            F.any_value("n").alias("n"),
             F.min("text_key").alias("text_key"), F.any_value("bands").alias("bands"),
             F.any_value("sketch").alias("sketch")), "classes")
 
@@ -284,19 +290,25 @@ def near_groups(docs: DataFrame, settings: Settings = Settings(), id_col: str =
         found = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
 
     least = found.join(classes.select(F.col("cid").alias("node"), "least"), "node")
-    of_root = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = least.join(of_root, "root").select(F.col("node").alias("cid"), "component_id")
+    of_root = least.groupBy("root").agg(F.min("least").alias("first"))
+    linked = least.join(of_root, "root").select(F.col("node").alias("cid"), "first")
     by_set = classes.select("sid", "cid", "least").join(linked, "cid", "left").select(
-        "sid", F.when(F.col("component_id").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
-    out = rows.where("n > 0").join(by_set, "sid").select("id", "n", "component_id", "row_key")
-    empty = rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"), "row_key")
+        "sid", F.coalesce("first", "least").alias("first"))
+    out = rows.where("n > 0").join(by_set, "sid").select(
+        "id", "n", F.col("first.id").alias("component_id"), "row_key",
+        (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("row_key") == F.col("first.row_key"))).alias("stays"))
+    empty = rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"), "row_key", F.lit(True).alias("stays"))
     return out.union(empty).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id",
-                                   F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "row_key")
+                                   F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "row_key", "stays")
 
 
 def drop_near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id",
                          text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``near_groups`` keeps, with all their columns; other rows are not shuffled."""
-    groups = near_groups(docs, settings, id_col, text_col)
-    dropped = store.written(groups.where("not kept").select(F.col("doc_id").alias("id"), "row_key"), "near-dropped")
+    """One row of every near-duplicate group, with all its columns; the rows that stay are not shuffled.
+
+    The smallest id, a null one last, and of equal ids the smallest row key.
+    Repeated rows (equal in id and text) stay or go together.
+    """
+    groups = _groups(docs, settings, id_col, text_col)
+    dropped = store.written(groups.where("not stays").select(F.col("doc_id").alias("id"), "row_key"), "near-dropped")
     return store.without(docs, dropped, id_col, text_col, MOST_BITS)

@@ -124,3 +124,12 @@ def test_components(spark):
     used = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {i: least[root[i]] for i in used}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_one_row_of_a_near_group_stays_under_equal_or_null_ids(spark):
+    """Near-equal texts under one repeated id or without any: one row a group, other groups of that id untouched."""
+    text = lambda word, i: " ".join(f"{word}{k}" for k in range(60)) + f" end{i}"
+    rows = [(1, text("a", i)) for i in range(3)] + [(None, text("b", i)) for i in range(3)]
+    rows += [(1, text("c", 0)), (None, text("d", 0)), (5, text("e", 0)), (None, text("e", 1)), (4, text("e", 2))]
+    kept = neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.text[0]) for r in kept) == Counter([(1, "a"), (None, "b"), (1, "c"), (None, "d"), (4, "e")])
