@@ -141,3 +141,11 @@ def test_svm_separable_fits_whole_texts(spark, monkeypatch):
     rows = marked.join(R.text_docs(spark, SF001), "sentence_id").select("text", "marked").collect()
     assert rows and all(r.marked.startswith(r.text) and len(r.marked) > 1.5 * len(r.text) for r in rows)
     assert max(len(r.text) for r in rows) > 1000 and "max_iter" not in given[0]
+
+
+def test_saved_model_agreement_uses_the_whole_grid(spark, monkeypatch):
+    grids = []
+    select = R.J.train_select
+    monkeypatch.setattr(R.J, "train_select", lambda *a, **k: grids.append(a[4]) or select(*a, **k))
+    assert R.score_saved_model_agreement(spark, SF001).where("not agrees").count() == 0
+    assert len(grids[0]) == len(J.lr_grid()[1]) == 6
