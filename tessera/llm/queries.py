@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import (chat, decontaminate, exact_dedup, lm_score, mixing, neardup, pii, secret_scan,
-                         token_counts, toxicity)
+from tessera.llm import (chat, decontaminate, exact_dedup, filter_audit, lm_score, mixing, neardup, pii, secret_scan,
+                         substring_dedup, target_resampling, token_counts, toxicity)
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -163,6 +163,85 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters in all orders over all documents, by language."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, length(text) AS points,
+    length(regexp_replace(text, '[^A-Z]', '', 'g')) AS capitals,
+    coalesce(min(doc_id) OVER (PARTITION BY text) < doc_id, false) AS copied FROM d),
+good AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+    + 4 * (100 * capitals > 3 * points)::INT + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * copied::INT AS failing,
+    coalesce(good.good, 0) AS good, coalesce(good.toxic, 0) AS toxic FROM w LEFT JOIN good USING (doc_id)),
+c AS (SELECT part, failing, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+orders AS (SELECT '' AS filter_order UNION ALL SELECT filter_order || x FROM orders, (SELECT unnest(['A','B','C','D','E']) AS x)
+    WHERE NOT contains(filter_order, x)),
+steps AS (SELECT filter_order, s AS step, 1 << (ascii(filter_order[s]) - 65) AS bit,
+    list_sum(list_transform(range(1, s), lambda i: 1 << (ascii(filter_order[i]) - 65))) AS before
+    FROM orders, (SELECT unnest(range(1, 6)) AS s) WHERE length(filter_order) = 5),
+x AS (SELECT part, filter_order, step, n, good, toxic, failing & bit > 0 AS fails,
+    failing & coalesce(before, 0)::INT > 0 AS gone, failing = bit AS alone, 120 // greatest(bit_count(failing), 1) AS firsts FROM c, steps)
+SELECT part, filter_order, step::INT AS step, coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (fails AND NOT gone), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (fails AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (alone), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (fails AND NOT gone), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (fails AND NOT gone), 0)::BIGINT AS toxic_lost,
+    coalesce(sum(n * firsts) FILTER (fails), 0)::BIGINT AS shapley
+FROM x GROUP BY ALL"""
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that windows of fifty words repeat from smaller ids."""
+    return substring_dedup.repeats(table(spark, sf_dir, "documents")).drop("removed", "row_key")
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),
+h AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM s),
+gone AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY h) AS least FROM h) WHERE doc_id > least),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+y AS (SELECT x.*, max(gone.i) OVER (PARTITION BY x.doc_id ORDER BY x.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NOT NULL AS cut
+    FROM x LEFT JOIN gone ON gone.doc_id = x.doc_id AND gone.i = x.i),
+z AS (SELECT doc_id, count(*) FILTER (cut) AS n, string_agg(word, ' ' ORDER BY i) FILTER (NOT cut) AS kept FROM y GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN z USING (doc_id)"""
+
+
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of all documents, drawn towards the benchmark's distribution of words."""
+    return target_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE tb(i, k, c) AS (SELECT i, 0, i FROM (SELECT unnest(range(256)) AS i)
+    UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM tb WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM tb WHERE k = 8),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+dw AS (SELECT doc_id, word, count(*) AS c FROM (SELECT doc_id, unnest(w) AS word FROM d) GROUP BY ALL),
+words AS (SELECT word, hex(encode(word)) AS x FROM (SELECT DISTINCT word FROM dw UNION SELECT DISTINCT word FROM b)),
+bytes AS (SELECT word, list_transform(range(len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT) AS l FROM words),
+crc AS (SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, l),
+    lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) % 10000 AS bucket FROM bytes, tab),
+s AS (SELECT bucket, sum(c)::BIGINT AS n FROM dw JOIN crc USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM b JOIN crc USING (word) GROUP BY bucket),
+g AS (SELECT bucket, floor(1000.0::DOUBLE * ln(((coalesce(t.n, 0) + 1)::DOUBLE * (SELECT sum(n) + 10000 FROM s)::DOUBLE)
+    / ((s.n + 1)::DOUBLE * (SELECT coalesce(sum(n), 0) + 10000 FROM t)::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)),
+v AS (SELECT doc_id, sum(c * gain)::BIGINT AS weight FROM dw JOIN crc USING (word) JOIN g USING (bucket) GROUP BY doc_id),
+z AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000.0::DOUBLE
+    * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT
+    AS score FROM d LEFT JOIN v USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM z WHERE n_features >= 20)
+SELECT z.doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM z LEFT JOIN r USING (doc_id)"""
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_near_dedup": op2_near_dedup,
@@ -174,10 +253,16 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_lm_score": op9_lm_score,
     "op10_pii": op10_pii,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_substring_dedup": op12_substring_dedup,
+    "op13_target_resampling": op13_target_resampling,
 }
 
 ORACLE = {
     "op1_chat_format": OP1_SQL,
     "op3_mixture": OP3_SQL,
     "op8_exact_dedup": OP8_SQL,
+    "op11_filter_audit": OP11_SQL,
+    "op12_substring_dedup": OP12_SQL,
+    "op13_target_resampling": OP13_SQL,
 }
