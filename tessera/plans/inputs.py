@@ -112,7 +112,21 @@ def conversation_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def conversation_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Round trip: conversations -> nested JSON text -> parsed -> flattened (A1, A2)."""
-    return flatten_sentences(parse_annotations(conversation_annotation_json(spark, sf_dir)))
+    return flatten_sentences(parse_annotations(conversation_annotation_json(spark, sf_dir))).drop("source")
+
+
+# Fixed stand-in rule: what happens to the line of a turn, by turn % 7.
+BROKEN_LINES = {1: "cut off", 3: "an array", 4: "two objects", 6: "one brace too many"}
+
+
+def broken_annotation_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``marked_annotation_json`` with the lines of some turns broken (rule above)."""
+    lines = marked_annotation_json(spark, sf_dir)
+    rest = F.regexp_extract("value", r'^\{"[^"]*":\{"(\d+)"', 1).cast("int") % 7
+    v = F.col("value")
+    broken = (F.when(rest == 1, F.substring(v, F.lit(1), F.length(v) - 2)).when(rest == 3, F.concat(F.lit("["), v, F.lit("]")))
+              .when(rest == 4, F.concat(v, F.lit(" "), v)).when(rest == 6, F.concat(v, F.lit("}"))).otherwise(v))
+    return lines.select(broken.alias("value"))
 
 
 def event_prediction_expr(run: F.Column | int = 0) -> F.Column:

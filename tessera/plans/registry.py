@@ -126,6 +126,30 @@ def annotation_bad_rows(spark, sf):
     return bad.select("sentence_id", "problem")
 
 
+@register("annotation_broken_records", _LINES + """,
+b AS (SELECT DISTINCT conv_id, turn, CASE turn % 7 WHEN 1 THEN 'cut off' WHEN 3 THEN 'an array' WHEN 4 THEN 'two objects'
+    WHEN 6 THEN 'one brace too many' END AS how FROM conversations)
+SELECT p.sentence_id, p.problem, NULL AS how, true AS has_file, false AS has_record FROM p JOIN b USING (conv_id, turn)
+    WHERE how IS NULL AND problem IS NOT NULL
+UNION ALL SELECT conv_id || '/' || turn, 'malformed JSON', how, true, true FROM b WHERE how IS NOT NULL""")
+def annotation_broken_records(spark, sf):
+    """Annotation files with broken lines -> read -> flatten -> two sinks; the bad one read back (A1-A3).
+
+    A malformed record comes back with its text: the ids are read from it.
+    """
+    path = scratch_path(spark, "annotations")
+    I.broken_annotation_json(spark, sf).write.text(path)
+    good, bad = f"{path}-good", f"{path}-bad"
+    A.write_validated(A.flatten_sentences(A.read_annotations(spark, path, "ndjson")), good, bad)
+    record = F.col("source.record")
+    turn = F.regexp_extract(record, r'"([^"]*)":\{"(\d+)"', 2)
+    how = F.when(record.isNotNull(), F.element_at(F.create_map(*[F.lit(x) for kv in I.BROKEN_LINES.items() for x in kv]),
+                                                  turn.cast("int") % 7))
+    return spark.read.parquet(bad).select(
+        F.coalesce("sentence_id", F.concat_ws("/", F.regexp_extract(record, r'"([^"]*)":\{"(\d+)"', 1), turn)).alias("sentence_id"),
+        "problem", how.alias("how"), F.col("source.file").isNotNull().alias("has_file"), record.isNotNull().alias("has_record"))
+
+
 @register("annotation_chain", _LINES + f""",
 g AS (SELECT sentence_id, text, coarse, fine, CASE WHEN {Q.is_test_sql('sentence_id')} THEN 'test' ELSE 'train' END AS part
   FROM p WHERE problem IS NULL)

@@ -50,6 +50,42 @@ def test_ndjson_layout_from_conversations(spark):
     assert good.count() + bad.count() == n_lines
 
 
+GOOD = '{"g": {"t": {"sentences": {"1": {"text": "a", "stype": "s", "coarse": "OTHER", "fine": "X"}}}}}'
+BROKEN = ['{"g": {"t": {"sentences": {"1": {"text": "a"', "[1, 2]", f"[{GOOD}]", f"{GOOD} {GOOD}", f"{GOOD}}}", f"{GOOD}]",
+          f"{GOOD} junk", '"text"', "null", "7", "{'g': 1}", "\ufeff" + '{"g"', "{"]
+
+
+@pytest.mark.parametrize("layout", ["ndjson", "object"])
+def test_malformed_records_are_reported(spark, tmp_path, layout):
+    texts = [GOOD, *BROKEN, "  \t ", "{}", GOOD]
+    if layout == "ndjson":
+        (tmp_path / "a.json").write_text("\n".join(texts), encoding="utf8")
+    else:
+        for k, t in enumerate(texts):
+            (tmp_path / f"{k}.json").write_text(t, encoding="utf8")
+    flat = A.flatten_sentences(A.read_annotations(spark, str(tmp_path), layout))
+    good, bad = A.validate_sentences(flat, "split")
+    assert [r.text for r in good.collect()] == ["a", "a"]  # blank lines and empty objects hold no rows
+    rows = bad.collect()
+    strip = lambda x: x.lstrip("\ufeff")
+    assert sorted(strip(r.source.record) for r in rows) == sorted(map(strip, BROKEN))
+    assert all(r.problem == "malformed JSON" and ".json" in r.source.file and r.source.offset == 0 for r in rows)
+    assert all(r.sentence_id is None and r.group_id is None for r in rows)
+    with pytest.raises(Exception, match="malformed JSON"):
+        A.validate_sentences(flat, "fail").collect()
+    A.write_validated(flat, str(tmp_path / "good"), str(tmp_path / "bad"))
+    assert spark.read.parquet(str(tmp_path / "good")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "bad")).count() == len(BROKEN)
+
+
+def test_wrong_types_inside_a_record_are_bad_rows(spark):
+    rows = ['{"g": 5}', '{"g": {"t": 5}}', '{"g": {"t": {"sentences": [1]}}}', '{"g": {"t": {"sentences": {"1": "a"}}}}']
+    flat = A.flatten_sentences(A.parse_annotations(spark.createDataFrame([(r,) for r in rows], "value string")))
+    good, bad = A.validate_sentences(flat, "split")
+    assert good.count() == 0 and bad.count() == len(rows)
+    assert bad.where("source.file is not null").count() == 0
+
+
 HARD = ["tab\there", 'quote "x" ""', "new\nline", "back\\slash", "  leading blank", "NA", "#x", "trailing  "]
 
 
