@@ -72,6 +72,12 @@ def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", F.map_from_arrays(ids, structs).alias("sentences"))
 
 
+def turn_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations as a sentence table: ``sentence_id = conv_id/turn``, ``labels = role``."""
+    c = table(spark, sf_dir, "conversations")
+    return c.select(F.concat_ws("/", "conv_id", "turn").alias("sentence_id"), "text", F.col("role").alias("labels"))
+
+
 def conversation_annotation_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annotation ndjson lines built from conversations (column ``value``)."""
     return to_annotation_json(conversation_turns(spark, sf_dir), "conv_id", "turn", "sentences")
@@ -99,13 +105,18 @@ def marked_annotation_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_annotation_json(turns, "conv_id", "turn", "sentences")
 
 
+#: Turns of one conversation, and conversations, that one nested object holds at most.
+OBJECT_TURNS, OBJECT_CONVERSATIONS = 64, 16
+
+
 def conversation_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(file, value): one nested annotation object per sixteen conversations."""
-    turns = conversation_turns(spark, sf_dir)
-    convs = turns.groupBy("conv_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(
+    """(file, value): nested annotation objects of bounded size; a long conversation goes on in further files."""
+    turns = conversation_turns(spark, sf_dir).withColumn("chunk", F.floor(F.col("turn") / OBJECT_TURNS))
+    convs = turns.groupBy("conv_id", "chunk").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(
         F.col("turn").cast("string").alias("turn"), F.struct("sentences").alias("tweet"))),
         lambda a, b: F.when(a["turn"] < b["turn"], -1).when(a["turn"] > b["turn"], 1).otherwise(0))).alias("tweets"))
-    objects = convs.groupBy(F.floor(F.col("conv_id") / 16).alias("file")).agg(
+    file = F.concat_ws("-", F.floor(F.col("conv_id") / OBJECT_CONVERSATIONS), "chunk")
+    objects = convs.groupBy(file.alias("file")).agg(
         F.map_from_entries(F.collect_list(F.struct(F.col("conv_id").cast("string"), F.col("tweets")))).alias("o"))
     return objects.select("file", F.to_json("o").alias("value"))
 

@@ -17,6 +17,7 @@ from ..operators import labels as L
 from ..operators import encode as K
 from ..operators import models as J
 from ..operators import tfidf as TF
+from ..operators import training as E
 from ..operators import vectors as V
 from ..operators import metrics as M
 from ..operators.joins import join_small
@@ -177,7 +178,7 @@ WITH t AS (SELECT conv_id, turn, role, string_split(text, chr(10)) AS l FROM con
 x AS (SELECT conv_id, turn, role, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS i FROM t)
 SELECT conv_id || '/' || turn || '/' || i AS sentence_id, CAST(i AS INTEGER) AS pos, line AS text, role AS stype FROM x""")
 def annotation_object_files(spark, sf):
-    """Files of one nested object each (sixteen conversations a file), read whole and flattened (A1, A2)."""
+    """Files of one nested object each (of bounded size), read whole and flattened (A1, A2)."""
     path = scratch_path(spark, "annotation-objects")
     I.conversation_objects(spark, sf).write.partitionBy("file").text(path)
     s = A.flatten_sentences(A.read_annotations(spark, f"{path}/file=*", "object"))
@@ -811,6 +812,81 @@ def train_select(spark, sf):
                          r6("accuracy").alias("accuracy"), (F.col("run_id") == best).alias("best"))
 
 
+# The reference trains on sentences: here the turns of the conversations, labelled with their role.
+_TURNS = "(SELECT conv_id || '/' || turn AS doc_id, text, role FROM conversations)"
+_SCHEDULE = E.Schedule()
+
+
+def _epochs_sql() -> str:
+    """The epochs of ``_SCHEDULE`` (one full-batch step each) unrolled over the long rows."""
+    out = "WITH " + _TF_CTES.replace("FROM documents)", f"FROM {_TURNS})", 1) + f""",
+vocab AS (SELECT role AS label, CAST(row_number() OVER (ORDER BY role) - 1 AS INTEGER) AS label_id
+    FROM (SELECT DISTINCT role FROM {_TURNS} WHERE NOT {Q.is_test_sql('doc_id')})),
+doc AS (SELECT doc_id, label AS labels, label_id AS y, {Q.is_test_sql('doc_id')} AS is_test FROM {_TURNS} JOIN vocab ON role = label),
+xw AS (SELECT tf.doc_id, tf.term, tf.tf * idf.idf AS w FROM tf JOIN idf ON tf.term = idf.term),
+x AS MATERIALIZED (SELECT doc.*, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS v FROM xw JOIN doc USING (doc_id)
+    UNION ALL SELECT *, '', 1.0 FROM doc),
+n AS (SELECT count(*) AS n FROM doc WHERE NOT is_test),
+w0 AS (SELECT '' AS term, 0 AS label_id, 0.0::DOUBLE AS w WHERE false)"""
+    for s in range(_SCHEDULE.epochs):
+        rate = f"{_SCHEDULE.step_size(s)!r}::DOUBLE"
+        out += f""",
+z{s} AS MATERIALIZED (SELECT doc_id, c.label_id, any_value(y) AS y, sum(v * coalesce(w, 0)) AS z FROM x CROSS JOIN vocab c
+    LEFT JOIN w{s} ON w{s}.term = x.term AND w{s}.label_id = c.label_id WHERE NOT is_test GROUP BY ALL),
+e{s} AS (SELECT *, exp(z - max(z) OVER (PARTITION BY doc_id)) AS e FROM z{s}),
+p{s} AS MATERIALIZED (SELECT doc_id, label_id, e / sum(e) OVER (PARTITION BY doc_id) - (y = label_id)::INT AS p FROM e{s}),
+w{s + 1} AS MATERIALIZED (SELECT term, label_id, sum(w) AS w FROM (
+    SELECT term, label_id, CASE WHEN term = '' THEN w ELSE w * (1.0::DOUBLE - {rate} * {_SCHEDULE.decay}) END AS w FROM w{s}
+    UNION ALL SELECT term, label_id, -{rate} * (sum(v * p) / any_value(n)) FROM x JOIN p{s} USING (doc_id), n GROUP BY ALL)
+    GROUP BY ALL)"""
+    return out
+
+
+def _epoch_scores_sql() -> str:
+    runs = " UNION ALL ".join(f"SELECT {s} AS epoch, * FROM w{s}" for s in range(1, _SCHEDULE.epochs + 1))
+    ctes = _epochs_sql().removeprefix("WITH ") + f""",
+ws AS MATERIALIZED ({runs}),
+zt AS (SELECT epoch, doc_id, labels, label_id, sum(v * w) AS z FROM x JOIN ws USING (term) WHERE is_test GROUP BY ALL),
+pred AS (SELECT epoch, labels, (SELECT label FROM vocab WHERE label_id = best) AS prediction FROM
+    (SELECT epoch, labels, arg_max(label_id, (z, -label_id)) AS best FROM zt GROUP BY epoch, doc_id, labels))"""
+    return "WITH r AS (" + Q.report_sql(ctes, by=("epoch",)) + """),
+s AS (SELECT epoch, max(f1_score) FILTER (label = 'macro avg') AS macro_f1,
+    max(f1_score) FILTER (label = 'weighted avg') AS weighted_f1, max(f1_score) FILTER (label = 'accuracy') AS accuracy
+    FROM r GROUP BY epoch)
+SELECT epoch, macro_f1, weighted_f1, accuracy, epoch = (SELECT epoch FROM s ORDER BY macro_f1 DESC, epoch LIMIT 1) AS best FROM s"""
+
+
+def _epoch_run(spark, sf) -> tuple[E.EpochRun, DataFrame]:
+    turns = assign_split(I.turn_sentences(spark, sf), 0.2, 200)
+    vocab = L.label_vocab(turns.where(~F.col("is_test")))
+    docs = H.normalize_text(turns.select("sentence_id", "text", "is_test")).select("sentence_id", "norm_text", "is_test")
+    path = scratch_path(spark, "epochs")
+    weights, _ = TF.fit_transform_tfidf(docs)
+    weights.write.parquet(f"{path}/tfidf")
+    weights = spark.read.parquet(f"{path}/tfidf")
+    parts = [E.long_rows(L.encode_labels(turns.where(F.col("is_test") == test), vocab, strict=False),
+                         weights.where(F.col("is_test") == test)) for test in (False, True)]
+    return E.train_epochs(*parts, vocab, f"{path}/run", _SCHEDULE), vocab
+
+
+@register("train_epochs", _epoch_scores_sql())
+def train_epochs(spark, sf):
+    """Ten epochs on the turns' TF-IDF, scored and saved after each; the best by macro F1."""
+    run, _ = _epoch_run(spark, sf)
+    best = run.best()
+    return run.scores().select("epoch", r6("macro_f1").alias("macro_f1"), r6("weighted_f1").alias("weighted_f1"),
+                               r6("accuracy").alias("accuracy"), (F.col("epoch") == best).alias("best"))
+
+
+@register("train_epochs_weights", _epochs_sql() + f"""
+SELECT term, label, round(w, 6) AS weight FROM w{_SCHEDULE.epochs} JOIN vocab USING (label_id)""")
+def train_epochs_weights(spark, sf):
+    """Every weight of the last epoch, read back from its written table."""
+    run, vocab = _epoch_run(spark, sf)
+    w = run.weights(_SCHEDULE.epochs).select("term", F.posexplode("w").alias("prediction_id", "weight"))
+    return L.decode_labels(w, vocab, "prediction_id", "label").select("term", "label", r6("weight").alias("weight"))
+
+
 @register("score_saved_model")
 def score_saved_model(spark, sf):
     """Fit TF-IDF + logistic regression, save to the shared folder, reload, score the test split."""
