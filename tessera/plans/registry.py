@@ -28,6 +28,7 @@ from ..operators.split import assign_split, assign_split_exact, split
 from ..session import scratch_path
 from ..sources import annotations as A
 from ..sources import delimited as D
+from ..sources import objects as O
 from . import inputs as I
 from . import sql as Q
 
@@ -186,6 +187,15 @@ def annotation_object_files(spark, sf):
     return s.select("sentence_id", "pos", "text", "stype")
 
 
+@register("annotation_objects_in_splits", ORACLE["annotation_object_files"])
+def annotation_objects_in_splits(spark, sf):
+    """Files of one nested object each, every file cut into splits of 8 KB that many tasks read (A1, A2)."""
+    path = scratch_path(spark, "annotation-objects")
+    I.conversation_objects(spark, sf).write.partitionBy("file").text(path)
+    s = A.flatten_sentences(O.read_annotation_objects(spark, f"{path}/file=*", split_bytes=8192))
+    return s.select("sentence_id", "pos", "text", "stype")
+
+
 @register("tsv_roundtrip", f"""
 SELECT text, lang AS labels, CASE WHEN {Q.is_test_sql('doc_id')} THEN 'test' ELSE 'train' END AS part
 FROM documents""")

@@ -46,12 +46,14 @@ def parse_annotations(df: DataFrame, value_col: str = "value", file: F.Column |
 
     The record is parsed as the only element of an array of one-field
     objects, because the JSON reader ignores whatever follows a complete
-    value: text after the object makes the whole malformed instead.
+    value: text after the object makes the whole malformed instead.  The
+    array's length is only known if its syntax is right to the end; the typed
+    reader alone would give up inside a record and keep what it had.
     """
     value = F.col(value_col)
     wrapped = F.concat(F.lit('[{"r":'), value, F.lit("}]"))
     parsed = F.from_json(wrapped, T.ArrayType(T.StructType([T.StructField("r", ANNOTATION_TYPE)])))
-    one = F.when(F.size(parsed) == 1, parsed[0]["r"])
+    one = F.when(F.json_array_length(wrapped) == 1, F.get(parsed, F.lit(0))["r"])
     none = F.lit(None)
     read = df.select(one.alias("doc"), value.alias("_record"), (file if file is not None else none).cast("string").alias("_file"),
                      (offset if offset is not None else none).cast("bigint").alias("_offset"))
@@ -66,7 +68,7 @@ def read_annotations(spark: SparkSession, path: str, layout: str = "object") ->
     Blank files and lines are no records.
     """
     if layout == "object":
-        raw = spark.read.option("wholetext", True).text(path)
+        raw = spark.read.text(path, wholetext=True)
     elif layout == "ndjson":
         raw = spark.read.text(path)
     else:

@@ -52,7 +52,7 @@ def test_ndjson_layout_from_conversations(spark):
 
 GOOD = '{"g": {"t": {"sentences": {"1": {"text": "a", "stype": "s", "coarse": "OTHER", "fine": "X"}}}}}'
 BROKEN = ['{"g": {"t": {"sentences": {"1": {"text": "a"', "[1, 2]", f"[{GOOD}]", f"{GOOD} {GOOD}", f"{GOOD}}}", f"{GOOD}]",
-          f"{GOOD} junk", '"text"', "null", "7", "{'g': 1}", "\ufeff" + '{"g"', "{"]
+          f"{GOOD} junk", '"text"', "null", "7", "{'g': 1}", "\ufeff" + '{"g"', "{", '{"g": {"t": {"sentences": {x}}}}', GOOD[:-2] + ', "u": {"sentences": tru}}}']
 
 
 @pytest.mark.parametrize("layout", ["ndjson", "object"])
@@ -86,6 +86,57 @@ def test_wrong_types_inside_a_record_are_bad_rows(spark):
     assert bad.where("source.file is not null").count() == 0
 
 
+def nested(seed, groups):
+    """A large object with awkward keys, braces and quotes in texts, extra fields, empty groups and repeated keys."""
+    import random
+    rng = random.Random(seed)
+    word = lambda: rng.choice(["a", "}{", "\\", '"', "\\\"}", "é", "\n", "{\"x\":", "]", ",", "😀", "wort ", "/"])
+    text = lambda n: "".join(word() for _ in range(rng.randrange(n)))
+    quote = lambda x: json.dumps(x, ensure_ascii=rng.random() < 0.5)
+    parts = []
+    for g in range(groups):
+        tweets = []
+        for t in range(rng.randrange(0, 5)):
+            leaf = [f'{quote(str(k))}: {{"text": {quote(text(30))}, "stype": "s", "coarse": "OTHER", "fine": {quote(text(3))}}}'
+                    for k in range(rng.randrange(0, 4))]
+            extra = rng.choice(["", ', "extra": [1, {"deep": {"er": "}"}}]', ', "n": null'])
+            tweets.append(f'{quote(rng.choice(["t0", text(3) + str(t)]))} : {{ "sentences": {{{", ".join(leaf)}}}{extra}}}')
+        parts.append(f'{quote(rng.choice(["g", text(3) + str(g)]))}:{rng.choice(["", chr(10)])}{{{" , ".join(tweets)} }}')
+    return "{" + ",\n ".join(parts) + "}" + rng.choice(["", "\n", "  \n"])
+
+
+def as_tuples(df):
+    return sorted(tuple(map(str, r)) for r in df.drop("source").collect())
+
+
+@pytest.mark.parametrize("split_bytes", [700, 40])
+def test_one_object_read_by_many_tasks(spark, tmp_path, split_bytes):
+    from tessera.sources import objects
+    for k, groups in enumerate([60, 1, 0]):
+        (tmp_path / f"{k}.json").write_text(nested(k, groups), encoding="utf8")
+    flat = A.flatten_sentences(objects.read_annotation_objects(spark, str(tmp_path), split_bytes))
+    whole = A.flatten_sentences(A.read_annotations(spark, str(tmp_path), "object"))
+    assert as_tuples(flat) == as_tuples(whole)
+    assert flat.count() > 50
+    offsets = {r[0] for r in flat.where("source.file like '%/0.json'").select("source.offset").distinct().collect()}
+    assert len(offsets) > 5  # its rows come from many splits
+    assert int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("mb")) >= 128
+
+
+def test_broken_objects_are_reported(spark, tmp_path):
+    from tessera.sources import objects
+    good = nested(3, 8)
+    texts = {"cut": good.rstrip()[:-1], "string": good.rstrip()[:-9] + '"', "brace": good + "}", "good": GOOD,
+             "junk": GOOD + " junk", "array": f"[{GOOD}]", "value": '{"g": 5, "h": {"t": {"sentences": {}}}}',
+             "tweet": '{"g": {"t": {"sentences": {x}}}}', "open": '{"g": 5'}
+    for name, t in texts.items():
+        (tmp_path / f"{name}.json").write_text(t, encoding="utf8")
+    flat = A.flatten_sentences(objects.read_annotation_objects(spark, str(tmp_path), 64))
+    rows = A.validate_sentences(flat, "split")[1].where("problem = 'malformed JSON'").select("source.file").distinct().collect()
+    assert {r.file.rsplit("/", 1)[1] for r in rows} == {f"{n}.json" for n in texts if n != "good"}
+    assert A.validate_sentences(flat, "split")[0].where("source.file like '%good.json'").count() == 1
+
+
 HARD = ["tab\there", 'quote "x" ""', "new\nline", "back\\slash", "  leading blank", "NA", "#x", "trailing  "]
 
 
