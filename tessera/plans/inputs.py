@@ -109,13 +109,13 @@ def marked_annotation_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 OBJECT_TURNS, OBJECT_CONVERSATIONS = 64, 16
 
 
-def conversation_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+def conversation_objects(spark: SparkSession, sf_dir: str, conversations: int = OBJECT_CONVERSATIONS) -> DataFrame:
     """(file, value): nested annotation objects of bounded size; a long conversation goes on in further files."""
     turns = conversation_turns(spark, sf_dir).withColumn("chunk", F.floor(F.col("turn") / OBJECT_TURNS))
     convs = turns.groupBy("conv_id", "chunk").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(
         F.col("turn").cast("string").alias("turn"), F.struct("sentences").alias("tweet"))),
         lambda a, b: F.when(a["turn"] < b["turn"], -1).when(a["turn"] > b["turn"], 1).otherwise(0))).alias("tweets"))
-    file = F.concat_ws("-", F.floor(F.col("conv_id") / OBJECT_CONVERSATIONS), "chunk")
+    file = F.concat_ws("-", F.floor(F.col("conv_id") / conversations), "chunk")
     objects = convs.groupBy(file.alias("file")).agg(
         F.map_from_entries(F.collect_list(F.struct(F.col("conv_id").cast("string"), F.col("tweets")))).alias("o"))
     return objects.select("file", F.to_json("o").alias("value"))

@@ -189,10 +189,10 @@ def annotation_object_files(spark, sf):
 
 @register("annotation_objects_in_splits", ORACLE["annotation_object_files"])
 def annotation_objects_in_splits(spark, sf):
-    """Files of one nested object each, every file cut into splits of 8 KB that many tasks read (A1, A2)."""
+    """Files of one nested object each (256 conversations), every file cut into splits of 128 KB (A1, A2)."""
     path = scratch_path(spark, "annotation-objects")
-    I.conversation_objects(spark, sf).write.partitionBy("file").text(path)
-    s = A.flatten_sentences(O.read_annotation_objects(spark, f"{path}/file=*", split_bytes=8192))
+    I.conversation_objects(spark, sf, 256).write.partitionBy("file").text(path)
+    s = A.flatten_sentences(O.read_annotation_objects(spark, f"{path}/file=*", split_bytes=1 << 17))
     return s.select("sentence_id", "pos", "text", "stype")
 
 
