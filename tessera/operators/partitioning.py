@@ -16,10 +16,12 @@ def cluster_by_id(df: DataFrame, id_col: str = "sentence_id") -> DataFrame:
 
 
 def spread_if_few(df: DataFrame, id_col: str = "sentence_id") -> DataFrame:
-    """For CPU-heavy text work: spread a scan that yields fewer tasks than there are cores over the cores.
+    """For CPU-heavy text work: spread a scan of few splits over the cores.
 
-    A file with a single row group is read by one task.  Inputs with at least
-    as many splits as cores are left as they are, so parallelism only rises.
+    A row group is read by one task, however many splits its bytes are planned
+    as: four splits of a file with a single row group are one busy task and
+    three empty ones.  Inputs of at least four splits a core are left as they
+    are, so parallelism only rises and large inputs are never shuffled here.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, id_col) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, id_col) if df.rdd.getNumPartitions() < 4 * cores else df

@@ -7,20 +7,24 @@ Semantics (character n-grams inside word boundaries, smooth IDF, L2 rows):
 * weight = count * idf, each document's weights scaled to unit L2 norm;
   terms unseen in train are dropped.
 
-Plan: the IDF needs no shuffle of text: every train document explodes its
-distinct n-grams into a partial + final count (the space term, present in
-every document, costs one row per map task).  The weights hash-partition the
-documents on ``sentence_id`` (the text, the smallest form of the data); the
-(id, term) counts, the per-document norm and the join to the feature block
-reuse that partitioning, so the n-grams are never shuffled.  Nothing is
-cached.  The IDF table is broadcast only after its size is checked; beyond
-the bound it is a shuffle join where AQE splits the hot terms.
+Plan: n-grams of one and two characters are counted document by document in
+Arrow batches, as code points (a row for every n-gram *occurrence* cost 102
+task seconds at sf0.1).  The text is never shuffled; what is, is one row per
+document and distinct n-gram, once, on ``sentence_id``: the counts, the
+per-document norm and the join to the feature block reuse that partitioning.
+Document frequencies leave each batch as one row a term.  Longer n-grams take
+the column expression ``char_wb_grams``.  Nothing is cached.  The IDF table is
+broadcast only after its size is checked; beyond the bound it is a shuffle
+join where AQE splits the hot terms.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import WS, words
 from .joins import DEFAULT_BROADCAST_ROWS, join_small
@@ -31,7 +35,8 @@ def _grams_of_padded(pw: Column, n: int) -> Column:
     """All n-grams of one padded word, as an array (code-point based)."""
     if n == 1:
         return F.regexp_extract_all(pw, F.lit("(?s)."), F.lit(0))
-    return F.regexp_extract_all(pw, F.lit("(?s)(?=(" + "." * n + "))"), F.lit(1))
+    # Not from the middle of a character beyond 16 bits, which the regex engine keeps as two units.
+    return F.regexp_extract_all(pw, F.lit("(?s)(?![\\x{DC00}-\\x{DFFF}])(?=(" + "." * n + "))"), F.lit(1))
 
 
 def char_wb_grams(text: Column, min_n: int = 1, max_n: int = 2) -> Column:
@@ -51,15 +56,111 @@ def char_wb_grams(text: Column, min_n: int = 1, max_n: int = 2) -> Column:
             short = F.when(F.length(pw) < min_n, F.array(pw)).otherwise(F.array().cast("array<string>"))
             return F.concat(short, *[_grams_of_padded(pw, n) for n in range(min_n, max_n + 1)])
         return F.flatten(F.transform(words(text), per_word))
-    trimmed = F.regexp_replace(text, f"^[{WS}]+|[{WS}]+$", "")
-    padded = F.concat(F.lit(" "), F.regexp_replace(trimmed, f"[{WS}]+", "  "), F.lit(" "))
+    padded, full = _padded(text)
     parts = []
     if min_n <= 1:
         parts.append(_grams_of_padded(padded, 1))
     if max_n >= 2:
         parts.append(F.filter(_grams_of_padded(padded, 2), lambda g: g != F.lit("  ")))
     grams = parts[0] if len(parts) == 1 else F.concat(*parts)
-    return F.when(F.length(trimmed) > 0, grams).otherwise(F.array().cast("array<string>"))
+    return F.when(full, grams).otherwise(F.array().cast("array<string>"))
+
+
+# Code points take 21 bits; a bigram is its first code point + 1 above its second.
+_POINT = 21
+_CHARS = 1 << 20  # characters that are counted at a time
+
+
+def _gram_codes(points: np.ndarray, min_n: int, max_n: int) -> np.ndarray:
+    """The n-grams of a padded text (' w1  w2 ') as numbers: all characters, all pairs but the two blanks between words."""
+    parts = [points] if min_n <= 1 else []
+    if max_n >= 2:
+        a, b = points[:-1], points[1:]
+        parts.append((((a + 1) << _POINT) | b)[(a != 32) | (b != 32)])
+    return np.concatenate(parts)
+
+
+def _text_grams(text: str, min_n: int, max_n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of a padded text and their counts; a long text is counted in pieces that share one character."""
+    found = []
+    for at in range(0, max(len(text), 1), _CHARS):
+        piece = np.frombuffer(text[at:at + _CHARS + 1].encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        codes = _gram_codes(piece, min_n, max_n)
+        if len(text) > at + _CHARS and min_n <= 1:  # the shared character belongs to the next piece
+            codes = np.delete(codes, _CHARS)
+        found.append(np.unique(codes, return_counts=True))
+    if len(found) == 1:
+        return found[0]
+    codes, where = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
+    return codes, np.bincount(where, np.concatenate([n for _, n in found])).astype(np.int64)
+
+
+def _as_text(codes: np.ndarray) -> pa.Array:
+    """The n-grams of numbers."""
+    known, where = np.unique(codes, return_inverse=True)
+    names = [(chr((c >> _POINT) - 1) if c >> _POINT else "") + chr(c & ((1 << _POINT) - 1)) for c in known.tolist()]
+    return pa.DictionaryArray.from_arrays(pa.array(where.astype(np.int32)), pa.array(names, pa.string())).cast(pa.string())
+
+
+def _padded(text: Column) -> tuple[Column, Column]:
+    """A text as ' w1  w2 ... wk ' and whether it has words."""
+    trimmed = F.regexp_replace(text, f"^[{WS}]+|[{WS}]+$", "")
+    return F.concat(F.lit(" "), F.regexp_replace(trimmed, f"[{WS}]+", "  "), F.lit(" ")), F.length(trimmed) > 0
+
+
+def _counting(min_n: int, max_n: int):
+    def count(batches):
+        for b in batches:
+            rows, codes, counts, size = [], [], [], 0
+            last = len(b) - 1
+            for k, text in enumerate(b.column(b.num_columns - 1).to_pylist()):
+                c, n = _text_grams(text, min_n, max_n)
+                rows.append(np.full(len(c), k))
+                codes.append(c)
+                counts.append(n)
+                size += len(c)
+                if size >= _CHARS or k == last:
+                    at = pa.array(np.concatenate(rows))
+                    yield pa.RecordBatch.from_arrays(
+                        [*[col.take(at) for col in b.columns[:-1]], _as_text(np.concatenate(codes)),
+                         pa.array(np.concatenate(counts))], [*b.schema.names[:-1], "term", "n"])
+                    rows, codes, counts, size = [], [], [], 0
+    return count
+
+
+def _frequencies(min_n: int, max_n: int):
+    def count(batches):
+        for b in batches:
+            found = [_text_grams(text, min_n, max_n)[0] for text in b.column(0).to_pylist() if text is not None]
+            if found:
+                codes, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([_as_text(codes), pa.array(n)], ["term", "n"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([len(b)], pa.int64())], ["term", "n"])
+    return count
+
+
+def document_counts(df: DataFrame, keep: tuple[str, ...], min_n: int = 1, max_n: int = 2,
+                    text_col: str = "norm_text") -> DataFrame:
+    """``(keep..., term, n)``: one row per input row and distinct n-gram, counted inside the row; nothing is shuffled."""
+    if not 1 <= min_n <= max_n <= 2:
+        grams = char_wb_grams(F.col(text_col), min_n, max_n)
+        return df.select(*keep, F.explode(grams).alias("term")).withColumn("n", F.lit(1).cast("bigint"))
+    padded, full = _padded(F.col(text_col))
+    rows = df.where(full).select(*keep, padded.alias("_text"))
+    schema = T.StructType([*[rows.schema[c] for c in keep], T.StructField("term", T.StringType()), T.StructField("n", T.LongType())])
+    return rows.mapInArrow(_counting(min_n, max_n), schema)
+
+
+def document_frequencies(df: DataFrame, min_n: int = 1, max_n: int = 2, text_col: str = "norm_text") -> DataFrame:
+    """``(term, df)``: in how many rows each n-gram occurs; the NULL term counts all rows, texts without words too."""
+    if 1 <= min_n <= max_n <= 2:
+        padded, full = _padded(F.col(text_col))
+        found = df.select(F.when(full, padded).alias("_text")).mapInArrow(_frequencies(min_n, max_n), "term string, n bigint")
+        return found.groupBy("term").agg(F.sum("n").alias("df"))
+    grams = F.array_distinct(char_wb_grams(F.col(text_col), min_n, max_n))
+    # Each document adds its distinct n-grams and one NULL marker, whose count is the number of documents.
+    marked = F.concat(F.coalesce(grams, F.array().cast("array<string>")), F.array(F.lit(None).cast("string")))
+    return df.select(F.explode(marked).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def char_ngrams(df: DataFrame, min_n: int = 1, max_n: int = 2, text_col: str = "norm_text",
@@ -69,30 +170,23 @@ def char_ngrams(df: DataFrame, min_n: int = 1, max_n: int = 2, text_col: str = "
 
 
 def term_counts(df: DataFrame, min_n: int = 1, max_n: int = 2, text_col: str = "norm_text",
-                id_col: str = "sentence_id", clustered: bool = False) -> DataFrame:
-    """``(id, term, tf)`` raw counts per document.
+                id_col: str = "sentence_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(id, keep..., term, tf)`` raw counts per document.
 
-    With ``clustered=False`` the input is first hash-partitioned on the id, so
-    the aggregation below runs without another exchange.
+    The counted rows are hash-partitioned on the id, so the sum over rows of
+    one id, and later windows and joins on the id, need no further exchange.
     """
-    src = df.select(id_col, text_col)
-    if not clustered:
-        src = cluster_by_id(src, id_col)
-    grams = char_ngrams(src, min_n, max_n, text_col, id_col)
-    return grams.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    rows = cluster_by_id(document_counts(df, (id_col, *keep), min_n, max_n, text_col), id_col)
+    return rows.groupBy(id_col, *keep, "term").agg(F.sum("n").alias("tf"))
 
 
 def fit_idf(train: DataFrame, min_n: int = 1, max_n: int = 2, text_col: str = "norm_text") -> DataFrame:
     """``(term, df, idf)`` with the smooth formula, from the train documents.
 
-    One pass: each document adds its distinct n-grams and one NULL marker,
-    whose count is the number of documents.  The counts (one row per term)
-    are written once to the shared checkpoint folder.
+    One pass: the NULL term counts the documents.  The counts (one row per
+    term) are written once to the shared checkpoint folder.
     """
-    grams = F.array_distinct(char_wb_grams(F.col(text_col), min_n, max_n))
-    marked = F.concat(F.coalesce(grams, F.array().cast("array<string>")), F.array(F.lit(None).cast("string")))
-    counts = (train.select(F.explode(marked).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-              .checkpoint(eager=True))
+    counts = document_frequencies(train, min_n, max_n, text_col).checkpoint(eager=True)
     docs = counts.where(F.col("term").isNull()).first()
     n_docs = float(docs["df"]) if docs else 0.0
     idf = F.log((1.0 + F.lit(n_docs)) / (1.0 + F.col("df"))) + 1.0
@@ -122,9 +216,7 @@ def fit_transform_tfidf(docs: DataFrame, is_test_col: str = "is_test", min_n: in
     ``weights`` is ``(id, is_test, term, weight)``.
     """
     idf = fit_idf(docs.where(~F.col(is_test_col)), min_n, max_n, text_col)
-    src = cluster_by_id(docs.select(id_col, text_col, is_test_col), id_col)
-    tf = (src.select(id_col, is_test_col, F.explode(char_wb_grams(F.col(text_col), min_n, max_n)).alias("term"))
-          .groupBy(id_col, is_test_col, "term").agg(F.count(F.lit(1)).alias("tf")))
+    tf = term_counts(docs, min_n, max_n, text_col, id_col, (is_test_col,))
     return tfidf(tf, idf, id_col), idf
 
 

@@ -44,6 +44,21 @@ def test_grams_whitespace_and_longer_n(spark):
     assert sorted(tri) == sorted([" a ", " bc", "bc ", " d "])
 
 
+@pytest.mark.parametrize("min_n, max_n", [(1, 2), (1, 1), (2, 2), (1, 3)])
+def test_counts_in_batches_equal_the_expression(spark, monkeypatch, min_n, max_n):
+    """Counting in Arrow batches against the exploded n-grams: long and astral texts, blanks, nulls, repeated ids."""
+    monkeypatch.setattr(TF, "_CHARS", 7)  # texts are counted in pieces, batches are cut
+    texts = ["ab a", "", None, " \t ", "\U0001f600\U0001f600 é\ta", "aaaaaaa", "a  b " * 9, "abcdefg hijklmn", "x"]
+    df = spark.createDataFrame([(str(k % 7), t) for k, t in enumerate(texts)], "sentence_id string, norm_text string")
+    grams = df.select("sentence_id", F.explode(TF.char_wb_grams(F.col("norm_text"), min_n, max_n)).alias("term"))
+    as_set = lambda d: {tuple(r) for r in d.collect()}
+    assert as_set(TF.term_counts(df, min_n, max_n)) == as_set(grams.groupBy("sentence_id", "term").count())
+    own = df.withColumn("sentence_id", F.monotonically_increasing_id())
+    distinct = own.select("sentence_id", F.explode(TF.char_wb_grams(F.col("norm_text"), min_n, max_n)).alias("term")).distinct()
+    expect = as_set(distinct.groupBy("term").count()) | {(None, len(texts))}
+    assert as_set(TF.document_frequencies(df, min_n, max_n)) == expect
+
+
 def test_ml_vectors_equal_long_table(spark):
     """I5 (Spark ML stages) against I4 (long table), brute force on sf0.001."""
     train, test = R._docs_train_test(spark, SF001)
