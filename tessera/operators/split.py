@@ -74,6 +74,22 @@ def assign_split_exact(df: DataFrame, test_size: float = 0.2, seed: int = 200,
     return tagged.withColumn(out_col, (F.col("_h") < edge) | ((F.col("_h") == edge) & up_to_last)).drop("_h")
 
 
+def assign_split_groups(df: DataFrame, group_cols: tuple[str, ...] = ("group_id", "tweet_id"), test_size: float = 0.2,
+                        seed: int = 200, out_col: str = "is_test") -> DataFrame:
+    """Add ``is_test`` so that rows of one group (a tweet's sentences) are on one side.
+
+    Groups are ordered by the hash of their key; test are the groups up to
+    the one that holds the ceil(test_size * n)-th row, so the test side
+    exceeds that number by less than its last group.  The key joins the
+    columns by ``/``, which is escaped inside them; NULL parts are told from
+    empty ones.
+    """
+    part = lambda c: F.coalesce(F.replace(F.replace(F.col(c).cast("string"), F.lit("%"), F.lit("%25")),
+                                          F.lit("/"), F.lit("%2F")), F.lit("%"))
+    keyed = df.withColumn("_group", F.concat_ws("/", *[part(c) for c in group_cols]))
+    return assign_split_exact(keyed, test_size, seed, "_group", out_col).drop("_group")
+
+
 def split(df: DataFrame, test_size: float = 0.2, seed: int = 200, id_col: str = "sentence_id",
           exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """Return (train, test) DataFrames."""

@@ -24,7 +24,7 @@ from ..operators import metrics as M
 from ..operators.joins import join_small
 from ..operators.partitioning import spread_if_few
 from ..operators.models import majority_label, majority_predict
-from ..operators.split import assign_split, assign_split_exact, split
+from ..operators.split import assign_split, assign_split_exact, assign_split_groups, split
 from ..session import scratch_path
 from ..sources import annotations as A
 from ..sources import delimited as D
@@ -500,6 +500,17 @@ def exact_split(spark, sf):
     return assign_split_exact(I.documents_sentences(spark, sf), 0.2, 200).select("sentence_id", "is_test")
 
 
+@register("group_split", f"""
+WITH t AS (SELECT conv_id, turn, string_split(text, chr(10)) AS l FROM conversations),
+x AS (SELECT conv_id || '/' || turn AS grp, generate_subscripts(l, 1) - 1 AS i FROM t),
+g AS (SELECT grp, count(*) AS n FROM x GROUP BY grp),
+o AS (SELECT grp, sum(n) OVER (ORDER BY {Q.split_hash_sql('grp')}, grp) - n < ceil(0.2 * sum(n) OVER ()) AS is_test FROM g)
+SELECT grp || '/' || i AS sentence_id, is_test FROM x JOIN o USING (grp)""")
+def group_split(spark, sf):
+    """Sentences split so that a tweet's sentences stay on one side, the test side within one tweet of its size."""
+    return assign_split_groups(I.conversation_sentences(spark, sf)).select("sentence_id", "is_test")
+
+
 # --------------------------------------------------------------------------- J1
 @register("majority_fine", "WITH " + Q.LABELLED + f""",
 f AS (SELECT sentence_id, {Q.FINE_RULE} AS labels, {Q.is_test_sql('sentence_id')} AS is_test FROM lab),
@@ -745,6 +756,19 @@ def assemble_features(spark, sf):
     return e.select("sentence_id", F.col("name").alias("feature"), r6("value").alias("value"))
 
 
+@register("feature_columns", f"""
+WITH t AS (SELECT doc_id, text, regexp_extract_all(text, {_TOK}) AS tok FROM documents),
+f AS (SELECT doc_id AS sentence_id,
+{_FEATURE_SQL}
+      FROM t)
+SELECT sentence_id, feature, v::BIGINT AS value FROM (UNPIVOT f ON {", ".join(H.FEATURE_COLUMNS)} INTO NAME feature VALUE v)""")
+def feature_columns(spark, sf):
+    """Every column but id, text and label, chosen by exclusion, as (id, feature, value) rows."""
+    wide = H.text_features(text_docs(spark, sf))
+    named = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("bigint").alias("value")) for c in H.feature_columns(wide)]
+    return wide.select("sentence_id", F.explode(F.array(*named)).alias("f")).select("sentence_id", "f.*")
+
+
 @register("svm_predictions")
 def svm_predictions(spark, sf):
     """One-vs-one linear SVM (C = 1) on TF-IDF, test predictions by vote."""
@@ -899,23 +923,24 @@ s AS (SELECT epoch, max(f1_score) FILTER (label = 'macro avg') AS macro_f1,
 SELECT epoch, macro_f1, weighted_f1, accuracy, epoch = (SELECT epoch FROM s ORDER BY macro_f1 DESC, epoch LIMIT 1) AS best FROM s"""
 
 
-def _epoch_run(spark, sf) -> tuple[E.EpochRun, DataFrame]:
+def _epoch_run(spark, sf, until: int | None = None):
+    """The run, the vocabulary, the IDF and the turns."""
     turns = assign_split(I.turn_sentences(spark, sf), 0.2, 200)
     vocab = L.label_vocab(turns.where(~F.col("is_test")))
     docs = H.normalize_text(turns.select("sentence_id", "text", "is_test")).select("sentence_id", "norm_text", "is_test")
     path = scratch_path(spark, "epochs")
-    weights, _ = TF.fit_transform_tfidf(docs)
+    weights, idf = TF.fit_transform_tfidf(docs)
     weights.write.parquet(f"{path}/tfidf")
     weights = spark.read.parquet(f"{path}/tfidf")
     parts = [E.long_rows(L.encode_labels(turns.where(F.col("is_test") == test), vocab, strict=False),
                          weights.where(F.col("is_test") == test)) for test in (False, True)]
-    return E.train_epochs(*parts, vocab, f"{path}/run", _SCHEDULE), vocab
+    return E.train_epochs(*parts, vocab, f"{path}/run", _SCHEDULE, until), vocab, idf, turns
 
 
 @register("train_epochs", _epoch_scores_sql())
 def train_epochs(spark, sf):
     """Ten epochs on the turns' TF-IDF, scored and saved after each; the best by macro F1."""
-    run, _ = _epoch_run(spark, sf)
+    run = _epoch_run(spark, sf)[0]
     best = run.best()
     return run.scores().select("epoch", r6("macro_f1").alias("macro_f1"), r6("weighted_f1").alias("weighted_f1"),
                                r6("accuracy").alias("accuracy"), (F.col("epoch") == best).alias("best"))
@@ -925,11 +950,33 @@ def train_epochs(spark, sf):
 SELECT term, label, round(w, 6) AS weight FROM w{_SCHEDULE.epochs} JOIN vocab USING (label_id)""")
 def train_epochs_weights(spark, sf):
     """Every weight of the last epoch, read back from its written table."""
-    run, vocab = _epoch_run(spark, sf)
+    run, vocab, _, _ = _epoch_run(spark, sf)
     w = run.weights(_SCHEDULE.epochs).select("term", F.posexplode("w").alias("prediction_id", "weight"))
     return L.decode_labels(w, vocab, "prediction_id", "label").select("term", "label", r6("weight").alias("weight"))
 
 
+@register("score_one_sentence", _epochs_sql() + """,
+one AS (SELECT min(doc_id) AS doc_id FROM doc WHERE is_test),
+z AS (SELECT doc_id, vocab.label, label_id, sum(v * w) AS z FROM x JOIN one USING (doc_id) JOIN w1 USING (term)
+    JOIN vocab USING (label_id) GROUP BY ALL)
+SELECT doc_id AS sentence_id, arg_max(label, (z, -label_id)) AS prediction, true AS agrees FROM z GROUP BY doc_id""")
+def score_one_sentence(spark, sf):
+    """One sentence scored alone, from its raw text, with the saved weights of an epoch; and as it is in the batch."""
+    run, vocab, idf, turns = _epoch_run(spark, sf, until=1)
+    weights = run.weights(1)
+    test = turns.where("is_test").select("sentence_id", "text")
+    first = test.agg(F.min_by(F.struct("sentence_id", "text"), "sentence_id").alias("s")).first()["s"]
+    one = spark.createDataFrame([(first["sentence_id"], first["text"])], "sentence_id string, text string")
+
+    def scored(rows: DataFrame) -> DataFrame:
+        found = TF.tfidf(TF.term_counts(H.normalize_text(rows)), idf)
+        long = E.long_rows(rows.withColumn("label_id", F.lit(None).cast("int")), found)
+        return E.predict_long(long, weights, vocab.count(), weights.count())
+
+    both = scored(one).join(scored(test).select("sentence_id", F.col("prediction_id").alias("batch")), "sentence_id")
+    return L.decode_labels(both, vocab).select("sentence_id", "prediction", (F.col("prediction_id") == F.col("batch")).alias("agrees"))
+
+
 @register("score_saved_model")
 def score_saved_model(spark, sf):
     """Fit TF-IDF + logistic regression, save to the shared folder, reload, score the test split."""

@@ -55,3 +55,18 @@ def test_exact_split_keeps_repeated_ids_together(spark):
     assert assign_split_exact(df.where("false"), 0.3).count() == 0
     plan = out._jdf.queryExecution().toString()
     assert "Window" not in plan and "Union" not in plan
+
+
+def test_groups_stay_together(spark):
+    from tessera.operators.split import assign_split_groups
+    rows = [(g, t, i) for g in ["a", "a/b", "%", None, ""] for t in ["x", "b/x", None] for i in range(1 + len(g or "") * 2)]
+    df = spark.createDataFrame(rows, "group_id string, tweet_id string, pos int")
+    out = assign_split_groups(df, test_size=0.4).collect()
+    sides, sizes = {}, {}
+    for r in out:
+        sides.setdefault((r.group_id, r.tweet_id), set()).add(r.is_test)
+        sizes[r.group_id, r.tweet_id] = sizes.get((r.group_id, r.tweet_id), 0) + 1
+    assert all(len(s) == 1 for s in sides.values()) and len(sides) == 15
+    n, k = sum(r.is_test for r in out), math.ceil(0.4 * len(rows))
+    assert k <= n < k + max(sizes.values())
+    assert assign_split_groups(df.where("false")).count() == 0
