@@ -16,6 +16,7 @@ from ..operators import features as H
 from ..operators import labels as L
 from ..operators import encode as K
 from ..operators import models as J
+from ..operators import lemmas as RL
 from ..operators import pairwise as PW
 from ..operators import tfidf as TF
 from ..operators import training as E
@@ -603,6 +604,30 @@ def normalize_lemmas(spark, sf):
     return H.normalize_text(d.select("sentence_id", "text"), lemmas=lem).select("sentence_id", "norm_text")
 
 
+@register("lemmas_unseen", f"""
+WITH d AS (SELECT doc_id, text, {Q.is_test_sql('doc_id')} AS is_test FROM documents),
+tk AS (SELECT is_test, unnest(list_filter(regexp_extract_all(lower(text), {_TOK}), lambda x: NOT regexp_full_match(x, {_PUNCT}))) AS form
+       FROM d),
+forms AS (SELECT form, bool_and(is_test) AS unseen FROM tk GROUP BY form),
+pairs AS (SELECT form, regexp_replace(form, {Q.sql_str(I.LEMMA_SUFFIX_RE)}, '') AS lemma FROM forms WHERE NOT unseen),
+p AS (SELECT form, lemma, len(list_filter(range(1, least(length(form), length(lemma)) + 1),
+        lambda i: form[1:i] = lemma[1:i])) AS same FROM pairs WHERE form <> '' AND lemma <> ''),
+c AS (SELECT form, lemma, unnest(range(greatest(same - 3, 0), same + 1)) AS cut FROM p),
+n AS (SELECT substr(form, cut + 1) AS suffix, substr(lemma, cut + 1) AS replacement, count(*) AS n FROM c GROUP BY ALL),
+rules AS (SELECT suffix, arg_min(replacement, (-n, replacement)) AS replacement FROM n GROUP BY suffix),
+e AS (SELECT form, unnest(range(0, length(form) + 1)) AS size FROM forms WHERE unseen AND form <> ''),
+m AS (SELECT form, size, substr(form, 1, length(form) - size) || replacement AS lemma FROM e
+      JOIN rules ON suffix = substr(form, length(form) - size + 1))
+SELECT form, arg_max(lemma, size) AS lemma FROM m WHERE lemma <> '' GROUP BY form""")
+def lemmas_unseen(spark, sf):
+    """Lemmas of the forms that only test documents have, by suffix rewrites learned from the train table."""
+    d = assign_split(text_docs(spark, sf), 0.2, 200)
+    rules = RL.learn_rules(I.lemma_table(d.where(~F.col("is_test"))))
+    toks = T.drop_punct_tokens(T.tokenize(T.lowercase(F.col("text"))))
+    forms = d.select("is_test", F.explode(toks).alias("form")).groupBy("form").agg(F.bool_and("is_test").alias("unseen"))
+    return RL.lemmatize(forms.where("unseen"), rules)
+
+
 @register("argmax_scores", """
 SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS argmax FROM embeddings""")
 def argmax_scores(spark, sf):
