@@ -49,14 +49,16 @@ _WHOLE = {n: re.compile(rb"[A-Z0-9](?: ?[A-Z0-9]){%d}(?![A-Za-z0-9])" % (n - 1))
 START_SCORE = {"email": 80, "ip": 50, "card": 70, "phone": 50, "iban": 85}
 NEAR = 48  # bytes before and after a span that are searched for context words
 BONUS, MALUS = 15, 30
+# Whole words, with the endings and compounds that these languages give them ("hotel" holds no "tel", "latest" no "test").
 _CONTEXT = {
-    "email": re.compile(rb"e-?mail|contact|kontakt|correo|courriel|write to"),
-    "ip": re.compile(rb"\bip\b|server|host|address|adresse"),
-    "card": re.compile(rb"card|karte|carte|tarjeta|visa|payment|credit"),
-    "phone": re.compile(rb"phone|tel|call|fax|mobil|anruf"),
-    "iban": re.compile(rb"iban|account|konto|compte|cuenta|bank"),
+    "email": re.compile(rb"\b(?:e-?mails?|contacts?|kontakt|correo|courriel|write to)\b"),
+    "ip": re.compile(rb"\b(?:ip|servers?|hosts?|address(?:es)?|adresse)\b"),
+    "card": re.compile(rb"\b(?:cards?|\w*karten?|cartes?|tarjetas?|visa|payments?|credit)\b"),
+    "phone": re.compile(rb"\b(?:(?:tele|mobil)?phones?|tel|\w*telefon\w*|t\xc3\xa9l\w*|calls?|fax|mobile?|anruf)\b"),
+    "iban": re.compile(rb"\b(?:iban|accounts?|\w*konto|comptes?|cuentas?|banks?)\b"),
 }
-_DOUBT = re.compile(rb"example|sample|dummy|placeholder|version|test")
+_DOUBT = re.compile(rb"\b(?:examples?|samples?|dummy|placeholders?|versions?|tests?)\b")
+_CUT_START, _CUT_END = re.compile(rb"^\w+"), re.compile(rb"\w+$")
 
 
 def luhn(digits: bytes) -> bool:
@@ -121,7 +123,12 @@ def find(raw: bytes) -> list[Span]:
 def score(raw: bytes, span: Span) -> int:
     """Percent: the kind's own worth, more with a word of its kind nearby, less with a word of doubt."""
     a, b, kind = span
-    near = (raw[max(0, a - NEAR):a] + b" " + raw[b:b + NEAR]).lower()
+    left, right = raw[max(0, a - NEAR):a], raw[b:b + NEAR]
+    if a > NEAR:  # a word that the edge may have cut says nothing
+        left = _CUT_START.sub(b"", left)
+    if b + NEAR < len(raw):
+        right = _CUT_END.sub(b"", right)
+    near = (left + b" " + right).lower()
     s = START_SCORE[kind] + BONUS * bool(_CONTEXT[kind].search(near)) - MALUS * bool(_DOUBT.search(near))
     return max(0, min(100, s))
 

@@ -121,8 +121,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate secrets of all documents; sources own values, a source's documents of one language are a repository."""
-    return secret_scan.scan(table(spark, sf_dir, "documents"), owner=F.col("source"),
-                            repository=F.concat_ws("/", "source", "lang"))
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), owner=F.col("source"),
+                             repository=F.concat_ws("/", "source", "lang"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans",
+                        "n_live", "n_example", "n_shared", "ownership")
 
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -160,7 +162,8 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents."""
-    return pii.scan(table(spark, sf_dir, "documents"))
+    return pii.scan(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_iban", "scores")
 
 
 def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,6 +59,16 @@ def test_context_moves_the_score():
     at = lambda t: pii.score(t, pii.find(t)[0])
     plain, near, doubt = at(b"see +49 30 1234567 x"), at(b"phone: +49 30 1234567"), at(b"example +49 30 1234567")
     assert doubt < plain < near
+    # Whole words only: neither "tel" in "hotel" nor "test" in "latest", nor a word that the edge of the context cuts.
+    assert at(b"hotel +49 30 1234567") == at(b"latest +49 30 1234567") == plain
+    assert at(b"ho" + b"tel" + b" " * (pii.NEAR - 3) + b"+49 30 1234567") == plain
+    assert at(b"tel" + b" " * (pii.NEAR - 3) + b"+49 30 1234567") == at(b"Mobiltelefon +49 30 1234567") == near
+
+
+def test_contract_columns_come_first(spark):
+    assert queries.op5_secrets(spark, SF001).columns[:6] == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+    assert queries.op10_pii(spark, SF001).columns[:7] == [
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
 
 
 def test_long_runs_take_linear_time():
