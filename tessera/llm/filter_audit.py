@@ -176,7 +176,7 @@ def csr_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"),
                     F.col(text_col).cast("string").alias("text"))
         .mapInArrow(_shards, local).withColumn("shard", F.monotonically_increasing_id()), "local-shards")
-    known = store.written(dictionary(read.select(F.explode("words").alias("word"))), "word-ids")
+    known = dictionary(read.select(F.explode("words").alias("word")))
     # Each shard's own dictionary in global ids; it is no larger than the shard.
     numbers = (read.select("shard", F.posexplode("words").alias("place", "word")).join(known, "word")
                .groupBy("shard").agg(F.collect_list(F.struct("place", "id")).alias("numbers")))
