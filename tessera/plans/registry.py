@@ -843,7 +843,7 @@ _GAP_LIMIT = 0.05
 
 
 def _turn_rows(spark, sf, with_features: bool):
-    """Long rows of train and test turns: TF-IDF, with the 11 unscaled features as further terms; and the vocabulary."""
+    """Long rows of train and test turns: TF-IDF, with the 11 features as further terms; and the vocabulary."""
     turns = assign_split(I.turn_sentences(spark, sf), 0.2, 200)
     vocab = L.label_vocab(turns.where(~F.col("is_test")))
     path = scratch_path(spark, "turn-rows")
@@ -853,7 +853,8 @@ def _turn_rows(spark, sf, with_features: bool):
     if with_features:
         wide = H.text_features(turns.select("sentence_id", "is_test", "text"))
         columns = H.feature_columns(wide, ("sentence_id", "is_test", "text"))
-        named = F.array(*[F.struct(F.lit(f"feature:{c}").alias("term"), F.col(c).cast("double").alias("weight")) for c in columns])
+        # Counts and lengths as logarithms, small beside the unit-length TF-IDF rows: one step size then fits all terms.
+        named = F.array(*[F.struct(F.lit(f"feature:{c}").alias("term"), (F.log(F.col(c) + 1.0) / 32).alias("weight")) for c in columns])
         feats = wide.select("sentence_id", "is_test", F.explode(named).alias("f")).select("sentence_id", "is_test", "f.*")
         weights = weights.unionByName(feats.where("weight <> 0"))
     return [E.long_rows(L.encode_labels(turns.where(F.col("is_test") == test), vocab, strict=False),
@@ -909,15 +910,20 @@ def train_select(spark, sf):
 _SCHEDULE = E.Schedule()
 
 
-def _epochs_sql() -> str:
+def _epochs_sql(with_features: bool = False) -> str:
     """The epochs of ``_SCHEDULE`` (one full-batch step each) unrolled over the long rows."""
+    features = f"""
+    UNION ALL SELECT doc.*, 'feature:' || feature, ln(n + 1.0::DOUBLE) / 32 FROM doc JOIN (UNPIVOT (SELECT doc_id,
+{_FEATURE_SQL}
+        FROM (SELECT doc_id, text, regexp_extract_all(text, {_TOK}) AS tok FROM {_TURNS})) ON {", ".join(H.FEATURE_COLUMNS)}
+        INTO NAME feature VALUE n) USING (doc_id) WHERE n <> 0""" if with_features else ""
     out = "WITH " + _TF_CTES.replace("FROM documents)", f"FROM {_TURNS})", 1) + f""",
 vocab AS (SELECT role AS label, CAST(row_number() OVER (ORDER BY role) - 1 AS INTEGER) AS label_id
     FROM (SELECT DISTINCT role FROM {_TURNS} WHERE NOT {Q.is_test_sql('doc_id')})),
 doc AS (SELECT doc_id, label AS labels, label_id AS y, {Q.is_test_sql('doc_id')} AS is_test FROM {_TURNS} JOIN vocab ON role = label),
 xw AS (SELECT tf.doc_id, tf.term, tf.tf * idf.idf AS w FROM tf JOIN idf ON tf.term = idf.term),
 x AS MATERIALIZED (SELECT doc.*, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS v FROM xw JOIN doc USING (doc_id)
-    UNION ALL SELECT *, '', 1.0 FROM doc),
+    UNION ALL SELECT *, '', 1.0 FROM doc{features}),
 n AS (SELECT count(*) AS n FROM doc WHERE NOT is_test),
 w0 AS (SELECT '' AS term, 0 AS label_id, 0.0::DOUBLE AS w WHERE false)"""
     for s in range(_SCHEDULE.epochs):
@@ -980,6 +986,30 @@ def train_epochs_weights(spark, sf):
     return L.decode_labels(w, vocab, "prediction_id", "label").select("term", "label", r6("weight").alias("weight"))
 
 
+def _last_epoch_sql(with_features: bool) -> str:
+    return _epochs_sql(with_features) + f""",
+zt AS (SELECT doc_id, labels, label_id, sum(v * w) AS z FROM x JOIN w{_SCHEDULE.epochs} USING (term) WHERE is_test GROUP BY ALL)
+SELECT labels, (SELECT label FROM vocab WHERE label_id = best) AS prediction FROM
+    (SELECT labels, arg_max(label_id, (z, -label_id)) AS best FROM zt GROUP BY doc_id, labels)"""
+
+
+@register("train_ablation", Q.report_sql(f"""train AS (SELECT role AS labels FROM {_TURNS} WHERE NOT {Q.is_test_sql('doc_id')}),
+pred AS (SELECT 0 AS run_id, * FROM ({_last_epoch_sql(False)}) UNION ALL SELECT 1, * FROM ({_last_epoch_sql(True)})),
+""" + Q.VOCAB_FROM_TRAIN, by=("run_id",)))
+def train_ablation(spark, sf):
+    """Reports of the trained classifier without (0) and with (1) the 11 features."""
+    out = None
+    for run_id in (0, 1):
+        train, test, vocab = _turn_rows(spark, sf, with_features=bool(run_id))
+        run = E.train_epochs(train, test, vocab, scratch_path(spark, "ablation"), _SCHEDULE)
+        weights = run.weights(_SCHEDULE.epochs)
+        found = E.predict_long(test, weights, vocab.count(), weights.count())
+        found = L.decode_labels(L.decode_labels(found, vocab), vocab, "label_id", "labels")
+        found = found.select(F.lit(run_id).alias("run_id"), "labels", "prediction")
+        out = found if out is None else out.unionByName(found)
+    return _report_cols(M.classification_report(out, vocab, by=("run_id",)), by=("run_id",))
+
+
 @register("score_one_sentence", _epochs_sql() + """,
 one AS (SELECT min(doc_id) AS doc_id FROM doc WHERE is_test),
 z AS (SELECT doc_id, vocab.label, label_id, sum(v * w) AS z FROM x JOIN one USING (doc_id) JOIN w1 USING (term)
