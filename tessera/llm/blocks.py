@@ -11,6 +11,7 @@ lower-cased; all other bytes are kept, so UTF-8 letters stay whole.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,6 +65,19 @@ def documents(col: pa.Array) -> Iterator[bytes]:
         yield bytes(data[a:b])
 
 
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_pieces(raw: bytes, size: int = CHUNK) -> Iterator[list[bytes]]:
+    """The words of a text, case kept, in lists of about ``size`` bytes of text: memory is bounded whatever its length."""
+    at = 0
+    while at < len(raw):
+        end = _SPACE.search(raw, at + size) if at + size < len(raw) else None
+        stop = end.start() if end else len(raw)
+        yield raw[at:stop].split()  # parts at 0x20 and 0x09-0x0D
+        at = stop
+
+
 def word_spans(raw: np.ndarray, bounds: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of concatenated texts, and how many words lie before each text.
 

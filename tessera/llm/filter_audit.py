@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import store
-from tessera.llm.blocks import documents, runs, text_buffers
+from tessera.llm.blocks import runs, text_buffers, word_pieces
 
 FILTERS = "ABCDE"
 LEAST_WORDS, LEAST_DISTINCT_PERCENT, MOST_CAPITALS_PERCENT, MARKS = 200, 50, 3, b"#$%&*|"
@@ -104,7 +104,9 @@ def word_flags(pointers: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def _shard(ids: pa.Array, parts: pa.Array, texts: list[bytes]) -> pa.RecordBatch:
     numbers, pointers, columns, counts = _Numbers(), [0], [], []
     for raw in texts:
-        row = Counter(raw.split())  # parts at 0x20 and 0x09-0x0D
+        row: Counter = Counter()
+        for words in word_pieces(raw):
+            row.update(words)
         columns.append(np.fromiter(map(numbers.__getitem__, row), np.int64, len(row)))
         counts.append(np.fromiter(row.values(), np.int64, len(row)))
         pointers.append(pointers[-1] + len(row))

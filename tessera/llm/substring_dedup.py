@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import store
-from tessera.llm.blocks import documents, mix64, runs, text_buffers
+from tessera.llm.blocks import documents, mix64, runs, text_buffers, word_pieces
 
 MOST_BITS = 1 << 30
 KNOWN_WORDS = 1 << 18  # hashed words that a task remembers
@@ -66,8 +66,10 @@ class WordHashes(dict):
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+    def of(self, raw: bytes) -> np.ndarray:
+        """The hashes of a text's words: eight bytes a word, whatever its length."""
+        parts = [np.fromiter(map(self.__getitem__, words), np.uint64, len(words)) for words in word_pieces(raw)]
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
 def _power_tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,11 +123,41 @@ def intervals(starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return starts[first], starts[last] + width
 
 
-def _parts(texts: pa.Array) -> Iterator[tuple[int, int, list[list[bytes]]]]:
-    """Runs of documents (about 1 MB each) as lists of words; bytes.split() parts at 0x20 and 0x09-0x0D."""
+def _parts(texts: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Runs of documents (about 1 MB each)."""
     data, off = text_buffers(texts)
     for i, j in runs(off):
-        yield i, j, [bytes(data[a:b]).split() for a, b in zip(off[i:j].tolist(), off[i + 1:j + 1].tolist())]
+        yield i, j, [bytes(data[a:b]) for a, b in zip(off[i:j].tolist(), off[i + 1:j + 1].tolist())]
+
+
+def kept_words(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> Iterator[bytes]:
+    """The words outside the sorted intervals, joined by one space, in pieces that follow each other."""
+    at, k, first = 0, 0, True
+    for words in word_pieces(raw):
+        kept, here = [], 0
+        while here < len(words):
+            while k < len(ends) and ends[k] <= at + here:
+                k += 1
+            if k < len(starts) and starts[k] <= at + here:
+                here = min(int(ends[k]) - at, len(words))
+                continue
+            stop = min(int(starts[k]) - at, len(words)) if k < len(starts) else len(words)
+            kept += words[here:stop]
+            here = stop
+        at += len(words)
+        if kept:
+            yield (b"" if first else b" ") + b" ".join(kept)
+            first = False
+
+
+def _sha(pieces: Iterator[bytes]):
+    h = hashlib.sha256()
+    for x in pieces:
+        h.update(x)
+    return h
+
+
+_NONE = np.zeros(0, dtype=np.int64)
 
 
 def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -139,16 +171,18 @@ def _profile(settings: Settings):
         known = WordHashes()
         for b in batches:
             for i, j, docs in _parts(b.column(1)):
-                found = []
-                for words in docs:
-                    a = anchors(known.of(words), settings) if len(words) >= settings.width else np.zeros(0, np.uint64)
+                found, number = [], []
+                for raw in docs:
+                    h = known.of(raw)
+                    number.append(len(h))
+                    a = anchors(h, settings)
                     new = np.ones(len(a), dtype=bool)
                     new[1:] = a[1:] != a[:-1]
                     found.append(a[new].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(i, j - i), b.column(2).slice(i, j - i),
-                     pa.array([len(w) for w in docs], pa.int64()),
-                     pa.array([hashlib.sha256(b" ".join(w)).digest() for w in docs], pa.binary()),
+                     pa.array(number, pa.int64()),
+                     pa.array([_sha(kept_words(x, _NONE, _NONE)).digest() for x in docs], pa.binary()),
                      _lists(found, pa.int64())], ["id", "row_key", "n", "digest", "anchors"])
     return emit
 
@@ -160,8 +194,8 @@ def _windows(settings: Settings):
             wanted, ends = b.column(2).flatten().to_numpy().view(np.uint64), b.column(2).offsets.to_numpy()
             ends = ends - ends[0]
             for i, j, docs in _parts(b.column(3)):
-                for d, words in zip(range(i, j), docs):
-                    h = known.of(words)
+                for d, raw in zip(range(i, j), docs):
+                    h = known.of(raw)
                     own = np.sort(wanted[ends[d]:ends[d + 1]])
                     if len(h) < settings.width or not len(own):
                         continue
@@ -182,16 +216,10 @@ def _cut(width: int):
             starts, ends = b.column(1).flatten().to_numpy(), b.column(1).offsets.to_numpy()
             ends = ends - ends[0]
             for d, raw in enumerate(documents(b.column(2))):
-                words = raw.split()
-                s, e = intervals(np.sort(starts[ends[d]:ends[d + 1]]), width)
-                kept, at = [], 0
-                for x, y in zip(s.tolist(), e.tolist()):
-                    kept += words[at:x]
-                    at = y
-                kept += words[at:]
+                s, e = intervals(np.sort(starts[ends[d]:ends[d + 1]]).astype(np.int64), width)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(d, 1), pa.array([int((e - s).sum())], pa.int64()),
-                     pa.array([hashlib.sha256(b" ".join(kept)).hexdigest()]),
+                     pa.array([_sha(kept_words(raw, s, e)).hexdigest()]),
                      pa.ListArray.from_arrays(pa.array([0, len(s)], pa.int32()), pa.StructArray.from_arrays(
                          [pa.array(s, pa.int32()), pa.array(e, pa.int32())], ["start", "end"]))],
                     ["cid", "n_removed", "kept_sha256", "removed"])
@@ -267,11 +295,8 @@ def _rewrite(batches):
     for b in batches:
         out = []
         for raw, gone in zip(documents(b.column(0)), b.column(1).to_pylist()):
-            words, kept, at = raw.split(), [], 0
-            for span in gone or []:
-                kept += words[at:span["start"]]
-                at = span["end"]
-            out.append(b" ".join(kept + words[at:]))
+            spans = np.array([(x["start"], x["end"]) for x in gone or []], dtype=np.int64).reshape(-1, 2)
+            out.append(b"".join(kept_words(raw, spans[:, 0], spans[:, 1])))
         text = pa.array(out, pa.binary()).cast(pa.string(), safe=False)
         yield pa.RecordBatch.from_arrays([text, *b.columns[2:]], [str(i) for i in range(b.num_columns - 1)])
 

@@ -15,6 +15,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import store
-from tessera.llm.blocks import runs, text_buffers
+from tessera.llm.blocks import runs, text_buffers, word_pieces
 from tessera.sources.delimited import with_row_index
 
 #: Bytes of words: 0-9, a-z and all of non-ASCII characters, after A-Z became a-z; all others separate.
@@ -80,18 +81,17 @@ def shifted(crc: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-def words_of(raw: bytes) -> list[bytes]:
-    return raw.lower().translate(_NORMAL).split()
-
-
-def prefixes(words: list[bytes]) -> tuple[list[int], list[int]]:
-    """The running CRC-32 of the words joined by one space, after each word, and the words' lengths."""
-    out, crc, step = [], 0, zlib.crc32
-    for w in words:
-        crc = step(w, crc)
-        out.append(crc)
-        crc = step(b" ", crc)
-    return out, list(map(len, words))
+def prefixes(raw: bytes) -> tuple[array, array]:
+    """The running CRC-32 of a text's words joined by one space, after each word, and the words' lengths."""
+    ends, sizes = array("I"), array("I")
+    crc, step, put = 0, zlib.crc32, ends.append
+    for words in word_pieces(raw.lower().translate(_NORMAL)):
+        for w in words:
+            crc = step(w, crc)
+            put(crc)
+            crc = step(b" ", crc)
+        sizes.extend(map(len, words))
+    return ends, sizes
 
 
 def ngram_crcs(ends: np.ndarray, sizes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,9 +120,9 @@ def _scan(batches) -> Iterator[pa.RecordBatch]:
         for i, j in runs(off):
             ends, sizes, number = [], [], []
             for a, z in zip(off[i:j].tolist(), off[i + 1:j + 1].tolist()):
-                crc, size = prefixes(words_of(bytes(data[a:z])))
-                ends.append(np.array(crc, dtype=np.uint32).tobytes())
-                sizes.append(np.array(size, dtype=np.uint32).tobytes())
+                crc, size = prefixes(bytes(data[a:z]))
+                ends.append(crc.tobytes())
+                sizes.append(size.tobytes())
                 number.append(len(crc))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).slice(i, j - i), pa.array(number, pa.int64()), pa.array(ends, pa.binary()),

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import filter_audit, queries, substring_dedup, target_resampling
+from tessera.llm import blocks, filter_audit, queries, substring_dedup, target_resampling
 
 from ..conftest import SF001
 from ..oracle import compare, duck
@@ -108,6 +108,39 @@ def test_windows_and_intervals():
         substring_dedup.Settings(10, 11)
 
 
+def test_long_texts_are_worked_through_in_pieces():
+    """Pieces of a few bytes give what the whole text gives: words, kept words, hashes, CRCs."""
+    rng = random.Random(8)
+    for _ in range(200):
+        raw = "".join(rng.choice(["a", "bc", " ", "\n", "\t ", "é", "longword", "\x0b"]) for _ in range(rng.randrange(60))).encode()
+        words = raw.split()
+        for size in (1, 3, 7, 1000):
+            pieces = list(blocks.word_pieces(raw, size))
+            assert [w for p in pieces for w in p] == words
+        cuts = sorted(rng.sample(range(len(words) + 1), min(len(words) + 1, 2 * rng.randrange(3))))
+        s, e = np.array(cuts[::2], dtype=np.int64), np.array(cuts[1::2], dtype=np.int64)
+        if len(s) == len(e):
+            kept = [w for k, w in enumerate(words) if not any(a <= k < b for a, b in zip(s, e))]
+            assert b"".join(substring_dedup.kept_words(raw, s, e)) == b" ".join(kept)
+
+
+@pytest.fixture
+def tiny_pieces(monkeypatch):
+    whole = blocks.word_pieces
+    for m in (substring_dedup, filter_audit, target_resampling):
+        monkeypatch.setattr(m, "word_pieces", lambda raw: whole(raw, 5))
+
+
+def test_pieces_in_every_operator(tiny_pieces):
+    raw = b"One two  three four five\nsix seven eight nine ten eleven"
+    words = raw.split()
+    assert substring_dedup.WordHashes().of(raw).tolist() == [substring_dedup.WordHashes()[w] for w in words]
+    s, e = np.array([1, 6]), np.array([4, 7])
+    assert b"".join(substring_dedup.kept_words(raw, s, e)) == b" ".join(words[:1] + words[4:6] + words[7:])
+    ends, sizes = target_resampling.prefixes(raw)
+    assert ends[-1] == zlib.crc32(b" ".join(words).lower()) and list(sizes) == [len(w) for w in words]
+
+
 # ------------------------------------------------------------------ filter audit
 def failing_brute(rows):
     """rows: (id, text); the set of failing filters of each."""
@@ -218,8 +251,8 @@ def test_resampling_matches_brute_force(spark, hard, least_n, most_n):
 
 def test_crcs_from_prefixes():
     texts = [b"", b"a", b"alpha beta gamma", b"x " * 70, b"y" * 5000 + b" z", " ".join("é中" * k for k in range(9)).encode()]
-    docs = [target_resampling.words_of(t) for t in texts]
-    pairs = [target_resampling.prefixes(w) for w in docs]
+    docs = [t.split() for t in texts]
+    pairs = [target_resampling.prefixes(t) for t in texts]
     ends = np.array([c for p, _ in pairs for c in p], dtype=np.uint32)
     sizes = np.array([c for _, p in pairs for c in p], dtype=np.int64)
     bounds = np.cumsum([0, *map(len, docs)])
