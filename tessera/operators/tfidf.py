@@ -108,18 +108,25 @@ def _padded(text: Column) -> tuple[Column, Column]:
     return F.concat(F.lit(" "), F.regexp_replace(trimmed, f"[{WS}]+", "  "), F.lit(" ")), F.length(trimmed) > 0
 
 
+def _words_padded(text: str | None) -> str:
+    """As ``_padded``, of one text; empty if it has no words.  ``WS`` are the characters at which ``str.split`` parts."""
+    words = (text or "").split()
+    return f" {'  '.join(words)} " if words else ""
+
+
 def _counting(min_n: int, max_n: int):
     def count(batches):
         for b in batches:
             rows, codes, counts, size = [], [], [], 0
             last = len(b) - 1
-            for k, text in enumerate(b.column(b.num_columns - 1).to_pylist()):
-                c, n = _text_grams(text, min_n, max_n)
-                rows.append(np.full(len(c), k))
-                codes.append(c)
-                counts.append(n)
-                size += len(c)
-                if size >= _CHARS or k == last:
+            for k, text in enumerate(map(_words_padded, b.column(b.num_columns - 1).to_pylist())):
+                if text:
+                    c, n = _text_grams(text, min_n, max_n)
+                    rows.append(np.full(len(c), k))
+                    codes.append(c)
+                    counts.append(n)
+                    size += len(c)
+                if rows and (size >= _CHARS or k == last):
                     at = pa.array(np.concatenate(rows))
                     yield pa.RecordBatch.from_arrays(
                         [*[col.take(at) for col in b.columns[:-1]], _as_text(np.concatenate(codes)),
@@ -131,7 +138,7 @@ def _counting(min_n: int, max_n: int):
 def _frequencies(min_n: int, max_n: int):
     def count(batches):
         for b in batches:
-            found = [_text_grams(text, min_n, max_n)[0] for text in b.column(0).to_pylist() if text is not None]
+            found = [_text_grams(text, min_n, max_n)[0] for text in map(_words_padded, b.column(0).to_pylist()) if text]
             if found:
                 codes, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([_as_text(codes), pa.array(n)], ["term", "n"])
@@ -145,8 +152,8 @@ def document_counts(df: DataFrame, keep: tuple[str, ...], min_n: int = 1, max_n:
     if not 1 <= min_n <= max_n <= 2:
         grams = char_wb_grams(F.col(text_col), min_n, max_n)
         return df.select(*keep, F.explode(grams).alias("term")).withColumn("n", F.lit(1).cast("bigint"))
-    padded, full = _padded(F.col(text_col))
-    rows = df.where(full).select(*keep, padded.alias("_text"))
+    # The text column is used once: an expression behind it (a tokenizer's regex) is not evaluated again for each use.
+    rows = df.select(*keep, F.col(text_col).alias("_text"))
     schema = T.StructType([*[rows.schema[c] for c in keep], T.StructField("term", T.StringType()), T.StructField("n", T.LongType())])
     return rows.mapInArrow(_counting(min_n, max_n), schema)
 
@@ -154,8 +161,7 @@ def document_counts(df: DataFrame, keep: tuple[str, ...], min_n: int = 1, max_n:
 def document_frequencies(df: DataFrame, min_n: int = 1, max_n: int = 2, text_col: str = "norm_text") -> DataFrame:
     """``(term, df)``: in how many rows each n-gram occurs; the NULL term counts all rows, texts without words too."""
     if 1 <= min_n <= max_n <= 2:
-        padded, full = _padded(F.col(text_col))
-        found = df.select(F.when(full, padded).alias("_text")).mapInArrow(_frequencies(min_n, max_n), "term string, n bigint")
+        found = df.select(F.col(text_col).alias("_text")).mapInArrow(_frequencies(min_n, max_n), "term string, n bigint")
         return found.groupBy("term").agg(F.sum("n").alias("df"))
     grams = F.array_distinct(char_wb_grams(F.col(text_col), min_n, max_n))
     # Each document adds its distinct n-grams and one NULL marker, whose count is the number of documents.
