@@ -6,6 +6,8 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER = {i: i + 32 for i in range(65, 91)}
 
@@ -65,6 +67,30 @@ def distance_in(item, text):
     return min(row)
 
 
+def leaks(docs, items, rate):
+    """docs, items: (id, normalised text); {doc id: {(item id, distance)}}: dynamic programming over all texts at once."""
+    gap = 1 + max(int(len(t) * rate) for _, t in items)  # marks between texts: crossing costs more than any budget
+    codes, start = [], []
+    for _, t in docs:
+        start.append(sum(map(len, codes)))
+        codes.append(np.array([*map(ord, t), *[-1] * gap], dtype=np.int32))
+    text = np.concatenate(codes)
+    place = np.arange(len(text) + 1, dtype=np.int32)
+    out = {i: set() for i, _ in docs}
+    for item_id, item in items:
+        row = np.zeros(len(text) + 1, dtype=np.int32)
+        for c in item:
+            new = row + 1
+            np.minimum(new[1:], row[:-1] + (text != ord(c)), out=new[1:])
+            row = np.minimum.accumulate(new - place) + place
+        least = np.minimum.reduceat(row[1:], start)
+        most = min(int(len(item) * rate), len(item) - 1)
+        for (i, _), d in zip(docs, least.tolist()):
+            if d <= most:
+                out[i].add((item_id, d))
+    return out
+
+
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 

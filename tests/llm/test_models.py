@@ -110,6 +110,40 @@ def test_planted_passages(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, _, item in rows if item is None} and kept.columns == docs.columns
 
 
+def test_query_finds_what_brute_force_finds(spark):
+    """All documents and items of sf0.001, in one block and in several: the same items and distances, both directions."""
+    docs, items = (spark.read.parquet(f"{SF001}/{t}.parquet") for t in ("documents", "benchmark"))
+    rate, rng = decontaminate.Settings().rate, random.Random(4)
+    edited = []  # passages with edits up to the budget and one beyond it
+    for n, r in enumerate(items.orderBy("item_id").limit(12).collect()):
+        passage = list(decontaminate.normal(r.text))
+        for p in rng.sample(range(len(passage)), int(len(passage) * rate) + n % 2):
+            passage[p] = rng.choice(["", "~", passage[p] + "~"])
+        edited.append((-1 - n, "before " + "".join(passage) + " after"))
+    more = docs.select("doc_id", "text").union(spark.createDataFrame(edited, "doc_id long, text string"))
+    want = brute.leaks([(r.doc_id, decontaminate.normal(r.text)) for r in more.collect()],
+                       [(r.item_id, decontaminate.normal(r.text)) for r in items.collect()], rate)
+    found = lambda df: {r.doc_id: set(zip(r.item_ids, r.distances)) for r in df.collect()}
+    assert found(queries.op4_decontaminate(spark, SF001)) == {i: hits for i, hits in want.items() if i >= 0}
+    several = decontaminate.Settings(block_chars=2500)
+    assert found(decontaminate.contaminated(more, items, several)) == want
+    held = {i for i, hits in want.items() if hits}
+    assert any(i >= 0 for i in held) and any(d for hits in want.values() for _, d in hits)
+    assert any(i < 0 and not hits for i, hits in want.items())
+    assert {r.doc_id for r in decontaminate.drop_contaminated(more, items, several).collect()} == set(want) - held
+
+
+def test_item_ids_of_any_type(spark, hard):
+    items = spark.createDataFrame([("b", "naïve"), ("a", "naïve"), (None, "three four")], "item_id string, text string")
+    for block in (4_000_000, 4):
+        got = decontaminate.contaminated(hard, items, decontaminate.Settings(block_chars=block))
+        assert got.count() == len(HARD)
+        assert sorted((r.doc_id or 0, r.item_ids) for r in got.where("contaminated").collect()) == [
+            (0, [None]), (1, [None]), (1, [None]), (2, [None]), (7, ["a", "b"])]
+        kept = decontaminate.drop_contaminated(hard, items, decontaminate.Settings(block_chars=block))
+        assert kept.columns == hard.columns and kept.count() == len(HARD) - 5
+
+
 def test_decontamination_hard_rows(spark, hard, none):
     twice = "beta gamma delta alpha beta gamma"
     items = spark.createDataFrame([(1, twice), (2, twice)], "item_id long, text string")

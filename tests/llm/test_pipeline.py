@@ -29,9 +29,9 @@ def test_stages(spark):
             want = brute.near_groups([(i, r.text) for i, r in before.items()], s.width, s.percent)
             assert set(ids) == {i for i, n, c in want if c == i or n == 0}
         if name == "decontamination":
-            norm = {i: decontaminate.normal(t) for i, t in bench}
-            held = {i for i, r in before.items() if any(t in decontaminate.normal(r.text) for t in norm.values())}
-            assert held and held <= set(before) - set(ids) and len(ids) > 0.8 * len(before)
+            found = brute.leaks([(i, decontaminate.normal(r.text)) for i, r in before.items()],
+                                [(i, decontaminate.normal(t)) for i, t in bench], decontaminate.Settings().rate)
+            assert set(ids) == {i for i, hits in found.items() if not hits} and len(ids) < len(before)
         if name == "toxicity":
             assert len(ids) > 0.8 * len(before)
         if name == "mixing":
