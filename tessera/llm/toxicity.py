@@ -4,10 +4,14 @@ Features of a text are its distinct words and the words' first 4, 5 and 6
 bytes, hashed to ``SLOTS`` slots; words are runs of letters and digits (all
 bytes above 127 count as letters), A-Z lower-cased.  One weight vector is
 shared by all thresholds: P(grade <= k) = sigmoid(theta_k - w . x) with
-theta_1 < theta_2.  Grade 0 is a clean text; toxic labels are grade 2 if the
-text has more distinct words that speak for toxicity than the median toxic
-text, else 1.  (The grade follows the features that the one weight vector
-sums up; grades by the density of such words blur the thresholds.)
+theta_1 < theta_2.  Grades are given with the labels: 0 clean, 1 toxic, 2
+severe.  Labels that are only 0/1 teach the first threshold; the second then
+stays above all of them and the severity is close to P(toxic).  No grade is
+made up from the features.
+
+Every slot whose rate in toxic texts differs from that in all texts, in either
+direction, by ``least_z`` standard errors has a weight; there is no other
+limit but ``SLOTS``.
 
 The model is fitted on at most ``max_rows`` labelled rows (those with the
 smallest hash of their id); scoring covers every row and whole texts.
@@ -36,9 +40,8 @@ _LETTER[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80
 @dataclass(frozen=True)
 class Settings:
     max_rows: int = 30_000  # labelled rows that the model is fitted on
-    max_features: int = 20_000  # slots with a weight, the most telling ones
-    least_z: float = 4.0  # how telling a slot must be (normal score of the difference in rates)
-    least_rows: int = 3  # toxic rows that a slot must occur in
+    least_z: float = 4.0  # how telling a slot must be, for or against (normal score of the difference in rates)
+    least_rows: int = 3  # rows that a slot must occur in
     ridge: float = 1e-4
     steps: int = 400
     reject_at: float = 0.5  # P(grade >= 1) from which a text counts as toxic
@@ -50,18 +53,16 @@ class Model:
     cuts: np.ndarray  # theta_1 < theta_2
 
 
-def features(run: WordRun) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every word and prefix: document in the run, slot, whether it is a whole word."""
+def features(run: WordRun) -> tuple[np.ndarray, np.ndarray]:
+    """Document in the run and slot of every word and prefix."""
     doc = np.repeat(np.arange(run.docs), np.diff(run.before))
     size = run.end - run.start
-    docs, slots, whole = [doc], [run.hash], [np.ones(len(doc), dtype=bool)]
+    docs, slots = [doc], [run.hash]
     for k in PREFIXES:
         long = np.flatnonzero(size > k)
         docs.append(doc[long])
         slots.append(mix64(span_hashes(run.raw, run.start[long], run.start[long] + k) + np.uint64(k)))
-        whole.append(np.zeros(len(long), dtype=bool))
-    slot = (np.concatenate(slots) & np.uint64(SLOTS - 1)).astype(np.int64)
-    return np.concatenate(docs), slot, np.concatenate(whole)
+    return np.concatenate(docs), (np.concatenate(slots) & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
 def _runs(col: pa.Array):
@@ -74,36 +75,34 @@ def _slot_counts(batches):
     """Rows and toxic rows of each slot, summed over the task."""
     total = np.zeros((2, SLOTS), dtype=np.int64)
     for b in batches:
-        toxic = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        grade = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         for run in _runs(b.column(1)):
-            doc, slot, _ = features(run)
+            doc, slot = features(run)
             pair = np.unique(doc * SLOTS + slot)
             doc, slot = pair // SLOTS + run.first_doc, pair % SLOTS
             total[0] += np.bincount(slot, minlength=SLOTS)
-            total[1] += np.bincount(slot[toxic[doc] > 0], minlength=SLOTS)
-    at = np.flatnonzero(total[1])
+            total[1] += np.bincount(slot[grade[doc] > 0], minlength=SLOTS)
+    at = np.flatnonzero(total[0])
     if len(at):
         yield pa.RecordBatch.from_pydict({"slot": at, "n": total[0][at], "t": total[1][at]})
 
 
 def _sparse_rows(chosen: np.ndarray):
-    """toxic, the chosen slots that occur, and how many of them are whole words."""
+    """The grade and the chosen slots that occur."""
     keep = np.zeros(SLOTS, dtype=bool)
     keep[chosen] = True
 
     def emit(batches):
         for b in batches:
             for run in _runs(b.column(1)):
-                doc, slot, whole = features(run)
+                doc, slot = features(run)
                 hit = keep[slot]
-                pair = doc * SLOTS + slot
-                words = np.bincount(np.unique(pair[hit & whole]) // SLOTS, minlength=run.docs)
-                pair = np.unique(pair[hit])
+                pair = np.unique(doc[hit] * SLOTS + slot[hit])
                 ends = np.searchsorted(pair, np.arange(run.docs + 1) * SLOTS).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(run.first_doc, run.docs), pa.array(words),
+                    [b.column(0).slice(run.first_doc, run.docs),
                      pa.ListArray.from_arrays(pa.array(ends), pa.array((pair % SLOTS).astype(np.int32)))],
-                    ["toxic", "words", "slots"])
+                    ["grade", "slots"])
     return emit
 
 
@@ -141,42 +140,60 @@ def fit_ordinal(row: np.ndarray, column: np.ndarray, n_columns: int, grade: np.n
     return x[:-2], np.array([x[-2], x[-2] + np.exp(x[-1])])
 
 
+def _sample(labels: DataFrame, grade_col: str, id_col: str, most: int) -> DataFrame:
+    """The ``most`` labelled ids of smallest hash, each with its largest grade; no task sorts more than it must.
+
+    Counts by the hash's upper 16 bits say which hashes can be in the sample,
+    so only about that many rows reach the one task that picks them.
+    """
+    rated = (labels.select(F.col(id_col).alias("__id"), F.col(grade_col).cast("int").alias("grade"))
+             .where("__id is not null and grade is not null").groupBy("__id").agg(F.max("grade").alias("grade"))
+             .withColumn("__hash", F.xxhash64("__id")))
+    rated = store.written(rated.withColumn("__top", F.shiftright("__hash", 48)), "toxicity-labels")
+    got, last = 0, None
+    for top, n in sorted(map(tuple, rated.groupBy("__top").count().collect())):  # 65,536 counts at most
+        got, last = got + n, top
+        if got >= most:
+            break
+    near = rated.where(F.col("__top") <= last) if last is not None else rated
+    return near.orderBy("__hash", "__id").limit(most).select("__id", "grade")
+
+
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id",
-        text_col: str = "text", label_col: str = "toxic") -> Model:
+        text_col: str = "text", grade_col: str = "toxic") -> Model:
     """The model of at most ``max_rows`` labelled documents.
 
-    Null labels and labels of unknown documents are ignored; of several labels
+    ``grade_col`` of ``labels`` is 0, 1 or 2 (larger ones count as 2).
+    Null grades and labels of unknown documents are ignored; of several labels
     of a document the largest counts.  With no label, or none of one kind, no
-    slot has a weight and every text gets the same small severity.
+    slot has a weight and every text gets the same small severity.  The driver
+    holds the sample's chosen slots, four bytes each.
     """
     spark = docs.sparkSession
     store.prepare(spark)
-    sample = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
-              .groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
-              .orderBy(F.xxhash64("__id"), "__id").limit(settings.max_rows))
+    sample = _sample(labels, grade_col, id_col, settings.max_rows)
     # The sample's size is bounded by max_rows, so broadcasting it is safe and no text is shuffled.
     rows = store.written(docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text"))
-                         .join(F.broadcast(sample), "__id").select("toxic", "text"), "toxicity-sample")
-    rows = rows.select((F.col("toxic") > 0).cast("int").alias("toxic"), "text")
-    n, n_toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+                         .join(F.broadcast(sample), "__id").select(
+        F.greatest(F.least("grade", F.lit(2)), F.lit(0)).alias("grade"), "text"), "toxicity-sample")
+    n, n_toxic = rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("grade") > 0, 1))).first()
     weights, cuts = np.zeros(SLOTS, dtype=np.float32), np.array([8.0, 9.0])
     if not n or not n_toxic or n == n_toxic:
         return Model(weights, cuts)
     base = n_toxic / n
     telling = (rows.mapInArrow(_slot_counts, "slot long, n long, t long").groupBy("slot")
-               .agg(F.sum("n").alias("n"), F.sum("t").alias("t")).where(F.col("t") >= settings.least_rows)
-               .withColumn("z", (F.col("t") - base * F.col("n")) / F.sqrt(base * (1 - base) * F.col("n")))
-               .where(F.col("z") >= settings.least_z).orderBy(F.desc("z"), "slot").limit(settings.max_features))
+               .agg(F.sum("n").alias("n"), F.sum("t").alias("t")).where(F.col("n") >= settings.least_rows)
+               .where(F.abs(F.col("t") - base * F.col("n"))
+                      >= settings.least_z * F.sqrt(base * (1 - base) * F.col("n"))))
     chosen = np.sort(np.array([r.slot for r in telling.select("slot").collect()], dtype=np.int64))
     if not len(chosen):
         return Model(weights, cuts)
-    got = rows.mapInArrow(_sparse_rows(chosen), "toxic int, words long, slots array<int>").toArrow().combine_chunks()
-    toxic, words = got["toxic"].to_numpy(), got["words"].to_numpy()
-    grade = np.where(toxic > 0, 1 + (words > np.median(words[toxic > 0])), 0)
+    got = rows.mapInArrow(_sparse_rows(chosen), "grade int, slots array<int>").toArrow().combine_chunks()
+    rated = got["grade"].to_numpy()
     slots = got["slots"].combine_chunks()
-    row = np.repeat(np.arange(len(toxic)), np.diff(slots.offsets.to_numpy()))
+    row = np.repeat(np.arange(len(rated)), np.diff(slots.offsets.to_numpy()))
     column = np.searchsorted(chosen, slots.values.to_numpy())
-    w, cuts = fit_ordinal(row, column, len(chosen), grade, settings)
+    w, cuts = fit_ordinal(row, column, len(chosen), rated, settings)
     weights[chosen] = w
     return Model(weights, cuts)
 
@@ -187,7 +204,7 @@ def _score(model, settings: Settings):
         for b in batches:
             eta = np.zeros(len(b))
             for run in _runs(b.column(1)):
-                doc, slot, _ = features(run)
+                doc, slot = features(run)
                 hit = weights[slot] != 0
                 pair = np.unique(doc[hit] * SLOTS + slot[hit])
                 eta[run.first_doc:run.first_doc + run.docs] = np.bincount(

@@ -91,6 +91,37 @@ def leaks(docs, items, rate):
     return out
 
 
+MASK = (1 << 64) - 1
+
+
+def _mixed(x):
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> shift) * factor & MASK
+    return x ^ x >> 31
+
+
+def _hash(span):
+    power, total = 1, 0
+    for c in span:
+        power = power * 0x9E3779B97F4A7C55 & MASK
+        total += (c + 1) * power
+    return _mixed(total + len(span) & MASK)
+
+
+def toxicity(text, weights, cuts, slots):
+    """p_toxic, p_severe, severity, grade of one text, word by word."""
+    found = set()
+    for word in re.findall(rb"[0-9A-Za-z\x80-\xff]+", lower(text).encode()):
+        found.add(_hash(word) % slots)
+        for k in (4, 5, 6):
+            if len(word) > k:
+                found.add(_mixed(_hash(word[:k]) + k & MASK) % slots)
+    eta = sum(float(weights[s]) for s in found)
+    over = [1 - 1 / (1 + math.exp(min(max(eta - c, -40), 40))) for c in cuts]
+    share = [1 - over[0], over[0] - over[1], over[1]]
+    return over[0], over[1], sum(over), share.index(max(share))
+
+
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 

@@ -249,6 +249,52 @@ def test_held_out_accuracy(spark):
     assert order[1][1] > 10 * order[0][1]
 
 
+def test_toxicity_query_scores_like_plain_python(spark):
+    docs, labels = (spark.read.parquet(f"{SF001}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    assert (model.weights > 0).any() and model.cuts[0] < model.cuts[1]
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = queries.op7_toxicity(spark, SF001).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        *want, grade = brute.toxicity(texts[r.doc_id], model.weights, model.cuts, toxicity.SLOTS)
+        assert np.allclose([r.p_toxic, r.p_severe, r.severity], want, atol=1e-4)
+        assert r.toxic == (r.p_toxic >= 0.5) and (r.grade == grade or abs(want[0] - 0.5) < 1e-3)
+
+
+def test_given_grades_are_learned(spark):
+    """Labels with three grades teach both thresholds; words that speak against toxicity get negative weights."""
+    rng = random.Random(6)
+    plain = [f"plain{i}" for i in range(300)]
+    rows = []
+    for i in range(900):
+        grade = i % 3
+        words = rng.sample(plain, 12) + rng.sample(["harsh", "awful", "vile"], grade) + ["awful", "vile"][:grade - 1]
+        words += ["kindly"] * (grade == 0 or rng.random() < 0.1)
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), grade))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, grade int")
+    model = toxicity.fit(docs, docs.where("doc_id < 600"), grade_col="grade")
+    got = toxicity.score(docs.where("doc_id >= 600"), model).collect()
+    truth = dict((i, g) for i, _, g in rows)
+    assert sum(r.grade == truth[r.doc_id] for r in got) > 0.85 * len(got)
+    mean = [np.mean([r.severity for r in got if truth[r.doc_id] == g]) for g in range(3)]
+    assert mean[0] < 0.3 < 0.7 < mean[1] < 1.3 < 1.6 < mean[2]
+    assert (model.weights < -0.1).any() and (model.weights > 0.1).any()
+
+
+def test_sample_holds_the_smallest_hashes(spark):
+    labels = spark.range(5000).select((F.col("id") % 4000).alias("doc_id"), (F.col("id") % 3).cast("int").alias("toxic"))
+    best = {}
+    for i in range(5000):
+        best[i % 4000] = max(best.get(i % 4000, 0), i % 3)
+    hashes = {r.i: r.h for r in spark.range(4000).select(F.col("id").alias("i"), F.xxhash64("id").alias("h")).collect()}
+    for most in (1, 700, 4000, 9000):
+        got = toxicity._sample(labels, "toxic", "doc_id", most).collect()
+        want = sorted(hashes, key=hashes.get)[:most]
+        assert {tuple(r) for r in got} == {(i, best[i]) for i in want} and len(got) == min(most, 4000)
+
+
 def test_toxicity_hard_rows(spark, hard, none):
     labels = spark.createDataFrame([(1, 1), (1, None), (None, 1), (3, 0), (77, 1), (6, 0), (1, 1)], "doc_id long, toxic int")
     for some in (labels, labels.where("false"), labels.where("toxic = 0")):
