@@ -8,23 +8,35 @@ training counts, the model answers for exactly those keys, and a block meets
 its slice of the model in a co-group.  A block and its slice are bounded by
 the block's own bytes, and a word that every document holds costs one row a
 block.
+
+Rows that are equal in id and text would all fall into one block; they are
+scored once, with a count.  A text longer than a block is cut before white
+space into parts, each dealt on its own with the bytes before it as context;
+the sums of the parts are added.  (A single word longer than a block stays in
+one part.)  Every row counts 64 bytes beside its text, so many empty texts
+make more blocks.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import store
-from tessera.llm.blocks import WordRun, runs, text_buffers
+from tessera.llm.blocks import WordRun, documents, runs, text_buffers
 from tessera.llm.context_tree import gram_run, log10_of_grams
 
 WORD, GRAM = 0, 1
+MOST_BITS = 1 << 30  # of the Bloom filter of repeated rows
+ROW_BYTES = 64  # what a row weighs beside its text
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 @dataclass(frozen=True)
@@ -34,10 +46,46 @@ class Settings:
     smoothing: float = 0.1
 
 
-def _wruns(col: pa.Array):
-    data, off = text_buffers(col)
+def _cut(size: int, depth: int):
+    """Parts of about ``size`` bytes: the columns before the text, the text, the bytes before it, whether it is the last."""
+    def emit(batches):
+        for b in batches:
+            for i, raw in enumerate(documents(b.column(b.num_columns - 1))):
+                at = 0
+                while at < len(raw) or not at:
+                    end = _SPACE.search(raw, at + size) if at + size < len(raw) else None
+                    stop = end.start() if end else len(raw)
+                    yield pa.RecordBatch.from_arrays(
+                        [*(c.slice(i, 1) for c in b.columns[:-1]), pa.array([raw[at:stop].decode(errors="replace")]),
+                         pa.array([raw[max(0, at - depth):at]], pa.binary()), pa.array([stop == len(raw)])],
+                        [*b.schema.names[:-1], "text", "lead", "last"])
+                    at = stop
+                    if stop == len(raw):
+                        break
+    return emit
+
+
+def _parts(table: pa.Table, depth: int):
+    """Runs of a block, as (run, grams, place of each text's first gram, whether its last text ends there).
+
+    A part of a longer text is a run of its own.
+    """
+    data, off = text_buffers(table["text"])
+    lead = table["lead"].to_pylist()
+    whole = table["last"].combine_chunks().to_numpy(zero_copy_only=False) & np.array([not x for x in lead], dtype=bool)
+    cuts = np.flatnonzero(~whole)
     for i, j in runs(off):
-        yield WordRun(data, off, i, j)
+        own = cuts[np.searchsorted(cuts, i):np.searchsorted(cuts, j)]
+        edges = sorted({i, j, *own.tolist(), *(own + 1).tolist()})
+        for a, b in zip(edges, edges[1:]):
+            run = WordRun(data, off, a, b)
+            if whole[a]:
+                yield run, *gram_run(run.raw, run.bounds, depth), True
+                continue
+            before = np.frombuffer(lead[a].lower(), dtype=np.uint8)
+            grams, first = gram_run(np.concatenate([before, run.raw]), np.array([0, len(before) + len(run.raw)]), depth)
+            last = table["last"][a].as_py()
+            yield run, grams[len(before):len(grams) - (not last)], first, last
 
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -50,12 +98,12 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return key[first], np.add.reduceat(n, first)
 
 
-def _counted(keys: np.ndarray, held: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Distinct keys with their training counts; keys of held-out texts count 0."""
-    out = [np.unique(keys[~held], return_counts=True)] if not held.all() else []
-    if held.any():
-        unseen = np.unique(keys[held])
-        out.append((unseen, np.zeros(len(unseen), dtype=np.int64)))
+def _counted(keys: np.ndarray, times: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct keys with their training counts; ``times`` says how often each key counts, 0 in held-out texts."""
+    out = []
+    for n in np.unique(times):
+        key, count = np.unique(keys[times == n], return_counts=True)
+        out.append((key, count * n))
     return out
 
 
@@ -64,12 +112,11 @@ def _gather(depth: int):
     def gather(table: pa.Table) -> pa.Table:
         found = {WORD: [], GRAM: []}
         held = table["held"].combine_chunks().to_numpy(zero_copy_only=False)
-        for run in _wruns(table["text"]):
-            h = held[run.first_doc:run.first_doc + run.docs]
-            if len(run.hash):
-                found[WORD] += _counted(run.hash, np.repeat(h, np.diff(run.before)))
-            grams, _ = gram_run(run.raw, run.bounds, depth)
-            found[GRAM] += _counted(grams, np.repeat(h, np.diff(run.bounds) + 1))
+        times = np.where(held, 0, table["times"].combine_chunks().to_numpy())
+        for run, grams, first, _ in _parts(table, depth):
+            t = times[run.first_doc:run.first_doc + run.docs]
+            found[WORD] += _counted(run.hash, np.repeat(t, np.diff(run.before)))
+            found[GRAM] += _counted(grams, np.repeat(t, np.diff(first, append=len(grams))))
         kinds, keys, ns = [], [], []
         for kind, parts in found.items():
             if parts:
@@ -112,19 +159,19 @@ def _score(settings: Settings, total: int, distinct: int, texts: int):
         logs = np.log10(counts + s) - norm
         n = docs.num_rows
         tokens, known, base, ctw, size = (np.zeros(n, t) for t in (np.int64, np.int64, float, float, np.int64))
-        for run in _wruns(docs["text"]):
+        for run, grams, first, ends in _parts(docs, settings.depth):
             at = slice(run.first_doc, run.first_doc + run.docs)
             doc = np.repeat(np.arange(run.docs), np.diff(run.before))
             place = _values(words, np.arange(len(words)), run.hash).astype(np.int64)
-            tokens[at] = np.diff(run.before) + 1
-            known[at] = np.bincount(doc[counts[place] > 0], minlength=run.docs) + (texts > 0)
-            base[at] = np.bincount(doc, weights=logs[place], minlength=run.docs) + end
-            grams, first = gram_run(run.raw, run.bounds, settings.depth)
-            ctw[at] = np.add.reduceat(_values(*table[GRAM], grams), first)
-            size[at] = np.diff(run.bounds)
-        return pa.table({"doc_id": docs["id"], "held_out": docs["held"], "n_tokens": tokens, "n_known": known,
-                         "train_tokens": np.full(n, total), "base_score": base, "score": ctw,
-                         "bits_per_byte": -ctw / np.log10(2) / (size + 1)})
+            tokens[at] = np.diff(run.before) + ends
+            known[at] = np.bincount(doc[counts[place] > 0], minlength=run.docs) + (ends and texts > 0)
+            base[at] = np.bincount(doc, weights=logs[place], minlength=run.docs) + (end if ends else 0.0)
+            if len(grams):
+                ctw[at] = np.add.reduceat(_values(*table[GRAM], grams), first)
+            size[at] = np.diff(first, append=len(grams))
+        return pa.table({"id": docs["id"], "row_key": docs["row_key"], "held": docs["held"], "times": docs["times"],
+                         "cut": docs["cut"], "n_tokens": tokens, "n_known": known, "base_score": base, "score": ctw,
+                         "size": size})
     return score
 
 
@@ -144,34 +191,62 @@ def scores(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_
     """
     spark = docs.sparkSession
     store.prepare(spark)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
-                       held_out(id_col).alias("held"))
-    size, texts = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)),
-                           F.coalesce(F.sum((~F.col("held")).cast("long")), F.lit(0))).first()
+    rows = docs.select(F.col(id_col).alias("id"), store.row_key(id_col, text_col).alias("row_key"),
+                       held_out(id_col).alias("held"), F.lit(1).cast("long").alias("times"), F.lit(False).alias("cut"),
+                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    size, longest, texts = rows.agg(
+        F.coalesce(F.sum(F.octet_length("text") + ROW_BYTES), F.lit(0)), F.coalesce(F.max(F.octet_length("text")), F.lit(0)),
+        F.coalesce(F.sum((~F.col("held")).cast("long")), F.lit(0))).first()
     blocks = max(1, -(-size // settings.block_bytes))
-    blocked = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
+    dealt = _dealt(rows, longest, settings)
+    blocked = dealt.withColumn("block", F.pmod(F.xxhash64("id", "text", "lead"), F.lit(blocks)).cast("int"))
     gathered = store.written(blocked.groupBy("block").applyInArrow(
         _gather(settings.depth), "block int, kind tinyint, key bigint, n bigint"), "lm-keys")
 
-    same = Window.partitionBy("key")
-    words = store.written(gathered.where(F.col("kind") == WORD).select(
-        "block", "key", "n", F.sum("n").over(same).alias("count"),
-        (F.min("block").over(same) == F.col("block")).alias("first")), "lm-words")
-    total, distinct = words.agg(
-        F.coalesce(F.sum("n"), F.lit(0)),
-        F.coalesce(F.sum((F.col("first") & (F.col("count") > 0)).cast("long")), F.lit(0))).first()
+    words = gathered.where(F.col("kind") == WORD)
+    counted = store.written(words.groupBy(F.col("key").alias("word")).agg(F.sum("n").alias("value")), "lm-words")
+    total, distinct = counted.agg(F.coalesce(F.sum("value"), F.lit(0)), F.count(F.when(F.col("value") > 0, 1))).first()
     total, distinct = total + texts, distinct + (texts > 0)
 
     asked = gathered.where(F.col("kind") == GRAM)
     counts = store.written(asked.groupBy(F.col("key").alias("gram")).agg(F.sum("n").alias("n")), "lm-grams")
     values = store.written(log10_of_grams(counts, settings.depth), "lm-gram-values")
-    answers = words.select("block", F.lit(WORD).cast("tinyint").alias("kind"), "key",
-                           F.col("count").cast("double").alias("value")).union(
+    answers = words.join(counted, words["key"] == counted["word"]).select(
+        "block", "kind", "key", F.col("value").cast("double").alias("value")).union(
         asked.join(values, asked["key"] == values["gram"]).select("block", "kind", "key", "value"))
 
     schema = T.StructType([
-        T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()),
-        *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")),
-        *(T.StructField(c, T.DoubleType()) for c in ("base_score", "score", "bits_per_byte"))])
-    return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+        T.StructField("id", docs.schema[id_col].dataType), T.StructField("row_key", T.LongType()),
+        T.StructField("held", T.BooleanType()), T.StructField("times", T.LongType()), T.StructField("cut", T.BooleanType()),
+        *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known")),
+        *(T.StructField(c, T.DoubleType()) for c in ("base_score", "score")), T.StructField("size", T.LongType())])
+    scored = blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         _score(settings, total, distinct, texts), schema)
+    sums = ("n_tokens", "n_known", "base_score", "score", "size")
+    if longest > settings.block_bytes:  # the parts of cut texts are added
+        scored = store.written(scored, "lm-parts")
+        joined = scored.where("cut").groupBy("id", "row_key", "held", "times", "cut").agg(
+            *(F.sum(c).alias(c) for c in sums))
+        scored = scored.where("not cut").union(joined)
+    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))
+    return scored.select(
+        F.col("id").alias("doc_id"), F.col("held").alias("held_out"), "n_tokens", "n_known",
+        F.lit(total).cast("long").alias("train_tokens"), "base_score", "score",
+        (-F.col("score") / F.lit(math.log10(2)) / F.col("size")).alias("bits_per_byte"), again.alias("__again")).drop("__again")
+
+
+def _dealt(rows: DataFrame, longest: int, settings: Settings) -> DataFrame:
+    """``rows`` with equal ones as one (``times``), long texts in parts (``cut``), and what each part follows."""
+    whole = [F.lit(b"").cast("binary").alias("lead"), F.lit(True).alias("last")]
+    keys = store.written(rows.groupBy("row_key").count().where("count > 1").select("row_key"), "lm-repeated")
+    n = keys.count()
+    if n:  # only rows that a Bloom filter marks as possibly repeated move before they are dealt
+        marked = store.marked(rows, "row_key", store.bloom(keys, store.filter_bits(n, MOST_BITS)), "maybe")
+        one = marked.where("maybe").groupBy("id", "row_key", "held", "cut", "text").agg(F.count(F.lit(1)).alias("times"))
+        rows = marked.where("not maybe").drop("maybe").unionByName(one)
+    if longest <= settings.block_bytes:
+        return rows.select("*", *whole)
+    long = F.octet_length("text") > settings.block_bytes
+    schema = T.StructType([*rows.schema.fields, T.StructField("lead", T.BinaryType()), T.StructField("last", T.BooleanType())])
+    parts = rows.where(long).withColumn("cut", F.lit(True)).mapInArrow(_cut(settings.block_bytes, settings.depth), schema)
+    return rows.where(~long).select("*", *whole).unionByName(parts)

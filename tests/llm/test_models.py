@@ -344,6 +344,47 @@ def test_context_tree_matches_recursion(spark, depth):
         assert math.isclose(r.score, tree.score(t), rel_tol=1e-7)
 
 
+def test_long_texts_and_hot_rows_match_recursion(spark):
+    """One text of many blocks, words longer than a block, rows equal in id and text, many empty rows."""
+    rng = random.Random(8)
+    long = " ".join(rng.choice(["the", "cat", "sat", "été", "A" * 90]) for _ in range(120))
+    rows = [(1, long), (1, long), (2, long + " "), (3, "x" * 200)] + [(None, None)] * 300 + [(None, "")] * 200
+    rows += [(i, t) for i, t in enumerate(CORPUS)] + [(i, "") for i in range(100, 160)] + [(7, "hot row")] * 400
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = {r.doc_id: r.h for r in docs.select("doc_id", lm_score.held_out("doc_id").alias("h")).distinct().collect()}
+    train = [t for i, t in rows if not held[i]]
+    tree = brute.ContextTree(train, 2)
+    tokens = Counter(w for t in train for w in brute.WORD.findall(brute.lower(t)))
+    n, v = sum(tokens.values()) + len(train), len(tokens) + 1
+    tokens["<end>"] = len(train)
+
+    def of(i, t):
+        words = [*brute.WORD.findall(brute.lower(t)), "<end>"]
+        base = sum(math.log10((tokens[w] + .1) / (n + .1 * (v + 1))) for w in words)
+        return i or -1, held[i], len(words), sum(tokens[w] > 0 for w in words), n, round(base, 6), round(tree.score(t), 5)
+
+    known = {r: of(*r) for r in set(rows)}
+    got = lm_score.scores(docs, lm_score.Settings(depth=2, block_bytes=60)).collect()
+    assert Counter((r.doc_id or -1, *r[1:5], round(r.base_score, 6), round(r.score, 5)) for r in got) == Counter(
+        known[r] for r in rows)
+    assert all(math.isclose(r.bits_per_byte, -r.score / math.log10(2) / (len((long + " ").encode()) + 1))
+               for r in got if r.doc_id == 2 and r.n_tokens > 50)
+
+
+def test_groups_are_bounded_by_the_block(spark):
+    """100,000 equal rows are one row of one block; 100,000 empty rows of different ids spread over the blocks."""
+    s = lm_score.Settings(block_bytes=1 << 16)
+    rows = spark.range(100_000).select(F.col("id"), F.col("id").alias("row_key"), F.lit(False).alias("held"),
+                                       F.lit(1).cast("long").alias("times"), F.lit(False).alias("cut"), F.lit("").alias("text"))
+    same = rows.select(F.lit(5).cast("long").alias("id"), F.lit(9).cast("long").alias("row_key"), "held", "times", "cut", "text")
+    got = lm_score._dealt(same, 0, s).collect()
+    assert len(got) == 1 and got[0].times == 100_000
+    blocks = -(-100_000 * lm_score.ROW_BYTES // s.block_bytes)
+    most = (lm_score._dealt(rows, 0, s).groupBy(F.pmod(F.xxhash64("id", "text", "lead"), F.lit(blocks))).count()
+            .agg(F.max("count")).first()[0])
+    assert most < 2 * s.block_bytes / lm_score.ROW_BYTES
+
+
 def test_probabilities_of_next_bytes_add_up(spark):
     """After any context the 256 bytes share one."""
     rng = np.random.default_rng(1)
