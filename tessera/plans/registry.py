@@ -842,22 +842,28 @@ _TURNS = "(SELECT conv_id || '/' || turn AS doc_id, text, role FROM conversation
 _GAP_LIMIT = 0.05
 
 
+def _turn_weights(docs: DataFrame):
+    """TF-IDF of train and test turns as lists, and the IDF."""
+    idf = TF.fit_idf(docs.where(~F.col("is_test")))
+    return TF.weigh(docs, idf, ("is_test",), lists=True), idf
+
+
 def _turn_rows(spark, sf, with_features: bool):
-    """Long rows of train and test turns: TF-IDF, with the 11 features as further terms; and the vocabulary."""
+    """Rows of train and test turns, as lists: TF-IDF, with the 11 features as further terms; and the vocabulary."""
     turns = assign_split(I.turn_sentences(spark, sf), 0.2, 200)
     vocab = L.label_vocab(turns.where(~F.col("is_test")))
     path = scratch_path(spark, "turn-rows")
     docs = H.normalize_text(turns.select("sentence_id", "text", "is_test")).select("sentence_id", "norm_text", "is_test")
-    TF.fit_transform_tfidf(docs)[0].write.parquet(path)
+    _turn_weights(docs)[0].write.parquet(path)
     weights = spark.read.parquet(path)
     if with_features:
         wide = H.text_features(turns.select("sentence_id", "is_test", "text"))
         columns = H.feature_columns(wide, ("sentence_id", "is_test", "text"))
         # Counts and lengths as logarithms, small beside the unit-length TF-IDF rows: one step size then fits all terms.
         named = F.array(*[F.struct(F.lit(f"feature:{c}").alias("term"), (F.log(F.col(c) + 1.0) / 32).alias("weight")) for c in columns])
-        feats = wide.select("sentence_id", "is_test", F.explode(named).alias("f")).select("sentence_id", "is_test", "f.*")
-        weights = weights.unionByName(feats.where("weight <> 0"))
-    return [E.long_rows(L.encode_labels(turns.where(F.col("is_test") == test), vocab, strict=False),
+        feats = wide.select("sentence_id", "is_test", F.filter(named, lambda f: f["weight"] != 0).alias("f"))
+        weights = weights.unionByName(feats.select("sentence_id", "is_test", F.col("f.term").alias("terms"), F.col("f.weight").alias("values")))
+    return [E.list_rows(L.encode_labels(turns.where(F.col("is_test") == test), vocab, strict=False),
                         weights.where(F.col("is_test") == test)) for test in (False, True)] + [vocab]
 
 
@@ -866,7 +872,7 @@ GROUP BY role) SELECT a.role AS first, b.role AS second, a.n + b.n AS n_rows, tr
 def svm_certified(spark, sf):
     """All pairs' SVMs of the turns in one pass a round; each pair's duality gap is within 5 % of its objective."""
     train, _, vocab = _turn_rows(spark, sf, with_features=False)
-    gaps = PW.fit_pairwise(train, tol=_GAP_LIMIT).gaps
+    gaps = PW.fit_pairwise(E.as_long(train), tol=_GAP_LIMIT).gaps
     gaps = L.decode_labels(L.decode_labels(gaps, vocab, "first", "_a"), vocab, "second", "_b")
     certified = (F.col("gap") >= -1e-6) & (F.col("gap") <= _GAP_LIMIT * F.col("primal"))
     return gaps.select(F.col("_a").alias("first"), F.col("_b").alias("second"), "n_rows", certified.alias("certified"))
@@ -960,10 +966,10 @@ def _epoch_run(spark, sf, until: int | None = None):
     vocab = L.label_vocab(turns.where(~F.col("is_test")))
     docs = H.normalize_text(turns.select("sentence_id", "text", "is_test")).select("sentence_id", "norm_text", "is_test")
     path = scratch_path(spark, "epochs")
-    weights, idf = TF.fit_transform_tfidf(docs)
+    weights, idf = _turn_weights(docs)
     weights.write.parquet(f"{path}/tfidf")
     weights = spark.read.parquet(f"{path}/tfidf")
-    parts = [E.long_rows(L.encode_labels(turns.where(F.col("is_test") == test), vocab, strict=False),
+    parts = [E.list_rows(L.encode_labels(turns.where(F.col("is_test") == test), vocab, strict=False),
                          weights.where(F.col("is_test") == test)) for test in (False, True)]
     return E.train_epochs(*parts, vocab, f"{path}/run", _SCHEDULE, until), vocab, idf, turns
 
@@ -998,16 +1004,19 @@ pred AS (SELECT 0 AS run_id, * FROM ({_last_epoch_sql(False)}) UNION ALL SELECT
 """ + Q.VOCAB_FROM_TRAIN, by=("run_id",)))
 def train_ablation(spark, sf):
     """Reports of the trained classifier without (0) and with (1) the 11 features."""
-    out = None
-    for run_id in (0, 1):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def predicted(run_id: int):
         train, test, vocab = _turn_rows(spark, sf, with_features=bool(run_id))
         run = E.train_epochs(train, test, vocab, scratch_path(spark, "ablation"), _SCHEDULE)
-        weights = run.weights(_SCHEDULE.epochs)
-        found = E.predict_long(test, weights, vocab.count(), weights.count())
+        found = E.predict_lists(test, run.weights(_SCHEDULE.epochs), vocab.count())
         found = L.decode_labels(L.decode_labels(found, vocab), vocab, "label_id", "labels")
-        found = found.select(F.lit(run_id).alias("run_id"), "labels", "prediction")
-        out = found if out is None else out.unionByName(found)
-    return _report_cols(M.classification_report(out, vocab, by=("run_id",)), by=("run_id",))
+        return found.select(F.lit(run_id).alias("run_id"), "labels", "prediction"), vocab
+
+    # The two runs are independent jobs: submit them together.
+    with ThreadPoolExecutor(max_workers=2) as ex:
+        (without, vocab), (with_features, _) = ex.map(predicted, (0, 1))
+    return _report_cols(M.classification_report(without.unionByName(with_features), vocab, by=("run_id",)), by=("run_id",))
 
 
 @register("score_one_sentence", _epochs_sql() + """,
@@ -1024,7 +1033,7 @@ def score_one_sentence(spark, sf):
     one = spark.createDataFrame([(first["sentence_id"], first["text"])], "sentence_id string, text string")
 
     def scored(rows: DataFrame) -> DataFrame:
-        found = TF.tfidf(TF.term_counts(H.normalize_text(rows)), idf)
+        found = TF.weigh(H.normalize_text(rows), idf)
         long = E.long_rows(rows.withColumn("label_id", F.lit(None).cast("int")), found)
         return E.predict_long(long, weights, vocab.count(), weights.count())
 
