@@ -7,10 +7,11 @@ optionally maps forms to lemmas through a user table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .joins import DEFAULT_BROADCAST_ROWS, merged_by_place, token_lookup
 from .partitioning import cluster_by_id
 
 # Names and order of the feature block.
@@ -52,21 +53,31 @@ def feature_columns(df: DataFrame, exclude=("sentence_id", "text", "labels")) ->
 
 
 def normalize_text(df: DataFrame, lemmas: DataFrame | None = None, text_col: str = "text",
-                   out_col: str = "norm_text", id_col: str = "sentence_id") -> DataFrame:
+                   out_col: str = "norm_text", id_col: str = "sentence_id",
+                   max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Lowercase, tokenise, drop punctuation tokens, map to lemmas, join by one space.
 
     Without a lemma table this is one projection.  With a table
-    ``(form, lemma)`` the sentences are hash-partitioned on the id once; both
-    the tokens (exploded, joined to the table, put back together in position
-    order) and the sentences they return to read that one exchange.  The
-    runtime broadcasts the table by its measured bytes.
+    ``(form, lemma)`` the tokens are looked up where the text lies (the table
+    is written once and handed to the tasks behind a size check); one shuffle
+    brings the rows of an id together, whose tokens are merged by position.
+    Beyond the bound the tokens are exploded, joined to the table and put back
+    together.
     """
     if lemmas is None:
         return df.withColumn(out_col, T.join_without_punct(T.tokenize(T.lowercase(F.col(text_col)))))
     toks = T.drop_punct_tokens(T.tokenize(T.lowercase(F.col(text_col))))
+    lem = lemmas.select(F.col("form").alias("_form"), F.col("lemma").alias("_lemma")).dropDuplicates(["_form"])
+    lem = lem.checkpoint(eager=True)
+    lookup = token_lookup(lem, "_form", "_lemma", "string", max_rows=max_broadcast_rows)
+    if lookup is not None:
+        # A row without an id has no tokens of its id.
+        own = F.when(F.col(id_col).isNotNull(), F.col("_w"))
+        rows = df.withColumn("_w", lookup(toks)).withColumn("_all", F.collect_list(own).over(Window.partitionBy(id_col)))
+        joined = F.array_join(merged_by_place("_all"), " ")
+        return rows.withColumn(out_col, F.coalesce(joined, F.lit(""))).drop("_w", "_all")
     df = cluster_by_id(df, id_col)
     ex = df.select(id_col, F.posexplode(toks).alias("_pos", "_form"))
-    lem = lemmas.select(F.col("form").alias("_form"), F.col("lemma").alias("_lemma")).dropDuplicates(["_form"])
     mapped = ex.join(lem, "_form", "left")
     back = (mapped.groupBy(id_col)
             .agg(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("_lemma", "_form").alias("w"))))
