@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.delimited import with_row_index
+from .joins import DEFAULT_BROADCAST_ROWS, merged_by_place, token_lookup
 from .partitioning import cluster_by_id
 
 PAD_ID, UNK_ID, FIRST_ID = 0, 1, 2
@@ -35,7 +36,7 @@ def fit_token_vocab(train: DataFrame, text_col: str = "text", lowercase: bool =
 
 def encode_tokens(df: DataFrame, vocab: DataFrame, max_len: int = 512, text_col: str = "text",
                   id_col: str = "sentence_id", lowercase: bool = False, pad_to: str = "max_length",
-                  batch_col: str | None = None) -> DataFrame:
+                  batch_col: str | None = None, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Token ids truncated to ``max_len`` and padded, with an attention mask (K1, K2).
 
     The result has every column of ``df`` but the text (B7).  ``pad_to=
@@ -44,16 +45,22 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, max_len: int = 512, text_col:
     Truncation is the operator's semantics, so tokens past ``max_len`` are
     dropped before the vocabulary join; a text without tokens keeps its row.
 
-    The text is hash-partitioned on the id once; while the vocabulary is
-    small enough to be broadcast, regrouping needs no other exchange.
+    The ids are looked up where the text lies while the vocabulary is within
+    ``max_broadcast_rows``; what is shuffled are a sentence's ids as one array.
+    Beyond it the tokens are exploded and joined.
     """
     keep = [c for c in df.columns if c != text_col]
     tokens = F.slice(_tokens(text_col, lowercase), 1, max_len)
-    ex = cluster_by_id(df, id_col).select(*keep, F.posexplode_outer(tokens).alias("_pos", "token"))
-    mapped = ex.join(vocab.select("token", "token_id"), "token", "left")
-    piece = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("i")))
-    rows = (mapped.groupBy(*keep).agg(F.array_sort(F.collect_list(piece)).alias("_s"))
-            .select(*keep, F.col("_s.i").alias("_ids")))
+    lookup = token_lookup(vocab, "token", "token_id", "int", UNK_ID, max_broadcast_rows)
+    if lookup is not None:
+        rows = df.select(*keep, lookup(tokens).alias("_one")).groupBy(*keep).agg(F.collect_list("_one").alias("_all"))
+        rows = rows.select(*keep, merged_by_place("_all").alias("_ids"))
+    else:
+        ex = cluster_by_id(df, id_col).select(*keep, F.posexplode_outer(tokens).alias("_pos", "token"))
+        mapped = ex.join(vocab.select("token", "token_id"), "token", "left")
+        piece = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("i")))
+        rows = (mapped.groupBy(*keep).agg(F.array_sort(F.collect_list(piece)).alias("_s"))
+                .select(*keep, F.col("_s.i").alias("_ids")))
     n = F.size("_ids")
     if pad_to == "max_length":
         target = F.lit(max_len)
