@@ -15,9 +15,15 @@ representative stands for the class, so copies cost nothing more.
   Pairs above the bound are not verified.
 * Buckets first emit stars (every member with the smallest and the largest
   member).  Confirmed links are merged; only in buckets that still hold more
-  than one component do the members outside the bucket's main component meet
-  the members of other components.  Pairs inside a component are never
-  emitted, so a clique of copies costs a star, not a square.
+  than one component are the members outside the bucket's main component
+  compared with the members of other components.  Pairs inside a component
+  are never emitted, so a clique of copies costs a star, not a square.
+* That comparison uses a second parity map, of the whole set and with at least
+  four bits an element (up to ``MOST_PARITY``).  It is made inside Arrow groups
+  of at most about ``BLOCK`` by ``BLOCK`` members; only pairs whose maps differ
+  by no more than a link allows become rows.  A group with more such pairs than
+  members emits a spanning forest of the closest ones first; what is left when
+  those links are merged comes out in a second round.
 * Every link is confirmed on the full sets.
 """
 
@@ -42,6 +48,9 @@ MISS = 1e-9
 SAMPLE = 512
 SKETCH_LONGS = 16
 MOST_BITS = 1 << 30
+MOST_PARITY = 1 << 16
+BLOCK = 1024
+PAIR_WORDS = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -108,6 +117,44 @@ def odd_sketch(distinct: np.ndarray) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view(np.uint64)
 
 
+def parity_map(distinct: np.ndarray) -> np.ndarray:
+    """The parity map of a whole set: a power of two of bits, four an element or ``MOST_PARITY``, in 64-bit words."""
+    bits = min(MOST_PARITY, max(64, 1 << (4 * len(distinct) - 1).bit_length()))
+    odd = (np.bincount((distinct & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.uint64)
+
+
+def _folded(maps: np.ndarray, words: int) -> np.ndarray:
+    """Parity maps (rows) in fewer words: a bit's place is taken modulo the new number of bits."""
+    while maps.shape[1] > words:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] ^ maps[:, half:]
+    return maps
+
+
+def maps_apart(maps: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of the parity maps at places ``a`` and ``b``, in the shorter one's width: at most the sets' difference."""
+    words = np.fromiter((len(x) // 8 for x in maps), np.int64, len(maps))
+    of_width, row = {}, np.zeros(len(maps), dtype=np.int64)
+    for w in np.unique(words).tolist():
+        at = np.flatnonzero(words == w)
+        of_width[w] = np.frombuffer(b"".join(maps[i] for i in at), dtype=np.uint64).reshape(len(at), w)
+        row[at] = np.arange(len(at))
+    out = np.zeros(len(a), dtype=np.int64)
+    for w in of_width:
+        for v in of_width:
+            least = min(v, w)
+            pairs = np.flatnonzero((words[a] == w) & (words[b] == v))
+            if not len(pairs):
+                continue
+            x, y = _folded(of_width[w], least), _folded(of_width[v], least)
+            step = max(PAIR_WORDS // least, 1)
+            for k in range(0, len(pairs), step):
+                at = pairs[k:k + step]
+                out[at] = np.bitwise_count(x[row[a[at]]] ^ y[row[b[at]]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def _lists(values: np.ndarray, width: int) -> pa.Array:
     flat = np.ascontiguousarray(values).astype(np.uint64).view(np.int64).ravel()
     return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, width, dtype=np.int32)), pa.array(flat))
@@ -154,18 +201,20 @@ def _sets(width: int, bitmap):
             wanted = np.flatnonzero(store.passes(bitmap.value, keys))
             for run in word_runs(pa.array([texts[i] for i in wanted], pa.binary())):
                 hashes, bounds = shingle_hashes(run, width)
-                ids, sets = [], []
+                ids, sets, maps = [], [], []
                 for d in range(run.docs):
                     distinct = np.unique(hashes[bounds[d]:bounds[d + 1]])
                     if len(distinct) and (sid := set_id(distinct)) not in done:
                         done.add(sid)
                         ids.append(sid)
                         sets.append(distinct.view(np.int64))
+                        maps.append(parity_map(distinct).tobytes())
                 if ids:
                     ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(ids, pa.binary()),
-                         pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["sid", "shingles"])
+                         pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets))),
+                         pa.array(maps, pa.binary())], ["sid", "shingles", "parity"])
     return emit
 
 
@@ -207,6 +256,90 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.where(F.col("both") * 100 >= F.col("any") * percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def _spanning(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Places of the edges (a, b) that join two trees, taken in order."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    out = []
+    for k, (u, v) in enumerate(zip(a.tolist(), b.tolist())):
+        if (u := find(u)) != (v := find(v)):
+            parent[u] = v
+            out.append(k)
+    return out
+
+
+def _near_pairs(percent: int, forest: bool):
+    """Of a group's rows: pairs (a, b) of different components of one bucket that sizes and parity maps allow.
+
+    ``rest`` says that the group has more pairs than rows and emitted those
+    that span them, the closest first.
+    """
+    def near(rows: pa.Table) -> pa.Table:
+        key, cid, root, main, n = (rows.column(c).to_numpy() for c in ("key", "cid", "root", "main", "n"))
+        left = rows.column("left").to_numpy(zero_copy_only=False)
+        x, y = np.flatnonzero(left), np.flatnonzero(~left)
+        y = y[np.argsort(key[y], kind="stable")]
+        first = np.searchsorted(key[y], key[x], side="left")
+        count = np.searchsorted(key[y], key[x], side="right") - first
+        maps = rows.column("parity").to_pylist()
+        found, before, k = [], np.concatenate([[0], np.cumsum(count)]), 0
+        while k < len(x):  # some rows of the left side at a time
+            stop = max(int(np.searchsorted(before, before[k] + PAIR_WORDS, side="right")) - 1, k + 1)
+            size = count[k:stop]
+            a = np.repeat(x[k:stop], size)
+            b = y[np.arange(len(a)) - np.repeat(before[k:stop] - before[k], size) + np.repeat(first[k:stop], size)]
+            ok = (root[a] != root[b]) & ((root[b] == main[b]) | (cid[a] < cid[b]))
+            ok &= 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
+            a, b = a[ok], b[ok]
+            bits, most = maps_apart(maps, a, b) * (100 + percent), (n[a] + n[b]) * (100 - percent)
+            ok = bits <= most
+            found.append((a[ok], b[ok], bits[ok] / most[ok]))
+            k = stop
+        a, b, far = (np.concatenate(c) for c in zip(*found)) if found else (x[:0], x[:0], np.zeros(0))
+        rest = forest and len(a) > len(rows)
+        if rest:
+            order = np.argsort(far, kind="stable")
+            keep = order[_spanning(root[a[order]], root[b[order]])]
+            a, b = a[keep], b[keep]
+        return pa.table({"a": pa.array(np.minimum(cid[a], cid[b]), pa.int64()),
+                         "b": pa.array(np.maximum(cid[a], cid[b]), pa.int64()), "rest": pa.array(np.full(len(a), rest))})
+    return near
+
+
+def _open_pairs(members: DataFrame, found: DataFrame, sets: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """(a, b, rest) of the buckets that hold several components.
+
+    Buckets of at most ``BLOCK`` members are dealt to groups of a few
+    thousand rows.  Larger ones are cut into blocks of about ``BLOCK`` members
+    on either side, and every block meets every block of the other side.
+    """
+    placed = (members.join(found.withColumnRenamed("node", "cid"), "cid", "left")
+              .select("key", "cid", F.coalesce("root", "cid").alias("root")))
+    parts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
+    split = store.written(parts.groupBy("key").agg(
+        F.count(F.lit(1)).alias("parts"), F.sum("m").alias("m"), F.max("m").alias("most"),
+        F.max_by("root", F.struct("m", "root")).alias("main")).where("parts > 1"), "split")
+    rows = store.written(placed.join(split, "key").join(sets.select("cid", "n", "parity"), "cid"), "open")
+    groups = max(1, -(-rows.count() // (4 * BLOCK)))
+    blocks = lambda size: F.ceil(F.col(size) / BLOCK).cast("int")
+    rows = rows.withColumn("other", F.col("m") - F.col("most")).withColumn("i", blocks("other")).withColumn("j", blocks("m"))
+    large, block = F.col("m") > BLOCK, lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
+    a = rows.where("root <> main").select("*", F.lit(True).alias("left"), block("i").alias("x"),
+                                          F.explode(F.sequence(F.lit(0), F.col("j") - 1)).alias("y"))
+    b = rows.select("*", F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), F.col("i") - 1)).alias("x"),
+                    block("j").alias("y"))
+    dealt = a.union(b).select("key", "cid", "root", "main", "n", "parity", "left", "x", "y",
+                              F.when(large, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(groups))).alias("g"),
+                              large.alias("large"))
+    return store.written(dealt.groupBy("large", "g", "x", "y").applyInArrow(
+        _near_pairs(percent, forest), "a long, b long, rest boolean"), "open-pairs")
+
+
 def near_groups(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept, row_key.
@@ -261,33 +394,26 @@ def _groups(docs: DataFrame, settings: Settings, id_col: str, text_col: str) ->
 
     # Full sets of the classes in shared buckets, read in one more pass over the texts.
     wanted = members.join(buckets.select("key"), "key", "left_semi").select("cid").distinct()
-    wanted = store.written(classes.join(wanted, "cid", "left_semi").select("cid", "sid", "text_key"), "wanted")
+    wanted = store.written(classes.join(wanted, "cid", "left_semi").select("cid", "sid", "text_key", "n"), "wanted")
     bitmap = store.bloom(wanted.select("text_key"), store.filter_bits(wanted.count(), MOST_BITS))
-    sets = (texts.select("text").mapInArrow(_sets(settings.width, bitmap), "sid binary, shingles array<bigint>")
-            .groupBy("sid").agg(F.any_value("shingles").alias("shingles")))
-    sets = store.written(wanted.select("cid", "sid").join(sets, "sid").select("cid", "shingles"), "sets")
+    sets = (texts.select("text").mapInArrow(_sets(settings.width, bitmap), "sid binary, shingles array<bigint>, parity binary")
+            .groupBy("sid").agg(F.any_value("shingles").alias("shingles"), F.any_value("parity").alias("parity")))
+    sets = store.written(wanted.select("cid", "sid", "n").join(sets, "sid").select("cid", "n", "shingles", "parity"), "sets")
 
     links = store.written(_confirmed(stars, sets, settings.percent), "links")
     found = components(links)
 
-    # Buckets that still hold several components: members outside the main one meet the other components.
-    placed = (members.join(found.withColumnRenamed("node", "cid"), "cid", "left")
-              .select("key", "cid", F.coalesce("root", "cid").alias("root")))
-    parts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
-    split = store.written(parts.groupBy("key").agg(
-        F.count(F.lit(1)).alias("parts"), F.max_by("root", F.struct("m", "root")).alias("main")).where("parts > 1"), "split")
-    open_rows = store.written(placed.join(split, "key").join(small, "cid"), "open")
-    a = open_rows.where("root <> main").select("key", F.col("cid").alias("a"), F.col("root").alias("root_a"),
-                                               F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
-    b = open_rows.select("key", F.col("cid").alias("b"), F.col("root").alias("root_b"), "main",
-                         F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
-    pairs = (a.join(b, (a["key"] == b["key"]) & (F.col("root_a") != F.col("root_b"))
-                    & ((F.col("root_b") == F.col("main")) | (F.col("a") < F.col("b"))) & _may_link(settings))
-             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    # Buckets that still hold several components: members outside the main one are compared with the other components.
     tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = store.written(_confirmed(pairs.join(tested, ["a", "b"], "left_anti"), sets, settings.percent), "links")
-    if more.head(1):
-        found = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
+    for forest in (True, False):
+        pairs = _open_pairs(members, found, sets, settings.percent, forest)
+        more = store.written(_confirmed(pairs.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"),
+                                        sets, settings.percent), "links")
+        if more.head(1):
+            found = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
+        if not pairs.where("rest").head(1):
+            break
+        tested = tested.union(pairs.select("a", "b")).distinct()
 
     least = found.join(classes.select(F.col("cid").alias("node"), "least"), "node")
     of_root = least.groupBy("root").agg(F.min("least").alias("first"))

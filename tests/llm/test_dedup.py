@@ -133,3 +133,39 @@ def test_one_row_of_a_near_group_stays_under_equal_or_null_ids(spark):
     rows += [(1, text("c", 0)), (None, text("d", 0)), (5, text("e", 0)), (None, text("e", 1)), (4, text("e", 2))]
     kept = neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter((r.doc_id, r.text[0]) for r in kept) == Counter([(1, "a"), (None, "b"), (1, "c"), (None, "d"), (4, "e")])
+
+
+def test_parity_maps_bound_the_difference():
+    """Equal sets have equal maps; maps of any two widths differ in no more bits than the sets do elements."""
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 2 ** 63, n, dtype=np.uint64)) for n in (1, 2, 15, 17, 300, 500, 4000, 40000)]
+    sets += [np.unique(np.concatenate([s[len(s) // 9:], rng.integers(0, 2 ** 63, len(s) // 3, dtype=np.uint64)])) for s in sets]
+    maps = [neardup.parity_map(s).tobytes() for s in sets]
+    assert max(map(len, maps)) == neardup.MOST_PARITY // 8
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    bits = neardup.maps_apart(maps, a, b)
+    for i, j, d in zip(a.tolist(), b.tolist(), bits.tolist()):
+        assert d <= len(np.setxor1d(sets[i], sets[j])) and (d == 0 or i != j)
+
+
+def replaced(words, share, rng):
+    return [f"x{rng.randrange(10 ** 9)}" if rng.random() < share else w for w in words]
+
+
+@pytest.mark.parametrize("block", [16, 1024])
+def test_pairs_below_the_threshold_do_not_become_rows(spark, monkeypatch, block):
+    """Long near copies, few of them linked, and a clique that no bucket's first or last member belongs to."""
+    tested, confirmed = [], neardup._confirmed
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "_confirmed", lambda pairs, *rest: tested.append(pairs.count()) or confirmed(pairs, *rest))
+    rng = random.Random(7)
+    base = [f"w{k}" for k in range(900)]
+    apart = lambda: replaced(base, .035, rng)
+    centre = apart()
+    texts = [apart() for _ in range(50)] + [replaced(centre, .004, rng) for _ in range(40)] + [apart() for _ in range(50)]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    got = neardup.near_groups(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), neardup.Settings(3, 85))
+    want = brute.near_groups(rows, 3, 85)
+    assert as_rows(got, "doc_id", "n_shingles", "component_id") == Counter(want)
+    assert 60 < len({c for _, _, c in want}) < 140
+    assert sum(tested[1:]) < 3 * len(rows)
