@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections import Counter
 from collections.abc import Iterator
 from itertools import permutations
 
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import store
-from tessera.llm.blocks import runs, text_buffers, word_pieces
+from tessera.llm.blocks import NOT_SPACE, runs, text_buffers, word_pieces, word_spans
 
 FILTERS = "ABCDE"
 LEAST_WORDS, LEAST_DISTINCT_PERCENT, MOST_CAPITALS_PERCENT, MARKS = 200, 50, 3, b"#$%&*|"
@@ -41,14 +40,6 @@ _CAPITALS = bytes(range(65, 91))
 _LATER_BYTES = bytes(range(0x80, 0xC0))
 
 
-class _Numbers(dict):
-    """Numbers words in the order in which they first come."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = len(self)
-        return value
-
-
 def pack(values: np.ndarray) -> bytes:
     """Integers as compressed bytes (8 bytes of length, then zstd)."""
     raw = np.ascontiguousarray(values, dtype=np.int64).tobytes()
@@ -81,7 +72,11 @@ def csr_columns(pointers: np.ndarray, gaps: np.ndarray) -> np.ndarray:
 def sort_rows(pointers: np.ndarray, columns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each row's entries by column id."""
     row = np.repeat(np.arange(len(pointers) - 1), np.diff(pointers))
-    order = np.lexsort((columns, row))
+    top = int(columns.max(initial=0)) + 1
+    if len(pointers) * top >= 1 << 62:
+        order = np.lexsort((columns, row))
+    else:
+        order = np.argsort(row * top + columns)
     return columns[order], counts[order]
 
 
@@ -101,21 +96,48 @@ def word_flags(pointers: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return (words < LEAST_WORDS) * 1 | (100 * distinct < LEAST_DISTINCT_PERCENT * words) * 2
 
 
+def _words(raw: bytes, bounds: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The words of concatenated texts, case kept, and how many each text has."""
+    data = np.frombuffer(raw, dtype=np.uint8)
+    start, end, before = word_spans(data, bounds, NOT_SPACE)
+    ends = np.zeros(len(start) + 1, dtype=np.int32)
+    np.cumsum(end - start, out=ends[1:])
+    return (pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(data[NOT_SPACE[data]])]),
+            np.diff(before))
+
+
+def _numbered(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of texts in the order in which they first come, and the texts' counts of them as CSR arrays."""
+    words, owner = [pa.array([], pa.binary())], []
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+    for i, j in runs(bounds):
+        if j - i > 1:
+            found, n = _words(b"".join(texts[i:j]), bounds[i:j + 1] - bounds[i])
+            words.append(found)
+            owner.append(np.repeat(np.arange(i, j), n))
+        else:  # perhaps a long text: in pieces, so that the work space is bounded whatever its length
+            found = [pa.array(x, pa.binary()) for x in word_pieces(texts[i])]
+            words += found
+            owner.append(np.full(sum(map(len, found)), i))
+    coded = pa.concat_arrays(words).dictionary_encode()
+    known, codes = coded.dictionary, coded.indices.to_numpy()
+    entries, counts, at = [], [], 0
+    for own in owner:
+        entry, n = np.unique(own * len(known) + codes[at:at + len(own)], return_counts=True)
+        entries.append(entry)
+        counts.append(n)
+        at += len(own)
+    whole = lambda arrays: np.concatenate(arrays) if arrays else np.zeros(0, dtype=np.int64)
+    row, columns = np.divmod(whole(entries), max(len(known), 1))
+    return known, np.searchsorted(row, np.arange(len(texts) + 1)), columns, whole(counts)
+
+
 def _shard(ids: pa.Array, parts: pa.Array, texts: list[bytes]) -> pa.RecordBatch:
-    numbers, pointers, columns, counts = _Numbers(), [0], [], []
-    for raw in texts:
-        row: Counter = Counter()
-        for words in word_pieces(raw):
-            row.update(words)
-        columns.append(np.fromiter(map(numbers.__getitem__, row), np.int64, len(row)))
-        counts.append(np.fromiter(row.values(), np.int64, len(row)))
-        pointers.append(pointers[-1] + len(row))
-    ptr = np.array(pointers)
-    cols, n = sort_rows(ptr, np.concatenate(columns), np.concatenate(counts))
+    words, ptr, cols, n = _numbered(texts)
     whole = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
     return pa.RecordBatch.from_arrays([
         whole(ids), whole(parts), whole(pa.array([hashlib.sha256(x).digest() for x in texts], pa.binary())),
-        whole(pa.array([text_flags(x) for x in texts], pa.int32())), whole(pa.array(list(numbers), pa.binary())),
+        whole(pa.array([text_flags(x) for x in texts], pa.int32())), whole(words),
         pa.array([pack(ptr)], pa.binary()), pa.array([pack(csr_gaps(ptr, cols))], pa.binary()), pa.array([pack(n)], pa.binary())],
         ["ids", "parts", "digests", "flags", "words", "pointers", "columns", "counts"])
 

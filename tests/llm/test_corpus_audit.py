@@ -212,6 +212,25 @@ def test_csr_shards_hold_the_counts(spark, monkeypatch):
     assert got == {k: dict(Counter((t or "").split())) for k, t in enumerate(texts)}
 
 
+def test_words_are_numbered_without_an_object_per_word(monkeypatch, tiny_pieces):
+    """Words, order, row pointers and counts of a shard, whatever the runs and pieces; only long texts are split in Python."""
+    rng = random.Random(9)
+    for limit in (1, 40, 1 << 20):
+        monkeypatch.setattr(filter_audit, "runs", lambda bounds: blocks.runs(bounds, limit))
+        texts = ["".join(rng.choice(["a", "A", "bc", " ", "\n", "\t ", "é", "longword", "\x0b", "\x1f"]) for _ in range(rng.randrange(60))).encode()
+                 for _ in range(rng.choice([1, 2, 90]))]
+        seen, pieces = [], filter_audit.word_pieces
+        monkeypatch.setattr(filter_audit, "word_pieces", lambda raw: seen.append(raw) or pieces(raw))
+        words, ptr, cols, n = filter_audit._numbered(texts)
+        monkeypatch.setattr(filter_audit, "word_pieces", pieces)
+        assert words.to_pylist() == list(dict.fromkeys(w for x in texts for w in x.split()))
+        assert len(seen) < len(texts) or limit == 1 or len(texts) == 1
+        for k, x in enumerate(texts):
+            own = cols[ptr[k]:ptr[k + 1]]
+            assert own.tolist() == sorted(own)
+            assert {words[c].as_py(): m for c, m in zip(own.tolist(), n[ptr[k]:ptr[k + 1]].tolist())} == Counter(x.split())
+
+
 # ------------------------------------------------------------------ target resampling
 WORD_13 = __import__("re").compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
