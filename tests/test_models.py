@@ -149,3 +149,38 @@ def test_saved_model_agreement_uses_the_whole_grid(spark, monkeypatch):
     monkeypatch.setattr(R.J, "train_select", lambda *a, **k: grids.append(a[4]) or select(*a, **k))
     assert R.score_saved_model_agreement(spark, SF001).where("not agrees").count() == 0
     assert len(grids[0]) == len(J.lr_grid()[1]) == 6
+
+
+def test_fits_share_bounded_memory(spark, monkeypatch):
+    """Fits that together would hold more than the room wait for each other; small ones run together."""
+    import threading
+    import time
+    running, most, lock, fit = [0], [0], threading.Lock(), J.LinearSVC.fit
+
+    def watched(self, df):
+        with lock:
+            running[0] += 1
+            most[0] = max(most[0], running[0])
+        time.sleep(0.2)
+        try:
+            return fit(self, df)
+        finally:
+            with lock:
+                running[0] -= 1
+    monkeypatch.setattr(J.LinearSVC, "fit", watched)
+    df = blobs(spark, [0, 1, 2])
+    room = J.Room(spark, size=1)  # every fit is larger: one at a time, over all calls
+    with J.ThreadPoolExecutor(2) as ex:
+        both = list(ex.map(lambda _: J.fit_svm(df, max_iter=5, room=room), range(2)))
+    assert most[0] == 1 and not room.used and all(len(m.models) == 3 for m in both)
+    most[0] = 0
+    assert J.Room(spark).size > 0 and len(J.fit_svm(df, max_iter=5).models) == 3
+    assert most[0] > 1
+
+
+def test_rows_are_dealt_by_their_number(spark):
+    from tessera.operators.partitioning import dealt
+    few, cores = spark.range(0, 1000, 1, 2).withColumnRenamed("id", "sentence_id"), spark.sparkContext.defaultParallelism
+    parts = lambda rows: dealt(few, 1000, rows).rdd.getNumPartitions()
+    assert parts(1000) == 1 and parts(250) == 4 and 2 * cores < parts(50) <= 3 * cores and parts(5) == 40
+    assert dealt(few, 1000, 50).count() == dealt(few, 0, 50).count() == 1000

@@ -64,3 +64,23 @@ def test_whole_token_counts_equal_per_token_tests(spark):
         T.emoji_count("tok").alias("e1"), each(lambda t: t.rlike(T.EMOJI_TOKEN_RE)).alias("e2")).collect()
     assert all((r.p1, r.u1, r.e1) == (r.p2, r.u2, r.e2) for r in got), got
     assert got[0].u1 == 6 and got[1].e1 >= 5
+
+
+def test_arrow_tokens_equal_the_expressions(spark):
+    """Features and normal form in Arrow batches against the column expressions, on odd words of many scripts."""
+    import random
+
+    from tessera.operators.vectors import TextNormalizer
+    rng = random.Random(3)
+    pools = ["abcXYZ019", "  \t\n\x1c\x85", ".,;:!?-_@#*'’\"()[]{}…“”«»¿", "äöüßÉéñİıΣσςЖж", "$+<=>|~±×​‍️⃣",
+             "😀👍🏽👨‍👩‍👧🇩🇪🇫🇷1️⃣#️⃣☀️→❶〈〉⌈", "ǅǈⅧⅷ①ªº²½", "漢字かな한글عربيעבריתไทยहिन्दी", "".join(map(chr, range(0x1F100, 0x1FB00, 37)))]
+    texts = [None, "", " ", "_", "@-", "_-_a", "..", ". .. ...", "a.b..c", "''a-b-'c’", "A.B. U.S.A"]
+    texts += ["".join(rng.choice(rng.choice(pools)) for _ in range(rng.randint(1, 50))) for _ in range(600)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    expect = df.select("id", T.join_without_punct(T.tokenize(T.lowercase("text"))).alias("n"), "text", T.tokenize("text").alias("t")).select(
+        "id", "n", T.punct_count("t"), T.contains_exclamation("t"), T.contains_punct_mark("t"), T.contains_question_mark("t"),
+        T.contains_hashtag("text"), T.contains_mention("text"), T.capital_token_count("t"), T.token_count("t"), T.char_length("text"),
+        T.emoji_count("t"), T.contains_emoji("t"))
+    got = text_features(TextNormalizer(inputCol="text", outputCol="n").transform(df)).select("id", "n", *FEATURE_COLUMNS)
+    as_rows = lambda d: {r[0]: (r[1], *[x or 0 for x in r[2:]]) for r in d.collect()}
+    assert as_rows(got) == as_rows(expect)

@@ -93,3 +93,51 @@ def test_idf_reads_text_without_a_shuffle(spark):
     docs = spark.range(0, 64, numPartitions=8).selectExpr("id as sentence_id", "'ab cd' as norm_text")
     plan = TF.fit_idf(docs)._jdf.queryExecution().toString()
     assert "hashpartitioning(sentence_id" not in plan
+
+
+@pytest.mark.parametrize("min_n, max_n", [(1, 2), (1, 1), (2, 2)])
+def test_table_and_sorted_counts(min_n, max_n):
+    """Counts by a table of pairs and, where it would be mostly empty, by a sort, against a count by hand."""
+    from collections import Counter
+
+    import numpy as np
+    few = ["ab a ab", "b", "aaaa ä😀"] * 9
+    many = ["".join(chr(0x4E00 + (k * 7919 + j * 104729) % 9000) for j in range(40)) for k in range(60)]
+    for texts in (few, many, few + many):
+        padded = [TF._words_padded(t) for t in texts]
+        owner, codes, n = TF._many_grams(padded, np.arange(len(texts)) + 5, min_n, max_n)
+        expect = {}
+        for k, t in enumerate(texts):
+            own = Counter(f" {w} "[i:i + m] for w in t.split() for m in range(min_n, max_n + 1) for i in range(len(w) + 3 - m))
+            expect.update({(k + 5, g): c for g, c in own.items()})
+        assert {(o, g): c for o, g, c in zip(owner.tolist(), TF._as_text(codes).to_pylist(), n.tolist())} == expect
+        assert (np.diff(owner) >= 0).all()
+        together = TF._many_grams(padded, np.zeros(len(texts), dtype=np.int64), min_n, max_n)
+        assert Counter(dict(zip(together[1].tolist(), together[2].tolist()))) == sum(
+            (Counter({c: k}) for c, k in zip(codes.tolist(), n.tolist())), Counter()) and not together[0].any()
+
+
+def test_a_model_of_counted_rows_is_that_of_their_texts(spark):
+    d = spark.createDataFrame([(1, "Ab a\U0001f600 b!"), (2, None), (3, "zz Zz."), (4, "ab"), (None, "")], "sentence_id long, text string")
+    counted = V.count_grams(d)
+    assert {tuple(r) for r in TF.counted_frequencies(counted).collect()} == {
+        tuple(r) for r in TF.document_frequencies(V.TextNormalizer(inputCol="text", outputCol="norm_text").transform(d)).collect()}
+    a, b = V.fit_tfidf_model(d), V.fit_tfidf_model(counted.drop("text", "norm_text"), counted=True)
+    vectors = lambda m, d: [r.tfidf for r in m.transform(d).orderBy("sentence_id").collect()]
+    assert vectors(a, d) == vectors(V.after_counting(b), counted.drop("text", "norm_text")) == vectors(b, d)
+
+
+def test_svm_inputs_read_the_texts_once(spark, monkeypatch):
+    """Both splits' vectors come from one written table of counts; no text is tokenized or read again."""
+    made = []
+    normal = V.TextNormalizer._transform
+    monkeypatch.setattr(V.TextNormalizer, "_transform", lambda s, d: made.append(d) or normal(s, d))
+    for with_features in (False, True):
+        made.clear()
+        frames = R._svm_inputs(spark, SF001, with_features)[:2]
+        assert len(made) == 1
+        for df in frames:
+            plan = df._jdf.queryExecution().toString()
+            assert "documents.parquet" not in plan and "text#" not in plan
+    train, test = R._docs_train_test(spark, SF001)
+    assert [df.count() for df in frames] == [train.count(), test.count()]
